@@ -132,15 +132,17 @@ def windows(h: np.ndarray, n: int, salt: int = 1) -> np.ndarray:
         return acc[:m]
 
 
-def anchors(h: np.ndarray, w: int) -> np.ndarray:
-    """Places of the smallest entry (leftmost of equals) of every w consecutive entries, ascending.
+def anchors(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the smallest entry (leftmost of equals) of every w consecutive entries.
 
-    Each depends on its window alone, so equal windows pick equal places. Entries
+    Places in ascending order, and for each the first window (by its start) that has
+    it; its windows go on to the first one of the next place. A window's place
+    depends on its own entries alone, so equal windows have equal places. Entries
     count by their upper 32 bits; the lower 32 of the key are the place.
     """
     m = len(h)
     if m < w:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
     if w > 1:  # van Herk: minima of blocks of w from both ends, then one look at each window
         full = np.concatenate([key, np.full((-m) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
@@ -148,4 +150,5 @@ def anchors(h: np.ndarray, w: int) -> np.ndarray:
         right = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
         key = np.minimum(right[: m - w + 1], left[w - 1 : m])
     at = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], first
