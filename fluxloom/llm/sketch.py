@@ -16,12 +16,16 @@ SLICE = 1 << 18
 
 @dataclass(frozen=True)
 class CountMin:
-    """depth rows of 2**log2_width cells; a cell counts up to `most` and stays there."""
+    """depth rows of 2**log2_width cells; a cell counts up to `most` and stays there (a task counts up to 255 between two sends)."""
 
     log2_width: int = 24
     depth: int = 2
     most: int = 2
 
+    @property
+    def kind(self) -> type:
+        return np.uint8 if self.most < 256 else np.uint32
+
     @property
     def size(self) -> int:
         return self.depth << self.log2_width
@@ -40,7 +44,7 @@ class CountMin:
 
 
 def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shape: CountMin) -> np.ndarray:
-    """Counts over all hashes that `hashes` yields. Tasks send the cells they touched; each slice is merged as its rows stream by; the merged cells (shape.size bytes) come to the driver."""
+    """Counts over all hashes that `hashes` yields. Tasks send the cells they touched; each slice is merged as its rows stream by; the merged cells (shape.size of them) come to the driver."""
     spark = docs.sparkSession
     out_schema = pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
@@ -49,10 +53,18 @@ def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator
 
         def flush():
             cells, counts = np.unique(np.concatenate(held), return_counts=True)
-            counts = np.minimum(counts, shape.most).astype(np.uint8)
+            counts = np.minimum(counts, min(shape.most, 255)).astype(np.uint8)
             cut = np.searchsorted(cells, np.arange(0, shape.size + SLICE, SLICE))
             rows = [(k, cells[a:b], counts[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([(r[1] % SLICE).astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], schema=out_schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(packed(*r) for r in rows), strict=True), out_schema, strict=True)], schema=out_schema)
+
+        def packed(k, cells, counts):
+            at = (cells % SLICE).astype("<u4")
+            if len(at) * 5 < SLICE:
+                return k, at.tobytes(), counts.tobytes()
+            whole = np.zeros(SLICE, np.uint8)
+            whole[at] = counts
+            return k, b"", whole.tobytes()
 
         with np.errstate(over="ignore"):
             for h in hashes(batches):
@@ -68,15 +80,15 @@ def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator
         slices: dict[int, np.ndarray] = {}
         for b in batches:
             for k, cells, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                whole = slices.setdefault(k, np.zeros(SLICE, np.uint8))
-                at = np.frombuffer(cells, "<u4")
-                whole[at] = np.minimum(whole[at] + np.frombuffer(counts, np.uint8), shape.most)
+                whole = slices.setdefault(k, np.zeros(SLICE, shape.kind))
+                at = np.frombuffer(cells, "<u4") if cells else slice(None)
+                whole[at] = np.minimum(whole[at].astype(np.uint64) + np.frombuffer(counts, np.uint8), shape.most)
         yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array([s.tobytes() for s in slices.values()], pa.binary()), pa.array([b""] * len(slices), pa.binary())], schema=out_schema)
 
     kinds = "slice int, cells binary, counts binary"
     n_slices = max(1, shape.size // SLICE)
     merged = docs.mapInArrow(partial, kinds).repartition(min(n_slices, 64), "slice").mapInArrow(merge, kinds)
-    counts = np.zeros(n_slices * SLICE, np.uint8)
+    counts = np.zeros(n_slices * SLICE, shape.kind)
     for r in merged.toLocalIterator():
-        counts[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.cells, np.uint8)
+        counts[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.cells, shape.kind)
     return counts
