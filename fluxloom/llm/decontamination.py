@@ -131,6 +131,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no window of the benchmark. Rows are told apart by id and text."""
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
+    terms = common.written(window_terms(benchmark, n, "item_id", "text"), "benchmark-terms")
+    windows = terms.select("w1", "w2", "size", "k", F.xxhash64("term").alias("tid")).distinct()
+    hits = phrase_matches(postings(docs, terms.select("term").distinct(), id_col, text_col), windows)
+    bad = small(common.written(hits.select(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).distinct(), "contaminated"))
+    return docs.join(bad, (key[0] == F.col("_doc")) & (key[1] == F.col("_dig")), "left_anti")
+
+
 def op5_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

@@ -46,7 +46,7 @@ def signed(x: int) -> int:
 
 def profiles(slim: DataFrame, n: int) -> DataFrame:
     """(doc, dig, size, node, mins): node names the set; mins are its min-hashes (empty for an empty set)."""
-    salts = [np.uint64(s) * common.MIX for s in range(1, SEEDS + 1)]
+    salts = [np.uint64(s * int(common.MIX) & 0xFFFFFFFFFFFFFFFF) for s in range(1, SEEDS + 1)]
 
     def run(batches):
         word = common.WordHashes()
@@ -190,5 +190,18 @@ def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "d
     return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs, all columns, without the documents that links lead to a smaller id; of rows that share an id, one stays."""
+    parts = common.written(join_components(docs, n, pct, id_col, text_col).select(F.col(id_col).cast("long").alias("_id"), "component_id"), "components")
+    gone = parts.where(F.col("_id").isNotNull() & (F.col("_id") != F.col("component_id"))).select("_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    twice = parts.where(F.col("_id").isNotNull()).groupBy("_id").count().where("count > 1")
+    if twice.head(1):
+        named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        left = named.unionByName(left.where(F.col(id_col).isNull()))
+    return left
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(common.table(spark, sf_dir, "documents"))

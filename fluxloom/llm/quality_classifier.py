@@ -122,6 +122,18 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
     return common.keyed(docs, id_col, text_col).select("doc", "text").mapInArrow(run, "doc long, score double").withColumnRenamed("doc", id_col)
 
 
+def accepted(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores ranker.at or more. Map only."""
+    common.tuned(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([features(t) for t in common.texts(b, text_col)], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(ranker.scores(x) >= ranker.at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     ranker = fit(docs, common.table(spark, sf_dir, "labels"))

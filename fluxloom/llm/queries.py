@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, quality_classifier, quality_rules, token_files, warc
+from . import bpe, decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, suffix_dedup, token_files, warc, window_dedup
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_line_frequency_rules": quality_rules.op3_line_frequency_rules,
     "op4_warc_salvage": warc.op4_warc_salvage,
+    "op5_positional_index_decontamination": decontamination.op5_positional_index_decontamination,
     "op6_bpe_speculate_verify": bpe.op6_bpe_speculate_verify,
+    "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_bradley_terry_quality": quality_classifier.op8_bradley_terry_quality,
+    "op9_count_min_window_dedup": window_dedup.op9_count_min_window_dedup,
     "op10_simple8b_token_files": token_files.op10_simple8b_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}

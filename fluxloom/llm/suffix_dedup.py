@@ -293,5 +293,48 @@ def dedup(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str =
     return both.mapInArrow(lambda it: files.batches_of(rows(it), schema, 1024), f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}").withColumnsRenamed({"doc": id_col} | ({"kept": "kept_sha256"} if digests else {}))
 
 
+def clean_documents(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", hot: int = 20_000) -> DataFrame:
+    """docs, all columns, with repeated bytes cut from the text and count_col set to its characters.
+
+    A character cut in part goes whole. Documents of which no word is left are
+    dropped; those that had none stay.
+    """
+    common.tuned(docs.sparkSession)
+    spans = repeated_spans(common.keyed(docs, id_col, text_col), n, hot).select(F.col("doc").alias("_doc"), F.col("dig").alias("_dig"), F.col("spans").alias("_spans"))
+    mine = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    both = docs.join(spans, (mine == F.col("_doc")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_dig")), "left").drop("_doc", "_dig")
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            found = common.column(b, "_spans").to_pylist()
+            text, keep = common.column(b, text_col).to_pylist(), []
+            for i, (t, spans) in enumerate(zip(text, found, strict=True)):
+                if spans:
+                    raw = t.encode()
+                    mark = np.zeros(len(raw) + 1, np.int64)
+                    at = np.array([(x["lo"], x["hi"]) for x in spans])
+                    np.add.at(mark, at[:, 0], 1)
+                    np.add.at(mark, at[:, 1] + n, -1)
+                    text[i] = np.frombuffer(raw, np.uint8)[np.cumsum(mark[:-1]) == 0].tobytes().decode("utf-8", "ignore")
+                if not spans or text[i].split():
+                    keep.append(i)
+            cols = []
+            for name in names:
+                old = common.column(b, name)
+                cut = [i for i, s in enumerate(found) if s]
+                if name == text_col:
+                    old = pa.array(text, old.type)
+                elif name == count_col and cut:
+                    values = old.to_pylist()
+                    for i in cut:
+                        values[i] = len(text[i])
+                    old = pa.array(values, old.type)
+                cols.append(old)
+            yield pa.RecordBatch.from_arrays(cols, names).take(pa.array(keep, pa.int64()))
+
+    return both.select(*names, "_spans").mapInArrow(run, docs.schema)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents"), digests=True)
