@@ -1,15 +1,16 @@
 """License scans: exact phrases, and a fuzzy search for short notices.
 
-A notice of m characters found with at most k edits holds one of its k + 1 pieces
-unchanged (pigeonhole). One Aho-Corasick automaton finds all pieces of all notices
-in one pass; each hit says where the notice would stand; overlapping places are
-joined, and the regex library's bounded-error matching verifies them and reports
-span and edits. Both searches read the words of the whole text, lower-cased and
+A notice found with at most k edits holds at least two of its k + 2 pieces unchanged
+(pigeonhole). One Aho-Corasick automaton finds all pieces of all notices in one pass;
+each hit says where the notice would stand, give or take k. Where two different
+pieces agree, the regex library's bounded-error matching verifies the notice and
+reports span and edits. Both searches read the words of the whole text, lower-cased and
 joined by one space, so line breaks and punctuation in a notice do not count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -51,17 +52,18 @@ class Hit:
 
 
 class NoticeSearch:
-    """max_error: edits allowed for each character of a notice (rounded down, so the shortest take none)."""
+    """max_error: edits allowed for each character of a notice (rounded down), most_edits in all at most."""
 
-    def __init__(self, notices=NOTICES, max_error: float = 0.1):
+    def __init__(self, notices=NOTICES, max_error: float = 0.1, most_edits: int = 4):
         import ahocorasick
 
         self.notices, seeds = [], {}
         for n, (text, label) in enumerate(notices):
             text = text.encode()
-            k = int(len(text) * max_error)
-            self.notices.append((text, label, k, regex.compile(rb"(?b)(?:%s){e<=%d}" % (regex.escape(text), k)) if k else None))
-            cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
+            k = min(int(len(text) * max_error), most_edits)
+            self.notices.append((text, label, k, regex.compile(rb"(?e)(?:%s){e<=%d}" % (regex.escape(text), k)) if k else None))
+            pieces = k + 2 if k else 1
+            cuts = [len(text) * i // pieces for i in range(pieces + 1)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(text[a:b].decode("latin-1"), []).append((n, a))
         self.automaton = ahocorasick.Automaton()
@@ -69,23 +71,31 @@ class NoticeSearch:
             self.automaton.add_word(piece, (len(piece), owners))
         self.automaton.make_automaton()
 
+    def _agreed(self, found: list[tuple[int, int]], size: int, k: int, end: int) -> Iterator[tuple[int, int]]:
+        """Where the notice may stand: stretches around starts at which enough different pieces agree (two edits' paths differ by 2k at most)."""
+        spans = []
+        for i, (at, piece) in enumerate(found):
+            if k:
+                j = i + 1
+                while j < len(found) and found[j][0] - at <= 2 * k and found[j][1] == piece:
+                    j += 1
+                if j == len(found) or found[j][0] - at > 2 * k:
+                    continue
+                spans.append((max(0, at - 2 * k), min(end, at + size + 3 * k)))
+            else:
+                spans.append((max(0, at), min(end, at + size)))
+        return _joined(spans)
+
     def find(self, words: bytes) -> list[Hit]:
         """All matches that do not overlap one of the same notice; words are joined by one space, with one at each end."""
-        places: dict[int, list[list[int]]] = {}
+        seeds: dict[int, list[tuple[int, int]]] = {}
         for end, (size, owners) in self.automaton.iter(words.decode("latin-1")):
             for n, offset in owners:
-                text, _, k, _ = self.notices[n]
-                a = max(0, end + 1 - size - offset - k)
-                b = min(len(words), end + 1 - size - offset + len(text) + k)
-                own = places.setdefault(n, [])
-                if own and a <= own[-1][1]:
-                    own[-1][0], own[-1][1] = min(a, own[-1][0]), max(b, own[-1][1])
-                else:
-                    own.append([a, b])
+                seeds.setdefault(n, []).append((end + 1 - size - offset, offset))
         hits = []
-        for n, spans in places.items():
+        for n, found in seeds.items():
             text, label, k, pattern = self.notices[n]
-            for a, b in spans:
+            for a, b in self._agreed(sorted(found), len(text), k, len(words)):
                 if pattern is None:
                     at = words.find(text, a, b)
                     while at >= 0:
@@ -94,10 +104,23 @@ class NoticeSearch:
                 else:
                     for m in pattern.finditer(words, a, b):
                         hits.append(Hit(label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
-        # what ends or starts inside a word is no notice unless the edits explain it
+        # what starts or ends inside a word is no notice unless the edits explain it
         return sorted((h for h in hits if h.edits or _on_words(words, h)), key=lambda h: (h.start, h.end, h.label))
 
 
+def _joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    held = None
+    for a, b in spans:
+        if held and a <= held[1]:
+            held = held[0], max(b, held[1])
+        else:
+            if held:
+                yield held
+            held = a, b
+    if held:
+        yield held
+
+
 def _on_words(words: bytes, h: Hit) -> bool:
     return (h.start == 0 or words[h.start - 1] == 32) and (h.end == len(words) or words[h.end] == 32)
 
