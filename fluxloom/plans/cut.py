@@ -1,0 +1,16 @@
+"""Cutting lineage: what follows plans from stored rows, and a lost executor loses none of them."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df's rows, checkpointed in the folder that spark.checkpoint.dir names (one of our own only where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="fluxloom-"))
+    return df.checkpoint()

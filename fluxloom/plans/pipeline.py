@@ -1,4 +1,4 @@
-"""One call: source list, prior fit, other bands, calibration, catalog. Each stage is a DataFrame; nothing runs until the catalog is written, but for two cut points."""
+"""One call: source list, prior fit, other bands, calibration, catalog. Each stage is a DataFrame; stages that others join or repeat are cut from their lineage by checkpoints."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ..config import RunConfig
 from ..functions import sky, stats, units
 from ..operators import catalog, detect, fit, flags, inject, matching, models, render, solve
 from ..operators.tiles import weighted
+from .cut import cut
 
 
 @dataclass
@@ -47,11 +48,12 @@ class Result:
         """The wide catalog."""
         names = list(self.bands)
         out = catalog.wide_catalog(self.measurements, names).join(self.sources.select("id", "tile", "ra", "dec", "x", "y", "model", "is_star", F.col("re").alias("re_pix")), "id")
-        if with_flags:
+        if with_flags:  # flags join the catalog with itself: solve once
+            out = cut(out)
             b = self.bands[names[0]]
             f = out.withColumns({"flux": F.col(f"flux_{names[0].lower()}_ujy"), "re": F.coalesce("re_pix", F.lit(0.0)) * b.scale_arcsec})
             bad = b.weights().where("w <= 0").select("tile", "x", "y")
-            out = flags.source_flags(flags.blend_flags(f), bad, b.width, b.height).drop("flux", "re")
+            out = flags.source_flags(cut(flags.blend_flags(f)), bad, b.width, b.height).drop("flux", "re")
         return out
 
 
@@ -114,7 +116,7 @@ def tree_models(src: DataFrame, band: Band) -> tuple[DataFrame, DataFrame]:
     dets, segs = detect.detections(px), detect.segments(px)
     where = detect.assign_to_blobs(src, segs, dets).where("blob is not null").select("tile", "blob", "id", "x", "y", "re", "segment")
     near = px.join(segs, ["tile", "x", "y"]).select("tile", "blob", "x", "y", "d", "w", "segment")
-    chosen = fit.select_models(where, near, band.psf, band.scale_arcsec).persist()
+    chosen = cut(fit.select_models(where, near, band.psf, band.scale_arcsec))
     new = chosen.select("id", *[F.col(c).alias(f"_{c}") for c in ("model", "re", "ab", "pa", "n")])
     out = src.join(new, "id", "left")
     out = out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("model", "re", "ab", "pa", "n")}).drop(*[f"_{c}" for c in ("model", "re", "ab", "pa", "n")])
@@ -138,7 +140,7 @@ def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None
         for what in [w for w, on in (("shapes", cfg.prior["free_shapes"]), ("positions", cfg.prior["refine_positions"])) if on]:
             moved = fit.refit(src, prior.weights(), prior.psf, prior.scale_arcsec, what, cfg.prior["flux_floor_ujy"])
             src = src.drop("x", "y", "model", "re", "ab", "pa", "n", "flux").join(moved.select("id", "x", "y", "model", "re", "ab", "pa", "n", "flux"), "id")
-    src = src.persist()  # every band renders from it
+    src = cut(src)  # every band renders from it
     measured, outside = None, None
     for b in bands:
         own = src if b is prior else place(src.drop("x", "y"), b).withColumn("re", F.col("re") * prior.scale_arcsec / b.scale_arcsec)
@@ -155,6 +157,7 @@ def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None
             outside = lost.drop("is_neighbour") if outside is None else outside.unionByName(lost.drop("is_neighbour"))
         if calibrate and b.inflate == "empty":
             m = catalog.recalibrated(m, empty_factors(b, own))
+        m = cut(m)
         measured = m if measured is None else measured.unionByName(m)
     if outside is None:
         outside = measured.limit(0)
@@ -169,8 +172,8 @@ def injection_recovery(cfg: RunConfig, bands: list[Band], catalog_rows: DataFram
     for seed in seeds:
         truth = inject.truth_table(spark, n, b.width, b.height, {b.name: flux_range}, seed)
         p = sky.pixel_to_sky(F.col("x"), F.col("y"), sky.wcs(**b.wcs))
-        truth = truth.withColumns({"ra": p["ra"], "dec": p["dec"], "flux": F.col(f"flux_{b.name.lower()}")}).persist()
-        px = inject.inject(b.weights(), inject.rendered(truth, b.psf, b.width, b.height), truth.withColumn("flux", F.col("flux") / b.ujy_per_unit), "flux")
+        truth = cut(truth.withColumns({"ra": p["ra"], "dec": p["dec"], "flux": F.col(f"flux_{b.name.lower()}")}))
+        px = cut(inject.inject(b.weights(), inject.rendered(truth, b.psf, b.width, b.height), truth.withColumn("flux", F.col("flux") / b.ujy_per_unit), "flux"))
         rows = catalog.outer_union(catalog_rows, truth.select("id", "ra", "dec", "flux", F.lit(1.0).alias("point_like_prob")))
         got = run(cfg, [Band(**(b.__dict__ | {"pixels": px}))], rows)
         truths.append(truth.select("id", "flux"))
