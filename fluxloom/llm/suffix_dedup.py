@@ -158,7 +158,8 @@ def contexts(slim: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["gram", "doc", "dig", "at"])
 
     grams = slim.mapInArrow(anchor_rows, "gram long, doc long, dig long, at int")
-    twice = grams.groupBy("gram").count().where("count > 1").select("gram")
+    # written, so that the join has two shuffles of its own and a frequent gram's rows can be split
+    twice = common.written(grams.groupBy("gram").count().where("count > 1").select("gram"), "repeated-grams")
     lists = grams.join(twice, "gram").groupBy("doc", "dig").agg(F.array_distinct(F.collect_list("at")).alias("at"))
     mine = F.coalesce(F.col("a.doc"), F.lit(NULL_ID))
     both = slim.alias("a").join(lists.alias("b"), (mine == F.col("b.doc")) & (F.col("a.dig") == F.col("b.dig"))).select("b.doc", "b.dig", "a.text", "b.at")
@@ -192,8 +193,8 @@ def bucket_rows(batches, n: int, most: int = 30_000):
 
     def solved(t: pa.Table):
         runs = repeated_offsets(t.column("left").to_pylist(), t.column("right").to_pylist(), t.column("n").to_numpy(), n)
-        keep = [i for i, r in enumerate(runs) if r]
-        return pa.RecordBatch.from_arrays([t.column("c1").take(keep).combine_chunks(), t.column("c2").take(keep).combine_chunks(), pa.array([[{"lo": a, "hi": z} for a, z in runs[i]] for i in keep], _RUNS)], schema=schema)
+        keep = pa.array([i for i, r in enumerate(runs) if r], pa.int64())
+        return pa.RecordBatch.from_arrays([t.column("c1").take(keep).combine_chunks(), t.column("c2").take(keep).combine_chunks(), pa.array([[{"lo": a, "hi": z} for a, z in runs[i]] for i in keep.to_pylist()], _RUNS)], schema=schema)
 
     held: list[pa.RecordBatch] = []
     size = 0
