@@ -2,9 +2,9 @@
 
 Pass 1 merges the tasks' count-min sketches. A window counts by one 10-word gram of
 it, chosen by the window's own words (the least hash), so equal windows count under
-the same gram, and runs of windows with one gram at one place count once; a gram's
-estimate is never below the places of any of its windows. Pass 2 emits only windows estimated to stand twice or more, and groups them
-exactly by 128 bits of their words: the smallest id of each window, combined before
+the same gram, once for each document; a gram's estimate is never below the
+documents that hold any of its windows. Pass 2 emits only windows estimated to stand twice or more, and groups them
+exactly by 96 bits of their words: the smallest id of each window, combined before
 the shuffle, is joined back. A sketch that fills up lets more windows through and
 loses none.
 """
@@ -31,6 +31,29 @@ def grams(words_hashed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g[at], np.diff(first, append=max(len(words_hashed) - n + 1, 0))
 
 
+BASE = 0x9E3779B97F4A7C15
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverses modulo 2**64, up to n at least."""
+    size = 1 << max(12, int(n).bit_length())
+    if size not in _powers:
+        with np.errstate(over="ignore"):
+            up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            _powers[size] = np.cumprod(up), np.cumprod(down)
+    return _powers[size]
+
+
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """32 bits of each n-word window by a polynomial over the mixed word hashes, apart from common.windows()."""
+    with np.errstate(over="ignore"):
+        up, down = powers(len(h))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mixed(h + np.uint64(99)) * up[: len(h)])])
+        return (common.mixed((total[n:] - total[:-n]) * down[: len(h) - n + 1]) >> np.uint64(32)).astype(np.uint32)
+
+
 def repeated_windows(slim: DataFrame, n: int, shape: CountMin) -> DataFrame:
     """(doc, dig, starts) of windows that also start in a document with a smaller id; a null id is the smallest."""
     spark = slim.sparkSession
@@ -42,7 +65,7 @@ def repeated_windows(slim: DataFrame, n: int, shape: CountMin) -> DataFrame:
             for t in common.texts(b):
                 w = t.split()
                 if len(w) >= n:
-                    out.append(grams(word.of(w), n)[0])
+                    out.append(np.unique(grams(word.of(w), n)[0]))  # once for each document
             if out:
                 yield np.concatenate(out)
 
@@ -61,12 +84,13 @@ def repeated_windows(slim: DataFrame, n: int, shape: CountMin) -> DataFrame:
                 start = np.flatnonzero(np.repeat(shape.estimate(counts.value, g) >= 2, stands_for))
                 if len(start):
                     least = -(1 << 63) if doc is None else doc
-                    out.append((np.full(len(start), least), np.full(len(start), dig), start, common.windows(h, n, 1)[start], common.windows(h, n, 2)[start]))
-            cells = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()), pa.array(cells[2].astype(np.int32)), pa.array(cells[3].view(np.int64)), pa.array(cells[4].view(np.int64))], ["doc", "dig", "start", "w1", "w2"])
+                    out.append((np.full(len(start), least), np.full(len(start), dig), start, common.windows(h, n)[start], rolling(h, n)[start]))
+            cells = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint32)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()), pa.array(cells[2].astype(np.int32)), pa.array(cells[3].view(np.int64)), pa.array(cells[4].view(np.int32))], ["doc", "dig", "start", "w1", "w2"])
 
-    rows = slim.mapInArrow(emit, "doc long, dig long, start int, w1 long, w2 long")
-    first = rows.groupBy("w1", "w2").agg(F.min("doc").alias("first"))
+    rows = slim.mapInArrow(emit, "doc long, dig long, start int, w1 long, w2 int")
+    # written, so that the join has two shuffles of its own and a frequent window's rows can be split
+    first = common.written(rows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "windows")
     return rows.join(first, ["w1", "w2"]).where("first < doc").groupBy("doc", "dig").agg(F.collect_list("start").alias("starts"))
 
 
