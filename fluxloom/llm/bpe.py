@@ -44,35 +44,115 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class SpeculativeBpe:
-    """Encodes and decodes as the tokenizers library does with the same file (BPE with an end-of-word suffix, byte-level alphabet)."""
+class PieceEncoder:
+    """Texts to ids by way of pieces and words, both remembered up to a bound; encode_words() is the subclass's.
+
+    Special tokens in a text are themselves, as in the library.
+    """
 
-    def __init__(self, path: str, most_cached: int = 700_000):
+    def __init__(self, path: str, most_cached: int = 500_000):
         from tokenizers import Tokenizer
 
-        lib = Tokenizer.from_file(path)
-        lib.no_truncation()
-        lib.no_padding()
-        self.norm, self.split = lib.normalizer, lib.pre_tokenizer
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.norm, self.split = self.lib.normalizer, self.lib.pre_tokenizer
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+            self.spec = json.load(f)
+        self.special = {a["content"].encode(): a["id"] for a in self.spec["added_tokens"]}
+        self.chars = byte_characters()
+        self.cache: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.most = most_cached
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """ids of each word (byte-level characters, END at its end)."""
+        raise NotImplementedError
+
+    # -- pieces and texts --------------------------------------------------------------
+    def _learn(self, pieces: list[bytes]) -> None:
+        plan, new, known, chars = [], {}, self.words, self.chars
+        for p in pieces:
+            text = p.decode()
+            if m := SIMPLE(text):
+                letters, signs = m.groups()
+                segments = [w.lower().encode().decode("latin-1").translate(chars) + END for w in (letters, signs) if w]
+            else:
+                segments = []
+                for part in self._between_specials(p):
+                    segments += [part] if isinstance(part, int) else [w + END for w, _ in self.split.pre_tokenize_str(self.norm.normalize_str(part))]
+            for w in segments:
+                if w not in known and not isinstance(w, int):
+                    new[w] = None
+            plan.append(segments)
+        fresh = list(new)
+        got = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(fresh, self.encode_words(fresh), strict=True)}
+        for p, segments in zip(pieces, plan, strict=True):
+            self.cache[p] = b"".join(s.to_bytes(4, "little") if isinstance(s, int) else got.get(s) or known[s] for s in segments)
+        if len(known) + len(got) > self.most:
+            known.clear()
+        if len(got) <= self.most:
+            known.update(got)
+
+    def _between_specials(self, piece: bytes) -> Iterator[str | int]:
+        if b"<|" not in piece:
+            yield piece.decode()
+            return
+        at = 0
+        while at < len(piece):
+            found = min(((k, -len(s), s) for s in self.special if (k := piece.find(s, at)) >= 0), default=None)
+            if not found:
+                break
+            if found[0] > at:
+                yield piece[at : found[0]].decode()
+            yield self.special[found[2]]
+            at = found[0] + len(found[2])
+        if at < len(piece):
+            yield piece[at:].decode()
+
+    def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
+        """ids of each text as little-endian unsigned 32-bit integers."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < 2 << 20):
+                size += len(texts[j])
+                j += 1
+            split = [t.split() for t in texts[i:j]]
+            if len(self.cache) > self.most:
+                self.cache.clear()
+            if new := list({p for s in split for p in s if p not in self.cache}):
+                self._learn(new)
+            for s in split:
+                yield b"".join(map(self.cache.__getitem__, s))
+            i = j
+
+
+class LibraryBpe(PieceEncoder):
+    """Words go to the library's own model."""
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        tokenize = self.lib.model.tokenize
+        return [[t.id for t in tokenize(w[:-1])] for w in words]
+
+
+class SpeculativeBpe(PieceEncoder):
+    """Encodes and decodes as the tokenizers library does with the same file (BPE with an end-of-word suffix, byte-level alphabet)."""
+
+    def __init__(self, path: str, most_cached: int = 200_000):
+        super().__init__(path, most_cached)
+        model = self.spec["model"]
         suffix = model["end_of_word_suffix"] or ""
         cut = lambda t: t[: -len(suffix)] + END if suffix and t.endswith(suffix) else t
         self.ids = {cut(t): i for t, i in model["vocab"].items()}
-        self.strings = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        self.strings = {i: t for t, i in model["vocab"].items()} | {a["id"]: a["content"] for a in self.spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(self.ids[cut(a)], self.ids[cut(b)]): (r, self.ids[cut(a + b)]) for r, (a, b) in enumerate(pairs)}
         self.prefixes = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
-        self.special = {a["content"].encode(): a["id"] for a in spec["added_tokens"]}
-        self.chars = byte_characters()
-        self.cache: dict[bytes, bytes] = {}
-        self.most = most_cached
         self.alone: dict[int, bool] = {}  # token -> it comes out of its own characters
         self.tried = np.empty(0, np.int64)  # pairs a * 2**32 + b, sorted
         self.fits = np.empty(0, bool)
-        self.words: dict[str, bytes] = {}
         self.exact_words = self.proposed_words = 0
 
     # -- exact merging ---------------------------------------------------------------
@@ -152,7 +232,7 @@ class SpeculativeBpe:
         if not known.all():
             new = seen[~known]
             ok = np.fromiter((self.merged(self.tokens[int(c >> 32)] + self.tokens[int(c & 0xFFFFFFFF)]) == [c >> 32, c & 0xFFFFFFFF] for c in new), bool, len(new))
-            if len(self.tried) > 4_000_000:
+            if len(self.tried) > 1_000_000:
                 self.tried, self.fits = np.empty(0, np.int64), np.empty(0, bool)
                 return self.compatible(a, b)
             tried, fits = np.concatenate([self.tried, new]), np.concatenate([self.fits, ok])
@@ -178,76 +258,19 @@ class SpeculativeBpe:
             guess[k] = self.merged(words[k])
         return guess
 
-    # -- pieces and texts --------------------------------------------------------------
-    def _learn(self, pieces: list[bytes]) -> None:
-        plan, new, known, chars = [], {}, self.words, self.chars
-        for p in pieces:
-            text = p.decode()
-            if m := SIMPLE(text):
-                letters, signs = m.groups()
-                segments = [w.lower().encode().decode("latin-1").translate(chars) + END for w in (letters, signs) if w]
-            else:
-                segments = []
-                for part in self._between_specials(p):
-                    segments += [part] if isinstance(part, int) else [w + END for w, _ in self.split.pre_tokenize_str(self.norm.normalize_str(part))]
-            for w in segments:
-                if w not in known and not isinstance(w, int):
-                    new[w] = None
-            plan.append(segments)
-        fresh = list(new)
-        got = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(fresh, self.encode_words(fresh), strict=True)}
-        for p, segments in zip(pieces, plan, strict=True):
-            self.cache[p] = b"".join(s.to_bytes(4, "little") if isinstance(s, int) else got.get(s) or known[s] for s in segments)
-        if len(known) + len(got) > self.most:
-            known.clear()
-        if len(got) <= self.most:
-            known.update(got)
-
-    def _between_specials(self, piece: bytes) -> Iterator[str | int]:
-        if b"<|" not in piece:
-            yield piece.decode()
-            return
-        at = 0
-        while at < len(piece):
-            found = min(((k, -len(s), s) for s in self.special if (k := piece.find(s, at)) >= 0), default=None)
-            if not found:
-                break
-            if found[0] > at:
-                yield piece[at : found[0]].decode()
-            yield self.special[found[2]]
-            at = found[0] + len(found[2])
-        if at < len(piece):
-            yield piece[at:].decode()
-
-    def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        """ids of each text as little-endian unsigned 32-bit integers."""
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size < 4 << 20):
-                size += len(texts[j])
-                j += 1
-            split = [t.split() for t in texts[i:j]]
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            if new := list({p for s in split for p in s if p not in self.cache}):
-                self._learn(new)
-            for s in split:
-                yield b"".join(map(self.cache.__getitem__, s))
-            i = j
-
     def decode(self, ids: bytes) -> str:
         """Token strings joined by one space: the file names no decoder."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[str, SpeculativeBpe] = {}
+_loaded: dict[tuple[type, str], PieceEncoder] = {}
 
 
-def loaded(path: str) -> SpeculativeBpe:
-    if path not in _loaded:
-        _loaded[path] = SpeculativeBpe(path)
-    return _loaded[path]
+def loaded(path: str, kind: type[PieceEncoder] = SpeculativeBpe) -> PieceEncoder:
+    """A worker's encoder for the file, kept between tasks."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = True, digests: bool = False) -> DataFrame:

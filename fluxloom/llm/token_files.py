@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common, files, simple8b
-from .bpe import vocabulary_path
+from .bpe import LibraryBpe, loaded, vocabulary_path
 
 MAGIC, BLOCK = b"FLX8B\x00\x00\x01", 1 << 16
 
@@ -104,38 +104,6 @@ class ShardReader:
             yield (None if null else doc), start, held[start - first : start - first + n]
 
 
-_encoders: dict[str, tuple] = {}
-
-
-def library_ids(path: str, texts: list[bytes], most_cached: int = 700_000) -> Iterator[bytes]:
-    """The tokenizers library's ids of each text. Pieces between ASCII white space, which its normaliser and pre-tokeniser don't look across, go to it once and are then kept."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        lib = Tokenizer.from_file(path)
-        lib.no_truncation()
-        lib.no_padding()
-        _encoders[path] = lib, {}
-    lib, cache = _encoders[path]
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size < 4 << 20):
-            size += len(texts[j])
-            j += 1
-        split = [t.split() for t in texts[i:j]]
-        if len(cache) > most_cached:
-            cache.clear()
-        new = list({p for s in split for p in s if p not in cache})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for p, e in zip(part, lib.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        for s in split:
-            yield b"".join(map(cache.__getitem__, s))
-        i = j
-
-
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode docs into files in ascending order of id (then of a hash of the text); return the manifest (shard, file, n_docs, n_ids), written once.
 
@@ -151,15 +119,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches):
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard = TaskContext.get().partitionId()
         writer = None
         for b in batches:
-            ids = library_ids(path, common.texts(b))
+            ids = loaded(path, LibraryBpe).encode_batch(common.texts(b))
             for doc, i in zip(common.column(b, "doc").to_pylist(), ids, strict=True):
                 if writer is None:
                     out = files.FileOut(folder, f"ids-{shard:06d}", ".fx8")
