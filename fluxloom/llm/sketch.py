@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from .common import MIX, mixed
 
 SLICE = 1 << 18
+#: Sketches of so many cells are counted in place by each task; larger ones by sorting what it touched.
+DENSE_CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -48,11 +50,19 @@ def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator
     spark = docs.sparkSession
     out_schema = pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
+    dense = shape.size <= DENSE_CELLS
+
     def partial(batches):
         held, n = [], 0
+        whole = np.zeros(shape.size if dense else 0, np.int64)
 
         def flush():
-            cells, counts = np.unique(np.concatenate(held), return_counts=True)
+            if dense:
+                cells = np.flatnonzero(whole)
+                counts = whole[cells]
+                whole[:] = 0
+            else:
+                cells, counts = np.unique(np.concatenate(held), return_counts=True)
             counts = np.minimum(counts, min(shape.most, 255)).astype(np.uint8)
             cut = np.searchsorted(cells, np.arange(0, shape.size + SLICE, SLICE))
             rows = [(k, cells[a:b], counts[a:b]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
@@ -68,9 +78,13 @@ def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator
 
         with np.errstate(over="ignore"):
             for h in hashes(batches):
-                held += shape.cells(h)
+                if dense:
+                    for c in shape.cells(h):
+                        np.add(whole, np.bincount(c, minlength=len(whole)), out=whole)
+                else:
+                    held += shape.cells(h)
                 n += len(h)
-                if n > 4_000_000:
+                if n > (4_000_000 if dense else 500_000):
                     yield flush()
                     held, n = [], 0
         if n:
