@@ -4,8 +4,9 @@ Documents with equal sets are one row of the matrix. Columns (n-grams) are order
 by frequency class, rare first, then by hash; frequencies are those of a merged
 count sketch, and any order gives the same result. A pair that reaches the threshold
 shares a column among the first n - ceil(t n) + 1 of each row (n: the row's size),
-so only those entries, the prefix blocks, are multiplied; pairs whose sizes cannot
-reach it are discarded; what is left is multiplied in full.
+and each longer prefix adds one; so only those entries, the prefix blocks, are
+multiplied. Overlap counts are accumulated over the blocks, and pairs are discarded
+whose sizes or counts lie below these bounds; what is left is multiplied in full.
 
 Only links that join components matter, so the product is taken in two steps:
  1. rows meet the least row of each of a few min-hash blocks (a star, not all
@@ -44,23 +45,47 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def profiles(slim: DataFrame, n: int) -> DataFrame:
-    """(doc, dig, size, node, mins): node names the set; mins are its min-hashes (empty for an empty set)."""
+def profiles(slim: DataFrame, n: int, pct: int) -> DataFrame:
+    """(doc, dig, size, node, mins, prefix): node names the set; mins are its min-hashes and prefix its rarest columns (empty for an empty set)."""
     salts = [np.uint64(s * int(common.MIX) & 0xFFFFFFFFFFFFFFFF) for s in range(1, SEEDS + 1)]
 
+    def hashes(batches):
+        word = common.WordHashes()
+        for b in batches:
+            sets = [shingles(t, n, word) for t in common.texts(b)]
+            if sets:
+                yield np.concatenate(sets)
+
+    counts = build(slim.select("text"), hashes, FREQUENCY)
+    sent = slim.sparkSession.sparkContext.broadcast(counts)
+    level = max(float(counts.mean()), 1.0)
+
     def run(batches):
         word = common.WordHashes()
         for b in batches:
-            sizes, nodes, mins = [], [], []
+            sizes, nodes, mins, prefix = [], [], [], []
             with np.errstate(over="ignore"):
                 for t in common.texts(b):
                     s = shingles(t, n, word)
                     sizes.append(len(s))
-                    nodes.append(signed(xxhash.xxh3_64_intdigest(s.tobytes())) if len(s) else None)
-                    mins.append([signed(int(common.mixed(s ^ k).min())) for k in salts] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "dig"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], ["doc", "dig", "size", "node", "mins"])
+                    if not len(s):
+                        nodes.append(None)
+                        mins.append(np.empty(0, np.int64))
+                        prefix.append(np.empty(0, np.int64))
+                        continue
+                    nodes.append(signed(xxhash.xxh3_64_intdigest(s.tobytes())))
+                    mins.append(np.array([common.mixed(s ^ k).min() for k in salts], np.uint64).view(np.int64))
+                    take = len(s) - (pct * len(s) + 99) // 100 + shared_least(len(s))
+                    kind = (4 * np.log2(np.maximum(FREQUENCY.estimate(sent.value, s) / level, 1))).astype(np.int8)  # 0: rare
+                    prefix.append((s[np.argsort(kind, kind="stable")[:take]] if kind.any() else s[:take]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "dig"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists(mins), lists(prefix)], ["doc", "dig", "size", "node", "mins", "prefix"])
+
+    return slim.mapInArrow(run, "doc long, dig long, size long, node long, mins array<long>, prefix array<long>")
+
 
-    return slim.mapInArrow(run, "doc long, dig long, size long, node long, mins array<long>")
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
 def node_sets(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -81,7 +106,7 @@ def node_sets(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> Da
             sets = [shingles(t, n, word).tobytes() for t in common.texts(b.take(pa.array(hit)))]
             yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(sets, pa.binary())], ["row", "set"])
 
-    return slim.withColumn("row", row_key()).select("row", "text").mapInArrow(run, "row long, set binary").join(wanted, "row").dropDuplicates(["node"]).select("node", "set")
+    return slim.withColumn("row", row_key()).select("row", "text").mapInArrow(run, "row long, set binary").join(wanted, "row").dropDuplicates(["row"]).select("node", "set")
 
 
 def row_key():
@@ -107,6 +132,11 @@ def linked(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, pct: int
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def shared_least(n):
+    """Columns that a prefix is longer by, and so must share: a pair that reaches the threshold has that many in common among its prefixes (the less of the two counts)."""
+    return 1 + n // 10
+
+
 def size_bound(pct: int):
     return (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
 
@@ -114,44 +144,17 @@ def size_bound(pct: int):
 def star_pairs(nodes: DataFrame, pct: int) -> DataFrame:
     blocks = nodes.select("node", "size", F.posexplode("mins").alias("k", "v")).select("node", "size", F.xxhash64("k", "v").alias("block"))
     hub = blocks.groupBy("block").agg(F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("na"))).alias("hub"), F.count("*").alias("m")).where("m > 1").select("block", "hub.*")
-    return blocks.select("block", F.col("node").alias("b"), F.col("size").alias("nb")).join(hub, "block").where(size_bound(pct)).select("a", "b").distinct()
-
-
-def prefix_entries(slim: DataFrame, nodes: DataFrame, n: int, pct: int) -> DataFrame:
-    """(token, node, size) of each node's prefix columns."""
-
-    def hashes(batches):
-        word = common.WordHashes()
-        for b in batches:
-            sets = [shingles(t, n, word) for t in common.texts(b)]
-            if sets:
-                yield np.concatenate(sets)
-
-    counts = build(slim.select("text"), hashes, FREQUENCY)
-    sent = slim.sparkSession.sparkContext.broadcast(counts)
-    level = 2 * float(counts.mean()) + 32
-
-    def run(batches):
-        word = common.WordHashes()
-        for b in batches:
-            tokens, owners, sizes = [], [], []
-            for t in common.texts(b):
-                s = shingles(t, n, word)
-                take = len(s) - (pct * len(s) + 99) // 100 + 1 if len(s) else 0
-                kind = np.log2(1 + FREQUENCY.estimate(sent.value, s) / level).astype(np.int8)  # 0: rare
-                tokens.append(s[np.argsort(kind, kind="stable")[:take]])
-                owners.append(np.full(take, signed(xxhash.xxh3_64_intdigest(s.tobytes()))))
-                sizes.append(np.full(take, len(s), np.int32))
-            cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(tokens, np.uint64).view(np.int64)), pa.array(cat(owners, np.int64)), pa.array(cat(sizes, np.int32))], ["token", "node", "size"])
-
-    return slim.select("text").mapInArrow(run, "token long, node long, size int")
+    found = blocks.select("block", F.col("node").alias("b"), F.col("size").alias("nb")).join(hub, "block").where(size_bound(pct)).select("a", "b").distinct()
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("mins").alias(f"m{k}"))
+    agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    # pairs that agree too little are left to the second step, which misses none
+    return found.join(of("a"), "a").join(of("b"), "b").where(agree >= SEEDS // 2).select("a", "b")
 
 
 def cross_pairs(entries: DataFrame, parts: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a prefix column and fit in size."""
-    # equal sets give equal entries: a node counts once in a column
+    """Pairs (a, b) of nodes of different components that share a prefix column and fit in size. entries: token, node, size."""
     shared = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    # rows of equal sets give equal entries: one of each counts
     e = entries.join(shared, "token").distinct().join(parts, "node", "left").withColumn("part", F.coalesce("least", "node")).select("token", "node", "size", "part")
     e = common.written(e, "prefix")
     mixed = e.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
@@ -160,7 +163,8 @@ def cross_pairs(entries: DataFrame, parts: DataFrame, pct: int) -> DataFrame:
     meet = groups.select("token", F.col("part").alias("p")).join(groups.select("token", F.col("part").alias("q")), "token").where("p < q")
     left = e.select("token", F.col("part").alias("p"), F.col("node").alias("a"), F.col("size").alias("na"))
     right = e.select("token", F.col("part").alias("q"), F.col("node").alias("b"), F.col("size").alias("nb"))
-    return meet.join(left, ["token", "p"]).join(right, ["token", "q"]).where(size_bound(pct)).select("a", "b").distinct()
+    counted = meet.join(left, ["token", "p"]).join(right, ["token", "q"]).where(size_bound(pct)).groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.min("na"), F.min("nb")).alias("n"))
+    return counted.where(F.col("c") >= 1 + F.floor(F.col("n") / 10)).select("a", "b")
 
 
 def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,12 +178,13 @@ def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "d
     """
     common.tuned(docs.sparkSession)
     slim = common.keyed(docs, id_col, text_col)
-    rows = common.written(profiles(slim, n), "profiles")
-    nodes = rows.where("size > 0").withColumn("row", row_key()).groupBy("node").agg(F.min("doc").alias("doc"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("mins").alias("mins"))
-    nodes = common.written(nodes, "nodes")
+    rows = common.written(profiles(slim, n, pct), "profiles")
+    filled = rows.where("size > 0")
+    nodes = common.written(filled.groupBy("node").agg(F.min("doc").alias("doc"), F.min(row_key()).alias("row"), F.max("size").alias("size"), F.first("mins").alias("mins")), "nodes")
+    entries = filled.select("node", "size", F.explode("prefix").alias("token"))
     links = common.written(linked(slim, nodes, common.written(star_pairs(nodes, pct), "pairs"), n, pct), "links")
     parts = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-    pairs = common.written(cross_pairs(prefix_entries(slim, nodes, n, pct), parts, pct), "pairs")
+    pairs = common.written(cross_pairs(entries, parts, pct), "pairs")
     more = common.written(linked(slim, nodes, pairs, n, pct), "links")
     if more.head(1):
         parts = common.written(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
