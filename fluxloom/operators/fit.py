@@ -216,12 +216,13 @@ def select_models(members: DataFrame, pixels: DataFrame, psf: np.ndarray, scale:
         d, w, seg = np.zeros(shape), np.zeros(shape), np.zeros(shape, int)
         at = (right.y.to_numpy() - y0, right.x.to_numpy() - x0)
         d[at], w[at], seg[at] = right.d, right.w, right.segment
-        src = [Source(int(r.id), r.x - x0, r.y - y0, re=float(r.re or 1.0)) for r in left.sort_values("id").itertuples()]
+        src = [Source(int(r.id), r.x - x0, r.y - y0, re=float(r.re) if r.re == r.re and r.re else 1.0) for r in left.sort_values("id").itertuples()]
         own = {int(r.id): seg == r.segment if r.segment and (seg == r.segment).any() else np.ones(shape, bool) for r in left.itertuples()}
         got, trials = tree(d, w, src, own, psf, scale, **settings)
         rows = [(s.id, int(key[0]), int(key[1]), s.model, s.re, s.ab, s.pa, s.n, s.frac, s.flux, [(st, m, c) for i, st, m, c in trials if i == s.id]) for s in got]
         return pd.DataFrame(rows, columns=["id", "tile", "blob", "model", "re", "ab", "pa", "n", "frac", "flux", "trials"])
 
+    pixels = pixels.toDF(*pixels.columns)  # both sides may come from one table
     return members.groupBy("tile", "blob").cogroup(pixels.groupBy("tile", "blob")).applyInPandas(run, out)
 
 
@@ -259,6 +260,7 @@ def refit(sources: DataFrame, pixels: DataFrame, psf: np.ndarray, scale: float,
         out, _ = fit(d, wt, [old[s.id] if s.id in back else s for s in out], psf, {}, b, 0)
         return pd.DataFrame([(key[0], s.id, s.x, s.y, s.model, s.re, s.ab, s.pa, s.n, s.flux, s.id in free and s.id not in back) for s in out], columns=cols)
 
+    pixels = pixels.toDF(*pixels.columns)  # both sides may come from one table
     return sources.groupBy("tile").cogroup(pixels.groupBy("tile")).applyInPandas(run, f"tile {kind}, id long, x double, y double, model string, re double, ab double, pa double, n double, flux double, moved boolean")
 
 

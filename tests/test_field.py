@@ -74,7 +74,8 @@ def test_detection_finds_and_deblends(spark):
     dets = detect.detections(px, kernel=PSF, threshold=4.0)
     some = detect.assign_to_blobs(src.where("id in (1, 3)"), segs, dets)
     extra = detect.unlisted(dets, some, segs, px, px.limit(0)).toPandas()
-    assert len(extra) == 1 and math.hypot(extra.x[0] - POINTS[1].x, extra.y[0] - POINTS[1].y) < 1
+    assert len(extra) == 2  # the second point, and the galaxy whose light reaches the blob
+    assert all(np.hypot(extra.x - s.x, extra.y - s.y).min() < 1 for s in (POINTS[1], GALAXY))
 
 
 def test_tree_tells_points_from_galaxies():
@@ -165,7 +166,7 @@ def test_registration(spark):
 def test_psf_tools(spark):
     g = render.resized(render.gaussian_psf(4.0), 41)
     assert abs(psf.resampled(g, 0.5, 61).sum() - 1) < 0.02 and abs(psf.integrated(g, 2.0, 21).sum() - 1) < 0.02
-    assert np.abs(psf.rotated(g, 33) - g).max() < 2e-3 and psf.odd_trimmed(np.ones((4, 5))).shape == (3, 5)
+    assert np.abs(psf.rotated(g, 33) - g).max() < 5e-3 and psf.odd_trimmed(np.ones((4, 5))).shape == (3, 5)
     assert psf.comparison_score([g], g, 6) < 1e-9 < psf.comparison_score([render.resized(render.gaussian_psf(3.0), 41)], g, 6)
     stars = [(float(x), float(y), g) for x in (10, 50, 90) for y in (10, 50, 90)]
     assert psf.assess(stars, g, 100, 100)["verdict"] == "supplied" and psf.assess(stars[:3], g, 100, 100)["verdict"] == "unverified"
