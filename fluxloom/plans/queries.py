@@ -233,7 +233,7 @@ def brightest_first(s, d):
 def image_products(s, d):
     kinds = F.array(*[F.lit(x) for x in ("BGSUB-MOSAIC", "RMS", "GRID-PSF", "CATALOG-PSF", "FLAG", "BGMOD")])
     ra, dec = _scatter("p_partkey")
-    p = table(s, d, "part").select("p_partkey", F.concat(F.lit("B"), F.col("p_size") % 4).alias("band"), F.format_string("EUC_MER_%s_TILE%09d.fits", F.get(kinds, F.col("p_partkey") % 6), F.col("p_partkey")).alias("fname"), ra.alias("s_ra"), dec.alias("s_dec"), F.lit('{"aws":{"bucket_name":"b","key":"k"}}').alias("access"))
+    p = table(s, d, "part").select("p_partkey", F.concat(F.lit("B"), F.col("p_size") % 4).alias("band"), F.format_string("IMG_%s_TILE%09d.fits", F.get(kinds, F.col("p_partkey") % 6), F.col("p_partkey")).alias("fname"), ra.alias("s_ra"), dec.alias("s_dec"), F.lit('{"aws":{"bucket_name":"b","key":"k"}}').alias("access"))
     found = tiles.discovered(p, 269.5, 67.3, 1.0).withColumn("sep", r("sep"))
     n = found.groupBy("band", "ptype").agg(F.count("*").alias("n"))
     return tiles.closest_product(found, ["band", "ptype"]).select("band", "ptype", F.col("p_partkey").alias("nearest")).join(n, ["band", "ptype"])

@@ -14,7 +14,7 @@ from ..operators.tiles import standard_columns
 MOST_ROWS = 200_000  # the archive's own limit on one query
 
 
-def mer_catalog(catalogue: DataFrame, morphology: DataFrame, ra: float, dec: float, half_deg: float, brightness_cut_ujy: float = 0.0, require_band: str | None = None, most: int | None = MOST_ROWS) -> DataFrame:
+def source_catalog(catalogue: DataFrame, morphology: DataFrame, ra: float, dec: float, half_deg: float, brightness_cut_ujy: float = 0.0, require_band: str | None = None, most: int | None = MOST_ROWS) -> DataFrame:
     """Left join on object_id, circle and box, flux cut, brightest first, is_star. `most` is the query's own cap, as at the archive; None for none."""
     inside = sky.in_circle(F.col("ra"), F.col("dec"), ra, dec, half_deg * 3600) & sky.box(F.col("ra"), F.col("dec"), ra, dec, half_deg)
     c = catalogue.where(inside & (F.col("flux_vis_psf") > brightness_cut_ujy))
