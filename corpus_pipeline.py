@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by 85 % equal 4-word shingles, keep that with the smallest id."""
-    return jaccard_join.one_of_each(docs)
+    """Of documents joined by 80 % equal 5-word shingles, keep that with the smallest id."""
+    return jaccard_join.one_of_each(docs, n=5, pct=80)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,22 @@ def test_decisions_take_effect(spark, kept):
 def test_run_is_the_stages(spark, kept):
     key = lambda df: sorted((r.doc_id, r.n_tokens, bytes(r.ids)) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(kept[-1])
+
+
+def test_near_duplicates_are_five_words_and_80_percent(spark):
+    from tests.llm.test_operators import brute_components
+
+    word = lambda k: "w" + "".join(chr(97 + int(c)) for c in str(k))
+    base = [[word(1000 * d + k) for k in range(400)] for d in range(4)]
+    more = [word(9000 + k) for k in range(95)]
+    texts = [*base, base[0] + more[:75], base[1] + more, base[2][:180] + more[:38] + base[2][218:], base[3] + more + more[::-1][:20]]  # 0.841, 0.807, 0.808 and below 0.8
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
+    assert got == sorted(i for i, n, c in brute_components(rows, 5, 80) if i == c) == [0, 1, 2, 3, 7]
+
+
+def test_near_duplicates_of_the_tables_are_five_words_and_80_percent(kept):
+    from tests.llm.test_operators import brute_components
+
+    rows = [(r.doc_id, r.text) for r in kept[1].collect()]
+    assert sorted(r.doc_id for r in kept[2].collect()) == sorted(i for i, n, c in brute_components(rows, 5, 80) if i == c or n == 0)
