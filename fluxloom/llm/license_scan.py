@@ -3,8 +3,9 @@
 A notice found with at most k edits holds at least two of its k + 2 pieces unchanged
 (pigeonhole). One Aho-Corasick automaton finds all pieces of all notices in one pass;
 each hit says where the notice would stand, give or take k. Where two different
-pieces agree, the regex library's bounded-error matching verifies the notice and
-reports span and edits. Both searches read the words of the whole text, lower-cased and
+pieces agree, the least number of edits is counted for every end (bit-parallel, exact);
+at an end with k or fewer, the regex library's matching, bounded by that least number
+and the few characters it can reach, verifies the notice and reports its span. Both searches read the words of the whole text, lower-cased and
 joined by one space, so line breaks and punctuation in a notice do not count.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -52,16 +54,16 @@ class Hit:
 
 
 class NoticeSearch:
-    """max_error: edits allowed for each character of a notice (rounded down), most_edits in all at most."""
+    """max_error: edits allowed for each character of a notice (rounded down, so the shortest take none)."""
 
-    def __init__(self, notices=NOTICES, max_error: float = 0.1, most_edits: int = 4):
+    def __init__(self, notices=NOTICES, max_error: float = 0.1):
         import ahocorasick
 
         self.notices, seeds = [], {}
         for n, (text, label) in enumerate(notices):
             text = text.encode()
-            k = min(int(len(text) * max_error), most_edits)
-            self.notices.append((text, label, k, regex.compile(rb"(?e)(?:%s){e<=%d}" % (regex.escape(text), k)) if k else None))
+            k = int(len(text) * max_error)
+            self.notices.append((text, label, k, {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in set(text)}))
             pieces = k + 2 if k else 1
             cuts = [len(text) * i // pieces for i in range(pieces + 1)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -94,20 +96,47 @@ class NoticeSearch:
                 seeds.setdefault(n, []).append((end + 1 - size - offset, offset))
         hits = []
         for n, found in seeds.items():
-            text, label, k, pattern = self.notices[n]
+            text, label, k, masks = self.notices[n]
             for a, b in self._agreed(sorted(found), len(text), k, len(words)):
-                if pattern is None:
+                if not k:
                     at = words.find(text, a, b)
                     while at >= 0:
                         hits.append(Hit(label, at, at + len(text), 0, len(text)))
                         at = words.find(text, at + len(text), b)
                 else:
-                    for m in pattern.finditer(words, a, b):
-                        hits.append(Hit(label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)))
+                    while found_at := nearest_end(words, a, b, masks, len(text), k):
+                        end, edits = found_at
+                        m = within(text, edits).search(words, max(a, end - len(text) - edits), end)
+                        hits.append(Hit(label, m.start(), m.end(), edits, len(text)))
+                        a = m.end()
         # what starts or ends inside a word is no notice unless the edits explain it
         return sorted((h for h in hits if h.edits or _on_words(words, h)), key=lambda h: (h.start, h.end, h.label))
 
 
+def nearest_end(words: bytes, a: int, b: int, masks: dict[int, int], size: int, k: int) -> tuple[int, int] | None:
+    """Where the first match with k edits at most ends in words[a:b], and its edits: of the ends within 2k of the first one, that with the fewest (Myers' bit vectors)."""
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, edits, best, last = full, 0, size, None, b
+    for at in range(a, b):
+        if at > last:
+            break
+        equal = masks.get(words[at], 0)
+        x = (((equal & up) + up) ^ up) | equal
+        plus, minus = down | (full & ~(x | up)), up & x
+        edits += bool(plus & top) - bool(minus & top)
+        plus, minus, equal = plus << 1 & full, minus << 1 & full, equal | down
+        up, down = minus | (full & ~(equal | plus)), plus & equal
+        if edits <= k and (best is None or edits < best[1]):
+            last = at + 2 * k if best is None else last
+            best = at + 1, edits
+    return best
+
+
+@cache
+def within(text: bytes, edits: int) -> regex.Pattern:
+    return regex.compile(rb"(?:%s){e<=%d}" % (regex.escape(text), edits))
+
+
 def _joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     held = None
     for a, b in spans:

@@ -99,6 +99,32 @@ def test_license_fuzzy_spans():
         assert "mit" in {h.label for h in search.find(f" aa {''.join(t)} bb ".encode())}
 
 
+def test_license_takes_a_full_tenth_of_edits():
+    def least(text, words):  # by the table of all prefixes; the notice may start anywhere
+        row = list(range(len(text) + 1))
+        out = row[-1]
+        for c in words:
+            left = [0]
+            for i, x in enumerate(text):
+                left.append(min(row[i] + (x != c), row[i + 1] + 1, left[i] + 1))
+            row = left
+            out = min(out, row[-1])
+        return out
+
+    rng = random.Random(5)
+    for notice, label in license_scan.NOTICES:
+        search, k = license_scan.NoticeSearch([(notice, label)]), len(notice) // 10
+        for edits in (*range(k + 1), k + 2):
+            t = list(notice)
+            for at in sorted(rng.sample(range(len(t)), edits), reverse=True):
+                t[at : at + 1] = rng.choice([[], ["q"], [t[at], "q"]])
+            words = f" zz {''.join(t)} zz {notice} zz ".encode()
+            hits, want = search.find(words), least(notice.encode(), words[: -len(notice) - 5])
+            assert [h.edits for h in hits] == [want] * (want <= k) + [0]
+            for h in hits:
+                assert h.label == label and least(notice.encode(), words[h.start : h.end]) == h.edits
+
+
 # 2 -----------------------------------------------------------------------------------------
 
 
