@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import EXTINCTION, IRAC_FLUX_CORRECTION, MAD_SCALE, VEGA_AB, bit_mask
 from ..functions import sky, stats, units
 from ..operators import catalog, flags, matching, models, render, solve, tiles
+from ..sources import catalogs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -229,6 +230,13 @@ def brightest_first(s, d):
     return stars(s, d).orderBy(F.desc("flux"), "id").limit(50).select("id", "flux")
 
 
+@query("brightest_order", f"SELECT id, flux FROM {STARS} ORDER BY flux DESC, id")
+def brightest_order(s, d):
+    c = stars(s, d).withColumnsRenamed({"id": "object_id", "flux": "flux_vis_psf"})
+    none = table(s, d, "nation").where("false").select(F.col("n_nationkey").alias("object_id"), F.lit(0.0).alias("point_like_prob"))
+    return catalogs.source_catalog(c, none, 269.5, 67.3, 1.0, float("-inf"), most=None).select(F.col("object_id").alias("id"), F.col("flux_vis_psf").alias("flux"))
+
+
 @query("image_products", "SELECT band, ptype, n, nearest FROM (SELECT 'B' || (p_size % 4) AS band, CASE p_partkey % 6 WHEN 0 THEN 'science' WHEN 1 THEN 'rms' WHEN 2 THEN 'psf_grid' WHEN 3 THEN 'psf_catalog' WHEN 4 THEN 'flag' ELSE 'bgmodel' END AS ptype, count(*) AS n, arg_min(p_partkey, (round(sep, 6), p_partkey)) AS nearest FROM (SELECT *, " + sep_sql("c", "t") + " AS sep FROM (SELECT p_partkey, p_size, 269.40 + ((p_partkey*7919) % 10007)/10007*0.2 AS ra, 67.25 + ((p_partkey*104729) % 10009)/10009*0.1 AS dec FROM part) t, (SELECT 269.5 AS ra, 67.3 AS dec) c) GROUP BY 1, 2)")
 def image_products(s, d):
     kinds = F.array(*[F.lit(x) for x in ("BGSUB-MOSAIC", "RMS", "GRID-PSF", "CATALOG-PSF", "FLAG", "BGMOD")])

@@ -40,3 +40,9 @@ def test_same_as_sql(spark, duck, name):
 def test_flagship(spark):
     rows = queries.flagship(spark, SF).collect()
     assert rows and all(r.flux_vis_ujy is None or math.isfinite(r.flux_vis_ujy) for r in rows)
+
+
+def test_the_whole_catalog_is_in_order(spark):
+    got = [(r.id, r.flux) for r in queries.QUERIES["brightest_order"](spark, SF).collect()]
+    want = [(r.id, r.flux) for r in queries.stars(spark, SF).collect()]
+    assert len(want) > 50 and got == sorted(want, key=lambda r: (-r[1], r[0]))
