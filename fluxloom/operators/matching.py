@@ -9,6 +9,7 @@ one cell. Every pair is found once. Rows without a finite position match nothing
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,11 +106,52 @@ def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = ()) -> Data
     return cat.join(best.select("id", F.col("m.sample_id").alias("sample_id")), "id", "left")
 
 
-def nearest_vector(queries: DataFrame, samples: DataFrame, column: str) -> DataFrame:
-    """id, sample_id, distance: the nearest sample of each query in feature space, for a sample set of stated size."""
-    d = F.sqrt(F.aggregate(F.zip_with("q", "s", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda acc, x: acc + x))
-    both = queries.select("id", F.col(column).alias("q")).join(F.broadcast(samples.select(F.col("id").alias("sample_id"), F.col(column).alias("s"))))
-    return both.select("id", F.struct(d.alias("distance"), "sample_id").alias("m")).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.sample_id", "m.distance")
+def nearest_vector(queries: DataFrame, samples: DataFrame, column: str, rows: int = 256) -> DataFrame:
+    """id, sample_id, distance: the nearest of all samples of each query in feature space; ties go to the smaller id.
+
+    Both sides are packed into blocks of `rows` vectors, and each pair of blocks gives
+    a query's minimum, so nothing is broadcast and no pair of rows is kept. Vectors
+    match those of their own length; a query
+    that is null or not finite has no sample (null), and no such sample is found.
+    """
+    import pandas as pd
+    import pyarrow as pa
+
+    kinds = {side: df.schema["id"].dataType.simpleString() for side, df in (("q", queries), ("s", samples))}
+
+    def packed(df: DataFrame, side: str) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for size in np.unique(sizes):
+                    of = np.flatnonzero(sizes == size)
+                    for k in range(0, len(of), rows):
+                        own = b.take(pa.array(of[k : k + rows]))
+                        ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(0))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([size], pa.int32()), pa.array([own.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()])], [f"{side}_ids", f"{side}_size", side])
+
+        v = df.select("id", F.col(column).cast("array<double>").alias("v")).where("v is not null")
+        return v.mapInArrow(run, f"{side}_ids array<{kinds[side]}>, {side}_size int, {side} binary")
+
+    def least(frames):
+        for f in frames:
+            for q_ids, size, q, s_ids, s in zip(f["q_ids"], f["q_size"], f["q"], f["s_ids"], f["s"], strict=True):
+                q, s = (np.frombuffer(x, np.float64).reshape(len(ids), size) for x, ids in ((q, q_ids), (s, s_ids)))
+                order = np.argsort(s_ids, kind="stable")
+                s, names = s[order], np.asarray(s_ids)[order]
+                d = np.stack([((s - x) ** 2).sum(axis=1) for x in q]) ** 0.5
+                d[~np.isfinite(d)] = np.inf
+                at = d.argmin(axis=1)
+                best = d[np.arange(len(q)), at]
+                ok = best < np.inf
+                yield pd.DataFrame({"id": np.asarray(q_ids)[ok], "distance": best[ok], "sample_id": names[at][ok]})
+
+    a, b = packed(queries, "q"), packed(samples, "s")
+    both = a.hint("shuffle_replicate_nl").join(b, F.col("q_size") == F.col("s_size")).select("q_ids", "q_size", "q", "s_ids", "s")
+    found = both.mapInPandas(least, f"id {kinds['q']}, distance double, sample_id {kinds['s']}")
+    m = F.struct("distance", "sample_id")
+    every = queries.select("id", F.lit(None).cast(f"struct<distance:double,sample_id:{kinds['s']}>").alias("m"))
+    return found.select("id", m.alias("m")).union(every).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.sample_id", "m.distance")
 
 
 def grid_node(x: Column, step: float) -> Column:

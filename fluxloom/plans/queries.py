@@ -354,6 +354,12 @@ def nearest_vector(s, d):
     return matching.nearest_vector(e, samples, "embedding").select("id", "sample_id", r("distance").alias("distance"))
 
 
+@query("nearest_vector_all", "SELECT q.vec_id AS id, arg_min(t.vec_id, (round(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2)))), 9), t.vec_id)) AS sample_id, round(min(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2))))), 6) AS distance FROM embeddings q, (SELECT * FROM embeddings WHERE label = 0) t GROUP BY q.vec_id")
+def nearest_vector_all(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return matching.nearest_vector(e, e.where("label = 0"), "embedding").select("id", "sample_id", r("distance").alias("distance"))
+
+
 # -- statistics --------------------------------------------------------------------------------
 
 

@@ -46,3 +46,31 @@ def test_the_whole_catalog_is_in_order(spark):
     got = [(r.id, r.flux) for r in queries.QUERIES["brightest_order"](spark, SF).collect()]
     want = [(r.id, r.flux) for r in queries.stars(spark, SF).collect()]
     assert len(want) > 50 and got == sorted(want, key=lambda r: (-r[1], r[0]))
+
+
+def test_nearest_of_all_samples(spark):
+    import numpy as np
+
+    rows = [(r.vec_id, np.array(r.embedding, float), r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    samples = sorted((i, v) for i, v, label in rows if label == 0)
+    assert len(samples) > 25
+    ids, vectors = [i for i, _ in samples], np.stack([v for _, v in samples])
+    want = {i: ids[int(((vectors - v) ** 2).sum(axis=1).argmin())] for i, v, _ in rows}
+    assert {r.id: r.sample_id for r in queries.QUERIES["nearest_vector_all"](spark, SF).collect()} == want
+    # beyond the 25 smallest ids
+    assert any(k not in ids[:25] for k in want.values())
+
+
+def test_nearest_vector_in_blocks(spark):
+    import numpy as np
+
+    from fluxloom.operators import matching
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 4, (90, 3)).astype(float), rng.integers(0, 4, (70, 3)).astype(float)  # many ties
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(90, None)], "id long, v array<double>").repartition(3)
+    s = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)] + [(70, None), (71, [1.0]), (72, [float("nan")] * 3)], "id long, v array<double>").repartition(3)
+    out = matching.nearest_vector(q, s, "v", rows=7)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert {r.id: (r.sample_id, r.distance) for r in out.collect()} == {i: (int(d[i].argmin()), d[i].min()) for i in range(90)} | {90: (None, None)}
