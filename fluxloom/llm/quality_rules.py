@@ -4,8 +4,10 @@ Pass 1 hashes each document's distinct normalised lines and counts, for each hos
 and line, distinct documents, with sums that Spark combines before the shuffle.
 Lines over the limit are removed in pass 2; documents that keep too little are
 rejected. A line counts as frequent only if it also stands in several different
-texts: each row sets one of 64 bits, chosen by its text's hash, so a group of exact
-copies, however large, does not reject itself (deduplication decides about it).
+texts, so a group of exact copies, however large, does not reject itself
+(deduplication decides about it). Each row sets one of 64 bits, chosen by its text's
+hash: enough bits are enough texts. Where bits are too few, texts may share one, and the
+lines over the limit of documents go through a second count of their distinct texts.
 
 The set of frequent lines goes to the workers if its measured size is within
 broadcast_rows; beyond that, lines are joined to it by a shuffle.
@@ -79,19 +81,27 @@ def measures(text: bytes) -> list:
 
 def line_rows(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hosts, lines, bits = [], [], []
+        hosts, lines, digs = [], [], []
         for host, dig, text in zip(common.column(b, "host").to_pylist(), common.column(b, "dig").to_pylist(), common.texts(b), strict=True):
             own = {h for h, _ in document_lines(text)}
             lines.extend(own)
             hosts.append(np.full(len(own), host, np.int64))
-            bits.append(np.full(len(own), 1 << (dig & 63), np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hosts or [np.empty(0, np.int64)])), pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(np.concatenate(bits or [np.empty(0, np.uint64)]).view(np.int64))], ["host", "line", "bits"])
+            digs.append(np.full(len(own), dig, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hosts or [np.empty(0, np.int64)])), pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(np.concatenate(digs or [np.empty(0, np.int64)]))], ["host", "line", "dig"])
 
 
-def frequent_lines(docs: DataFrame, max_docs: int, min_texts: int) -> DataFrame:
-    """(host, line) in more than max_docs documents of the host and at least min_texts of 64 text buckets."""
-    counted = docs.mapInArrow(line_rows, "host long, line long, bits long").groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.bit_count(F.bit_or("bits")).alias("n_texts"))
-    return counted.where((F.col("n_docs") > max_docs) & (F.col("n_texts") >= min_texts)).select("host", "line")
+def frequent_lines(docs: DataFrame, max_docs: int, min_texts: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(host, line) in more than max_docs documents of the host and at least min_texts different texts."""
+    lines = docs.mapInArrow(line_rows, "host long, line long, dig long")
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, int(dig & 63))"))).alias("n_bits"))
+    counted = common.written(counted.where(F.col("n_docs") > max_docs).select("host", "line", "n_bits"), "counted-lines")
+    sure = counted.where(F.col("n_bits") >= min_texts).select("host", "line")
+    unsure = counted.where(F.col("n_bits") < min_texts).select("host", "line")
+    n = unsure.count()
+    if not n:
+        return sure
+    own = lines.join(F.broadcast(unsure) if n <= broadcast_rows else unsure, ["host", "line"], "left_semi").distinct()
+    return sure.union(own.groupBy("host", "line").count().where(F.col("count") >= min_texts).select("host", "line"))
 
 
 def apply_rules(
@@ -118,7 +128,7 @@ def apply_rules(
     spark = docs.sparkSession
     common.tuned(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("dig"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(host_col).cast("string")).alias("host"))
-    often = common.written(frequent_lines(slim, max_docs, min_texts), "frequent-lines")
+    often = common.written(frequent_lines(slim, max_docs, min_texts, broadcast_rows), "frequent-lines")
     n_often = often.count()
     tail = [("n_removed_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())] + [("cleaned_text", pa.string())] * with_text
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

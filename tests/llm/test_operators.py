@@ -205,6 +205,19 @@ def test_quality_rules(docs, rows, empty, broadcast_rows):
     assert xxhash
 
 
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_texts_of_a_line_are_counted_exactly(spark, broadcast_rows):
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits count as equal
+    prose = [" ".join(f"w{k}x{j}" for j in range(30)).translate(letters) for k in range(900)]
+    table = spark.createDataFrame([(p, f"{p}\n{tail}", tail) for p in prose for tail in ("eight texts", "seven texts")], "p string, text string, tail string")
+    one = {t: [r.text for r in table.where(F.col("tail") == t).where(F.xxhash64("text").bitwiseAND(63) == 5).collect()] for t in ("eight texts", "seven texts")}
+    texts = one["eight texts"][:8] * 7 + one["seven texts"][:7] * 8  # of one bucket of 64
+    assert len(texts) == 112 and len(set(texts)) == 15
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = quality_rules.apply_rules(docs, broadcast_rows=broadcast_rows).collect()
+    assert counted((texts[r.doc_id][-11:], r.n_removed_words) for r in got) == {("eight texts", 2): 56, ("seven texts", 0): 56}
+
+
 # 4 -----------------------------------------------------------------------------------------
 
 
