@@ -99,7 +99,7 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The plain record at `at` and where it ends; Damaged if a check fails."""
     if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    end = data.find(b"\r\n\r\n", at)  # a URL in the headers may be of any length
     if end < 0:
         raise Damaged("headers have no end")
     headers = {}
@@ -235,7 +235,8 @@ def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
 
     file, byte_offset, kind ("record" or "gap"), n_bytes and reason (gaps),
     record_type, page_id, url, payload_bytes, payload_digest (hex), refers_to and
-    payload (null for revisits).
+    payload (null for revisits). With a column n_records in contents, a file that
+    gives fewer records is an error.
     """
     cols = [("file", pa.string(), "string"), ("byte_offset", pa.int64(), "long"), ("kind", pa.string(), "string"), ("n_bytes", pa.int64(), "long"), ("reason", pa.string(), "string"), ("record_type", pa.string(), "string"), ("page_id", pa.int64(), "long"), ("url", pa.string(), "string"), ("payload_bytes", pa.int64(), "long"), ("payload_digest", pa.string(), "string"), ("refers_to", pa.int64(), "long")]
     cols += [("payload", pa.binary(), "binary")] * with_payload
@@ -243,9 +244,9 @@ def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            for name, content in zip(common.column(b, "name").to_pylist(), common.column(b, "content").to_pylist(), strict=True):
-                reader = Salvage(content)
-                for r in reader:
+            for name, content, least in zip(*(common.column(b, c).to_pylist() for c in ("name", "content", "n_records")), strict=True):
+                reader, n = Salvage(content), 0
+                for n, r in enumerate(reader, 1):
                     full = r.payload if r.type == "response" else None
                     if full is not None:
                         size, digest = len(full), hashlib.sha1(full).hexdigest()
@@ -254,15 +255,19 @@ def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
                         given = r.headers.get("WARC-Payload-Digest", "")
                         digest = base64.b32decode(given[5:]).hex() if given.startswith("sha1:") else None
                     yield [name, r.offset, "record", None, None, r.type, r.number("X-Page-Id"), r.headers.get("WARC-Target-URI"), size, digest, r.number("X-Refers-To-Page-Id"), *[full] * with_payload]
+                if least is not None and n < least:
+                    raise ValueError(f"{name}: {n} records of {least} were read; gaps: {reader.gaps[:3]}")
                 for g in reader.gaps:
                     yield [name, g.offset, "gap", g.length, g.reason, *[None] * (len(cols) - 5)]
 
     common.tuned(contents.sparkSession)
-    return contents.select("name", "content").mapInArrow(lambda it: files.batches_of(rows(it), schema, 256), ", ".join(f"{n} {k}" for n, _, k in cols))
+    least = F.col("n_records").cast("long") if "n_records" in contents.columns else F.lit(None).cast("long")
+    return contents.select("name", "content", least.alias("n_records")).mapInArrow(lambda it: files.batches_of(rows(it), schema, 256), ", ".join(f"{n} {k}" for n, _, k in cols))
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = files.new_folder(spark, "warc")
     manifest = write_archives(with_revisits(common.table(spark, sf_dir, "pages")), folder)
-    back = read_archives(files.read_files(spark, manifest, folder), with_payload=False)
+    contents = files.read_files(spark, manifest, folder).join(manifest.select(F.col("file").alias("name"), "n_records"), "name")
+    back = read_archives(contents, with_payload=False)
     return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "byte_offset")

@@ -263,6 +263,21 @@ def test_warc_salvage(zipped):
     assert list(warc.Salvage(b"")) == []
 
 
+def test_warc_long_urls_and_lost_records(spark, tmp_path):
+    url = "http://a/" + "\x01" * 400_000  # 1.2 MB of header once encoded
+    spark.createDataFrame([(1, url, "x"), (2, "u", "y")], "page_id long, url string, html string").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r.page_id: r.url for r in warc.op4_warc_salvage(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: url.replace("\x01", "%01"), 2: "u"}
+    record = warc.record_bytes(1, "u", b"x", hashlib.sha1(b"x").hexdigest(), 1)
+    for n, fits in ((1, True), (2, False)):
+        back = warc.read_archives(spark.createDataFrame([("f", bytearray(record), n)], "name string, content binary, n_records long"))
+        if fits:
+            assert back.count() == 1
+        else:
+            with pytest.raises(Exception, match="1 records of 2"):
+                back.collect()
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
