@@ -167,20 +167,13 @@ def cross_pairs(entries: DataFrame, parts: DataFrame, pct: int) -> DataFrame:
     return counted.where(F.col("c") >= 1 + F.floor(F.col("n") / 10)).select("a", "b")
 
 
-def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, n_shingles and component_id, the smallest id that links reach.
-
-    Two rows link if 100 * common >= pct * union of their sets of n-word shingles
-    (words between white space, A-Z lower-cased; the whole sequence if shorter). A
-    null or empty text, or one without words, has an empty set and links with
-    nothing. Rows with null ids take part; a component's id is null only if all its
-    ids are. Repeated rows have equal sets and link. Other columns are left behind.
-    """
+def row_components(docs: DataFrame, n: int, pct: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, dig, size, first) of each row: first is the least (none, doc, dig) of its component, ids before nulls; null for an empty set."""
     common.tuned(docs.sparkSession)
     slim = common.keyed(docs, id_col, text_col)
     rows = common.written(profiles(slim, n, pct), "profiles")
     filled = rows.where("size > 0")
-    nodes = common.written(filled.groupBy("node").agg(F.min("doc").alias("doc"), F.min(row_key()).alias("row"), F.max("size").alias("size"), F.first("mins").alias("mins")), "nodes")
+    nodes = common.written(filled.groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "dig")).alias("first"), F.min(row_key()).alias("row"), F.max("size").alias("size"), F.first("mins").alias("mins")), "nodes")
     entries = filled.select("node", "size", F.explode("prefix").alias("token"))
     links = common.written(linked(slim, nodes, common.written(star_pairs(nodes, pct), "pairs"), n, pct), "links")
     parts = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
@@ -188,23 +181,42 @@ def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "d
     more = common.written(linked(slim, nodes, pairs, n, pct), "links")
     if more.head(1):
         parts = common.written(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-    placed = nodes.join(parts, "node", "left").select("node", "doc", F.coalesce("least", "node").alias("part"))
-    names = placed.groupBy("part").agg(F.min("doc").alias("component_id"))
-    named = placed.join(names, "part").select("node", "component_id")
-    out = rows.select("doc", "size", "node").join(named, "node", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("least", "node").alias("part"))
+    firsts = placed.groupBy("part").agg(F.min("first").alias("first"))
+    named = placed.select("node", "part").join(firsts, "part").select("node", "first")
+    return rows.select("doc", "dig", "size", "node").join(named, "node", "left").select("doc", "dig", "size", "first")
+
+
+def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id, n_shingles and component_id, the smallest id that links reach.
+
+    Two rows link if 100 * common >= pct * union of their sets of n-word shingles
+    (words between white space, A-Z lower-cased; the whole sequence if shorter). A
+    null or empty text, or one without words, has an empty set and links with
+    nothing. Rows with null ids take part; a component's id is null only if all its
+    ids are. Repeated rows have equal sets and link. Other columns are left behind.
+    """
+    out = row_components(docs, n, pct, id_col, text_col)
+    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs, all columns, without the documents that links lead to a smaller id; of rows that share an id, one stays."""
-    parts = common.written(join_components(docs, n, pct, id_col, text_col).select(F.col(id_col).cast("long").alias("_id"), "component_id"), "components")
-    gone = parts.where(F.col("_id").isNotNull() & (F.col("_id") != F.col("component_id"))).select("_id").distinct()
+    """docs, all columns: of each component the row with the least (id, hash of the text), ids before nulls.
+
+    Rows that share an id are judged by their own texts. Of rows that agree in id and
+    text, one stays; but texts without words under null ids link with nothing and all stay.
+    """
+    rows = common.written(row_components(docs, n, pct, id_col, text_col), "components")
+    doc, dig = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = common.same(doc, F.col("_doc")) & (dig == F.col("_dig"))
+    mine = [F.col("doc").alias("_doc"), F.col("dig").alias("_dig")]
+    gone = rows.where(F.col("first").isNotNull() & ~(common.same(F.col("doc"), F.col("first.doc")) & (F.col("dig") == F.col("first.dig")))).select(*mine).distinct()
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
-    twice = parts.where(F.col("_id").isNotNull()).groupBy("_id").count().where("count > 1")
+    left = docs.join(gone, key, "left_anti")
+    twice = rows.where("doc is not null or size > 0").groupBy("doc", "dig").count().where("count > 1").select(*mine)
     if twice.head(1):
-        named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        left = named.unionByName(left.where(F.col(id_col).isNull()))
+        again = left.join(twice, key, "left_semi").withColumns({"_doc": doc, "_dig": dig}).dropDuplicates(["_doc", "_dig"]).drop("_doc", "_dig")
+        left = left.join(twice, key, "left_anti").unionByName(again)
     return left
 
 

@@ -165,6 +165,15 @@ def test_jaccard_keeps_one_of_each(docs, rows):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == want
 
 
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_jaccard_keeps_by_row(spark, broadcast_rows):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (2, b), (2, a + " tail"), (3, c), (3, d), (None, c + " tail"), (None, "null one two three four"), (None, "null one two three four"), (4, b), (4, b), (None, ""), (None, ""), (5, None), (3, d)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), broadcast_rows=broadcast_rows)
+    want = [(1, a), (2, b), (3, c), (3, d), (None, "null one two three four"), (None, ""), (None, ""), (5, None)]
+    assert counted(map(tuple, kept.collect())) == counted(want)
+
+
 # 3 -----------------------------------------------------------------------------------------
 
 
