@@ -44,13 +44,18 @@ def read_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFra
     return files.join(manifest.select(F.col("file").alias("name")), "name", "left_semi")
 
 
-def batches_of(rows: Iterator[list], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[list], schema: pa.Schema, most: int = 4096, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of up to `most` rows; one is full, too, when its texts and binaries reach most_bytes."""
     held: list[list] = []
+    long = [k for k, f in enumerate(schema) if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
+    size = 0
     for row in rows:
         held.append(row)
-        if len(held) >= most:
+        for k in long:
+            size += len(row[k] or b"")
+        if len(held) >= most or size >= most_bytes:
             yield _batch(held, schema)
-            held = []
+            held, size = [], 0
     yield _batch(held, schema)
 
 
