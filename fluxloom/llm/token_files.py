@@ -23,6 +23,8 @@ from . import common, files, simple8b
 from .bpe import LibraryBpe, loaded, vocabulary_path
 
 MAGIC, BLOCK = b"FLX8B\x00\x00\x01", 1 << 16
+CACHE_BYTES = 128 << 20  # of a worker, kept between its tasks
+ROLL_IDS = 1 << 23  # about 20 MB of file
 
 
 class ShardWriter:
@@ -30,20 +32,21 @@ class ShardWriter:
 
     def __init__(self, out):
         self.out, self.held, self.n_held = out, [], 0
-        self.offsets, self.counts, self.docs, self.nulls, self.lengths, self.words = [], [], [], [], [], 0
+        self.offsets, self.counts, self.docs, self.nulls, self.lengths, self.words, self.n_ids = [], [], [], [], [], 0, 0
         out.write(MAGIC)
 
-    def add(self, doc: int | None, ids: bytes) -> None:
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc or 0)
         self.nulls.append(doc is None)
-        self.lengths.append(len(ids) // 4)
+        self.lengths.append(len(ids))
         self.held.append(ids)
-        self.n_held += len(ids) // 4
+        self.n_held += len(ids)
+        self.n_ids += len(ids)
         if self.n_held >= BLOCK:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.concatenate(self.held or [np.empty(0, np.uint32)])
         at = 0
         while len(ids) - at >= BLOCK or last and at < len(ids):
             block = ids[at : at + BLOCK]
@@ -53,14 +56,14 @@ class ShardWriter:
             self.counts.append(len(block))
             self.words += len(words)
             at += len(block)
-        self.held, self.n_held = [ids[at:].tobytes()], len(ids) - at
+        self.held, self.n_held = [ids[at:]], len(ids) - at
 
     def close(self) -> int:
         self._flush(True)
         self.out.write(np.array(self.offsets, "<u8").tobytes() + np.array(self.counts, "<u4").tobytes() + np.array(self.docs, "<i8").tobytes() + np.array(self.nulls, "u1").tobytes() + np.array(self.lengths, "<u4").tobytes())
         self.out.write(struct.pack("<QQ", len(self.offsets), len(self.docs)) + MAGIC)
         self.out.close()
-        return sum(self.lengths)
+        return self.n_ids
 
 
 class ShardReader:
@@ -104,8 +107,11 @@ class ShardReader:
             yield (None if null else doc), start, held[start - first : start - first + n]
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Encode docs into files in ascending order of id (then of a hash of the text); return the manifest (shard, file, n_docs, n_ids), written once.
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, roll: int = ROLL_IDS) -> DataFrame:
+    """Encode docs into files in ascending order of id (then of a hash of the text); return the manifest (shard, seq, file, n_docs, n_ids), written once.
+
+    A shard goes on in a new file after `roll` ids; readers hold one file at a time. A
+    document is never parted, however long.
 
     Documents are dealt out by sampled id ranges, texts once over the network. Null
     ids come first. A null text is empty: its only id is end_id. An empty table
@@ -114,31 +120,33 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     spark = docs.sparkSession
     common.tuned(spark)
     path = path or vocabulary_path()
-    tail = int(end_id).to_bytes(4, "little")
+    tail = np.array([end_id], np.int32)
     dealt = common.keyed(docs, id_col, text_col).repartitionByRange(shards or common.parts(spark), "doc", "dig").sortWithinPartitions("doc", "dig")
-    schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
-    def run(batches):
+    def rows(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        writer = None
+        shard, seq, writer = TaskContext.get().partitionId(), 0, None
+        bpe = loaded(path, LibraryBpe, cache_bytes=CACHE_BYTES)
         for b in batches:
-            ids = loaded(path, LibraryBpe).encode_batch(common.texts(b))
-            for doc, i in zip(common.column(b, "doc").to_pylist(), ids, strict=True):
+            for doc, ids in zip(common.column(b, "doc").to_pylist(), bpe.encode_batch(common.texts(b)), strict=True):
                 if writer is None:
-                    out = files.FileOut(folder, f"ids-{shard:06d}", ".fx8")
+                    out = files.FileOut(folder, f"ids-{shard:06d}-{seq:06d}", ".fx8")
                     writer = ShardWriter(out)
-                writer.add(doc, i + tail)
-        rows = [[shard, out.name, len(writer.docs), writer.close()]] if writer else []
-        yield from files.batches_of(iter(rows), schema)
+                writer.add(doc, np.append(ids, tail))
+                if writer.n_ids >= roll:
+                    yield [shard, seq, out.name, len(writer.docs), writer.close()]
+                    seq, writer = seq + 1, None
+        if writer:
+            yield [shard, seq, out.name, len(writer.docs), writer.close()]
 
-    return common.written(dealt.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "manifest")
+    return common.written(dealt.mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema)), "shard long, seq long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, digests: bool = False) -> DataFrame:
     """doc, start (ids of all documents before it), n_tokens and ids (or with digests ids_crc32), from the files the manifest lists."""
-    base = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("base"))  # a row per file
+    base = manifest.select("file", (F.sum("n_ids").over(Window.orderBy("shard", "seq")) - F.col("n_ids")).alias("base"))  # a row per file
     last = ("ids_crc32", pa.int64(), "long") if digests else ("ids", pa.binary(), "binary")
     schema = pa.schema([("file", pa.string()), ("doc", pa.int64()), ("own_start", pa.int64()), ("n_tokens", pa.int64()), last[:2]])
 
@@ -149,7 +157,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, dige
                     raw = ids.astype("<u4").tobytes()
                     yield [name, doc, start, len(ids), zlib.crc32(raw) if digests else raw]
 
-    back = files.read_files(spark, manifest, folder).mapInArrow(lambda it: files.batches_of(rows(it), schema, 2048), f"file string, doc long, own_start long, n_tokens long, {last[0]} {last[2]}")
+    back = files.read_files(spark, manifest, folder).mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema, 2048)), f"file string, doc long, own_start long, n_tokens long, {last[0]} {last[2]}")
     return back.join(base, "file").select("doc", (F.col("own_start") + F.col("base")).alias("start"), "n_tokens", last[0])
 
 
