@@ -7,21 +7,23 @@ only those whose first GRAM bytes (the leading token) stand at two anchors or mo
 
 1. Count the anchors' grams; keep the suffixes whose gram repeats.
 2. An anchor's windows start one after another. Cut its suffix at the end of the last
-   and add, as a prefix, the bytes from the start of the first; equal pairs (prefix,
-   suffix) are counted and go on as one row.
-3. Sampled splitters range-partition the rows by leading token. A bucket sorts its
-   suffixes, and its reversed prefixes, by multikey quicksort over 8-byte symbols
-   and takes the common lengths of neighbours. The window that starts o bytes left
-   of an anchor repeats if another row is in its run of suffixes with n - o common
-   bytes and in its run of prefixes with o common bytes.
-4. Splitters never part a leading token, so only a token held by more rows than
-   `hot` would swell a bucket. Its rows are not sorted: their windows are compared
-   across all buckets by 128-bit hashes, in sums that combine before the shuffle.
+   and add, as a prefix, the bytes from the start of the first. A task writes equal
+   pairs (prefix, suffix) twice at most: as often as it takes to see that they repeat.
+3. Sampled splitters range-partition the rows by leading tokens (suffix first, then
+   prefix, then a hash of both), so that rows which share a token, however many, may
+   be parted. A bucket sorts its suffixes, and its reversed prefixes, by multikey
+   quicksort over 8-byte symbols and takes the common lengths of neighbours. The
+   window that starts o bytes left of an anchor repeats if another row is in its run
+   of suffixes with n - o common bytes and in its run of prefixes with o common bytes.
+4. Such a run may go on in another bucket only if it has n - o bytes in common with
+   its own bucket's least or largest row, as buckets are ranges. Windows of these runs
+   are compared across buckets, by 128 bits of their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -70,34 +72,37 @@ def symbols(strings: list[bytes], width: int) -> np.ndarray:
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows, and for each place in it the bytes that its row has in common with the one before (0 first).
 
-    Multikey quicksort: runs that are equal so far are sorted by the next symbol;
-    runs of one are left alone.
+    Multikey quicksort of all open runs at once: a run is parted by a pivot's symbol
+    in less, equal and more; the equal part goes on to the next symbol.
     """
     m, k = rows.shape
-    order, common_bytes = np.arange(m), np.zeros(m, np.int64)
-    run = np.zeros(m, np.int64)  # of each place in the order
-    active = np.arange(m)
-    for c in range(k):
-        if len(active) < 2:
-            break
-        key = rows[order[active], c]
-        by = np.lexsort((key, run[active]))
+    order = np.arange(m)
+    run, depth = np.zeros(m, np.int64), np.zeros(m, np.int64)  # of each place in the order; a run's places are together
+    active = np.arange(m if k else 0)
+    while len(active):
+        own, at = run[active], depth[active]
+        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        size = np.diff(np.append(begin, len(own)))
+        open_ = np.repeat((size > 1) & (at[begin] < k), size)
+        if not open_.all():
+            active = active[open_]
+            continue
+        key = rows[order[active], at]
+        three = np.sort(np.stack([key[begin], key[begin + size // 2], key[begin + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        part = (key > pivot).astype(np.int64) + (key >= pivot)
+        group = np.repeat(np.arange(len(begin)), size) * 3 + part
+        by = np.argsort(group, kind="stable")
         order[active] = order[active][by]
-        key, own = key[by], run[active]
-        tied = np.concatenate([[False], own[1:] == own[:-1]])
-        diff = np.concatenate([[np.uint64(0)], key[1:] ^ key[:-1]])
-        parts = tied & (diff != 0)
-        common_bytes[active[parts]] = 8 * c + _equal_bytes(diff[parts])
-        new_run = np.cumsum(~tied | parts)
-        sizes = np.bincount(new_run)
-        run[active] = new_run
-        still = sizes[new_run] > 1
-        active = active[still]
-    tied = np.zeros(m, bool)
-    if len(active):
-        own = run[active]
-        tied[active[1:]] = own[1:] == own[:-1]
-    common_bytes[tied] = 8 * k
+        depth[active] = at[by] + (part[by] == 1)
+        run[active] = group[by]
+    common_bytes = np.zeros(m, np.int64)
+    for i in range(1, m, 1 << 14):
+        now = np.arange(i, min(m, i + (1 << 14)))
+        diff = rows[order[now]] ^ rows[order[now - 1]]
+        first = (diff != 0).argmax(axis=1) if k else np.zeros(len(now), np.int64)
+        there = diff[np.arange(len(now)), first] if k else np.zeros(len(now), np.uint64)
+        common_bytes[now] = np.where(there != 0, 8 * first + _equal_bytes(there), 8 * k)
     return order, common_bytes
 
 
@@ -109,24 +114,28 @@ def _equal_bytes(diff: np.ndarray) -> np.ndarray:
 
 
 def repeated_offsets(left: list[bytes], right: list[bytes], count: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
-    """For rows (bytes left of an anchor, reversed; bytes from it on; how often the pair stands): runs (first, last) of o such that the n-byte window o bytes left of the anchor stands twice or more."""
+    """For distinct rows (bytes left of an anchor, reversed; bytes from it on; how often the pair stands): runs (first, last) of o such that the n-byte window o bytes left of the anchor stands twice or more."""
     m = len(right)
     n_left = np.fromiter(map(len, left), np.int64, m)
     n_right = np.fromiter(map(len, right), np.int64, m)
     low = np.maximum(n - n_right, 0)  # the window must end inside the text
     r_order, r_common = multikey_sort(symbols(right, n))
     l_order, l_common = multikey_sort(symbols(left, max(8, int(n_left.max(initial=0)))))
+    r_most, l_most = np.empty(m, np.int64), np.empty(m, np.int64)  # common with any other row
+    r_most[r_order] = np.maximum(r_common, np.append(r_common[1:], 0))
+    l_most[l_order] = np.maximum(l_common, np.append(l_common[1:], 0))
     twice = np.zeros((m, int(n_left.max(initial=0)) + 1), bool)
     whole = count > 1
     for o in range(twice.shape[1]):
         able = (n_left >= o) & (low <= o)
         twice[able & whole, o] = True
-        if able.sum() < 2:
+        pick = np.flatnonzero(able & (r_most >= n - o) & (l_most >= o))
+        if len(pick) < 2:
             continue
-        r_run, l_run = np.empty(m, np.int64), np.empty(m, np.int64)
+        r_run, l_run = np.empty(m, np.int64), np.zeros(m, np.int64)
         r_run[r_order] = np.cumsum(r_common < n - o)
-        l_run[l_order] = np.cumsum(l_common < o) if o else 0
-        pick = np.flatnonzero(able)
+        if o:
+            l_run[l_order] = np.cumsum(l_common < o)
         pair = r_run[pick] * (m + 1) + l_run[pick]
         by = np.argsort(pair, kind="stable")
         same = pair[by][1:] == pair[by][:-1]
@@ -142,10 +151,14 @@ def repeated_offsets(left: list[bytes], right: list[bytes], count: np.ndarray, n
 # -- tables ----------------------------------------------------------------------------
 
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+#: Bytes of the suffix, and of the prefix, by which rows are dealt.
+LEAD = 64
+#: Rows of a bucket that are sorted at a time, and pairs that a task remembers to have written.
+BUCKET_ROWS, REMEMBERED = 30_000, 400_000
 
 
 def contexts(slim: DataFrame, n: int) -> DataFrame:
-    """(c1, c2, lead, right, left, doc, dig, at) of every anchor whose gram repeats; left is reversed."""
+    """(c1, c2, right, left, doc, dig, at) of every anchor whose gram repeats; left is reversed. The bytes are null where the task has written the pair (c1, c2) twice before."""
 
     def anchor_rows(batches):
         for b in batches:
@@ -163,21 +176,25 @@ def contexts(slim: DataFrame, n: int) -> DataFrame:
     lists = grams.join(twice, "gram").groupBy("doc", "dig").agg(F.array_distinct(F.collect_list("at")).alias("at"))
     mine = F.coalesce(F.col("a.doc"), F.lit(NULL_ID))
     both = slim.alias("a").join(lists.alias("b"), (mine == F.col("b.doc")) & (F.col("a.dig") == F.col("b.dig"))).select("b.doc", "b.dig", "a.text", "b.at")
-    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("lead", pa.binary()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("dig", pa.int64()), ("at", pa.int32())])
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("dig", pa.int64()), ("at", pa.int32())])
 
     def rows(batches):
+        seen: dict[int, int] = {}
         for b in batches:
             for doc, dig, t, wanted in zip(*(common.column(b, c).to_pylist() for c in ("doc", "dig", "text", "at")), strict=True):
                 places, first, _ = text_anchors(t, n)
                 ends = np.append(first[1:], len(t) - n + 1) + n - 1  # of each anchor's last window
                 own = dict(zip(places.tolist(), zip(first.tolist(), ends.tolist(), strict=True), strict=True))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 for a in wanted:
                     p, end = own[a]
                     left, right = t[p:a][::-1], t[a:end]
                     c = xxhash.xxh3_128_intdigest(len(right).to_bytes(4, "little") + right + left)
-                    yield [(c >> 64) - (1 << 63), (c & 0xFFFFFFFFFFFFFFFF) - (1 << 63), right[:GRAM], right, left, doc, dig, a]
+                    times = seen[c] = seen.get(c, 0) + 1
+                    yield [(c >> 64) - (1 << 63), (c & 0xFFFFFFFFFFFFFFFF) - (1 << 63), *((right, left) if times < 3 else (None, None)), doc, dig, a]
 
-    return both.mapInArrow(lambda it: files.batches_of(rows(it), schema), "c1 long, c2 long, lead binary, right binary, left binary, doc long, dig long, at int")
+    return both.mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema)), "c1 long, c2 long, right binary, left binary, doc long, dig long, at int")
 
 
 NULL_ID = -(1 << 63)
@@ -187,89 +204,103 @@ def common_id(doc: int | None) -> int:
     return NULL_ID if doc is None else doc
 
 
-def bucket_rows(batches, n: int, most: int = 30_000):
-    """Rows come sorted by leading token; whole tokens are gathered up to `most` rows and sorted."""
-    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("runs", _RUNS)])
-
-    def solved(t: pa.Table):
-        runs = repeated_offsets(t.column("left").to_pylist(), t.column("right").to_pylist(), t.column("n").to_numpy(), n)
-        keep = pa.array([i for i, r in enumerate(runs) if r], pa.int64())
-        return pa.RecordBatch.from_arrays([t.column("c1").take(keep).combine_chunks(), t.column("c2").take(keep).combine_chunks(), pa.array([[{"lo": a, "hi": z} for a, z in runs[i]] for i in keep.to_pylist()], _RUNS)], schema=schema)
-
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        while b.num_rows:
-            if size + b.num_rows < most:
-                held.append(b)
-                size += b.num_rows
-                break
-            lead = b.column(b.schema.get_field_index("lead")).to_pylist()
-            last = held[-1].column(held[-1].schema.get_field_index("lead"))[-1].as_py() if held else None
-            cut = next((i for i in range(max(0, most - size), len(lead)) if lead[i] != (lead[i - 1] if i else last)), None)
-            if cut is None:  # the token goes on in the next batch; it has at most `hot` rows
-                held.append(b)
-                size += b.num_rows
-                break
-            if cut:
-                held.append(b.slice(0, cut))
-            if held:
-                yield solved(pa.Table.from_batches(held))
-            held, size, b = [], 0, b.slice(cut)
-    if held:
-        yield solved(pa.Table.from_batches(held))
-
+def lead_of(right: bytes, left: bytes) -> bytes:
+    return right[:LEAD] + left[:LEAD]
 
-def hot_windows(rows: DataFrame, n: int) -> DataFrame:
-    """(c1, c2, runs) of rows whose leading token is hot: windows are compared by hashes across all tasks."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("o", pa.int32()), ("n", pa.int64())])
 
-    def explode(batches):
-        for b in batches:
-            for c1, c2, left, right, count in zip(*(common.column(b, c).to_pylist() for c in ("c1", "c2", "left", "right", "n")), strict=True):
-                whole, k = left[::-1] + right, len(left)
-                for o in range(max(0, n - len(right)), k + 1):
-                    w = xxhash.xxh3_128_intdigest(whole[k - o : k - o + n])
-                    yield [(w >> 64) - (1 << 63), (w & 0xFFFFFFFFFFFFFFFF) - (1 << 63), c1, c2, o, count]
-
-    windows = rows.select("c1", "c2", "left", "right", "n").mapInArrow(lambda it: files.batches_of(explode(it), schema), "w1 long, w2 long, c1 long, c2 long, o int, n long")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    run = F.struct(F.col("o").alias("lo"), F.col("o").alias("hi"))
-    return windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list(run).alias("runs"))
+def common_length(a: bytes, b: bytes) -> int:
+    if a == b:
+        return len(a)
+    x = int.from_bytes(a.ljust(2 * LEAD, b"\0"), "big") ^ int.from_bytes(b.ljust(2 * LEAD, b"\0"), "big")
+    return min(2 * LEAD - (x.bit_length() + 7) // 8, len(a), len(b))
 
 
-def repeated_spans(slim: DataFrame, n: int, hot: int) -> DataFrame:
+def bucket_rows(batches, n: int, most: int):
+    """(c1, c2, runs) of the rows with windows that repeat in the bucket, and (c1, c2, w1, w2, o) of other windows that may stand in other buckets; windows of that kind that repeat in the bucket come as (w1, w2) alone."""
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("runs", _RUNS), ("w1", pa.int64()), ("w2", pa.int64()), ("o", pa.int32())])
+    rows: dict[tuple[int, int], list] = {}  # equal pairs are one row
+    for b in batches:
+        for c1, c2, right, left in zip(*(common.column(b, c).to_pylist() for c in ("c1", "c2", "right", "left")), strict=True):
+            if (c1, c2) in rows:
+                rows[c1, c2][2] += 1
+            else:
+                rows[c1, c2] = [right, left, 1]
+
+    def solved(part: list[tuple[tuple[int, int], list]]):
+        """Of a range of the bucket's rows, which is a bucket in its turn."""
+        leads = [lead_of(r[0], r[1]) for _, r in part]
+        least, largest = min(leads), max(leads)
+        runs = repeated_offsets([r[1] for _, r in part], [r[0] for _, r in part], np.array([r[2] for _, r in part]), n)
+        named: set[int] = set()
+        for (c, (right, left, _)), lead, own in zip(part, leads, runs, strict=True):
+            if own:
+                yield [*c, [{"lo": a, "hi": z} for a, z in own], None, None, None]
+            shared = max(common_length(lead, least), common_length(lead, largest))
+            if shared >= min(LEAD, len(right)):
+                shared = n  # how far they agree after it is not known
+            whole, k = left[::-1] + right, len(left)
+            for o in range(max(0, n - len(right), n - shared), k + 1):
+                w = xxhash.xxh3_128_intdigest(whole[k - o : k - o + n])
+                here = any(a <= o <= z for a, z in own)
+                if not (here and w in named):
+                    yield [*((None, None) if here else c), None, (w >> 64) - (1 << 63), (w & 0xFFFFFFFFFFFFFFFF) - (1 << 63), None if here else o]
+                if here:
+                    named.add(w)
+
+    def all_rows():
+        held = list(rows.items())
+        rows.clear()
+        if len(held) <= most:
+            if held:
+                yield from solved(held)
+            return
+        key = lambda x: (lead_of(x[1][0], x[1][1]), x[0])
+        sample = sorted(map(key, held[:: max(1, most // 200)]))
+        pieces = -(-2 * len(held) // most)
+        splitters = [sample[len(sample) * i // pieces] for i in range(1, pieces)]
+        parts: list[list] = [[] for _ in range(pieces)]
+        for x in held:
+            parts[bisect_right(splitters, key(x))].append(x)
+        del held
+        while parts:
+            if part := parts.pop():
+                yield from solved(part)
+
+    yield from files.batches_of(all_rows(), schema)
+
+
+def repeated_spans(slim: DataFrame, n: int, most: int) -> DataFrame:
     """(doc, dig, spans): starts lo..hi of n-byte windows that also start elsewhere; doc is NULL_ID for null."""
     spark = slim.sparkSession
     found = common.written(contexts(slim, n), "suffixes")
-    rows = common.written(found.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("right").alias("right"), F.first("left").alias("left")), "suffix-rows")
-    heavy = common.written(rows.groupBy("lead").count().where(F.col("count") > hot).select("lead"), "hot-tokens")
-    cool = rows
-    parts = []
-    if heavy.head(1):
-        cool = rows.join(heavy, "lead", "left_anti")
-        parts.append(hot_windows(rows.join(heavy, "lead", "left_semi"), n))
-    dealt = cool.repartitionByRange(common.parts(spark), "lead").sortWithinPartitions("lead")
-    parts.append(dealt.mapInArrow(lambda it: bucket_rows(it, n), "c1 long, c2 long, runs array<struct<lo:int,hi:int>>"))
-    runs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    lead = F.concat(F.substring("right", 1, LEAD), F.substring("left", 1, LEAD))
+    dealt = found.where("right is not null").select("c1", "c2", "right", "left").repartitionByRange(common.parts(spark), lead, "c1", "c2")
+    solved = common.written(dealt.mapInArrow(common.freeing(lambda it: bucket_rows(it, n, most)), "c1 long, c2 long, runs array<struct<lo:int,hi:int>>, w1 long, w2 long, o int"), "buckets")
+    edges = solved.where("runs is null")
+    twice = common.written(edges.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.count("c1").alias("asking")).where("n > 1 and asking > 0").select("w1", "w2"), "edge-windows")
+    run = F.struct(F.col("o").alias("lo"), F.col("o").alias("hi"))
+    across = edges.where("c1 is not null").select("c1", "c2", "w1", "w2", "o").join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_set(run).alias("runs"))  # of one pair: n at most
+    runs = solved.where("runs is not null").select("c1", "c2", "runs").unionByName(across)
     span = F.transform("runs", lambda r: F.struct((F.col("at") - r.hi).alias("lo"), (F.col("at") - r.lo).alias("hi")))
     return found.select("c1", "c2", "doc", "dig", "at").join(runs, ["c1", "c2"]).groupBy("doc", "dig").agg(F.flatten(F.collect_list(span)).alias("spans"))
 
 
-def dedup(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000, digests: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str = "text", most: int = BUCKET_ROWS, digests: bool = False) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans and kept (binary; with digests kept_sha256 in its place).
 
     Removes each byte under an n-byte string that also starts anywhere else, the
     same text included; strings are judged on the input and never cross documents. A
     null text is empty; null ids are ids like others; rows repeated in the table
     repeat each other's strings, so they lose all windows; texts shorter than n stay
-    whole; other columns are left behind.
+    whole; other columns are left behind. A bucket's rows are sorted up to `most` at a
+    time; the result is the same for any number. A text of any length is read whole, its
+    arrays taking some 50 bytes for each of its own.
     """
     if n < GRAM:
         raise ValueError(f"n is at least {GRAM}")
     common.tuned(docs.sparkSession)
     slim = common.keyed(docs, id_col, text_col)
-    spans = repeated_spans(slim, n, hot)
+    spans = repeated_spans(slim, n, most)
     mine = F.coalesce(F.col("a.doc"), F.lit(NULL_ID))
     both = slim.alias("a").join(spans.alias("b"), (mine == F.col("b.doc")) & (F.col("a.dig") == F.col("b.dig")), "left").select("a.doc", "a.text", "b.spans")
     schema = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if digests else pa.binary())])
@@ -282,7 +313,7 @@ def dedup(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str =
             for k, (doc, t) in enumerate(zip(common.column(b, "doc").to_pylist(), common.texts(b), strict=True)):
                 kept, n_removed, n_spans = t, 0, 0
                 if valid[k]:
-                    mark = np.zeros(len(t) + 1, np.int64)
+                    mark = np.zeros(len(t) + 1, np.int32)
                     np.add.at(mark, lo[offsets[k] : offsets[k + 1]], 1)
                     np.add.at(mark, hi[offsets[k] : offsets[k + 1]] + n, -1)
                     gone = np.cumsum(mark[:-1]) > 0
@@ -291,50 +322,50 @@ def dedup(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str =
                     kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
                 yield [doc, len(t), n_removed, n_spans, hashlib.sha256(kept).hexdigest() if digests else kept]
 
-    return both.mapInArrow(lambda it: files.batches_of(rows(it), schema, 1024), f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}").withColumnsRenamed({"doc": id_col} | ({"kept": "kept_sha256"} if digests else {}))
+    return both.mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema, 1024)), f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}").withColumnsRenamed({"doc": id_col} | ({"kept": "kept_sha256"} if digests else {}))
 
 
-def clean_documents(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", hot: int = 20_000) -> DataFrame:
-    """docs, all columns, with repeated bytes cut from the text and count_col set to its characters.
+def clean_documents(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", most: int = BUCKET_ROWS) -> DataFrame:
+    """docs, all columns whatever their names, with repeated bytes cut from the text and count_col set to its characters.
 
     A character cut in part goes whole. Documents of which no word is left are
-    dropped; those that had none stay.
+    dropped; those that had none (null and empty texts too) stay. Rows repeated in
+    the table repeat each other, so they lose all windows. An empty table stays so.
     """
     common.tuned(docs.sparkSession)
-    spans = repeated_spans(common.keyed(docs, id_col, text_col), n, hot).select(F.col("doc").alias("_doc"), F.col("dig").alias("_dig"), F.col("spans").alias("_spans"))
-    mine = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    both = docs.join(spans, (mine == F.col("_doc")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_dig")), "left").drop("_doc", "_dig")
+    spans = repeated_spans(common.keyed(docs, id_col, text_col), n, most)
+    a = common.carried(docs, id_col, text_col).alias("a")
+    mine = F.coalesce(F.col("a.doc"), F.lit(NULL_ID))
+    both = a.join(spans.alias("b"), (mine == F.col("b.doc")) & (F.col("a.dig") == F.col("b.dig")), "left").select("a.row", "b.spans")
     names = docs.columns
 
     def run(batches):
         for b in batches:
-            found = common.column(b, "_spans").to_pylist()
-            text, keep = common.column(b, text_col).to_pylist(), []
+            found = common.column(b, "spans").to_pylist()
+            cols = common.column(b, "row").flatten()
+            text, keep = cols[names.index(text_col)].to_pylist(), []
             for i, (t, spans) in enumerate(zip(text, found, strict=True)):
                 if spans:
                     raw = t.encode()
-                    mark = np.zeros(len(raw) + 1, np.int64)
+                    mark = np.zeros(len(raw) + 1, np.int32)
                     at = np.array([(x["lo"], x["hi"]) for x in spans])
                     np.add.at(mark, at[:, 0], 1)
                     np.add.at(mark, at[:, 1] + n, -1)
                     text[i] = np.frombuffer(raw, np.uint8)[np.cumsum(mark[:-1]) == 0].tobytes().decode("utf-8", "ignore")
                 if not spans or text[i].split():
                     keep.append(i)
-            cols = []
-            for name in names:
-                old = common.column(b, name)
-                cut = [i for i, s in enumerate(found) if s]
+            cut = [i for i, s in enumerate(found) if s]
+            for k, name in enumerate(names):
                 if name == text_col:
-                    old = pa.array(text, old.type)
+                    cols[k] = pa.array(text, cols[k].type)
                 elif name == count_col and cut:
-                    values = old.to_pylist()
+                    values = cols[k].to_pylist()
                     for i in cut:
                         values[i] = len(text[i])
-                    old = pa.array(values, old.type)
-                cols.append(old)
+                    cols[k] = pa.array(values, cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names).take(pa.array(keep, pa.int64()))
 
-    return both.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return both.mapInArrow(common.freeing(run), docs.schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
