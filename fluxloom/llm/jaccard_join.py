@@ -1,19 +1,25 @@
 """N-gram Jaccard join: a blocked sparse product of the documents' n-gram incidence.
 
-Documents with equal sets are one row of the matrix. Columns (n-grams) are ordered
-by frequency class, rare first, then by hash; frequencies are those of a merged
+Documents with equal sets are one row of the matrix (a node). Columns (n-grams) are
+ordered by frequency class, rare first, then by hash; frequencies are those of a merged
 count sketch, and any order gives the same result. A pair that reaches the threshold
-shares a column among the first n - ceil(t n) + 1 of each row (n: the row's size),
-and each longer prefix adds one; so only those entries, the prefix blocks, are
-multiplied. Overlap counts are accumulated over the blocks, and pairs are discarded
-whose sizes or counts lie below these bounds; what is left is multiplied in full.
-
-Only links that join components matter, so the product is taken in two steps:
- 1. rows meet the least row of each of a few min-hash blocks (a star, not all
-    pairs). Verified links contract large groups of near copies.
- 2. prefix columns that still hold rows of different components give every pair
-    across components. No pair within a component is made, and none is left out
-    across.
+shares a column among the first n - ceil(t n) + 1 of each row (n: the row's size), so
+only those entries, the prefix blocks, are multiplied. Overlap counts are accumulated
+over them, and pairs are discarded whose sizes, places or counts lie below these bounds:
+ - the smaller size is at least t times the larger one;
+ - where their first common column stands, each row must still hold as many columns
+   as the pair needs in common (`needed`);
+ - the common columns of the prefixes, and all after the longer prefix, are as many.
+What is left is multiplied in full.
+
+Only links that join components matter, so the product is taken in blocks:
+ 1. In a column, all nodes meet its hub alone, the node with the fewest columns of its
+    own (that no other prefix holds): in a group of near copies that is what they
+    are copies of. Each node is multiplied with the hubs that it shares most columns
+    with; links contract the group. This is done ROUNDS times, each with other hubs.
+ 2. Columns that still hold nodes of different components give every pair across
+    components, at its first common column alone. No pair within a component is made,
+    and none is left out across.
 """
 
 from __future__ import annotations
@@ -21,16 +27,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
 from .sketch import CountMin, build
 
-SEEDS = 8
 FREQUENCY = CountMin(log2_width=20, depth=1, most=(1 << 32) - 1)
-NEEDED = CountMin(log2_width=22, depth=2, most=1)
+ROUNDS, HUBS = 2, 2
+#: Rows of two numbers that may be broadcast to find the texts of nodes: 16 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: bytes, n: int, word: common.WordHashes) -> np.ndarray:
@@ -46,8 +54,7 @@ def signed(x: int) -> int:
 
 
 def profiles(slim: DataFrame, n: int, pct: int) -> DataFrame:
-    """(doc, dig, size, node, mins, prefix): node names the set; mins are its min-hashes and prefix its rarest columns (empty for an empty set)."""
-    salts = [np.uint64(s * int(common.MIX) & 0xFFFFFFFFFFFFFFFF) for s in range(1, SEEDS + 1)]
+    """(doc, dig, size, n1, n2, prefix): n1 and n2 name the set; prefix has its rarest columns (empty for an empty set)."""
 
     def hashes(batches):
         word = common.WordHashes()
@@ -63,24 +70,23 @@ def profiles(slim: DataFrame, n: int, pct: int) -> DataFrame:
     def run(batches):
         word = common.WordHashes()
         for b in batches:
-            sizes, nodes, mins, prefix = [], [], [], []
-            with np.errstate(over="ignore"):
-                for t in common.texts(b):
-                    s = shingles(t, n, word)
-                    sizes.append(len(s))
-                    if not len(s):
-                        nodes.append(None)
-                        mins.append(np.empty(0, np.int64))
-                        prefix.append(np.empty(0, np.int64))
-                        continue
-                    nodes.append(signed(xxhash.xxh3_64_intdigest(s.tobytes())))
-                    mins.append(np.array([common.mixed(s ^ k).min() for k in salts], np.uint64).view(np.int64))
-                    take = len(s) - (pct * len(s) + 99) // 100 + shared_least(len(s))
-                    kind = (4 * np.log2(np.maximum(FREQUENCY.estimate(sent.value, s) / level, 1))).astype(np.int8)  # 0: rare
-                    prefix.append((s[np.argsort(kind, kind="stable")[:take]] if kind.any() else s[:take]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "dig"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists(mins), lists(prefix)], ["doc", "dig", "size", "node", "mins", "prefix"])
-
-    return slim.mapInArrow(run, "doc long, dig long, size long, node long, mins array<long>, prefix array<long>")
+            sizes, names, prefix = [], [], []
+            for t in common.texts(b):
+                s = shingles(t, n, word)
+                sizes.append(len(s))
+                if not len(s):
+                    names.append((None, None))
+                    prefix.append(np.empty(0, np.int64))
+                    continue
+                h = xxhash.xxh3_128_intdigest(s.tobytes())
+                names.append((signed(h >> 64), signed(h & 0xFFFFFFFFFFFFFFFF)))
+                take = len(s) - (pct * len(s) + 99) // 100 + 1
+                kind = (4 * np.log2(np.maximum(FREQUENCY.estimate(sent.value, s) / level, 1))).astype(np.int8)  # 0: rare
+                prefix.append((s[np.argsort(kind, kind="stable")[:take]] if kind.any() else s[:take]).view(np.int64))
+            n1, n2 = zip(*names, strict=True) if names else ((), ())
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "dig"), pa.array(sizes, pa.int64()), pa.array(n1, pa.int64()), pa.array(n2, pa.int64()), lists(prefix)], ["doc", "dig", "size", "n1", "n2", "prefix"])
+
+    return slim.mapInArrow(common.freeing(run), "doc long, dig long, size long, n1 long, n2 long, prefix array<long>")
 
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -88,83 +94,96 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def node_sets(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(node, set) of the nodes in pairs; set is its sorted hashes. One text of each node is read, found by a filter of fixed size that lets none of them out."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
-
-    def hashes(batches):
-        for b in batches:
-            yield common.column(b, "row").to_numpy(zero_copy_only=False).view(np.uint64)
-
-    sent = slim.sparkSession.sparkContext.broadcast(build(wanted.select("row"), hashes, NEEDED))
-
-    def run(batches):
-        word = common.WordHashes()
-        for b in batches:
-            row = common.column(b, "row").to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(NEEDED.estimate(sent.value, row.view(np.uint64)))
-            sets = [shingles(t, n, word).tobytes() for t in common.texts(b.take(pa.array(hit)))]
-            yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(sets, pa.binary())], ["row", "set"])
-
-    return slim.withColumn("row", row_key()).select("row", "text").mapInArrow(run, "row long, set binary").join(wanted, "row").dropDuplicates(["row"]).select("node", "set")
-
-
-def row_key():
-    return F.xxhash64(F.coalesce(F.col("doc"), F.lit(-(1 << 63))), F.col("dig"))
-
-
 def linked(slim: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, pct: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * common >= pct * union."""
-    sets = common.written(node_sets(slim, nodes, pairs, n), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    """The pairs (a, b) whose sets have 100 * common >= pct * union. Texts travel, as they are smaller than their sets; a's text, many pairs', comes last."""
+    wanted = common.written(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node").select("node", F.col("first.doc").alias("doc"), F.col("first.dig").alias("dig")), "wanted")
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = slim.alias("s").join(small.alias("w"), common.same(F.col("s.doc"), F.col("w.doc")) & (F.col("s.dig") == F.col("w.dig")))
+    texts = common.written(found.select("w.node", "s.text").dropDuplicates(["node"]), "texts")
+    both = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
 
     def run(batches):
-        for b in batches:
+        word, last, p = common.WordHashes(), None, None
+        for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(common.column(b, "x").to_pylist(), common.column(b, "y").to_pylist(), strict=True)):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            a, x = common.column(batch, "a").to_pylist(), common.column(batch, "x")
+            for i, y in enumerate(common.texts(batch, "y")):
+                if a[i] != last:
+                    last, p = a[i], shingles(x[i].as_py(), n, word)
+                q = shingles(y, n, word)
                 at = np.searchsorted(p, q)
                 inner = int((p[np.minimum(at, len(p) - 1)] == q).sum())
                 if 100 * inner >= pct * (len(p) + len(q) - inner):
                     keep.append(i)
-            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(common.freeing(run), "a long, b long")
 
 
-def shared_least(n):
-    """Columns that a prefix is longer by, and so must share: a pair that reaches the threshold has that many in common among its prefixes (the less of the two counts)."""
-    return 1 + n // 10
+def needed(pct: int) -> Column:
+    """Columns that rows of na and nb columns must share."""
+    return F.ceil(pct * (F.col("na") + F.col("nb")) / (100 + pct) - 1e-9)
 
 
-def size_bound(pct: int):
-    return (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+def sizes_fit(pct: int) -> Column:
+    return 100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")
 
 
-def star_pairs(nodes: DataFrame, pct: int) -> DataFrame:
-    blocks = nodes.select("node", "size", F.posexplode("mins").alias("k", "v")).select("node", "size", F.xxhash64("k", "v").alias("block"))
-    hub = blocks.groupBy("block").agg(F.min(F.struct(F.col("node").alias("a"), F.col("size").alias("na"))).alias("hub"), F.count("*").alias("m")).where("m > 1").select("block", "hub.*")
-    found = blocks.select("block", F.col("node").alias("b"), F.col("size").alias("nb")).join(hub, "block").where(size_bound(pct)).select("a", "b").distinct()
-    of = lambda k: nodes.select(F.col("node").alias(k), F.col("mins").alias(f"m{k}"))
-    agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    # pairs that agree too little are left to the second step, which misses none
-    return found.join(of("a"), "a").join(of("b"), "b").where(agree >= SEEDS // 2).select("a", "b")
+def enough(pct: int) -> Column:
+    """Whether c common columns of the prefixes, and those after the prefix that ends first, may be as many as are needed."""
+    return F.col("c") + F.greatest("na", "nb") * pct / 100 >= needed(pct)
 
 
-def cross_pairs(entries: DataFrame, parts: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a prefix column and fit in size. entries: token, node, size."""
+def prefix_entries(nodes: DataFrame) -> DataFrame:
+    """(token, node, size, left, own) of the prefix columns that other nodes' prefixes hold too; left: columns of the node from this one on; own: its prefix columns that no other prefix holds."""
+    entries = nodes.select("node", F.col("size").cast("int").alias("size"), F.size("prefix").alias("n_prefix"), F.posexplode("prefix").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    # rows of equal sets give equal entries: one of each counts
-    e = entries.join(shared, "token").distinct().join(parts, "node", "left").withColumn("part", F.coalesce("least", "node")).select("token", "node", "size", "part")
-    e = common.written(e, "prefix")
+    e = common.written(entries.join(common.written(shared, "shared"), "token").select("token", "node", "size", "n_prefix", (F.col("size") - F.col("at")).alias("left")), "prefix")
+    many = e.groupBy("node").agg(F.count("*").alias("m"))
+    return common.written(e.join(many, "node").select("token", "node", "size", "left", (F.col("n_prefix") - F.col("m")).cast("int").alias("own")), "prefix-own")
+
+
+def parted(e: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """e with the component of each node, columns of one component left out."""
+    e = e.drop("part")
+    e = e.withColumn("part", F.col("node")) if parts is None else e.join(parts, "node", "left").withColumn("part", F.coalesce("least", "node")).drop("least")
     mixed = e.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-    e = common.written(e.join(mixed, "token"), "prefix-mixed")
-    groups = e.select("token", "part").distinct()
-    meet = groups.select("token", F.col("part").alias("p")).join(groups.select("token", F.col("part").alias("q")), "token").where("p < q")
-    left = e.select("token", F.col("part").alias("p"), F.col("node").alias("a"), F.col("size").alias("na"))
-    right = e.select("token", F.col("part").alias("q"), F.col("node").alias("b"), F.col("size").alias("nb"))
-    counted = meet.join(left, ["token", "p"]).join(right, ["token", "q"]).where(size_bound(pct)).groupBy("a", "b").agg(F.count("*").alias("c"), F.least(F.min("na"), F.min("nb")).alias("n"))
-    return counted.where(F.col("c") >= 1 + F.floor(F.col("n") / 10)).select("a", "b")
+    return common.written(e.join(common.written(mixed, "mixed"), "token"), "prefix-mixed")
+
+
+def hubs_of(e: DataFrame) -> DataFrame:
+    """(token, a, na, ra, p): of each column the node with the fewest columns of its own."""
+    hub = e.groupBy("token").agg(F.min(F.struct("own", F.col("node").alias("a"), F.col("size").alias("na"), F.col("left").alias("ra"), F.col("part").alias("p"))).alias("hub"))
+    return common.written(hub.select("token", "hub.a", "hub.na", "hub.ra", "hub.p"), "hubs")
+
+
+def hub_pairs(e: DataFrame, hubs: DataFrame, pct: int) -> DataFrame:
+    """(a, b): each node b with the HUBS hubs of other components that it shares most columns with. A row for each entry at most."""
+    met = e.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("left").alias("rb"), "part").join(hubs, "token").where((F.col("part") != F.col("p")) & sizes_fit(pct))
+    counts = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max(F.least("ra", "rb")).alias("place"))
+    best = Window.partitionBy("b").orderBy(F.desc("c"), "a")  # of the hubs of one prefix
+    return counts.where((F.col("place") >= needed(pct)) & enough(pct)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS).select("a", "b")
+
+
+def cross_pairs(e: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
+    """(a, b): nodes of different components that may link by sizes, by the place of their first common column, where alone they meet, and by the number of common ones."""
+    listed = e.groupBy("node").agg(F.collect_list(F.struct("left", "token")).alias("all"))  # of one prefix
+    prior = F.transform(F.filter("all", lambda x: x.left > F.col("left")), lambda x: x.token)
+    e = common.written(e.join(listed, "node").select("token", "node", "size", "left", "part", prior.alias("prior")), "prefix-prior")
+    groups = e.groupBy("token", "part").agg(F.count("*").alias("m"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("left").alias("left"), F.first("prior").alias("prior"))
+    groups = common.written(groups.withColumn("prior", F.when(F.col("m") == 1, F.col("prior"))), "prefix-groups")
+    of = lambda k, x: groups.select("token", F.col("part").alias(k), F.col("m").alias(f"c{x}"), F.col("least").alias(f"n{x}"), F.col("most").alias(f"m{x}"), F.col("left").alias(f"r{x}"), F.col("prior").alias(f"before_{x}"))
+    first = lambda x, y: ~F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    within = (100 * F.col("ma") >= pct * F.col("nb")) & (100 * F.col("mb") >= pct * F.col("na"))  # na, nb: the least sizes, ma, mb: the largest
+    place = F.least("ra", "rb") >= needed(pct)
+    larger = F.struct("ca", "p") > F.struct("cb", "q")  # the larger group is taken apart first
+    meet = of("p", "a").join(of("q", "b"), "token").where(larger & within & place & first("before_a", "before_b")).select("token", "p", "q", "nb", "mb", "rb", "before_b")
+    left = e.select("token", F.col("part").alias("p"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("size").alias("ma"), F.col("left").alias("ra"), F.col("prior").alias("before_a"))
+    half = meet.join(left, ["token", "p"]).where(within & place & first("before_a", "before_b")).select("token", "q", "a", "na", "ra", "before_a")
+    right = e.select("token", F.col("part").alias("q"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("left").alias("rb"), F.col("prior").alias("before_b"))
+    pairs = common.written(half.join(right, ["token", "q"]).where(sizes_fit(pct) & place & first("before_a", "before_b")).select("a", "b", "na", "nb"), "met")
+    both = pairs.join(nodes.select(F.col("node").alias("b"), F.col("prefix").alias("y")), "b").join(nodes.select(F.col("node").alias("a"), F.col("prefix").alias("x")), "a")
+    return both.withColumn("c", F.size(F.array_intersect("x", "y"))).where(enough(pct)).select("a", "b")
 
 
 def row_components(docs: DataFrame, n: int, pct: int, id_col: str, text_col: str) -> DataFrame:
@@ -172,19 +191,34 @@ def row_components(docs: DataFrame, n: int, pct: int, id_col: str, text_col: str
     common.tuned(docs.sparkSession)
     slim = common.keyed(docs, id_col, text_col)
     rows = common.written(profiles(slim, n, pct), "profiles")
-    filled = rows.where("size > 0")
-    nodes = common.written(filled.groupBy("node").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "dig")).alias("first"), F.min(row_key()).alias("row"), F.max("size").alias("size"), F.first("mins").alias("mins")), "nodes")
-    entries = filled.select("node", "size", F.explode("prefix").alias("token"))
-    links = common.written(linked(slim, nodes, common.written(star_pairs(nodes, pct), "pairs"), n, pct), "links")
-    parts = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-    pairs = common.written(cross_pairs(entries, parts, pct), "pairs")
-    more = common.written(linked(slim, nodes, pairs, n, pct), "links")
-    if more.head(1):
-        parts = common.written(components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-    placed = nodes.join(parts, "node", "left").select("node", "first", F.coalesce("least", "node").alias("part"))
+    named = rows.where("size > 0").groupBy("n1", "n2").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "dig")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = common.written(named.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers that the table keeps
+    e = rest = parted(prefix_entries(nodes), None)
+    links, parts, tried = None, None, None
+    for step in range(ROUNDS + 1):
+        if step < ROUNDS:
+            hubs = hubs_of(rest)
+            pairs = hub_pairs(rest, hubs, pct)
+            rest = rest.join(hubs.select("token", "a"), "token").where("node != a").drop("a")  # the next hub is another one
+        else:
+            pairs = cross_pairs(e if parts is None else parted(e, parts), nodes, pct)
+        if tried is not None:
+            pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried, ["lo", "hi"], "left_anti").select("a", "b")
+        pairs = common.written(pairs, "pairs")
+        if pairs.head(1):
+            now = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            tried = now if tried is None else tried.unionByName(now)
+            more = common.written(linked(slim, nodes, pairs, n, pct), "links")
+            links = more if links is None else links.unionByName(more)
+            if more.head(1):
+                parts = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
+        if step + 1 < ROUNDS:
+            rest = parted(rest, parts)
+    placed = nodes.select("n1", "n2", "node", "first")
+    placed = placed.withColumn("part", F.col("node")) if parts is None else placed.join(parts, "node", "left").withColumn("part", F.coalesce("least", "node"))
     firsts = placed.groupBy("part").agg(F.min("first").alias("first"))
-    named = placed.select("node", "part").join(firsts, "part").select("node", "first")
-    return rows.select("doc", "dig", "size", "node").join(named, "node", "left").select("doc", "dig", "size", "first")
+    of_node = placed.select("n1", "n2", "part").join(firsts, "part").select("n1", "n2", "first")
+    return rows.select("doc", "dig", "size", "n1", "n2").join(of_node, ["n1", "n2"], "left").select("doc", "dig", "size", "first")
 
 
 def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,25 +234,25 @@ def join_components(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "d
     return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs, all columns: of each component the row with the least (id, hash of the text), ids before nulls.
+def one_of_each(docs: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs, all columns whatever their names: of each component the row with the least (id, hash of the text), ids before nulls.
 
     Rows that share an id are judged by their own texts. Of rows that agree in id and
-    text, one stays; but texts without words under null ids link with nothing and all stay.
+    text, one stays, whichever; but texts without words under null ids link with
+    nothing and all stay. An empty table stays so.
     """
     rows = common.written(row_components(docs, n, pct, id_col, text_col), "components")
-    doc, dig = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    key = common.same(doc, F.col("_doc")) & (dig == F.col("_dig"))
-    mine = [F.col("doc").alias("_doc"), F.col("dig").alias("_dig")]
-    gone = rows.where(F.col("first").isNotNull() & ~(common.same(F.col("doc"), F.col("first.doc")) & (F.col("dig") == F.col("first.dig")))).select(*mine).distinct()
+    carried = common.carried(docs, id_col, text_col)
+    gone = rows.where(F.col("first").isNotNull() & ~(common.same(F.col("doc"), F.col("first.doc")) & (F.col("dig") == F.col("first.dig")))).select("doc", "dig").distinct()
+    at = lambda other: common.same(F.col("a.doc"), F.col(f"{other}.doc")) & (F.col("a.dig") == F.col(f"{other}.dig"))
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    left = docs.join(gone, key, "left_anti")
-    twice = rows.where("doc is not null or size > 0").groupBy("doc", "dig").count().where("count > 1").select(*mine)
+    left = carried.alias("a").join(gone.alias("g"), at("g"), "left_anti")
+    twice = rows.where("doc is not null or size > 0").groupBy("doc", "dig").count().where("count > 1").select("doc", "dig")
     if twice.head(1):
-        again = left.join(twice, key, "left_semi").withColumns({"_doc": doc, "_dig": dig}).dropDuplicates(["_doc", "_dig"]).drop("_doc", "_dig")
-        left = left.join(twice, key, "left_anti").unionByName(again)
-    return left
+        again = left.alias("a").join(twice.alias("t"), at("t"), "left_semi").dropDuplicates(["doc", "dig"])
+        left = left.alias("a").join(twice.alias("t"), at("t"), "left_anti").unionByName(again)
+    return left.select("row.*")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(common.table(spark, sf_dir, "documents"))
+    return join_components(common.table(spark, sf_dir, "documents"), n=4, pct=85)
