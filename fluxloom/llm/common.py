@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,11 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir, with its scheme. Where that is unset, a temporary one of our own if all runs on this machine; else an error, as executors have no folder in common that we know."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="fluxloom-")
         spark.conf.set("spark.checkpoint.dir", at)
+    if "://" not in at:  # as Spark reads it: on its default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        at = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        at = re.sub(r"^file:/(?!/)", "file:///", at)
     return at.rstrip("/")
 
 

@@ -107,7 +107,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
     A window is n consecutive words of an item (all of a shorter one). A null text
     has no words; items without words or id have no windows; null ids of docs are
-    ids like others; repeated rows get equal results; other columns are left behind.
+    ids like others; repeated rows get equal results; other columns are left behind; an
+    empty table, of docs or of items, gives no rows, or none that is contaminated. Texts
+    of any length are cut into words whole, in one row's array.
     """
     terms = common.written(window_terms(benchmark, n, item_id, item_text), "benchmark-terms")
     windows = terms.select("w1", "w2", "size", "k", F.xxhash64("term").alias("tid")).distinct()
@@ -132,13 +134,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that hold no window of the benchmark. Rows are told apart by id and text."""
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
+    """The rows of docs, all columns whatever their names, that hold no window of the benchmark.
+
+    Rows are told apart by id and text, so repeated rows go or stay together. Null and
+    empty texts, and those of signs alone, hold none and stay; an empty table stays so.
+    """
     terms = common.written(window_terms(benchmark, n, "item_id", "text"), "benchmark-terms")
     windows = terms.select("w1", "w2", "size", "k", F.xxhash64("term").alias("tid")).distinct()
     hits = phrase_matches(postings(docs, terms.select("term").distinct(), id_col, text_col), windows)
-    bad = small(common.written(hits.select(F.col("doc").alias("_doc"), F.col("dig").alias("_dig")).distinct(), "contaminated"))
-    return docs.join(bad, (key[0] == F.col("_doc")) & (key[1] == F.col("_dig")), "left_anti")
+    bad = small(common.written(hits.select("doc", "dig").distinct(), "contaminated")).alias("b")
+    a = common.carried(docs, id_col, text_col).alias("a")
+    return a.join(bad, (F.coalesce(F.col("a.doc"), F.lit(-(1 << 63))) == F.col("b.doc")) & (F.col("a.dig") == F.col("b.dig")), "left_anti").select("row.*")
 
 
 def op5_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

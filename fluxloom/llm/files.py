@@ -21,7 +21,7 @@ class FileOut:
     """A file under a name no other attempt uses; it counts only if the manifest lists it, so a lost or repeated task leaves no trace in the result."""
 
     def __init__(self, folder: str, stem: str, suffix: str):
-        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
+        fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         self.name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
         self.path = f"{folder}/{self.name}"
