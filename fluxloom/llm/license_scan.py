@@ -5,8 +5,13 @@ A notice found with at most k edits holds at least two of its k + 2 pieces uncha
 each hit says where the notice would stand, give or take k. Where two different
 pieces agree, the least number of edits is counted for every end (bit-parallel, exact);
 at an end with k or fewer, the regex library's matching, bounded by that least number
-and the few characters it can reach, verifies the notice and reports its span. Both searches read the words of the whole text, lower-cased and
-joined by one space, so line breaks and punctuation in a notice do not count.
+and the few characters it can reach, verifies the notice and reports its span.
+
+Edits may fall anywhere but in the words that tell notices apart (`KEY_WORDS`): the
+span must hold those of the notice and no others. What the span leaves of the words
+at its ends is k characters at most. Both searches read the words of the whole text,
+lower-cased and joined by one space, so line breaks and punctuation in a notice do not
+count.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +47,11 @@ NOTICES = [
     ("subject to the terms of the mozilla public license", "mpl"),
     ("spdx license identifier", "spdx"),
     ("all rights reserved", "all-rights-reserved"),
+    ("licensed under the mit license", "mit"),
+    ("licensed under cc by sa", "cc-by-sa"),
 ]
+#: Words that name a licence.
+KEY_WORDS = frozenset(b"mit apache gnu lesser affero cc by nc sa nd bsd mozilla creative commons isc mpl spdx".split())
 
 
 @dataclass(frozen=True)
@@ -54,11 +64,14 @@ class Hit:
 
 
 class NoticeSearch:
-    """max_error: edits allowed for each character of a notice (rounded down, so the shortest take none)."""
+    """max_error: edits allowed for each character of a notice (rounded down, so the shortest take none). key_words stand as they are in the notice; notices of one's own have none unless they are given."""
 
-    def __init__(self, notices=NOTICES, max_error: float = 0.1):
+    def __init__(self, notices=None, max_error: float = 0.1, key_words: frozenset[bytes] | None = None):
         import ahocorasick
 
+        self.key_words = key_words if key_words is not None else frozenset() if notices else KEY_WORDS
+        notices = notices or NOTICES
+
         self.notices, seeds = [], {}
         for n, (text, label) in enumerate(notices):
             text = text.encode()
@@ -101,16 +114,26 @@ class NoticeSearch:
                 if not k:
                     at = words.find(text, a, b)
                     while at >= 0:
-                        hits.append(Hit(label, at, at + len(text), 0, len(text)))
+                        hits.append((Hit(label, at, at + len(text), 0, len(text)), n))
                         at = words.find(text, at + len(text), b)
                 else:
                     while found_at := nearest_end(words, a, b, masks, len(text), k):
                         end, edits = found_at
                         m = within(text, edits).search(words, max(a, end - len(text) - edits), end)
-                        hits.append(Hit(label, m.start(), m.end(), edits, len(text)))
+                        hits.append((Hit(label, m.start(), m.end(), edits, len(text)), n))
                         a = m.end()
-        # what starts or ends inside a word is no notice unless the edits explain it
-        return sorted((h for h in hits if h.edits or _on_words(words, h)), key=lambda h: (h.start, h.end, h.label))
+        return sorted((h for h, n in hits if self._is_notice(words, h, n)), key=lambda h: (h.start, h.end, h.label))
+
+    def _is_notice(self, words: bytes, h: Hit, n: int) -> bool:
+        """Whether what the span leaves of the words at both ends is no more than the notice's edits, and its key words stand there."""
+        text, _, k, _ = self.notices[n]
+        before = 0 if words[h.start : h.start + 1] == b" " else h.start - 1 - words.rfind(b" ", 0, h.start)
+        end = words.find(b" ", h.end)
+        after = 0 if words[h.end - 1 : h.end] == b" " else (end if end >= 0 else len(words)) - h.end
+        if before + after > k:
+            return False
+        keys = lambda t: sorted(w for w in t.split() if w in self.key_words)
+        return keys(words[h.start - before : h.end + after]) == keys(text)
 
 
 def nearest_end(words: bytes, a: int, b: int, masks: dict[int, int], size: int, k: int) -> tuple[int, int] | None:
@@ -150,10 +173,6 @@ def _joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         yield held
 
 
-def _on_words(words: bytes, h: Hit) -> bool:
-    return (h.start == 0 or words[h.start - 1] == 32) and (h.end == len(words) or words[h.end] == 32)
-
-
 def phrase_places(words: bytes, phrases=PHRASES) -> list[tuple[int, str]]:
     """(byte offset, label) of every place where a phrase's words stand consecutively."""
     out = []
@@ -173,10 +192,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_er
     1 with an exact phrase, else the best notice's share of unedited characters,
     else 0. A null or empty text has no words, no places, empty labels and score 0;
     null ids, repeated rows and empty tables need no rule; other columns are left
-    behind. Map only: no shuffle.
+    behind; a text of any length is searched whole. Map only: no shuffle.
     """
     common.tuned(docs.sparkSession)
-    notices = notices or NOTICES
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int64())]))
     schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", span)])
 
@@ -188,7 +206,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_er
                 words = b" " + b" ".join(split) + b" "
                 base = phrase_places(words)
                 hits = search.find(words)
-                word_at = lambda at: words.count(b" ", 0, at + (words[at : at + 1] == b" ")) - 1  # noqa: B023, E731
+                blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == 32) if base or hits else None
+                word_at = lambda at: int(np.searchsorted(blanks, at, "right")) - 1  # noqa: B023, E731
                 ends = [word_at(base[0][0]), word_at(base[-1][0])] if base else [None, None]
                 own = {label for _, label in base}
                 score = 1.0 if base else max((1 - h.edits / h.notice_len for h in hits), default=0.0)
@@ -197,17 +216,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_er
     return (
         common.keyed(docs, id_col, text_col)
         .select("doc", "text")
-        .mapInArrow(lambda it: files.batches_of(rows(it), schema), "doc long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,n_words:long,edits:long>>")
+        .mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema)), "doc long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,n_words:long,edits:long>>")
         .withColumnRenamed("doc", id_col)
     )
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
-
-
-#: The base part of the contract, for the tests (the fuzzy labels are not expressible in SQL).
-BASE_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM documents)
-SELECT doc_id, len(words) AS n_words FROM w
-"""
