@@ -1,22 +1,19 @@
 """Quality rules: cross-document line frequency after rules on each document.
 
 Pass 1 hashes each document's distinct normalised lines and counts, for each host
-and line, distinct documents, with sums that Spark combines before the shuffle.
-Lines over the limit are removed in pass 2; documents that keep too little are
-rejected. A line counts as frequent only if it also stands in several different
-texts, so a group of exact copies, however large, does not reject itself
-(deduplication decides about it). Each row sets one of 64 bits, chosen by its text's
-hash: enough bits are enough texts. Where bits are too few, texts may share one, and the
-lines over the limit of documents go through a second count of their distinct texts.
-
-The set of frequent lines goes to the workers if its measured size is within
-broadcast_rows; beyond that, lines are joined to it by a shuffle.
+and line, distinct documents: documents of equal texts are one, so a group of exact
+copies, however large, does not reject itself (deduplication decides about it). Both
+steps of the count combine before they shuffle. Lines over the limit are removed in
+pass 2; documents that keep too little are rejected.
+
+The frequent lines go to the workers as two sorted arrays if they are no more than
+broadcast_rows; beyond that, lines are joined to them by a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +30,11 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 REPEAT = 8
 
 
-def normal_line(line: bytes) -> bytes:
-    """A-Z lower-cased, digits as 0, white space as one space."""
-    return b" ".join(line.translate(DIGITS).split())
-
-
 def document_lines(text: bytes) -> Iterator[tuple[int, int]]:
-    """(hash, words) of each line with a word."""
+    """(hash, words) of each line with a word, after A-Z became a-z, digits 0, and white space one space."""
     for line in text.split(b"\n"):
         if words := line.split():
-            yield xxhash.xxh3_64_intdigest(b" ".join(words).translate(DIGITS)), len(words)  # of normal_line(line)
+            yield xxhash.xxh3_64_intdigest(b" ".join(words).translate(DIGITS)), len(words)
 
 
 def repeated_words(words: list[bytes], n: int = REPEAT) -> int:
@@ -90,18 +82,26 @@ def line_rows(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hosts or [np.empty(0, np.int64)])), pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(np.concatenate(digs or [np.empty(0, np.int64)]))], ["host", "line", "dig"])
 
 
-def frequent_lines(docs: DataFrame, max_docs: int, min_texts: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(host, line) in more than max_docs documents of the host and at least min_texts different texts."""
-    lines = docs.mapInArrow(line_rows, "host long, line long, dig long")
-    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, int(dig & 63))"))).alias("n_bits"))
-    counted = common.written(counted.where(F.col("n_docs") > max_docs).select("host", "line", "n_bits"), "counted-lines")
-    sure = counted.where(F.col("n_bits") >= min_texts).select("host", "line")
-    unsure = counted.where(F.col("n_bits") < min_texts).select("host", "line")
-    n = unsure.count()
-    if not n:
-        return sure
-    own = lines.join(F.broadcast(unsure) if n <= broadcast_rows else unsure, ["host", "line"], "left_semi").distinct()
-    return sure.union(own.groupBy("host", "line").count().where(F.col("count") >= min_texts).select("host", "line"))
+def frequent_lines(docs: DataFrame, max_docs: int) -> DataFrame:
+    """(host, line) in more than max_docs documents of different texts of the host."""
+    lines = docs.mapInArrow(common.freeing(line_rows), "host long, line long, dig long").distinct()
+    return lines.groupBy("host", "line").count().where(F.col("count") > max_docs).select("host", "line")
+
+
+class LineSet:
+    """Rows (host, line) in two sorted arrays: 16 bytes a row."""
+
+    def __init__(self, hosts: np.ndarray, lines: np.ndarray):
+        order = np.lexsort((lines, hosts))
+        self.hosts, self.lines = hosts[order], lines[order]
+
+    def has(self, host: int, lines: list[int]) -> np.ndarray:
+        """For each line (an unsigned hash), whether it is a frequent one of the host."""
+        a, b = np.searchsorted(self.hosts, (host, host), side="left")[0], np.searchsorted(self.hosts, host, side="right")
+        if a == b or not lines:
+            return np.zeros(len(lines), bool)
+        own, seen = self.lines[a:b], np.array(lines, np.uint64).view(np.int64)
+        return own[np.minimum(np.searchsorted(own, seen), len(own) - 1)] == seen
 
 
 def apply_rules(
@@ -110,7 +110,6 @@ def apply_rules(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = 50,
-    min_texts: int = 8,
     min_left: float = 0.25,
     min_words: int = 20,
     max_repeat_pct: int = 30,
@@ -121,14 +120,16 @@ def apply_rules(
 
     A document is rejected by the base rules (fewer than min_words words, or more
     than max_repeat_pct % repeated words) or if the lines over the limit leave less
-    than min_left of its words. A null text is empty (rejected: no words); a null
-    host is a host of its own; rows repeated in the table count as documents each,
-    though not as different texts; other columns are left behind.
+    than min_left of its words. A line is over the limit in more than max_docs documents
+    of different texts of one host. A null text is empty (rejected: no words); a null
+    host is a host of its own; rows repeated in the table, or under another id, are one
+    document to the count, and each gets its own row; a text of any length is read
+    whole; other columns are left behind.
     """
     spark = docs.sparkSession
     common.tuned(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("dig"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.xxhash64(F.col(host_col).cast("string")).alias("host"))
-    often = common.written(frequent_lines(slim, max_docs, min_texts, broadcast_rows), "frequent-lines")
+    often = common.written(frequent_lines(slim, max_docs), "frequent-lines")
     n_often = often.count()
     tail = [("n_removed_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())] + [("cleaned_text", pa.string())] * with_text
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -140,24 +141,30 @@ def apply_rules(
         failed = m[0] < min_words or 100 * m[4] > max_repeat_pct * m[0]
         return [*m, removed, failed, not failed and m[0] - removed >= min_left * m[0]]
 
-    def clean(text: bytes, out: set[int]) -> str:
-        left = [x for x in text.split(b"\n") if not x.split() or xxhash.xxh3_64_intdigest(normal_line(x)) not in out]
-        return b"\n".join(left).decode()
-
-    if n_often <= broadcast_rows:  # 16 bytes a row
-        by_host: dict[int, set[int]] = {}
-        for r in often.toLocalIterator():
-            by_host.setdefault(r.host, set()).add(r.line & 0xFFFFFFFFFFFFFFFF)
-        sent = spark.sparkContext.broadcast(by_host)
+    def verdict(text: bytes, frequent: Callable[[list[int]], np.ndarray]) -> list:
+        lines = list(document_lines(text))
+        gone = frequent([h for h, _ in lines])
+        out = judged(text, sum(n for (_, n), x in zip(lines, gone.tolist(), strict=True) if x))
+        if with_text:
+            left, at = [], 0
+            for x in text.split(b"\n"):
+                worded = bool(x.split())
+                if not (worded and gone[at]):
+                    left.append(x)
+                at += worded
+            out.append(b"\n".join(left).decode())
+        return out
+
+    if n_often <= broadcast_rows:
+        held = often.toArrow()
+        sent = spark.sparkContext.broadcast(LineSet(*(held.column(c).to_numpy() for c in ("host", "line"))))
 
         def rows(batches):
             for b in batches:
                 for doc, host, text in zip(common.column(b, "doc").to_pylist(), common.column(b, "host").to_pylist(), common.texts(b), strict=True):
-                    own = sent.value.get(host, ())
-                    removed = sum(n for h, n in document_lines(text) if h in own) if own else 0
-                    yield [doc, *judged(text, removed), *([clean(text, own)] if with_text else [])]
+                    yield [doc, *verdict(text, lambda lines: sent.value.has(host, lines))]  # noqa: B023
 
-        return slim.mapInArrow(lambda it: files.batches_of(rows(it), schema, 1024), kinds).withColumnRenamed("doc", id_col)
+        return slim.mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema, 1024)), kinds).withColumnRenamed("doc", id_col)
 
     line_schema = pa.schema([("doc", pa.int64()), ("dig", pa.int64()), ("host", pa.int64()), ("line", pa.int64())])
 
@@ -175,9 +182,9 @@ def apply_rules(
         for b in batches:
             for doc, text, out in zip(common.column(b, "doc").to_pylist(), common.texts(b), common.column(b, "out").to_pylist(), strict=True):
                 own = {h & 0xFFFFFFFFFFFFFFFF for h in out or ()}
-                yield [doc, *judged(text, sum(n for h, n in document_lines(text) if h in own)), *([clean(text, own)] if with_text else [])]
+                yield [doc, *verdict(text, lambda lines: np.array([h in own for h in lines], bool))]  # noqa: B023
 
-    return both.mapInArrow(lambda it: files.batches_of(joined_rows(it), schema, 1024), kinds).withColumnRenamed("doc", id_col)
+    return both.mapInArrow(common.freeing(lambda it: files.batches_of(joined_rows(it), schema, 1024)), kinds).withColumnRenamed("doc", id_col)
 
 
 def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
