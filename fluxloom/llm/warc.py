@@ -1,10 +1,13 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
-Records are gzip members of their own (or plain, without compression). The reader
-checks each record: the member's CRC, the version line, the headers, the declared
-length and the payload digest. After a failed check it searches for the next place
-where a member or a version line begins that passes the checks, goes on from there,
-and logs the bytes between as a quarantined gap.
+Records are gzip members of their own (or plain, without compression); the reader also
+takes members that hold several records, up to a whole file. It checks each record: the
+member's CRC, the version line, the headers, the declared length, and the digests whose
+algorithm and form it knows (SHA-1, SHA-2 and MD5 in base 32 or hex; others are not
+checked). After a failed check it searches for the next place where a member or a
+version line begins that passes the checks, goes on from there, and logs the bytes
+between as a quarantined gap. Of a damaged member, the records before the damage are
+kept if their block digests vouch for them.
 """
 
 from __future__ import annotations
@@ -73,11 +76,12 @@ class Record:
     type: str
     headers: dict[str, str]
     block: bytes
+    verified: bool | None = None  # by its block digest
 
     @property
     def payload(self) -> bytes:
-        """The block without its HTTP headers."""
-        return self.block.partition(b"\r\n\r\n")[2]
+        """The block, without its HTTP headers if it has any."""
+        return self.block.partition(b"\r\n\r\n")[2] if self.headers.get("Content-Type", "").lower().startswith("application/http") else self.block
 
     def number(self, name: str) -> int | None:
         v = self.headers.get(name)
@@ -95,15 +99,41 @@ class Damaged(Exception):
     pass
 
 
-def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
-    """The plain record at `at` and where it ends; Damaged if a check fails."""
-    if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
+_VERSION, _BEGIN = re.compile(rb"WARC/[01]\.\d+\r\n"), re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r\n")
+_FOLD = re.compile(rb"\r\n[ \t]+")
+
+
+def hex_digest(given: str | None) -> tuple[str, str] | None:
+    """(algorithm, lower-case hex) of a digest header; None if its algorithm or form is not known."""
+    name, _, value = (given or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("sha1", "sha256", "sha384", "sha512", "md5"):
+        return None
+    size = hashlib.new(name).digest_size
+    if len(value) == 2 * size and re.fullmatch("[0-9a-fA-F]+", value):
+        return name, value.lower()
+    try:
+        raw = base64.b32decode(value.upper().rstrip("=") + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError:
+        return None
+    return (name, raw.hex()) if len(raw) == size else None
+
+
+def agrees(given: str | None, data: bytes) -> bool | None:
+    """Whether the digest is that of the data; None if it can't be told."""
+    known = hex_digest(given)
+    return None if known is None else hashlib.new(known[0], data).hexdigest() == known[1]
+
+
+def parse(data: bytes, at: int = 0, vouched: bool = False) -> tuple[Record, int]:
+    """The plain record at `at` and where it ends; Damaged if a check fails. vouched: a checksum around it was right."""
+    if not _VERSION.match(data, at):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", at)  # a URL in the headers may be of any length
     if end < 0:
         raise Damaged("headers have no end")
     headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    for line in _FOLD.sub(b" ", data[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Damaged("a header line has no colon")
@@ -116,12 +146,12 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     block = data[end + 4 : end + 4 + n]
     if n < 0 or len(block) < n or data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
         raise Damaged("the block does not end where its length says")
-    given = headers.get("WARC-Block-Digest")
-    if given and given != base32_sha1(hashlib.sha1(block).hexdigest()):
-        raise Damaged("block digest differs")
     r = Record(at, kind, headers, block)
-    given = headers.get("WARC-Payload-Digest")
-    if kind == "response" and given and given != base32_sha1(hashlib.sha1(r.payload).hexdigest()):
+    r.verified = agrees(headers.get("WARC-Block-Digest"), block)
+    if r.verified is False:
+        raise Damaged("block digest differs")
+    # what a payload is depends on its coding, so a digest of the block, or a checksum around it, comes first
+    if kind == "response" and not r.verified and not vouched and agrees(headers.get("WARC-Payload-Digest"), r.payload) is False:
         raise Damaged("payload digest differs")
     for name in ("X-Page-Id", "X-Payload-Length", "X-Refers-To-Page-Id"):
         if name in headers and not re.fullmatch(r"-?\d+", headers[name]):
@@ -129,61 +159,76 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     return r, end + 8 + n
 
 
-def unzipped(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member at `at`, its CRC checked, and where it ends."""
+def unzipped(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at `at` gives, where it ends, and what is wrong with it."""
     z = zlib.decompressobj(31)
     out, place, step = [], at, 1 << 16
     try:
         while not z.eof:
             part = data[place : place + step]
             if not part:
-                raise Damaged("the member is cut off")
-            out.append(z.decompress(part))
+                return b"".join(out), place, "the member is cut off"
             place += len(part)
+            out.append(z.decompress(part))
             step = min(step * 2, 1 << 22)
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    return b"".join(out), place - len(z.unused_data)
+        return b"".join(out), place, f"gzip: {e}"
+    return b"".join(out), place - len(z.unused_data), None
 
 
 @dataclass
 class Salvage:
-    """Records of a file's bytes; gaps fills as they are read."""
+    """Records of a file's bytes; gaps fills as they are read. vouched: the bytes are a member's whose checksum was right."""
 
     data: bytes
     gaps: list[Gap] = field(default_factory=list)
-
-    def _at(self, at: int) -> tuple[Record, int]:
-        if self.data[at : at + 2] == b"\x1f\x8b":
-            plain, end = unzipped(self.data, at)
-            record, used = parse(plain)
-            if used != len(plain):
-                raise Damaged("the member holds more than its record")
-            record.offset = at
-            return record, end
-        return parse(self.data, at)
+    vouched: bool = False
+
+    def _at(self, at: int) -> tuple[list[Record], list[Gap], int]:
+        """Records and inner gaps of the member or the plain record at `at`, and where it ends."""
+        if self.data[at : at + 2] != b"\x1f\x8b":
+            record, end = parse(self.data, at, self.vouched)
+            return [record], [], end
+        plain, end, wrong = unzipped(self.data, at)
+        inner = Salvage(plain, vouched=wrong is None)
+        records = [r for r in inner if wrong is None or r.verified]
+        if not records:
+            raise Damaged(wrong or inner.gaps[0].reason if wrong or inner.gaps else "the member is empty")
+        for r in records:
+            r.offset = at
+        if wrong is None:
+            return records, [Gap(at, g.length, f"inside a member: {g.reason}") for g in inner.gaps], end
+        # what follows the damage is found by the search for the next member
+        found = _BEGIN.search(self.data, at + 1)
+        while found:
+            try:
+                self._at(found.start())
+                break
+            except Damaged:
+                found = _BEGIN.search(self.data, found.start() + 1)
+        end = found.start() if found else len(self.data)
+        return records, [Gap(at, end - at, wrong)], end
 
     def __iter__(self) -> Iterator[Record]:
-        at, n, begin = 0, len(self.data), re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+        at, n = 0, len(self.data)
         while at < n:
-            try:
-                record, at = self._at(at)
-                yield record
-                continue
-            except Damaged as e:
-                reason = str(e)
-            start, found = at, begin.search(self.data, at + 1)
-            while found:
+            start, reason, found = at, None, None
+            while True:
                 try:
-                    record, at = self._at(found.start())
+                    records, gaps, end = self._at(at)
                     break
-                except Damaged:
-                    found = begin.search(self.data, found.start() + 1)
-            if not found:
-                self.gaps.append(Gap(start, n - start, reason))
-                return
-            self.gaps.append(Gap(start, record.offset - start, reason))
-            yield record
+                except Damaged as e:
+                    reason = reason or str(e)
+                found = _BEGIN.search(self.data, at + 1)
+                if not found:
+                    self.gaps.append(Gap(start, n - start, reason))
+                    return
+                at = found.start()
+            if at > start:
+                self.gaps.append(Gap(start, at - start, reason))
+            yield from records
+            self.gaps += gaps
+            at = end
 
 
 # -- tables ---------------------------------------------------------------------------
@@ -194,7 +239,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_i
 
     Of equal payloads of at least min_bytes, the rows with the largest id respond
     and the others revisit it; rows with a null id revisit any id there is, and all
-    respond if there is none. A null html is an empty payload.
+    respond if there is none. Rows that repeat the largest id all respond. A null html
+    is an empty payload, one of any length is taken whole; other columns are left behind.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     p = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("n_payload"))
@@ -204,7 +250,11 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_i
 
 
 def write_archives(pages: DataFrame, folder: str, compressed: bool = True, roll: int = ROLL_BYTES) -> DataFrame:
-    """Write the rows of with_revisits() as WARC files; return the manifest (file, n_records, n_bytes), written once."""
+    """Write the rows of with_revisits() as WARC files; return the manifest (file, n_records, n_bytes), written once.
+
+    A file is closed when it has `roll` bytes; a task without rows writes none, so an
+    empty table has no files and an empty manifest. Other columns are left behind.
+    """
     schema = pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
     def rows(batches):
@@ -227,7 +277,7 @@ def write_archives(pages: DataFrame, folder: str, compressed: bool = True, roll:
             yield [out.name, n, out.size]
 
     common.tuned(pages.sparkSession)
-    return common.written(pages.mapInArrow(lambda it: files.batches_of(rows(it), schema), "file string, n_records long, n_bytes long"), "manifest")
+    return common.written(pages.mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema)), "file string, n_records long, n_bytes long"), "manifest")
 
 
 def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -236,7 +286,8 @@ def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
     file, byte_offset, kind ("record" or "gap"), n_bytes and reason (gaps),
     record_type, page_id, url, payload_bytes, payload_digest (hex), refers_to and
     payload (null for revisits). With a column n_records in contents, a file that
-    gives fewer records is an error.
+    gives fewer records is an error. Other columns are left behind. A file is held
+    whole, and so is what one of its members unzips to.
     """
     cols = [("file", pa.string(), "string"), ("byte_offset", pa.int64(), "long"), ("kind", pa.string(), "string"), ("n_bytes", pa.int64(), "long"), ("reason", pa.string(), "string"), ("record_type", pa.string(), "string"), ("page_id", pa.int64(), "long"), ("url", pa.string(), "string"), ("payload_bytes", pa.int64(), "long"), ("payload_digest", pa.string(), "string"), ("refers_to", pa.int64(), "long")]
     cols += [("payload", pa.binary(), "binary")] * with_payload
@@ -252,8 +303,7 @@ def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
                         size, digest = len(full), hashlib.sha1(full).hexdigest()
                     else:
                         size = r.number("X-Payload-Length")
-                        given = r.headers.get("WARC-Payload-Digest", "")
-                        digest = base64.b32decode(given[5:]).hex() if given.startswith("sha1:") else None
+                        digest = (hex_digest(r.headers.get("WARC-Payload-Digest")) or (None, None))[1]
                     yield [name, r.offset, "record", None, None, r.type, r.number("X-Page-Id"), r.headers.get("WARC-Target-URI"), size, digest, r.number("X-Refers-To-Page-Id"), *[full] * with_payload]
                 if least is not None and n < least:
                     raise ValueError(f"{name}: {n} records of {least} were read; gaps: {reader.gaps[:3]}")
@@ -262,7 +312,7 @@ def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
 
     common.tuned(contents.sparkSession)
     least = F.col("n_records").cast("long") if "n_records" in contents.columns else F.lit(None).cast("long")
-    return contents.select("name", "content", least.alias("n_records")).mapInArrow(lambda it: files.batches_of(rows(it), schema, 256), ", ".join(f"{n} {k}" for n, _, k in cols))
+    return contents.select("name", "content", least.alias("n_records")).mapInArrow(common.freeing(lambda it: files.batches_of(rows(it), schema, 256)), ", ".join(f"{n} {k}" for n, _, k in cols))
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
