@@ -4,7 +4,8 @@ A document of label 1 is preferred to one of label 0; logistic loss on the
 differences of their features gives weights, so each document gets one number, its
 margin. The threshold is a quantile of the margins of the fitted sample: the share
 of label 0 in it. Scores are a logistic map of margins that puts that quantile at
-the stated score (0.3).
+the stated score (0.3). Features are counts of a text's surface and its hashed words
+and character trigrams, all of the whole text.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, files
+from . import common
 
-FEATURES = ["bias", "log_words", "upper", "symbols", "exclaims", "bars", "word_repeats", "distinct", "word_chars", "digits", "lines", "line_repeats", "stops", "long_words"]
+SURFACE = ["bias", "log_words", "upper", "symbols", "exclaims", "bars", "word_repeats", "distinct", "word_chars", "digits", "lines", "line_repeats", "stops", "long_words"]
+#: Buckets of hashed words, and of hashed trigrams.
+BUCKETS = 128
+WIDTH = len(SURFACE) + 2 * BUCKETS
 _SYMBOLS, _UPPER, _DIGITS, _STOPS = b"#*$%&<>", bytes(range(65, 91)), bytes(range(48, 58)), b".!?"
 
 
-def features(text: bytes) -> list[float]:
+def surface(text: bytes) -> list[float]:
     """Numbers of one text, each bounded; an empty text gives those of no words."""
     words = text.split()
     n, size = len(words), len(text)
@@ -48,6 +52,42 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+_BLANKS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: A text's bytes are hashed up to so many at a time, to a blank if there is one (longer words are cut).
+STRIDE = 1 << 16
+_UP = np.cumprod(np.full(STRIDE + 1, 0x9E3779B97F4A7C15, np.uint64))
+_DOWN = np.cumprod(np.full(STRIDE + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+
+
+def grams(text: bytes) -> np.ndarray:
+    """Roots of the shares of words, and of trigrams, in each bucket (A-Z as a-z)."""
+    out = np.zeros((2, BUCKETS))
+    whole = np.frombuffer(text.translate(common.LOWER), np.uint8)
+    with np.errstate(over="ignore"):
+        k = 0
+        while k < len(whole):
+            end = min(k + STRIDE, len(whole))
+            if end < len(whole) and len(blank := np.flatnonzero(_BLANKS[whole[k:end]])):
+                end = k + int(blank[-1]) + 1
+            b = whole[k:end]
+            edge = np.diff(np.concatenate([[True], _BLANKS[b], [True]]).astype(np.int8))
+            first, past = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * _UP[: len(b)])])
+            out[0] += np.bincount(common.mixed((total[past] - total[first]) * _DOWN[first]) % np.uint64(BUCKETS), minlength=BUCKETS)
+            x = whole[k : end + 2].astype(np.uint32)
+            out[1] += np.bincount(((x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(25), minlength=BUCKETS)
+            k = end
+    return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1)).ravel()
+
+
+def features(text: bytes) -> np.ndarray:
+    return np.concatenate([surface(text), grams(text)]).astype(np.float32)
+
+
+def matrix(texts: list[bytes]) -> np.ndarray:
+    return np.array([features(t) for t in texts], np.float32).reshape(-1, WIDTH)
+
+
 @dataclass(frozen=True)
 class Ranker:
     weights: tuple[float, ...]
@@ -56,82 +96,93 @@ class Ranker:
     at: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = (x @ np.array(self.weights) - self.cut) / self.scale + np.log(self.at / (1 - self.at))
+        z = (x.astype(np.float64) @ np.array(self.weights) - self.cut) / self.scale + np.log(self.at / (1 - self.at))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, at: float = 0.3, n_pairs: int = 60_000, steps: int = 40, l2: float = 1e-3, seed: int = 7) -> Ranker:
-    """Newton steps on the logistic loss of feature differences; pairs are drawn with a fixed seed. Without both labels, all margins are equal."""
+    """Newton steps, solved by conjugate gradients, on the logistic loss of feature differences; pairs are drawn with a fixed seed and never held as differences. Without both labels, all margins are equal."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    k = x.shape[1] if x.ndim == 2 else len(FEATURES)
+    k = x.shape[1] if x.ndim == 2 else WIDTH
     if not len(good) or not len(bad):
         return Ranker((0.0,) * k, 0.0, 1.0, at)
+    x = x.astype(np.float64)
     draw = np.random.default_rng(seed)
-    d = x[draw.choice(good, n_pairs)] - x[draw.choice(bad, n_pairs)]
+    i, j = draw.choice(good, n_pairs), draw.choice(bad, n_pairs)
+    back = lambda c: x.T @ (np.bincount(i, c, len(x)) - np.bincount(j, c, len(x))) / n_pairs
+    loss = lambda w: np.logaddexp(0, -((x @ w)[i] - (x @ w)[j])).mean() + l2 / 2 * w @ w
     w = np.zeros(k)
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / n_pairs + l2 * np.eye(k), d.T @ p / n_pairs - l2 * w)
-        w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-8:
+        m = x @ w
+        p = 1 / (1 + np.exp(np.clip(m[i] - m[j], -500, 500)))
+        down = back(p) - l2 * w  # against the gradient
+        if np.abs(down).max() < 1e-7:
             break
+        step, rest = np.zeros(k), down.copy()
+        way, square = rest.copy(), rest @ rest
+        for _ in range(100):
+            u = x @ way
+            curved = back(p * (1 - p) * (u[i] - u[j])) + l2 * way
+            far = square / (way @ curved)
+            step, rest = step + far * way, rest - far * curved
+            square, old = rest @ rest, square
+            if square < 1e-6 * (down @ down):
+                break
+            way = rest + square / old * way
+        size = 1.0
+        while (then := loss(w + size * step)) > now - 1e-4 * size * (down @ step) and size > 1e-6:
+            size /= 2
+        w, now = w + size * step, then
     margin = np.sort(x @ w)
     cut = (margin[len(bad) - 1] + margin[min(len(bad), len(margin) - 1)]) / 2  # the quantile at the share of label 0
     return Ranker(tuple(w.tolist()), float(cut), float(max(np.std(margin) / 4, 1e-9)), at)
 
 
-def featured(docs: DataFrame, keep: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    schema = pa.schema([(n, t) for n, _, t in keep] + [("x", pa.list_(pa.float64()))])
-
-    def rows(batches):
-        for b in batches:
-            kept = [common.column(b, n).to_pylist() for n, _, _ in keep]
-            for *own, text in zip(*kept, common.texts(b), strict=True):
-                yield [*own, features(text)]
-
-    return docs.mapInArrow(lambda it: files.batches_of(rows(it), schema, 1024), ", ".join(f"{n} {k}" for n, k, _ in keep) + ", x array<double>")
-
-
 def held_out(doc: Column) -> Column:
     return F.pmod(F.crc32(doc.cast("string").cast("binary")), F.lit(5)) == 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
-    """Fit on at most `most` labelled rows, the first by a hash of their id; held-out ids and null ids or labels are left out."""
+    """Fit on at most `most` labelled rows, the first by a hash of their id; held-out ids and null ids or labels are left out. What comes to the driver is `most` rows of 1 kB, or more only where ids are repeated in docs."""
     common.tuned(docs.sparkSession)
     doc = F.col(id_col).cast("long")
     chosen = labels.select(doc.alias("doc"), F.col(label_col).cast("int").alias("y")).where("doc is not null and y in (0, 1)").where(~held_out(F.col("doc"))).orderBy(F.xxhash64("doc"), "doc", "y").limit(most)
     joined = common.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc").select("doc", "y", "text")  # at most `most` rows of 12 bytes
-    rows = featured(joined, [("doc", "long", pa.int64()), ("y", "int", pa.int32())]).toPandas().sort_values(["doc", "y"], kind="stable")
-    return fit_pairs(np.array(rows.x.tolist(), float).reshape(-1, len(FEATURES)), rows.y.to_numpy())
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "y"), pa.array([features(t).tobytes() for t in common.texts(b)], pa.binary())], ["doc", "y", "x"])
+
+    rows = joined.mapInArrow(common.freeing(run), "doc long, y int, x binary").toPandas().sort_values(["doc", "y", "x"], kind="stable")
+    return fit_pairs(np.frombuffer(b"".join(rows.x), np.float32).reshape(-1, WIDTH), rows.y.to_numpy())
 
 
 def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) of each row of docs; a null text scores as an empty one. Map only: no shuffle.
 
-    Null ids, repeated rows and empty tables need no rule; other columns are left behind.
+    Null ids, repeated rows and empty tables need no rule; equal texts tie; a text of any
+    length is read whole; other columns are left behind.
     """
     common.tuned(docs.sparkSession)
     schema = pa.schema([("doc", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in common.texts(b)], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), pa.array(ranker.scores(x))], schema=schema)
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), pa.array(ranker.scores(matrix(common.texts(b))))], schema=schema)
 
-    return common.keyed(docs, id_col, text_col).select("doc", "text").mapInArrow(run, "doc long, score double").withColumnRenamed("doc", id_col)
+    return common.keyed(docs, id_col, text_col).select("doc", "text").mapInArrow(common.freeing(run), "doc long, score double").withColumnRenamed("doc", id_col)
 
 
 def accepted(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores ranker.at or more. Map only."""
+    """The rows of docs, all columns whatever their names, whose text scores ranker.at or more; a null text scores as an empty one, and equal texts go or stay together. Map only."""
     common.tuned(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in common.texts(b, text_col)], float).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(ranker.scores(x) >= ranker.at))
+            yield b.filter(pa.array(ranker.scores(matrix(common.texts(b, text_col))) >= ranker.at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.freeing(run), docs.schema)
 
 
 def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
