@@ -1,4 +1,4 @@
-"""Count-min sketches made by the tasks and merged slice by slice; their size is fixed by their parameters, whatever the input."""
+"""Count-min sketches made by the tasks and merged slice by slice. Whoever builds one gives its size."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import MIX, mixed
+from .common import MIX, freeing, mixed
 
 SLICE = 1 << 18
 #: Sketches of so many cells are counted in place by each task; larger ones by sorting what it touched.
@@ -45,7 +45,21 @@ class CountMin:
         return out
 
 
-def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shape: CountMin) -> np.ndarray:
+    def full(self, bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether each hash's count may be `most`: of the bits that build_full() makes."""
+        out = np.ones(len(h), bool)
+        with np.errstate(over="ignore"):
+            for c in self.cells(h):
+                out &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def build_full(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shape: CountMin) -> np.ndarray:
+    """A bit for each cell, set if it counts shape.most: shape.size bits come to the driver."""
+    return build(docs, hashes, shape, full=True)
+
+
+def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], shape: CountMin, full: bool = False) -> np.ndarray:
     """Counts over all hashes that `hashes` yields. Tasks send the cells they touched; each slice is merged as its rows stream by; the merged cells (shape.size of them) come to the driver."""
     spark = docs.sparkSession
     out_schema = pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
@@ -97,12 +111,14 @@ def build(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator
                 whole = slices.setdefault(k, np.zeros(SLICE, shape.kind))
                 at = np.frombuffer(cells, "<u4") if cells else slice(None)
                 whole[at] = np.minimum(whole[at].astype(np.uint64) + np.frombuffer(counts, np.uint8), shape.most)
-        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array([s.tobytes() for s in slices.values()], pa.binary()), pa.array([b""] * len(slices), pa.binary())], schema=out_schema)
+        done = [np.packbits(s >= shape.most).tobytes() if full else s.tobytes() for s in slices.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array(done, pa.binary()), pa.array([b""] * len(slices), pa.binary())], schema=out_schema)
 
     kinds = "slice int, cells binary, counts binary"
     n_slices = max(1, shape.size // SLICE)
-    merged = docs.mapInArrow(partial, kinds).repartition(min(n_slices, 64), "slice").mapInArrow(merge, kinds)
-    counts = np.zeros(n_slices * SLICE, shape.kind)
+    merged = docs.mapInArrow(freeing(partial), kinds).repartition(min(n_slices, 64), "slice").mapInArrow(freeing(merge), kinds)
+    counts = np.zeros(n_slices * SLICE // 8 if full else n_slices * SLICE, np.uint8 if full else shape.kind)
+    size = len(counts) // n_slices
     for r in merged.toLocalIterator():
-        counts[r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r.cells, shape.kind)
+        counts[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.cells, counts.dtype)
     return counts
