@@ -70,3 +70,83 @@ def test_near_duplicates_of_the_tables_are_five_words_and_80_percent(kept):
 
     rows = [(r.doc_id, r.text) for r in kept[1].collect()]
     assert sorted(r.doc_id for r in kept[2].collect()) == sorted(i for i, n, c in brute_components(rows, 5, 80) if i == c or n == 0)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _id long, _doc long, _dig string, _spans int, doc long, dig long, row string, first string, copy boolean, spans string"
+
+
+def odd_rows(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, "x", 3, 4, 5, "r", "f", True, "p") for i, t in rows], ODD)
+
+
+def odd_texts():
+    from tests.llm.test_operators import corpus
+
+    bench = "zero one two three four five six seven eight nine ten eleven"
+    return corpus() + [(500, f"before {bench} after"), (501, f"{bench} quite different words stand here"), (501, f"{bench} quite different words stand here")], bench
+
+
+@pytest.fixture(scope="module")
+def small_sf(spark, tmp_path_factory):
+    """A folder of tables whose labels and benchmark fit odd_texts()."""
+    at = f"file://{tmp_path_factory.mktemp('small')}"
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, odd_texts()[1]), (2, None), (None, "one")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, small_sf, name, stage):
+    """Clashing names, nulls, repeated rows and ties: a stage gives the same rows as it does without the other columns, with those unchanged."""
+    rows, _ = odd_texts()
+    docs = odd_rows(spark, rows).repartition(3)
+    got = stage(spark, docs, small_sf)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    want = stage(spark, plain, small_sf)
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, str(r[1]))
+    a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    if name == "token_ids":
+        assert a == b and len(a) == len(rows)
+        return
+    assert got.dtypes == docs.dtypes and want.dtypes == plain.dtypes
+    assert [(r.doc_id, r.text, r.n_chars) for r in a] == [(r.doc_id, r.text, r.n_chars) for r in b] and a
+    assert {tuple(r)[5:] for r in a} == {(1, 2, "x", 3, 4, 5, "r", "f", True, "p")}
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_of_no_rows(spark, small_sf, name, stage):
+    docs = odd_rows(spark, [])
+    out = stage(spark, docs, small_sf)
+    assert out.count() == 0 and (name == "token_ids" or out.dtypes == docs.dtypes)
+
+
+def test_pipeline_of_no_rows(spark, small_sf, tmp_path):
+    at = f"file://{tmp_path}"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small_sf}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    assert corpus_pipeline.run(spark, at).count() == 0
+
+
+def test_repeated_strings_are_cut(kept):
+    """What the stage leaves is each text without the bytes under strings of 200 bytes that stand elsewhere; characters cut in part go whole."""
+    before, after = ({r.doc_id: r for r in kept[k].collect()} for k in (2, 3))
+    count = {}
+    for r in before.values():
+        t = r.text.encode()
+        for k in range(len(t) - 199):
+            count[t[k : k + 200]] = count.get(t[k : k + 200], 0) + 1
+    cut = 0
+    for i, r in before.items():
+        t = r.text.encode()
+        keep = bytearray(b"\1" * len(t))
+        for k in range(len(t) - 199):
+            if count[t[k : k + 200]] > 1:
+                keep[k : k + 200] = bytes(200)
+        want = bytes(x for x, y in zip(t, keep, strict=True) if y).decode("utf-8", "ignore")
+        cut += want != r.text
+        if want == r.text or want.split():
+            assert after[i].text == want and (want == r.text or after[i].n_chars == len(want))
+        else:
+            assert i not in after
+    assert cut
