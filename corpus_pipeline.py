@@ -1,8 +1,12 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the
-last return the columns of documents. Rows with null texts count as empty ones: the
-quality stage scores them as such. Stages read no more of sf_dir than labels and
+last return the columns of docs, whatever others there are and whatever their names.
+Rows with null texts count as empty ones, which the quality stage scores as such; null
+ids are ids like others. Rows repeated in the table: quality and decontamination keep or
+drop them together, near_duplicates keeps one. Of near duplicates the row with the least
+id stays, then that with the least hash of its text. An empty table gives an empty one.
+Texts are read whole at any length. Stages read no more of sf_dir than labels and
 benchmark.
 """
 
@@ -20,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by 80 % equal 5-word shingles, keep that with the smallest id."""
-    return jaccard_join.one_of_each(docs, n=5, pct=80)
+    return jaccard_join.one_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
