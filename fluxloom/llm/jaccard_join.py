@@ -18,8 +18,8 @@ Only links that join components matter, so the product is taken in blocks:
     are copies of. Each node is multiplied with the hubs that it shares most columns
     with; links contract the group. This is done ROUNDS times, each with other hubs.
  2. Columns that still hold nodes of different components give every pair across
-    components, at its first common column alone. No pair within a component is made,
-    and none is left out across.
+    components, at its first common column and few others. No pair within a component
+    is made, and none is left out across.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .components import components
 from .sketch import CountMin, build
 
 FREQUENCY = CountMin(log2_width=20, depth=1, most=(1 << 32) - 1)
-ROUNDS, HUBS = 2, 2
+ROUNDS, HUBS, EARLIER = 2, 2, 16
 #: Rows of two numbers that may be broadcast to find the texts of nodes: 16 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -166,9 +166,10 @@ def hub_pairs(e: DataFrame, hubs: DataFrame, pct: int) -> DataFrame:
 
 
 def cross_pairs(e: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
-    """(a, b): nodes of different components that may link by sizes, by the place of their first common column, where alone they meet, and by the number of common ones."""
-    listed = e.groupBy("node").agg(F.collect_list(F.struct("left", "token")).alias("all"))  # of one prefix
-    prior = F.transform(F.filter("all", lambda x: x.left > F.col("left")), lambda x: x.token)
+    """(a, b): nodes of different components that may link by sizes, by the place of their first common column, and by the number of common ones. They meet there, and not at later columns if one of EARLIER each tells that they have met."""
+    # a node's first columns tell most pairs that have met before: so many are looked at
+    listed = e.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("left", "token")), False), 1, EARLIER).alias("early"))  # of one prefix
+    prior = F.transform(F.filter("early", lambda x: x.left > F.col("left")), lambda x: x.token)
     e = common.written(e.join(listed, "node").select("token", "node", "size", "left", "part", prior.alias("prior")), "prefix-prior")
     groups = e.groupBy("token", "part").agg(F.count("*").alias("m"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("left").alias("left"), F.first("prior").alias("prior"))
     groups = common.written(groups.withColumn("prior", F.when(F.col("m") == 1, F.col("prior"))), "prefix-groups")
