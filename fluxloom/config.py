@@ -13,6 +13,7 @@ VEGA_AB = {"W1": 2.699, "W2": 3.339}
 UNWISE_SCALE, UNWISE_FWHM = 2.75, 6.94
 IRAC_FLUX_CORRECTION = {"IRAC1": 0.943, "IRAC2": 0.929, "IRAC3": 0.772, "IRAC4": 0.737}
 IRAC_SYSTEMATIC = 0.02
+WARM_MJD = 54966
 MAD_SCALE = 1.482602218505602
 # Bits that spoil a pixel.
 BAD_BITS_VIS, BAD_BITS_NISP, STARSIGNAL_BIT = (0, 3, 22), (0, 10), 18
@@ -51,7 +52,7 @@ def mission(channel: str | int, mjd: float | None = None, date: str | None = Non
     if normalize_channel(channel) in ("IRAC3", "IRAC4"):
         return "cryo"
     if mjd is not None:
-        return "warm" if mjd >= 54966 else "cryo"
+        return "warm" if mjd >= WARM_MJD else "cryo"
     return "warm" if date is not None and date[:10] >= "2009-05-15" else "cryo"
 
 

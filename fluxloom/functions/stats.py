@@ -26,11 +26,16 @@ def mad_std(df: DataFrame, value: Column, keys: list[str], name: str = "mad_std"
     return with_group(v, keys, median(F.col("_v")).alias("_m")).groupBy(*keys).agg((MAD_SCALE * median(F.abs(F.col("_v") - F.col("_m")))).alias(name), F.count("*").alias("n"))
 
 
-def sigma_clipped(df: DataFrame, value: Column, keys: list[str], sigma: float = 3.0, iterations: int = 5) -> DataFrame:
-    """keys, clipped_std, clipped_median, n after rounds that drop what lies over sigma population deviations from the median."""
-    v = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
+def clipped(v: DataFrame, keys: list[str], sigma: float = 3.0, iterations: int = 5) -> DataFrame:
+    """keys, _v without what lies over sigma population deviations from the median of its group, round by round."""
     for _ in range(iterations):
         v = with_group(v, keys, median(F.col("_v")).alias("_m"), F.stddev_pop("_v").alias("_s")).where(F.abs(F.col("_v") - F.col("_m")) <= sigma * F.col("_s")).select(*keys, "_v")
+    return v
+
+
+def sigma_clipped(df: DataFrame, value: Column, keys: list[str], sigma: float = 3.0, iterations: int = 5) -> DataFrame:
+    """keys, clipped_std, clipped_median, n after rounds that drop what lies over sigma population deviations from the median."""
+    v = clipped(df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v"))), keys, sigma, iterations)
     return v.groupBy(*keys).agg(F.stddev_pop("_v").alias("clipped_std"), median(F.col("_v")).alias("clipped_median"), F.count("*").alias("n"))
 
 
@@ -39,13 +44,16 @@ def chi_inflation(pixels: DataFrame, keys: list[str], least: int = 50) -> DataFr
 
     chi of pixels with weight is pooled where |model - sky| is under 1, 2, 3, 5
     deviations of the pixel: the first pool of `least` pixels counts, else all
-    pixels. The factor is max(1, mad_std of the pool).
+    pixels, clipped at three deviations in five rounds (pool is null then). The factor
+    is max(1, mad_std of the pool).
     """
-    p = pixels.where("weight > 0").select(*keys, ((F.col("data") - F.col("model")) * F.sqrt("weight")).alias("chi"), (F.abs(F.col("model") - F.col("sky")) * F.sqrt("weight")).alias("depth"))
+    p = pixels.where((F.col("weight") > 0) & finite(F.col("data")) & finite(F.col("model"))).select(*keys, ((F.col("data") - F.col("model")) * F.sqrt("weight")).alias("chi"), (F.abs(F.col("model") - F.col("sky")) * F.sqrt("weight")).alias("depth"))
     counts = [F.count(F.when(F.col("depth") < k, 1)).alias(f"n{k}") for k in (1, 2, 3, 5)]
     p = with_group(p, keys, *counts)
-    limit = F.when(F.col("n1") >= least, 1.0).when(F.col("n2") >= least, 2.0).when(F.col("n3") >= least, 3.0).when(F.col("n5") >= least, 5.0).otherwise(float("inf"))
-    pool = p.withColumn("pool", limit).where("depth < pool").withColumn("pool", F.when(F.col("pool") < 10, F.col("pool")))
+    limit = F.when(F.col("n1") >= least, 1.0).when(F.col("n2") >= least, 2.0).when(F.col("n3") >= least, 3.0).when(F.col("n5") >= least, 5.0)
+    p = p.withColumn("pool", limit)
+    rest = clipped(p.where("pool is null").select(*keys, F.col("chi").cast("double").alias("_v")), keys)
+    pool = p.where("depth < pool").select(*keys, "chi", "pool").unionByName(rest.select(*keys, F.col("_v").alias("chi"), F.lit(None).cast("double").alias("pool")))
     label = pool.groupBy(*keys).agg(F.max("pool").alias("pool"))
     out = mad_std(pool, F.col("chi"), keys, "spread").join(label, keys) if keys else mad_std(pool, F.col("chi"), keys, "spread").crossJoin(label)
     return out.select(*keys, F.greatest(F.lit(1.0), "spread").alias("inflation"), "pool", "n")

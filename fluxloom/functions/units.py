@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import EXTINCTION, IRAC_FLUX_CORRECTION, IRAC_SYSTEMATIC, UJY_PER_NMGY, VEGA_AB, ZP_NMGY, ZP_UJY
+from ..config import EXTINCTION, IRAC_FLUX_CORRECTION, IRAC_SYSTEMATIC, UJY_PER_NMGY, VEGA_AB, WARM_MJD, ZP_NMGY, ZP_UJY
 
 
 def finite(c: Column) -> Column:
@@ -118,3 +118,8 @@ def bounded_uniform(key: Column, lo: float, hi: float, log: bool = False) -> Col
     """A draw for each key by hash: the same on every run and engine of this package."""
     u = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
     return F.exp(math.log(lo) + u * math.log(hi / lo)) if log else lo + u * (hi - lo)
+
+
+def irac_mission(channel: Column, mjd: Column) -> Column:
+    """cryo or warm of a channel (1 to 4) at a date; channels 3 and 4 have cryogenic data alone, and an unknown date counts as cryogenic."""
+    return F.when(channel >= 3, "cryo").when(mjd >= WARM_MJD, "warm").otherwise("cryo")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import BANDS, EXTINCTION, MAD_SCALE
+from ..config import EXTINCTION, MAD_SCALE
 from ..functions import stats, units
+from ..functions.small import small
 from ..functions.units import finite
 
 
@@ -76,8 +77,8 @@ def split_neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def recalibrated(measurements: DataFrame, factors: DataFrame) -> DataFrame:
-    """Errors times new / applied factor of their band, so that applying twice is applying once. factors: band, factor (a row per band)."""
-    f = F.broadcast(factors.select("band", F.col("factor").alias("_f")).limit(len(BANDS) * 4))
+    """Errors times new / applied factor of their band, so that applying twice is applying once. factors: band, factor (a row per band, however many bands)."""
+    f = small(factors.select("band", F.col("factor").alias("_f")))
     new = F.coalesce(F.col("_f"), F.col("factor"), F.lit(1.0))
     return measurements.join(f, "band", "left").withColumns({"err": F.col("err") * new / F.coalesce("factor", F.lit(1.0)), "factor": new}).drop("_f")
 

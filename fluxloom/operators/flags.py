@@ -20,13 +20,17 @@ def blend_flags(cat: DataFrame, radius_arcsec: float = 1.0, flux_ratio: float =
 
     Blended: another row within the radius has more than flux_ratio of the row's
     flux (a missing flux counts as 0), or another lies inside the row's own
-    effective radius. Radii are those of the rows, so the join reaches as far as the
-    largest.
+    effective radius. Rows of larger radii are joined octave by octave, so one large
+    radius does not make the others meet rows far away.
     """
-    n = matching.others(cat, radius_arcsec, ("flux",))
+    n = matching.others(cat, radius_arcsec, ("flux", "re"))
     near = n.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("n_neighbors"), F.min("sep").alias("nearest_arcsec"), F.bool_or(known(F.col("right_flux"), 0.0) > flux_ratio * known(F.col("left_flux"), 0.0)).alias("bright"))
-    reach = max(cat.agg(F.max(F.when(finite(F.col("re")), F.col("re")))).head()[0] or 0.0, 1e-3)
-    inside = matching.others(cat, float(reach), ("re",)).where("sep < left_re").select(F.col("left_id").alias("id")).distinct().withColumn("inside", F.lit(True))
+    inside = n.where("sep < left_re")
+    large = cat.where(finite(F.col("re")) & (F.col("re") > radius_arcsec)).withColumn("_octave", F.floor(F.log2(F.col("re") / radius_arcsec)).cast("int"))
+    for k in sorted(r[0] for r in large.select("_octave").distinct().collect()):  # of a float, at most some two thousand
+        own = matching.pairs(large.where(F.col("_octave") == k), cat, min(radius_arcsec * 2.0 ** (k + 1), 180 * 3600.0), left_cols=("re",)).where("left_id <> right_id and sep < left_re")
+        inside = inside.select("left_id").unionByName(own.select("left_id"))
+    inside = inside.select(F.col("left_id").alias("id")).distinct().withColumn("inside", F.lit(True))
     out = cat.join(near, "id", "left").join(inside, "id", "left")
     return out.withColumns(
         {
@@ -83,3 +87,14 @@ def star_mask(pixels: DataFrame, stars: DataFrame, scale_arcsec: float, core_arc
 def star_signal(flag):
     """The star-signal bit of a flag plane."""
     return F.getbit(flag, F.lit(STARSIGNAL_BIT)) == 1
+
+
+def usable_detections(dets: DataFrame, least_ratio: float = 0.6) -> DataFrame:
+    """Detections (flag, a, b) without a flag that are not badly elongated."""
+    return dets.where((F.col("flag") == 0) & (F.col("a") > 0) & (F.col("b") / F.when(F.col("a") > 0, F.col("a")) > least_ratio))
+
+
+def registration_stars(cat: DataFrame, width: int, height: int, least_flux: float = 1.0, edge: float = 10.0) -> DataFrame:
+    """Stars (is_star, flux, x, y) bright enough and off the image's edge."""
+    inside = (F.col("x") > edge) & (F.col("x") < width - edge) & (F.col("y") > edge) & (F.col("y") < height - edge)
+    return cat.where(F.col("is_star") & (F.col("flux") > least_flux) & F.coalesce(inside, F.lit(False)))

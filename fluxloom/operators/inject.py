@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, units
+from ..plans.cut import cut
 from .render import template
 
 
@@ -60,8 +61,9 @@ def inject(pixels: DataFrame, templates: DataFrame, truth: DataFrame, flux: str)
 def empty_positions(pixels: DataFrame, cat: DataFrame, n: int = 200, avoid: float = 15.0, edge: int = 20, seed: int = 0, draws: int = 4) -> DataFrame:
     """Up to n positions (tile, id, x, y) per tile on usable pixels, more than `avoid` pixels from catalog rows and from one another.
 
-    Candidates are the tile's usable pixels in hash order. Only draws * n of them per
-    tile (at least 64) go to the greedy step, as each batch of draws does.
+    Candidates are the tile's usable pixels in hash order, in batches: first some
+    draws * n of them per tile (at least 64), then twice as many each time, until each
+    tile has its n or all its pixels were tried. A batch is what a task holds of a tile.
     """
     usable = pixels.where("w > 0").join(F.broadcast(pixels.agg(F.max("x").alias("_w"), F.max("y").alias("_h"))))  # one row
     usable = usable.where(F.col("x").between(edge, F.col("_w") - edge) & F.col("y").between(edge, F.col("_h") - edge)).select("tile", "x", "y", F.xxhash64(F.lit(seed), "tile", "x", "y").alias("h"))
@@ -74,20 +76,36 @@ def empty_positions(pixels: DataFrame, cat: DataFrame, n: int = 200, avoid: floa
     kind = dict(pixels.dtypes)["tile"]
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "x", "y"])
-        got: list[tuple[int, int]] = []
-        for x, y in zip(pdf.x, pdf.y, strict=True):
-            if all((x - a) ** 2 + (y - b) ** 2 > avoid * avoid for a, b in got):
-                got.append((x, y))
-                if len(got) == n:
-                    break
-        return pd.DataFrame({"tile": pdf.tile.iloc[0], "id": range(len(got)), "x": [float(a) for a, _ in got], "y": [float(b) for _, b in got]})
+        pdf = pdf.sort_values(["q", "h", "x", "y"])
+        had = pdf.q.to_numpy() < 0
+        got = np.empty((n, 2))
+        m = min(int(had.sum()), n)
+        got[:m] = pdf[["x", "y"]].to_numpy(float)[had][:m]
+        for at in pdf[["x", "y"]].to_numpy(float)[~had]:
+            if m == n:
+                break
+            if not m or ((got[:m] - at) ** 2).sum(axis=1).min() > avoid * avoid:
+                got[m] = at
+                m += 1
+        return pd.DataFrame({"tile": pdf.tile.iloc[0], "id": np.arange(m), "x": got[:m, 0], "y": got[:m, 1]})
 
     most = max(draws * n, 64)
-    ranked = free.withColumn("_q", F.pmod("h", F.lit(1 << 30)))
     share = free.groupBy("tile").agg(F.count("*").alias("_n"))
-    pick = ranked.join(share, "tile").where(F.col("_q") < F.lit(float(1 << 30)) * most / F.col("_n"))
-    return pick.select("tile", "x", "y", "h").groupBy("tile").applyInPandas(greedy, f"tile {kind}, id long, x double, y double")
+    ranked = cut(free.withColumn("q", F.pmod("h", F.lit(1 << 30)) / float(1 << 30)).join(share, "tile").withColumn("batch", F.floor(F.log2(1 + F.col("q") * F.col("_n") / most)).cast("int")).drop("_n"))
+    last = ranked.agg(F.max("batch")).head()[0]
+    got = None
+    for k in range((last if last is not None else -1) + 1):
+        batch = ranked.where(F.col("batch") == k).select("tile", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "h", "q")
+        if got is not None:  # the order among those accepted stays: their number stands for it
+            done = got.groupBy("tile").agg(F.count("*").alias("m")).where(F.col("m") >= n).select("tile")
+            batch = batch.join(done, "tile", "left_anti")
+            if not batch.head(1):
+                if not ranked.join(done, "tile", "left_anti").where(F.col("batch") > k).head(1):
+                    break
+                continue
+            batch = batch.unionByName(got.select("tile", "x", "y", F.lit(0).cast("long").alias("h"), (F.col("id") - 1.0 - n).alias("q")))
+        got = cut(batch.groupBy("tile").applyInPandas(greedy, f"tile {kind}, id long, x double, y double"))
+    return got if got is not None else ranked.limit(0).select("tile", F.lit(0).cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
 def empty_inflation(fluxes: DataFrame, keys: list[str], least: int = 20) -> DataFrame:

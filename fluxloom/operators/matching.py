@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sky
 from ..functions.units import finite
+from ..plans.cut import cut
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def away_from(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFr
 def ring_neighbours(cat: DataFrame, existing: DataFrame, ra: float, dec: float, half_deg: float, buffer_arcsec: float, clear_arcsec: float = 3.0) -> DataFrame:
     """Rows of the ring around a square field that are not within clear_arcsec of an existing source, by (ra, dec) so that solves repeat."""
     ring = cat.where(sky.box(F.col("ra"), F.col("dec"), ra, dec, half_deg + buffer_arcsec / 3600) & ~sky.box(F.col("ra"), F.col("dec"), ra, dec, half_deg))
-    return away_from(ring, existing, clear_arcsec)
+    return away_from(ring, existing, clear_arcsec).orderBy("ra", "dec", "id")
 
 
 def isolated(cat: DataFrame, radius_arcsec: float, flux_fraction: float = 1 / 3) -> DataFrame:
@@ -96,14 +97,31 @@ def brightest_neighbour(cat: DataFrame, radius_arcsec: float) -> DataFrame:
     return cat.join(best.select("id", (-F.col("m.k")).alias("neighbour_id"), F.col("m.right_flux").alias("neighbour_flux")), "id", "left")
 
 
-def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = ()) -> DataFrame:
-    """cat with sample_id of the nearest PSF sample by chord length (safe across RA 0), no interpolation; samples share keys (such as band) with cat. Samples of one instrument are few: they are broadcast if Spark finds them small."""
-    u, v = (sky.unit_vector(F.col(f"{p}ra"), F.col(f"{p}dec")) for p in ("", "s_"))
-    s = samples.select(*keys, F.col("id").alias("sample_id"), F.col("ra").alias("s_ra"), F.col("dec").alias("s_dec"))
+def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = (), first_arcsec: float = 30.0) -> DataFrame:
+    """cat with sample_id of the nearest PSF sample by chord length (safe across RA 0), no interpolation; samples share keys (such as band) with cat.
+
+    Rows meet the samples within a radius by cells; those that find none are asked again
+    with four times the radius, up to the whole sky, so no row meets all samples unless
+    they are all that near. Ties go to the smaller id; a row without a position, or
+    whose keys have no sample, has none.
+    """
+    u, v = (sky.unit_vector(F.col(f"left_{p}"), F.col(f"left_{q}")) if k == 0 else sky.unit_vector(F.col(f"right_{p}"), F.col(f"right_{q}")) for k, p, q in ((0, "ra", "dec"), (1, "ra", "dec")))
     d2 = sum(((u[k] - v[k]) * (u[k] - v[k]) for k in ("ux", "uy", "uz")), F.lit(0.0))
-    both = cat.join(s, list(keys)) if keys else cat.hint("shuffle_replicate_nl").join(s)
-    best = both.select("id", F.struct(F.round(d2, 15).alias("d2"), "sample_id").alias("m")).groupBy("id").agg(F.min("m").alias("m"))
-    return cat.join(best.select("id", F.col("m.sample_id").alias("sample_id")), "id", "left")
+    rest, found, radius = _placed(cat).select("id", "ra", "dec", *keys), None, first_arcsec
+    known = samples.select(*keys).distinct() if keys else None
+    if known is not None:
+        rest = rest.join(known, list(keys), "left_semi")
+    while samples.head(1) and rest.head(1):
+        near = pairs(rest, samples, radius, left_cols=("ra", "dec", *keys), right_cols=("ra", "dec", *keys))
+        for k in keys:
+            near = near.where(F.col(f"left_{k}") == F.col(f"right_{k}"))
+        best = cut(near.groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct(F.round(d2, 15).alias("d2"), F.col("right_id").alias("sample_id"))).alias("m")).select("id", "m.sample_id"))
+        found = best if found is None else found.unionByName(best)
+        if radius >= 180 * 3600:
+            break
+        rest, radius = cut(rest.join(best, "id", "left_anti")), min(4 * radius, 180 * 3600.0)
+    none = cat.withColumn("sample_id", F.lit(None).cast(samples.schema["id"].dataType))
+    return none if found is None else cat.join(found, "id", "left")
 
 
 def nearest_vector(queries: DataFrame, samples: DataFrame, column: str, rows: int = 256) -> DataFrame:

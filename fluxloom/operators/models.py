@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FREE_PARAMETERS, MODELS, RADIUS_ARCSEC, SERSIC_N, STAR_PROBABILITY
+from ..functions.small import small
 from ..functions.units import finite, known
 
 
@@ -62,8 +63,7 @@ def from_coords(coords: DataFrame, model: str = "PointSource", flux: float = 1.0
 
 def clones(sources: DataFrame, bands: DataFrame, point: bool = False) -> DataFrame:
     """Every source in every band (band, seed_nmgy, psf_half_pix, scale_arcsec: a row per band), with the half-size of its stamp."""
-    b = F.broadcast(bands.limit(64))
-    out = sources.join(b)
+    out = sources.crossJoin(small(bands))
     if point:
         out = out.withColumns({"model": F.lit("PointSource"), "re": F.lit(None).cast("double")})
     return out.withColumn("half_pix", F.col("psf_half_pix") + F.greatest(F.lit(4), F.ceil(2 * F.coalesce("re", F.lit(0.0)) / F.col("scale_arcsec"))).cast("int"))

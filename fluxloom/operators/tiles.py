@@ -111,3 +111,33 @@ def standard_columns(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFr
     if missing := [k for k, v in found.items() if v is None]:
         raise ValueError(f"no column for {missing}")
     return df.select(*[F.col(v).alias(k) for k, v in found.items()])
+
+
+def packed_masks(masks: DataFrame) -> DataFrame:
+    """tile, blob, x0, y0, width, height and cells: the pixels (tile, blob, x, y) of each blob as sorted places in its bounding box, for sending."""
+    box = masks.groupBy("tile", "blob").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("_x1"), F.max("y").alias("_y1"))
+    m = masks.join(box, ["tile", "blob"]).withColumn("width", (F.col("_x1") - F.col("x0") + 1).cast("int"))
+    place = (F.col("y") - F.col("y0")) * F.col("width") + (F.col("x") - F.col("x0"))
+    return m.groupBy("tile", "blob", "x0", "y0", "width", (F.col("_y1") - F.col("y0") + 1).cast("int").alias("height")).agg(F.sort_array(F.collect_set(place.cast("int"))).alias("cells"))
+
+
+def unpacked_masks(packed: DataFrame) -> DataFrame:
+    """The pixels of packed_masks()."""
+    p = packed.select("tile", "blob", "x0", "y0", "width", F.explode("cells").alias("k"))
+    return p.select("tile", "blob", (F.col("x0") + F.col("k") % F.col("width")).alias("x"), (F.col("y0") + F.floor(F.col("k") / F.col("width"))).alias("y"))
+
+
+def blob_boxes(masks: DataFrame, width: int, height: int, margin: int = 20) -> DataFrame:
+    """tile, blob and the corner and size of its bounding box with a margin, cut at the image."""
+    box = masks.groupBy("tile", "blob").agg(*[f(c).alias(f"_{n}{c}") for c in ("x", "y") for f, n in ((F.min, "a"), (F.max, "z"))])
+    lo = lambda c: F.greatest(F.col(f"_a{c}") - margin, F.lit(0))
+    hi = lambda c, n: F.least(F.col(f"_z{c}") + margin, F.lit(n - 1))
+    return box.select("tile", "blob", lo("x").alias("x0"), lo("y").alias("y0"), (hi("x", width) - lo("x") + 1).alias("width"), (hi("y", height) - lo("y") + 1).alias("height"))
+
+
+def masked_clones(pixels: DataFrame, masks: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Each blob's pixels (tile, x, y, d, w) inside its box, moved to the box's corner; weight 0 off the blob's own mask."""
+    p = pixels.join(boxes, "tile").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("width")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("height")))
+    own = masks.select("tile", "blob", "x", "y").distinct().withColumn("_own", F.lit(True))
+    p = p.join(own, ["tile", "blob", "x", "y"], "left")
+    return p.select("tile", "blob", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "d", F.when(F.col("_own"), F.col("w")).otherwise(0.0).alias("w"))

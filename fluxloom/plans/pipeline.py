@@ -81,8 +81,8 @@ def prior_sources(cfg: RunConfig, catalog_rows: DataFrame | None, coords: DataFr
 
 def solve_band(src: DataFrame, band: Band) -> DataFrame:
     """(id, band, flux, err, factor) in microjanskys for every source on the band's image. A flux that is negative or absurd against the prior keeps its row, with null error."""
-    px = band.weights()
-    t = inject.rendered(src, band.psf, band.width, band.height)
+    px = cut(band.weights())
+    t = cut(inject.rendered(src, band.psf, band.width, band.height))  # the solve reads both several times
     f = solve.solve_fluxes(t, px, sky=band.sky)
     own = f.where(F.col("id") != solve.SKY)
     factor = F.lit(1.0)

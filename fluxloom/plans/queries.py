@@ -15,6 +15,7 @@ from ..config import EXTINCTION, IRAC_FLUX_CORRECTION, MAD_SCALE, VEGA_AB, bit_m
 from ..functions import sky, stats, units
 from ..operators import catalog, flags, matching, models, render, solve, tiles
 from ..sources import catalogs
+from .cut import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,13 +181,6 @@ def query_keys(s, d):
     return table(s, d, "pages").select("page_id", tiles.query_key(F.concat(F.lit("SELECT  *  FROM "), "url")).alias("key"))
 
 
-@query("mission_and_channel", "SELECT event_id, CASE WHEN event_id % 4 >= 2 THEN 'cryo' WHEN 54900 + event_id % 100 >= 54966 THEN 'warm' ELSE 'cryo' END AS mission FROM events")
-def mission_and_channel(s, d):
-    k = F.col("event_id")
-    mission = F.when(k % 4 >= 2, "cryo").when(54900 + k % 100 >= 54966, "warm").otherwise("cryo")
-    return table(s, d, "events").select("event_id", mission.alias("mission"))
-
-
 # -- geometry and filters -----------------------------------------------------------------
 
 W = dict(crval1=269.5, crval2=67.3, crpix1=1000.0, crpix2=900.0, cd11=-0.1 / 3600, cd12=0.0, cd21=0.0, cd22=0.1 / 3600)
@@ -219,22 +213,22 @@ def cone_search(s, d):
     return c.where(sky.in_circle(F.col("ra"), F.col("dec"), 0.0, 0.0, 20)).select("id", r(sky.separation_arcsec(F.lit(0.0), F.lit(0.0), F.col("ra"), F.col("dec")), 5).alias("sep"))
 
 
-@query("catalog_scan", f"SELECT a.id, a.flux, b.flux AS morph_flux FROM {STARS} a LEFT JOIN {OTHERS} b ON a.id = b.id WHERE a.flux > 100 AND a.ra BETWEEN 269.45 AND 269.55 AND a.dec BETWEEN 67.27 AND 67.33")
-def catalog_scan(s, d):
-    a = stars(s, d).where((F.col("flux") > 100) & F.col("ra").between(269.45, 269.55) & F.col("dec").between(67.27, 67.33))
-    return a.join(others(s, d).select("id", F.col("flux").alias("morph_flux")), "id", "left").select("id", "flux", "morph_flux")
+def archive(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """customer and part as the two tables of an archive: object_id, ra, dec, flux_vis_psf; object_id, point_like_prob."""
+    cat = stars(s, d).select(F.col("id").alias("object_id"), "ra", "dec", F.col("flux").alias("flux_vis_psf"))
+    return cat, table(s, d, "part").select(F.col("p_partkey").alias("object_id"), (F.col("p_size") / 50.0).alias("point_like_prob"))
 
 
-@query("brightest_first", f"SELECT id, flux FROM {STARS} ORDER BY flux DESC, id LIMIT 50")
-def brightest_first(s, d):
-    return stars(s, d).orderBy(F.desc("flux"), "id").limit(50).select("id", "flux")
+@query("catalog_scan", f"SELECT a.id, a.flux, coalesce(b.p_size/50.0, 0) > 0.96 AS is_star FROM {STARS} a LEFT JOIN part b ON a.id = b.p_partkey, (SELECT 269.5 AS ra, 67.3 AS dec) c WHERE a.flux > 100 AND {sep_sql('a', 'c')} <= 108 AND a.dec BETWEEN 67.3-0.03 AND 67.3+0.03 AND a.ra BETWEEN 269.5-0.03/cos(radians(67.33)) AND 269.5+0.03/cos(radians(67.33))")
+def catalog_scan(s, d):
+    cat, morphology = archive(s, d)
+    return catalogs.source_catalog(cat, morphology, 269.5, 67.3, 0.03, 100.0).select(F.col("object_id").alias("id"), F.col("flux_vis_psf").alias("flux"), "is_star")
 
 
-@query("brightest_order", f"SELECT id, flux FROM {STARS} ORDER BY flux DESC, id")
-def brightest_order(s, d):
-    c = stars(s, d).withColumnsRenamed({"id": "object_id", "flux": "flux_vis_psf"})
-    none = table(s, d, "nation").where("false").select(F.col("n_nationkey").alias("object_id"), F.lit(0.0).alias("point_like_prob"))
-    return catalogs.source_catalog(c, none, 269.5, 67.3, 1.0, float("-inf"), most=None).select(F.col("object_id").alias("id"), F.col("flux_vis_psf").alias("flux"))
+@query("brightest_first", f"SELECT id, flux FROM {STARS} ORDER BY flux DESC, id")
+def brightest_first(s, d):
+    cat, morphology = archive(s, d)
+    return catalogs.source_catalog(cat, morphology, 269.5, 67.3, 1.0, float("-inf")).select(F.col("object_id").alias("id"), F.col("flux_vis_psf").alias("flux"))
 
 
 @query("image_products", "SELECT band, ptype, n, nearest FROM (SELECT 'B' || (p_size % 4) AS band, CASE p_partkey % 6 WHEN 0 THEN 'science' WHEN 1 THEN 'rms' WHEN 2 THEN 'psf_grid' WHEN 3 THEN 'psf_catalog' WHEN 4 THEN 'flag' ELSE 'bgmodel' END AS ptype, count(*) AS n, arg_min(p_partkey, (round(sep, 6), p_partkey)) AS nearest FROM (SELECT *, " + sep_sql("c", "t") + " AS sep FROM (SELECT p_partkey, p_size, 269.40 + ((p_partkey*7919) % 10007)/10007*0.2 AS ra, 67.25 + ((p_partkey*104729) % 10009)/10009*0.1 AS dec FROM part) t, (SELECT 269.5 AS ra, 67.3 AS dec) c) GROUP BY 1, 2)")
@@ -319,11 +313,6 @@ def distance_antijoin(s, d):
     return matching.away_from(others(s, d), stars(s, d), 3.0).select("id")
 
 
-@query("ring_neighbours", f"SELECT o.id FROM {OTHERS} o WHERE NOT (o.dec BETWEEN 67.28 AND 67.32 AND o.ra BETWEEN 269.5-0.02/cos(radians(67.32)) AND 269.5+0.02/cos(radians(67.32))) AND o.dec BETWEEN 67.3-0.03 AND 67.3+0.03 AND o.ra BETWEEN 269.5-0.03/cos(radians(67.33)) AND 269.5+0.03/cos(radians(67.33)) AND NOT EXISTS (SELECT 1 FROM {STARS} s WHERE abs(s.dec-o.dec) < 0.001 AND {sep_sql('o', 's')} < 3.0)")
-def ring_neighbours(s, d):
-    return matching.ring_neighbours(others(s, d), stars(s, d), 269.5, 67.3, 0.02, 36.0).select("id")
-
-
 @query("isolated_sources", f"SELECT s.id, coalesce(NOT m.bad, true) AS isolated FROM {STARS} s LEFT JOIN (SELECT aid, bool_or(CASE WHEN aflux > 0 THEN bflux > aflux/3 ELSE true END) AS bad FROM {near_sql(STARS, STARS, 8.0, same=True)} WHERE sep > 0 GROUP BY 1) m ON s.id = m.aid")
 def isolated_sources(s, d):
     return matching.isolated(stars(s, d), 8.0).select("id", "isolated")
@@ -347,15 +336,8 @@ def psf_sample(s, d):
     return matching.nearest_sample(stars(s, d), samples).select("id", "sample_id")
 
 
-@query("nearest_vector", "SELECT q.vec_id AS id, arg_min(t.vec_id, (round(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2)))), 9), t.vec_id)) AS sample_id, round(min(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2))))), 6) AS distance FROM embeddings q, (SELECT * FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 25) t GROUP BY q.vec_id")
+@query("nearest_vector", "SELECT q.vec_id AS id, arg_min(t.vec_id, (round(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2)))), 9), t.vec_id)) AS sample_id, round(min(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2))))), 6) AS distance FROM embeddings q, (SELECT * FROM embeddings WHERE label = 0) t GROUP BY q.vec_id")
 def nearest_vector(s, d):
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    samples = e.where("label = 0").orderBy("id").limit(25)  # a stamp set of stated size
-    return matching.nearest_vector(e, samples, "embedding").select("id", "sample_id", r("distance").alias("distance"))
-
-
-@query("nearest_vector_all", "SELECT q.vec_id AS id, arg_min(t.vec_id, (round(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2)))), 9), t.vec_id)) AS sample_id, round(min(sqrt(list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2))))), 6) AS distance FROM embeddings q, (SELECT * FROM embeddings WHERE label = 0) t GROUP BY q.vec_id")
-def nearest_vector_all(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     return matching.nearest_vector(e, e.where("label = 0"), "embedding").select("id", "sample_id", r("distance").alias("distance"))
 
@@ -539,12 +521,12 @@ def field(s, d, size: int = 64, sigma: float = 1.5, per_tile: int = 30) -> tuple
     k = F.col("c_custkey")
     u = lambda salt: F.pmod(F.xxhash64(k, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
     src = table(s, d, "customer").select(k.alias("id"), F.floor(k / per_tile).cast("long").alias("tile"), (u(1) * (size - 1)).alias("x"), (u(2) * (size - 1)).alias("y"), (10 + F.abs("c_acctbal")).alias("flux"))
-    t = render.point_templates(src, sigma, 8, size, size)
+    t = cut(render.point_templates(src, sigma, 8, size, size))  # read by the image and, several times, by the solve
     grid = src.select("tile").distinct().select("tile", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     light = solve.model_image(t, src)
     noise = (F.pmod(F.xxhash64("tile", "x", "y"), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 4 * 3**0.5
     px = grid.join(light, ["tile", "x", "y"], "left").select("tile", "x", "y", (F.coalesce("model", F.lit(0.0)) + 3.0 + noise).alias("d"), F.lit(0.25).alias("w"))
-    return src, px, t
+    return src, cut(px), t
 
 
 @query("joint_flux_solve")
@@ -566,3 +548,5 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["photometry_catalog"] = flagship
+
+from . import more_queries as _more  # noqa: E402,F401  registers its own

@@ -10,12 +10,10 @@ from ..config import STAR_PROBABILITY, UJY_PER_NMGY, VEGA_AB
 from ..functions import sky, units
 from ..operators import flags, models
 from ..operators.tiles import standard_columns
+from ..plans.cut import cut
 
-MOST_ROWS = 200_000  # the archive's own limit on one query
-
-
-def source_catalog(catalogue: DataFrame, morphology: DataFrame, ra: float, dec: float, half_deg: float, brightness_cut_ujy: float = 0.0, require_band: str | None = None, most: int | None = MOST_ROWS) -> DataFrame:
-    """Left join on object_id, circle and box, flux cut, brightest first, is_star. `most` is the query's own cap, as at the archive; None for none."""
+def source_catalog(catalogue: DataFrame, morphology: DataFrame, ra: float, dec: float, half_deg: float, brightness_cut_ujy: float = 0.0, require_band: str | None = None, most: int | None = None) -> DataFrame:
+    """Left join on object_id, circle and box, flux cut, brightest first, is_star. `most` is a cap that the caller asks for."""
     inside = sky.in_circle(F.col("ra"), F.col("dec"), ra, dec, half_deg * 3600) & sky.box(F.col("ra"), F.col("dec"), ra, dec, half_deg)
     c = catalogue.where(inside & (F.col("flux_vis_psf") > brightness_cut_ujy))
     if require_band:
@@ -95,13 +93,47 @@ def exposure_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def covered(sources: DataFrame, exposures: DataFrame, width: int = 256, height: int = 256) -> DataFrame:
-    """Rows of sources (ra, dec) on the detector of one exposure at least. The list of exposures of a field is small; declination limits the pairs."""
-    reach = max(width, height) * 0.71
-    e = exposures.select(*[F.col(c).cast("double").alias(f"_{c}") for c in ("crval1", "crval2", "cd11", "cd12", "cd21", "cd22")])
-    w = {k: F.col(f"_{k}") for k in ("crval1", "crval2", "cd11", "cd12", "cd21", "cd22")} | {"crpix1": F.lit((width - 1) / 2), "crpix2": F.lit((height - 1) / 2)}
-    p = sky.sky_to_pixel(F.col("ra"), F.col("dec"), w)
-    near = F.abs(F.col("dec") - F.col("_crval2")) <= reach * F.sqrt(F.abs(F.col("_cd11") * F.col("_cd22") - F.col("_cd12") * F.col("_cd21")))
-    return sources.join(e, near & sky.footprint(p["x"], p["y"], width, height), "left_semi")
+    """Rows of sources (ra, dec) on the detector of one exposure at least. Sources meet the exposures whose centre is within a detector's diagonal, by cells."""
+    from ..operators import matching
+
+    fields = ("crval1", "crval2", "cd11", "cd12", "cd21", "cd22")
+    e = exposures.select(F.monotonically_increasing_id().alias("id"), F.col("crval1").cast("double").alias("ra"), F.col("crval2").cast("double").alias("dec"), *[F.col(c).cast("double").alias(c) for c in fields])
+    scale = F.max(F.sqrt(F.abs(F.col("cd11") * F.col("cd22") - F.col("cd12") * F.col("cd21"))))
+    widest = e.agg(scale).head()[0]
+    if widest is None:
+        return sources.limit(0)
+    s = cut(sources.withColumn("_row", F.monotonically_increasing_id()))
+    near = matching.pairs(s.select(F.col("_row").alias("id"), "ra", "dec"), cut(e), 0.75 * max(width, height) * widest * 3600, left_cols=("ra", "dec"), right_cols=fields)
+    w = {k: F.col(f"right_{k}") for k in fields} | {"crpix1": F.lit((width - 1) / 2), "crpix2": F.lit((height - 1) / 2)}
+    p = sky.sky_to_pixel(F.col("left_ra"), F.col("left_dec"), w)
+    hit = near.where(sky.footprint(p["x"], p["y"], width, height)).select(F.col("left_id").alias("_row")).distinct()
+    return s.join(hit, "_row", "left_semi").drop("_row")
+
+
+def prior_square(images: DataFrame, padding_arcsec: float = 5.0) -> DataFrame:
+    """id, ra, dec (four decimals) and size_arcsec (full tens): the square on the sky about the centre of an image (id, width, height, crval1 .. cd22) that holds its edge, however it is turned, and a margin."""
+    w = {k: F.col(k) for k in sky.WCS_FIELDS}
+    centre = sky.pixel_to_sky((F.col("width") - 1) / 2, (F.col("height") - 1) / 2, w)
+    share = [k / 4 for k in range(5)]
+    edge = F.explode(F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in share for v in share if u in (0, 1) or v in (0, 1))))
+    p = images.withColumns({"_ra": F.round(centre["ra"], 10), "_dec": centre["dec"], "_e": edge})
+    at = sky.pixel_to_sky(F.col("_e.u") * F.col("width") - 0.5, F.col("_e.v") * F.col("height") - 0.5, w)
+    p = p.withColumns({"_a": F.radians(at["ra"] - F.col("_ra")), "_d": F.radians(at["dec"]), "_d0": F.radians("_dec")})
+    east = F.atan2(F.cos("_d") * F.sin("_a"), F.sin("_d0") * F.sin("_d") + F.cos("_d0") * F.cos("_d") * F.cos("_a"))
+    north = F.asin(F.cos("_d0") * F.sin("_d") - F.sin("_d0") * F.cos("_d") * F.cos("_a"))
+    reach = F.max(F.greatest(F.abs(F.degrees(east)), F.abs(F.degrees(north)))) * 3600
+    return p.groupBy("id", F.round("_ra", 4).alias("ra"), F.round("_dec", 4).alias("dec")).agg((10.0 * F.ceil(F.round(2 * (reach + padding_arcsec), 6) / 10)).alias("size_arcsec"))
+
+
+def without_keys(headers: DataFrame, *names: str, column: str = "header") -> DataFrame:
+    """headers with map entries of these names (in any case) left out, as readers of a projection want it."""
+    low = [n.lower() for n in names]
+    return headers.withColumn(column, F.map_filter(column, lambda k, v: ~F.lower(k).isin(low)))
+
+
+def cutout_request(ra, dec, size_pix, bands, base: str):
+    """The address of a cutout service's answer for a position, a size in pixels and bands."""
+    return F.format_string(base + "?ra=%.5f&dec=%.5f&size=%d&bands=%s", ra, dec, size_pix, bands)
 
 
 # -- products -----------------------------------------------------------------------------------

@@ -32,17 +32,34 @@ def cached(spark: SparkSession, folder: str, sql: str, make) -> DataFrame:
 
     text = " ".join(sql.split())
     at = f"{folder}/{hashlib.sha256(text.encode()).hexdigest()}"
-    try:
+    if exists(spark, at + ".meta"):  # written last
         if read_metadata(spark, at)["query"] != text:
             raise ValueError("the cached table answers another query")
-        return spark.read.parquet(at)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    write_catalog(make(), at, {"query": text}, "overwrite")
+    else:
+        write_catalog(make(), at, {"query": text}, "overwrite")
     return spark.read.parquet(at)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached_cutout(spark: SparkSession, folder: str, band: str, ra: float, dec: float, size_arcsec: float, make) -> DataFrame:
+    """make()'s pixel rows of one cutout or mask, kept under its band, position and size; Spark's committer renames what is complete. Flags are written as 32-bit integers."""
+
+    def whole() -> DataFrame:
+        px = make()
+        return px.withColumn("flag", F.col("flag").cast("int")) if "flag" in px.columns else px
+
+    return cached(spark, f"{folder}/{band.upper()}", f"cutout {band.upper()} {ra:.6f} {dec:.6f} {size_arcsec:.3f}", whole)
+
+
+def cached_psf(spark: SparkSession, folder: str, band: str, tile: str, ra: float, dec: float, radius_arcsec: float, make) -> DataFrame:
+    """make()'s PSF samples (id, ra, dec, stamp, size), kept under band, tile, position and radius."""
+    return cached(spark, f"{folder}/{band.upper()}", f"psf {band.upper()} {tile} {ra:.6f} {dec:.6f} {radius_arcsec:.3f}", make)
+
+
 def save_fit(catalog: DataFrame, planes: DataFrame, folder: str, metadata: dict | None = None) -> None:
     """A ground fit: its catalog and its planes (x, y and one column for each)."""
     write_catalog(catalog, f"{folder}/catalog.parquet", metadata, "overwrite")
