@@ -8,7 +8,7 @@ import argparse
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="fluxloom")
     run = p.add_subparsers(dest="command", required=True).add_parser("run", help="forced photometry of one field")
-    run.add_argument("catalog", help="parquet with id, ra, dec, flux and shape columns")
+    run.add_argument("catalog", help="parquet with id, ra, dec, flux and shape columns; - with --coords")
     run.add_argument("image", help="FITS image in microjanskys")
     run.add_argument("output", help="catalog; the format follows from the name")
     for name in ("ra", "dec", "size"):
@@ -18,6 +18,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--band", default="VIS")
     run.add_argument("--prior", choices=("catalog", "tree"), default="catalog")
     run.add_argument("--no-flags", action="store_true")
+    run.add_argument("--tile", type=int, default=1024, help="images larger than this are solved in tiles")
+    run.add_argument("--more", action="append", default=[], metavar="BAND=IMAGE", help="another band on the same grid of positions; may be repeated")
+    run.add_argument("--coords", help="parquet, CSV or JSON of ra and dec in the catalog's place")
     return p
 
 
@@ -33,19 +36,28 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.getOrCreate()
     fits.register(spark)
-    with fits.open_input(a.image) as f:
-        head, _ = fits.image_unit(f)
-    need = ("CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CD1_1", "CD1_2", "CD2_1", "CD2_2")
-    w = [float(head.get(k, 0.0)) for k in need]
-    w[2], w[3] = w[2] - 1, w[3] - 1
-    wcs = dict(zip(("crval1", "crval2", "crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22"), w, strict=True))
-    rows = spark.read.format("fits_image").load(a.image)
-    px = rows.select(F.lit(0).cast("long").alias("tile"), "y", F.posexplode("values").alias("x", "d")).select("tile", "x", "y", "d", units.invvar_from_rms(F.lit(a.rms), F.col("d")).alias("w")).withColumn("d", units.known(F.col("d"), 0.0))
-    scale = abs(w[4] * w[7] - w[5] * w[6]) ** 0.5 * 3600
-    band = pipeline.Band(a.band, px, pipeline.gaussian_psf(a.psf_fwhm), wcs, head["NAXIS1"], head["NAXIS2"], scale)
-    cfg = RunConfig(a.ra, a.dec, a.size, (a.band,), {"mode": a.prior})
-    out = pipeline.run(cfg, [band], spark.read.parquet(a.catalog)).table(not a.no_flags)
-    sinks.write_catalog(out, a.output, {"ra": a.ra, "dec": a.dec, "size_arcsec": a.size, "band": a.band, "prior": a.prior})
+
+    def band(name: str, image: str) -> pipeline.Band:
+        with fits.open_input(image) as f:
+            head, _ = fits.image_unit(f)
+        w = [float(head.get(k, 0.0)) for k in ("CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CD1_1", "CD1_2", "CD2_1", "CD2_2")]
+        w[2], w[3] = w[2] - 1, w[3] - 1
+        wcs = dict(zip(("crval1", "crval2", "crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22"), w, strict=True))
+        rows = spark.read.format("fits_image").load(image)
+        px = rows.select(F.lit(0).cast("long").alias("tile"), "y", F.posexplode("values").alias("x", "d")).select("tile", "x", "y", "d", units.invvar_from_rms(F.lit(a.rms), F.col("d")).alias("w")).withColumn("d", units.known(F.col("d"), 0.0))
+        scale = abs(w[4] * w[7] - w[5] * w[6]) ** 0.5 * 3600
+        return pipeline.Band(name, px, pipeline.gaussian_psf(a.psf_fwhm), wcs, head["NAXIS1"], head["NAXIS2"], scale)
+
+    bands = [band(a.band, a.image), *(band(*more.split("=", 1)) for more in a.more)]
+    cfg = RunConfig(a.ra, a.dec, a.size, tuple(b.name for b in bands), {"mode": "coords" if a.coords else a.prior}, with_flags=not a.no_flags)
+    coords = None
+    if a.coords:
+        kind = a.coords.rsplit(".", 1)[-1].lower()
+        read = spark.read.option("header", True).option("inferSchema", True)
+        coords = read.csv(a.coords) if kind == "csv" else spark.read.json(a.coords) if kind == "json" else spark.read.parquet(a.coords)
+    rows = None if a.coords else spark.read.parquet(a.catalog)
+    out = pipeline.run(cfg, bands, rows, coords, tile=a.tile).table(cfg.with_flags)
+    sinks.write_catalog(out, a.output, {"ra": a.ra, "dec": a.dec, "size_arcsec": a.size, "band": a.band, "bands": list(cfg.bands), "prior": cfg.prior["mode"]})
 
 
 if __name__ == "__main__":

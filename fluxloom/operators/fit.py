@@ -121,13 +121,14 @@ def reduced(data: np.ndarray, weight: np.ndarray, sources: list[Source], psf: np
     return float((r[use] ** 2 * weight[use]).sum() / max(use.sum() - k, 1))
 
 
-def tree(data: np.ndarray, weight: np.ndarray, members: list[Source], segments: dict[int, np.ndarray], psf: np.ndarray, scale: float, limit: float = 1.5, point_gain: float = 0.05, tie: float = 0.15, simple_re: float = 0.30, full_ladder_snr: float = 0.0) -> tuple[list[Source], list[tuple]]:
+def tree(data: np.ndarray, weight: np.ndarray, members: list[Source], segments: dict[int, np.ndarray], psf: np.ndarray, scale: float, limit: float = 1.5, point_gain: float = 0.05, tie: float = 0.15, simple_re: float = 0.30, full_ladder_snr: float = 0.0, max_shift: float | None = None) -> tuple[list[Source], list[tuple]]:
     """The chi2 tree of one blob: (fitted members, trials as (id, stage, model, rchi2)).
 
     Stages: simple galaxies, points (and the point lock), exponentials, de
     Vaucouleurs, composites; then a joint refit, the guarded Sersic tier and a last
-    flux-only solve. Positions stay fixed. Members that are settled keep their model
-    in later stages.
+    flux-only solve. Positions stay fixed; with max_shift (pixels) the joint refit frees
+    them, and what moves farther goes back. Members that are settled keep their model in
+    later stages.
     """
     b = limits(scale)
     snr = {}
@@ -187,7 +188,10 @@ def tree(data: np.ndarray, weight: np.ndarray, members: list[Source], segments:
             if snr[s.id] < full_ladder_snr:
                 pick = next((m for m in ("ExpGalaxy", "DevGalaxy") if c[m] <= c["CompositeGalaxy"] and c[m] <= limit), "CompositeGalaxy" if c["CompositeGalaxy"] <= limit else pick)
             settled[s.id] = best[s.id][pick]
-    src, _ = fit(data, weight, [settled[s.id] for s in members], psf, {i: SHAPE[s.model] for i, s in settled.items()}, b)
+    place = ("x", "y") if max_shift is not None else ()
+    src, _ = fit(data, weight, [settled[s.id] for s in members], psf, {i: (*SHAPE[s.model], *place) for i, s in settled.items()}, b)
+    if max_shift is not None:
+        src = clamped(data, weight, src, {s.id: s for s in members}, psf, max_shift)
     for k, s in enumerate(src):
         if s.model in ("ExpGalaxy", "DevGalaxy", "CompositeGalaxy") and snr[s.id] >= 20:
             before = fit(data, weight, src, psf, {}, b, 0)[1]
@@ -199,6 +203,12 @@ def tree(data: np.ndarray, weight: np.ndarray, members: list[Source], segments:
     return fit(data, weight, src, psf, {}, b, 0)[0], trials
 
 
+def clamped(data: np.ndarray, weight: np.ndarray, sources: list[Source], prior: dict[int, Source], psf: np.ndarray, max_shift: float) -> list[Source]:
+    """Sources that lie more than max_shift pixels from their prior place go back to it, shapes kept; then all fluxes are solved again, if any went."""
+    out = [replace(s, x=prior[s.id].x, y=prior[s.id].y) if math.hypot(s.x - prior[s.id].x, s.y - prior[s.id].y) > max_shift else s for s in sources]
+    return fit(data, weight, out, psf, {}, {}, 0)[0] if out != sources else out
+
+
 def select_models(members: DataFrame, pixels: DataFrame, psf: np.ndarray, scale: float, margin: int = 20, **settings) -> DataFrame:
     """The tree over all blobs: (id, blob, model, re, ab, pa, n, frac, flux, trials) in pixels.
 

@@ -61,8 +61,36 @@ def solve_component(a: np.ndarray, b: np.ndarray, rank_tol: float = 1e-12) -> tu
     return inv @ (b * scale) * scale, np.where(lost, np.inf, var), int(keep.sum())
 
 
+#: Unknowns of a component that are solved densely; beyond, the triplets are kept and the solve is iterative.
+DENSE = 2000
+
+
+def solve_sparse(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """Fluxes of a large component by conjugate gradients on the triplets (i <= j) of the normal matrix, columns scaled to unit length. Directions without information get no flux."""
+    n = len(b)
+    diag = np.bincount(i[i == j], v[i == j], n)
+    scale = 1 / np.sqrt(np.where(diag > 0, diag, 1.0))
+    off = i != j
+    u = v * scale[i] * scale[j]
+    times = lambda x: np.bincount(i, u * x[j], n) + np.bincount(j[off], u[off] * x[i[off]], n)
+    rest = b * scale
+    x, way, square = np.zeros(n), rest.copy(), rest @ rest
+    first = square
+    for _ in range(20 * n):
+        if square <= tol * tol * first or square == 0:
+            break
+        curved = times(way)
+        bend = way @ curved
+        if bend <= 0:
+            break
+        x, rest = x + square / bend * way, rest - square / bend * curved
+        old, square = square, rest @ rest
+        way = rest + square / old * way
+    return x * scale
+
+
 def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, strict: bool = False) -> DataFrame:
-    """(tile, id, flux, information, variance, rank_ok). information is the template's own (the reported error ignores blending); variance is the full one. strict raises on dependent templates."""
+    """(tile, id, flux, information, variance, rank_ok). information is the template's own (the reported error ignores blending); variance is the full one. strict raises on dependent templates. Components of more than DENSE unknowns are solved without a dense matrix; their variance and rank_ok are null."""
     n, b = normal_matrix(templates, pixels, sky)
     rows = n.select("tile", "i", "j", F.col("v")).unionByName(b.select("tile", "i", F.lit(None).cast("long").alias("j"), F.col("b").alias("v")))
 
@@ -72,7 +100,7 @@ def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, str
         m = pdf[pdf.j.notna()]
         i, j = np.searchsorted(ids, m.i.to_numpy(np.int64)), np.searchsorted(ids, m.j.to_numpy(np.int64))
         part = connected(len(ids), i, j)
-        flux, info, var, ok = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids)), np.ones(len(ids), bool)
+        flux, info, var, ok = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids)), np.ones(len(ids), object)
         info[i[i == j]] = m.v.to_numpy()[i == j]
         place = np.empty(len(ids), np.int64)
         order = np.argsort(part[i], kind="stable")
@@ -81,13 +109,18 @@ def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, str
             rows_ = order[lo:hi]
             own = np.unique(np.concatenate([i[rows_], j[rows_]]))
             place[own] = np.arange(len(own))
+            if len(own) > DENSE:
+                flux[own] = solve_sparse(place[i[rows_]], place[j[rows_]], m.v.to_numpy()[rows_], vec[own])
+                var[own], ok[own] = np.nan, None
+                continue
             a = np.zeros((len(own), len(own)))
             a[place[i[rows_]], place[j[rows_]]] = m.v.to_numpy()[rows_]
             a[place[j[rows_]], place[i[rows_]]] = m.v.to_numpy()[rows_]
             flux[own], var[own], rank = solve_component(a, vec[own])
             ok[own] = rank == len(own)
-        if strict and not ok.all():
-            raise ValueError(f"templates of tile {pdf.tile.iloc[0]} depend on each other: {ids[~ok][:5].tolist()}")
+        lost = ids[[x is False or x == False for x in ok]]  # noqa: E712
+        if strict and len(lost):
+            raise ValueError(f"templates of tile {pdf.tile.iloc[0]} depend on each other: {lost[:5].tolist()}")
         return pd.DataFrame({"tile": pdf.tile.iloc[0], "id": ids, "flux": flux, "information": info, "variance": var, "rank_ok": ok})
 
     kind = dict(templates.dtypes)["tile"]

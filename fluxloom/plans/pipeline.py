@@ -74,14 +74,28 @@ def prior_sources(cfg: RunConfig, catalog_rows: DataFrame | None, coords: DataFr
         if catalog_rows is None:
             raise ValueError(f"mode {cfg.prior['mode']} needs a catalog")
         c = catalog_rows.where(sky.box(F.col("ra"), F.col("dec"), cfg.ra, cfg.dec, cfg.size_arcsec / 7200) & (F.col("flux") > cfg.brightness_cut_ujy))
+        if cfg.max_rows is not None:  # a cap that the settings ask for
+            c = c.orderBy(F.desc("flux"), "id").limit(cfg.max_rows)
         src = models.from_catalog(c, force_model=cfg.prior["force_model"]).withColumn("is_star", units.known(F.col("point_like_prob"), 0.0) > 0.96)
     src = place(src, band).withColumn("re", F.col("re") / band.scale_arcsec)
     return src.select("id", "tile", "ra", "dec", "x", "y", "model", "re", "ab", "pa", "n", "flux", "is_star")
 
 
-def solve_band(src: DataFrame, band: Band) -> DataFrame:
-    """(id, band, flux, err, factor) in microjanskys for every source on the band's image. A flux that is negative or absurd against the prior keeps its row, with null error."""
-    px = cut(band.weights())
+def solve_band(src: DataFrame, band: Band, tile: int | None = None) -> DataFrame:
+    """(id, band, flux, err, factor) in microjanskys for every source on the band's image. A flux that is negative or absurd against the prior keeps its row, with null error.
+
+    An image larger than `tile` pixels is solved in tiles: each has the sources and
+    pixels of its core and of a halo as wide as templates reach, and reports its core's.
+    """
+    px = band.weights()
+    if tile and max(band.width, band.height) > tile:
+        halo = 2 * max(band.psf.shape)
+        parts = ground_tiles(src, band.width, band.height, tile, halo)
+        px, src = pixel_tiles(px, band.width, band.height, tile, halo), cut(parts.drop("core"))
+        core = cut(parts.where("core").select("tile", "id"))
+    else:
+        core = None
+    px = cut(px)
     t = cut(inject.rendered(src, band.psf, band.width, band.height))  # the solve reads both several times
     f = solve.solve_fluxes(t, px, sky=band.sky)
     own = f.where(F.col("id") != solve.SKY)
@@ -93,7 +107,9 @@ def solve_band(src: DataFrame, band: Band) -> DataFrame:
         own = own.join(stats.chi_inflation(res, ["tile"]).select("tile", "inflation"), "tile", "left")
         factor = F.coalesce("inflation", F.lit(1.0))
     err = F.when(F.col("information") > 0, factor / F.sqrt(F.when(F.col("information") > 0, F.col("information"))))
-    m = own.join(src.select("id", F.col("flux").alias("prior_flux")), "id")
+    if core is not None:
+        own = own.join(core, ["tile", "id"], "left_semi")
+    m = own.join(src.select("id", F.col("flux").alias("prior_flux")).distinct(), "id")
     flux = F.col("flux") * band.ujy_per_unit
     bad = models.unphysical(flux, F.col("prior_flux"))
     return m.select("id", F.lit(band.name).alias("band"), flux.alias("flux"), F.when(~bad, err * band.ujy_per_unit).alias("err"), factor.alias("factor"))
@@ -123,8 +139,10 @@ def tree_models(src: DataFrame, band: Band) -> tuple[DataFrame, DataFrame]:
     return out, chosen.select("id", F.explode("trials").alias("t")).select(F.col("id").alias("source_id"), "t.stage", "t.model", F.col("t.rchi2").alias("chi2"))
 
 
-def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None, coords: DataFrame | None = None, neighbours: dict[str, DataFrame] | None = None, calibrate: bool = False) -> Result:
-    """Forced photometry of one field (or of many tiles of equal geometry).
+def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None, coords: DataFrame | None = None, neighbours: dict[str, DataFrame] | None = None, calibrate: bool = False, tile: int | None = 1024) -> Result:
+    """Forced photometry of one field (or of many images of equal geometry, which their column tile tells).
+
+    Fluxes of images larger than `tile` pixels are solved in tiles of that size.
 
     The first band is the prior band. Positions and shapes are fixed there; other
     bands solve fluxes alone, with the outside neighbours (id, ra, dec, flux) they
@@ -150,7 +168,7 @@ def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None
             e = place(extra, b, margin=4 * b.psf.shape[0])
             e = e.select("id", "tile", "x", "y", "flux").withColumns({"model": F.lit("PointSource"), "is_neighbour": F.lit(True)})
             rows = catalog.outer_union(own, e)
-        m = solve_band(rows, b)
+        m = solve_band(rows, b, tile)
         if extra is not None:
             keep, lost = catalog.split_neighbours(m.join(rows.select("id", "is_neighbour"), "id"))
             m = keep.drop("is_neighbour")
@@ -181,14 +199,23 @@ def injection_recovery(cfg: RunConfig, bands: list[Band], catalog_rows: DataFram
     return catalog.recovery(inject.union_of_runs(truths, 0), inject.union_of_runs(found, 0), lo, hi, n_bins)
 
 
+def pixel_tiles(px: DataFrame, width: int, height: int, tile: int, halo: int) -> DataFrame:
+    """Pixels sent to every tile whose halo holds them; places stay those of the image."""
+    nx, ny = -(-width // tile), -(-height // tile)
+    span = lambda c, n: F.sequence(F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0)).cast("int"), F.least(F.floor((F.col(c) + halo) / tile), F.lit(n - 1)).cast("int"))
+    t = px.withColumn("_tx", F.explode(span("x", nx))).withColumn("_ty", F.explode(span("y", ny)))
+    return t.withColumn("tile", (F.col("tile") * (nx * ny) + F.col("_ty") * nx + F.col("_tx")).cast("long")).drop("_tx", "_ty")
+
+
 def ground_tiles(src: DataFrame, width: int, height: int, tile: int, halo: int) -> DataFrame:
-    """Sources sent to every tile whose halo (grown by one more) holds them; core marks the one tile that reports each (half-open cores)."""
+    """Sources sent to every tile whose halo (grown by one more) holds them; core marks the one tile that reports each (half-open cores). With a column tile, an image's number, tiles are numbered through all images."""
     nx, ny = -(-width // tile), -(-height // tile)
     reach = 2 * halo
     span = lambda c, n: F.sequence(F.greatest(F.floor((F.col(c) - reach) / tile), F.lit(0)).cast("int"), F.least(F.floor((F.col(c) + reach) / tile), F.lit(n - 1)).cast("int"))
-    s = src.where(sky.footprint(F.col("x"), F.col("y"), width, height)).withColumn("tx", F.explode(span("x", nx))).withColumn("ty", F.explode(span("y", ny)))
+    s = src.where(sky.footprint(F.col("x"), F.col("y"), width, height, reach)).withColumn("tx", F.explode(span("x", nx))).withColumn("ty", F.explode(span("y", ny)))
     core = (F.least(F.floor(F.col("x") / tile), F.lit(nx - 1)) == F.col("tx")) & (F.least(F.floor(F.col("y") / tile), F.lit(ny - 1)) == F.col("ty"))
-    return s.withColumns({"tile": (F.col("ty") * nx + F.col("tx")).cast("long"), "core": core})
+    image = F.col("tile") * (nx * ny) if "tile" in src.columns else F.lit(0)
+    return s.withColumns({"tile": (image + F.col("ty") * nx + F.col("tx")).cast("long"), "core": core}).drop("tx", "ty")
 
 
 def compare_catalogs(measured: DataFrame, reference: DataFrame, radius_arcsec: float, isolation_arcsec: float, snr: float = 5.0) -> DataFrame:
@@ -212,4 +239,50 @@ def register_offsets(stars: DataFrame, dets: DataFrame, scale_arcsec: float, max
     return {"n": r[0], "dx": r[1], "dy": r[2]}
 
 
+def register_image(stars: DataFrame, dets: DataFrame, wcs: dict, width: int, height: int, least_flux: float = 1.0, max_pix: float = 3.0, least: int = 20, rounds: int = 6) -> dict:
+    """A tangent projection refitted to detected centroids: wcs (crpix kept), n, and the median distance before and after (arcsec).
+
+    stars: id, ra, dec, is_star, flux; dets: id, x, y, flag, a, b. Isolated stars on the
+    image claim the usable detection nearest to where the given projection puts them; a
+    robust common shift drops false matches. Each round solves the plane's six
+    coefficients from sums over the matches, and moves the reference place by the
+    constant terms.
+    """
+    p = sky.sky_to_pixel(F.col("ra"), F.col("dec"), sky.wcs(**wcs))
+    s = flags.registration_stars(stars.withColumns({"x": p["x"], "y": p["y"]}), width, height, least_flux)
+    flat = lambda df, *more: df.select("id", F.pmod(F.col("x") / 3600, F.lit(360.0)).alias("ra"), (F.col("y") / 3600).alias("dec"), *more)
+    alone = matching.second_nearest(flat(s, F.col("ra").alias("a"), F.col("dec").alias("d"), "x", "y"), 12.0).where("neighbour_sep = double('infinity')")
+    usable = flags.usable_detections(dets)
+    m = matching.nearest_greedy(alone, flat(usable, "x", "y"), max_pix, cols=("x", "y")).select("a", "d", "x", "y", F.col("match_x").alias("mx"), F.col("match_y").alias("my"))
+    m = cut(m)
+    if m.count() < least:
+        raise ValueError("too few isolated stars match detections")
+    m = stats.with_group(m, [], stats.median(F.col("mx") - F.col("x")).alias("_sx"), stats.median(F.col("my") - F.col("y")).alias("_sy")).withColumn("r", F.hypot(F.col("mx") - F.col("x") - F.col("_sx"), F.col("my") - F.col("y") - F.col("_sy")))
+    m = stats.with_group(m, [], stats.median(F.col("r")).alias("_mr"))
+    m = stats.with_group(m, [], stats.median(F.abs(F.col("r") - F.col("_mr"))).alias("_mad"))
+    m = cut(m.where(F.col("r") < F.greatest(F.lit(0.3), 4 * 1.4826 * F.col("_mad"))).select("a", "d", "x", "y", "mx", "my"))
+    n = m.count()
+    if n < least:
+        raise ValueError("too few consistent matches")
+    new = dict(wcs)
+    for _ in range(rounds):
+        unit = new | {"crpix1": 0.0, "crpix2": 0.0, "cd11": 1.0, "cd12": 0.0, "cd21": 0.0, "cd22": 1.0}
+        q = sky.sky_to_pixel(F.col("a"), F.col("d"), sky.wcs(**unit))  # degrees on the plane
+        t = m.select((F.col("mx") - wcs["crpix1"]).alias("u"), (F.col("my") - wcs["crpix2"]).alias("v"), q["x"].alias("xi"), q["y"].alias("eta"))
+        names = ("uu", "uv", "vv", "u", "v", "uxi", "vxi", "xi", "ueta", "veta", "eta")
+        one = {"uu": "u*u", "uv": "u*v", "vv": "v*v", "uxi": "u*xi", "vxi": "v*xi", "ueta": "u*eta", "veta": "v*eta"}
+        g = t.agg(*[F.sum(F.expr(one.get(k, k))).alias(k) for k in names]).head()
+        a = np.array([[g.uu, g.uv, g.u], [g.uv, g.vv, g.v], [g.u, g.v, n]])
+        (c11, c12, e1), (c21, c22, e2) = (np.linalg.solve(a, np.array(b)) for b in ((g.uxi, g.vxi, g.xi), (g.ueta, g.veta, g.eta)))
+        new |= {"cd11": float(c11), "cd12": float(c12), "cd21": float(c21), "cd22": float(c22)}
+        back = m.sparkSession.range(1).select(*[c.alias(k) for k, c in sky.pixel_to_sky(F.lit(0.0), F.lit(0.0), sky.wcs(**(unit | {"crpix1": -float(e1), "crpix2": -float(e2)}))).items()]).head()
+        new |= {"crval1": back.ra, "crval2": back.dec}
+        if abs(e1) + abs(e2) < 1e-12:
+            break
+    after = sky.sky_to_pixel(F.col("a"), F.col("d"), sky.wcs(**new))
+    scale = abs(new["cd11"] * new["cd22"] - new["cd12"] * new["cd21"]) ** 0.5 * 3600
+    r = m.agg(stats.median(F.hypot(F.col("mx") - F.col("x"), F.col("my") - F.col("y"))), stats.median(F.hypot(F.col("mx") - after["x"], F.col("my") - after["y"]))).head()
+    return {"wcs": new, "n": n, "before_arcsec": r[0] * scale, "after_arcsec": r[1] * scale}
+
+
 gaussian_psf = render.gaussian_psf

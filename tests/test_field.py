@@ -219,3 +219,76 @@ def test_exposure_lists(spark, tmp_path):
     assert [r.filename for r in catalogs.reference_pointings(ref, 10.0, 1.0, 0.1).collect()] == ["f"]
     xml = spark.createDataFrame([('<r><field name="N"/><image url="u/a_mosaic.fits"/><image url="u/a_unc.fits"/></r>',)], "xml string")
     assert [(r.field, r.kind) for r in catalogs.cutout_urls(xml).collect()] == [("N", "mosaic"), ("N", "unc")]
+
+
+def test_tiled_solve_is_the_whole_solve(spark):
+    rng = np.random.default_rng(4)
+    src = [fit.Source(k, float(x), float(y), flux=float(f)) for k, (x, y, f) in enumerate(zip(rng.uniform(3, 157, 60), rng.uniform(3, 157, 60), rng.uniform(20, 90, 60)))]
+    band = pipeline.Band("VIS", pixel_table(spark, image(src, size=160), 1 / 0.09), PSF, WCS, 160, 160)
+    rows = as_catalog(spark, src)
+    cfg = RunConfig(269.5, 67.3, 40.0)
+    whole = {r.id: r for r in pipeline.run(cfg, [band], rows, tile=None).measurements.collect()}
+    tiled = pipeline.run(cfg, [band], rows, tile=50).measurements.collect()
+    assert len(tiled) == len({r.id for r in tiled}) == len(whole) > 50
+    for r in tiled:
+        assert abs(r.flux - whole[r.id].flux) < 1e-3 * whole[r.id].err + 1e-3 * abs(whole[r.id].flux) and abs(r.err / whole[r.id].err - 1) < 1e-9
+
+
+def test_sparse_solve_is_the_dense_one():
+    rng = np.random.default_rng(1)
+    t = rng.normal(size=(400, 60)) * (rng.random((400, 60)) < 0.1)
+    a, b = t.T @ t, t.T @ rng.normal(size=400)
+    i, j = np.nonzero(np.triu(a))
+    from fluxloom.operators import solve
+
+    assert np.allclose(solve.solve_sparse(i, j, a[i, j], b), solve.solve_component(a, b)[0], atol=1e-8)
+
+
+def test_positions_too_far_go_back():
+    d, w = image([POINTS[2]]), np.full((64, 64), 1 / 0.09)
+    wrong = fit.Source(3, 44.0, 40.2, flux=1.0)
+    near = fit.Source(3, 45.4, 40.1, flux=1.0)
+    for start, stays in ((wrong, False), (near, True)):
+        got = fit.clamped(d, w, fit.fit(d, w, [start], PSF, {3: ("x", "y")}, {})[0], {3: start}, PSF, 0.5)[0]
+        assert (math.hypot(got.x - 45.6, got.y - 40.2) < 0.1) == stays and math.hypot(got.x - start.x, got.y - start.y) <= 0.5
+
+
+def test_registration_refits_the_projection(spark):
+    rng = np.random.default_rng(6)
+    true = WCS | {"crpix1": 500.0, "crpix2": 400.0}
+    t = math.radians(0.05)
+    cd = [true["cd11"], 0.0, 0.0, true["cd22"]]
+    off = true | {"crval1": true["crval1"] + 0.08 / 3600, "crval2": true["crval2"] - 0.05 / 3600, "cd11": cd[0] * math.cos(t), "cd12": cd[3] * math.sin(t), "cd21": -cd[0] * math.sin(t), "cd22": cd[3] * math.cos(t)}
+    xy = rng.uniform(20, 780, (120, 2))
+    at = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, x double, y double")
+    p = sky.pixel_to_sky(F.col("x"), F.col("y"), sky.wcs(**true))
+    stars = at.select("id", p["ra"].alias("ra"), p["dec"].alias("dec"), F.lit(True).alias("is_star"), F.lit(5.0).alias("flux"))
+    dets = at.select("id", "x", "y", (F.col("id") % 17 == 0).cast("int").alias("flag"), F.lit(2.0).alias("a"), F.lit(1.8).alias("b"))
+    got = pipeline.register_image(stars, dets, off, 800, 800)
+    assert got["n"] > 60 and got["before_arcsec"] > 0.05 and got["after_arcsec"] < 1e-5
+    q = sky.sky_to_pixel(F.col("ra"), F.col("dec"), sky.wcs(**got["wcs"]))
+    err = stars.join(at, "id").select(F.hypot(q["x"] - F.col("x"), q["y"] - F.col("y")).alias("e")).agg(F.max("e")).head()[0]
+    assert err < 1e-4
+    with pytest.raises(ValueError):
+        pipeline.register_image(stars.limit(5), dets, off, 800, 800)
+
+
+def test_caps_drop_nothing(spark):
+    from fluxloom.operators import catalog, models
+
+    m = spark.range(41).select("id", F.col("id").cast("string").alias("band"), F.lit(1.0).alias("flux"), F.lit(1.0).alias("err"), F.lit(None).cast("double").alias("factor"))
+    assert {r.err for r in catalog.recalibrated(m, m.select("band", F.lit(2.0).alias("factor"))).collect()} == {2.0}
+    b = spark.range(65).select(F.col("id").alias("band"), F.lit(1.0).alias("seed_nmgy"), F.lit(4).alias("psf_half_pix"), F.lit(0.1).alias("scale_arcsec"))
+    assert models.clones(spark.range(3).withColumn("re", F.lit(1.0)), b).count() == 195
+    n = 200_001
+    cat = spark.range(n).select(F.col("id").alias("object_id"), F.lit(10.0).alias("ra"), F.lit(0.0).alias("dec"), (F.col("id") + 1.0).alias("flux_vis_psf"))
+    assert catalogs.source_catalog(cat, cat.select("object_id", F.lit(0.5).alias("point_like_prob")), 10.0, 0.0, 0.1).count() == n
+
+
+def test_empty_positions_until_none_is_left(spark):
+    px = pixel_table(spark, np.zeros((60, 60)), 1.0)
+    src = spark.createDataFrame([(k, 0, float(10 * (k % 6)), float(10 * (k // 6))) for k in range(36)], "id long, tile long, x double, y double")
+    at = inject.empty_positions(px, src, 500, 4.5, edge=4).toPandas()[["x", "y"]].to_numpy()
+    left = [(x, y) for x in range(4, 56) for y in range(4, 56) if min(np.hypot(x - 10 * (k % 6), y - 10 * (k // 6)) for k in range(36)) > 4.5]
+    assert len(left) > len(at) > 10 and len(at) < 500
+    assert all(np.hypot(*(at - p).T).min() <= 4.5 for p in left)  # no room is left
