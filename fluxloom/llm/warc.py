@@ -320,4 +320,4 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(with_revisits(common.table(spark, sf_dir, "pages")), folder)
     contents = files.read_files(spark, manifest, folder).join(manifest.select(F.col("file").alias("name"), "n_records"), "name")
     back = read_archives(contents, with_payload=False)
-    return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "byte_offset")
+    return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
