@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, units
 from ..plans.cut import cut
-from .render import template
+from .render import normalized, template
 
 
 def truth_table(spark: SparkSession, n: int, width: int, height: int, flux_ranges: dict[str, tuple[float, float]], seed: int = 1, tile: int = 0, edge: int = 10, point_share: float = 1.0) -> DataFrame:
@@ -35,21 +35,31 @@ def truth_table(spark: SparkSession, n: int, width: int, height: int, flux_range
 
 
 def rendered(sources: DataFrame, psf: np.ndarray, width: int, height: int) -> DataFrame:
-    """(tile, id, x, y, t): unit templates of any model through the PSF (a stamp of fixed size), by Arrow batches."""
+    """(tile, id, x, y, t): unit templates of any model through the PSF (a stamp of fixed size; or a source's own, of psf.with_stamps()), by Arrow batches."""
     kind = dict(sources.dtypes)["tile"]
+    own = [c for c in ("psf", "psf_width") if c in sources.columns]
 
     def run(batches):
         for pdf in batches:
             parts = []
             for r in pdf.itertuples():
                 num = lambda v, z: z if v is None or v != v else float(v)
-                x0, y0, stamp = template(r.model, r.x, r.y, psf, num(r.re, 0.0) or None, num(r.ab, 1.0), num(r.pa, 0.0), num(r.n, 1.0))
+                through = normalized(np.asarray(r.psf, float).reshape(-1, int(r.psf_width))) if own and r.psf is not None else psf
+                x0, y0, stamp = template(r.model, r.x, r.y, through, num(r.re, 0.0) or None, num(r.ab, 1.0), num(r.pa, 0.0), num(r.n, 1.0))
                 y, x = np.mgrid[y0 : y0 + stamp.shape[0], x0 : x0 + stamp.shape[1]]
                 ok = (x >= 0) & (x < width) & (y >= 0) & (y < height) & (stamp != 0)
                 parts.append(pd.DataFrame({"tile": r.tile, "id": r.id, "x": x[ok], "y": y[ok], "t": stamp[ok]}))
             yield pd.concat(parts) if parts else pd.DataFrame({"tile": [], "id": [], "x": [], "y": [], "t": []})
 
-    return sources.select("tile", "id", "x", "y", "model", "re", "ab", "pa", "n").mapInPandas(run, f"tile {kind}, id long, x int, y int, t double")
+    return sources.select("tile", "id", "x", "y", "model", "re", "ab", "pa", "n", *own).mapInPandas(run, f"tile {kind}, id long, x int, y int, t double")
+
+
+def derivatives(sources: DataFrame, psf: np.ndarray, width: int, height: int, step: float = 0.01) -> DataFrame:
+    """(tile, id, x, y, tx, ty): how unit templates change with their source's place, by central differences."""
+    moved = lambda dx, dy: rendered(sources.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy}), psf, width, height)
+    parts = [moved(k * step * (c == "tx"), k * step * (c == "ty")).select("tile", "id", "x", "y", *[(F.col("t") * (k / (2 * step) if c == own else 0.0)).alias(own) for own in ("tx", "ty")]) for c in ("tx", "ty") for k in (1, -1)]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return both.groupBy("tile", "id", "x", "y").agg(F.sum("tx").alias("tx"), F.sum("ty").alias("ty"))
 
 
 def inject(pixels: DataFrame, templates: DataFrame, truth: DataFrame, flux: str) -> DataFrame:

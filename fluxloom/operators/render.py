@@ -53,13 +53,18 @@ def recentred(stamp: np.ndarray) -> np.ndarray:
     return shifted(stamp, (stamp.shape[1] - 1) / 2 - cx, (stamp.shape[0] - 1) / 2 - cy)
 
 
-def core_fwhm(stamp: np.ndarray, radius: float = 4.0) -> float:
-    """Width of the Gaussian with the core's second moment."""
-    cy, cx = (k // 2 for k in stamp.shape)
+def core_radius(shape: tuple[int, int]) -> float:
+    """Where a stamp's core ends: ten pixels, or a third of the shorter side."""
+    return min(10.0, min(shape) / 3)
+
+
+def core_fwhm(stamp: np.ndarray, radius: float | None = None) -> float:
+    """Width of the Gaussian with the core's second moment about the stamp's centre; NaN without light there."""
+    cy, cx = ((k - 1) / 2 for k in stamp.shape)
     y, x = np.mgrid[: stamp.shape[0], : stamp.shape[1]]
     r2 = (x - cx) ** 2 + (y - cy) ** 2
-    w = np.where(r2 <= radius * radius, np.clip(stamp, 0, None), 0)
-    return float(2 * math.sqrt(2 * math.log(2)) * math.sqrt((w * r2).sum() / w.sum() / 2))
+    w = np.where(r2 <= (radius or core_radius(stamp.shape)) ** 2, np.clip(stamp, 0, None), 0)
+    return float(2 * math.sqrt(2 * math.log(2)) * math.sqrt((w * r2).sum() / w.sum() / 2)) if w.sum() > 0 else math.nan
 
 
 def sersic_b(n: float) -> float:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions import sky, stats, units
-from ..operators import catalog, detect, fit, flags, inject, matching, models, render, solve
+from ..operators import catalog, detect, fit, flags, inject, matching, models, psf, render, solve
 from ..operators.tiles import weighted
 from .cut import cut
 
@@ -30,6 +30,7 @@ class Band:
     sky: bool = False
     inflate: str = "none"  # none, residuals or empty
     extra_mask: DataFrame | None = None
+    psf_samples: DataFrame | None = None  # id, x, y, stamp, width: the PSF by place; psf is then where there is none
 
     def weights(self) -> DataFrame:
         px = self.pixels if "w" in self.pixels.columns else weighted(self.pixels.withColumn("band", F.lit(self.name)), self.extra_mask)
@@ -96,6 +97,8 @@ def solve_band(src: DataFrame, band: Band, tile: int | None = None) -> DataFrame
     else:
         core = None
     px = cut(px)
+    if band.psf_samples is not None:
+        src = cut(psf.with_stamps(src, band.psf_samples))
     t = cut(inject.rendered(src, band.psf, band.width, band.height))  # the solve reads both several times
     f = solve.solve_fluxes(t, px, sky=band.sky)
     own = f.where(F.col("id") != solve.SKY)

@@ -292,3 +292,46 @@ def test_empty_positions_until_none_is_left(spark):
     left = [(x, y) for x in range(4, 56) for y in range(4, 56) if min(np.hypot(x - 10 * (k % 6), y - 10 * (k // 6)) for k in range(36)) > 4.5]
     assert len(left) > len(at) > 10 and len(at) < 500
     assert all(np.hypot(*(at - p).T).min() <= 4.5 for p in left)  # no room is left
+
+
+def test_psf_by_place(spark):
+    wide = render.resized(render.gaussian_psf(4.5), 2 * (PSF.shape[0] // 2) + 7)
+    left, right = fit.Source(1, 15.2, 30.0, flux=80.0), fit.Source(2, 50.4, 33.0, flux=80.0)
+    d = np.random.default_rng(2).normal(0, 0.05, (64, 64)) + left.flux * left.plane((64, 64), PSF) + right.flux * right.plane((64, 64), wide)
+    samples = spark.createDataFrame([(1, 10.0, 30.0, PSF.ravel().tolist(), PSF.shape[1]), (2, 55.0, 30.0, wide.ravel().tolist(), wide.shape[1])], "id long, x double, y double, stamp array<double>, width int")
+    band = pipeline.Band("VIS", pixel_table(spark, d, 1 / 0.05**2), PSF, WCS, 64, 64, psf_samples=samples)
+    plain = pipeline.Band("VIS", pixel_table(spark, d, 1 / 0.05**2), PSF, WCS, 64, 64)
+    got, without = ({r.id: r.flux for r in pipeline.run(RunConfig(269.5, 67.3, 20.0), [b], as_catalog(spark, [left, right])).measurements.collect()} for b in (band, plain))
+    assert abs(got[1] - 80) < 1 and abs(got[2] - 80) < 1 and abs(without[2] - 80) > 10
+    with pytest.raises(ValueError):
+        psf.place_of_psf(samples, samples, "average")
+
+
+def test_stars_against_the_psf():
+    g = render.resized(render.gaussian_psf(3.0), 41)
+    image, weight = np.random.default_rng(0).normal(2.0, 0.01, (80, 80)), np.full((80, 80), 1e4)
+    star = fit.Source(1, 40.3, 39.6, flux=500.0)
+    image += star.flux * star.plane((80, 80), g)
+    own, given = psf.star_and_reference(image, weight, g, 40.3, 39.6)
+    assert np.abs(own - given).max() < 2e-3 and abs(render.core_fwhm(own) - render.core_fwhm(g)) < 0.1
+    assert psf.star_stamp(image, weight, 10.0, 40.0, 20) is None and psf.star_stamp(image, weight, 25.0, 25.0, 20) is None
+    masked = weight.copy()
+    masked[40, 41] = 0
+    assert psf.star_stamp(image, masked, 40.3, 39.6, 20) is None
+    wings = psf.radial_wings(own)
+    assert abs(wings.sum() - 1) < 1e-9 and (wings >= 0).all() and np.ptp(wings[20, [8, 32]]) < 1e-12
+    with pytest.raises(ValueError):
+        psf.radial_wings(-g)
+    assert psf.grid_settings(None, None, {"Warm", "cryo"})["label"] == "cryo+warm" and psf.grid_settings("a", "b", set())["source"] == "files"
+    with pytest.raises(ValueError):
+        psf.grid_settings("a", None, set())
+
+
+def test_template_derivatives(spark):
+    s = spark.createDataFrame([(0, 1, 20.3, 22.7, "PointSource", None, None, None, None)], "tile long, id long, x double, y double, model string, re double, ab double, pa double, n double")
+    got = inject.derivatives(s, PSF, 64, 64).toPandas()
+    h = 1e-3
+    want = (fit.Source(1, 20.3 + h, 22.7).plane((64, 64), PSF) - fit.Source(1, 20.3 - h, 22.7).plane((64, 64), PSF)) / (2 * h)
+    plane = np.zeros((64, 64))
+    plane[got.y, got.x] = got.tx
+    assert np.abs(plane - want).max() < 1e-4 and abs(got.ty.sum()) < 1e-6
