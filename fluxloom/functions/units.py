@@ -123,3 +123,10 @@ def bounded_uniform(key: Column, lo: float, hi: float, log: bool = False) -> Col
 def irac_mission(channel: Column, mjd: Column) -> Column:
     """cryo or warm of a channel (1 to 4) at a date; channels 3 and 4 have cryogenic data alone, and an unknown date counts as cryogenic."""
     return F.when(channel >= 3, "cryo").when(mjd >= WARM_MJD, "warm").otherwise("cryo")
+
+
+def mag_difference(a: Column, b: Column, ea: Column, eb: Column) -> dict[str, Column]:
+    """Magnitude difference of two fluxes, and its error if theirs are independent."""
+    both = (a > 0) & (b > 0)
+    ra, rb = ea / F.when(a > 0, a), eb / F.when(b > 0, b)
+    return {"dmag": F.when(both, 2.5 * F.log10(F.when(b > 0, b) / F.when(a > 0, a))), "dmag_err": F.when(both, 2.5 / math.log(10) * F.hypot(ra, rb))}

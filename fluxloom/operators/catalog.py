@@ -115,3 +115,16 @@ def ebv_filled(cat: DataFrame) -> DataFrame:
 
 
 NMAD = MAD_SCALE
+
+
+def aligned(full: DataFrame, fitted: DataFrame, key: str = "id") -> DataFrame:
+    """Every row of full with the columns of its fit, null where there is none."""
+    return full.join(fitted, key, "left")
+
+
+def median_ratios(cmp: DataFrame, a: str, b: str, ea: str, eb: str) -> DataFrame:
+    """One row: n, and the medians of a / b and of their errors' ratio over rows where all are positive."""
+    ok = cmp
+    for c in (a, b, ea, eb):
+        ok = ok.where(finite(F.col(c)) & (F.col(c) > 0))
+    return ok.agg(F.count("*").alias("n"), stats.median(F.col(a) / F.col(b)).alias("flux_ratio"), stats.median(F.col(ea) / F.col(eb)).alias("error_ratio"))

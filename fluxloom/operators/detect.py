@@ -224,6 +224,16 @@ def with_background(pixels: DataFrame, mesh: int = 64) -> DataFrame:
     return pixels.groupBy("tile").applyInPandas(run, schema)
 
 
+def without_background(pixels: DataFrame, method: str = "mesh", mesh: int = 64) -> DataFrame:
+    """pixels with their background taken from d: none, or that of a mesh."""
+    if method == "none":
+        return pixels
+    if method != "mesh":
+        raise ValueError(f"background method {method!r}")
+    out = with_background(pixels, mesh)
+    return out.withColumn("d", F.col("d") - F.coalesce(F.nanvl("background", F.lit(0.0)), F.lit(0.0))).select(*pixels.columns)
+
+
 def assign_to_blobs(cat: DataFrame, segs: DataFrame, dets: DataFrame) -> DataFrame:
     """cat (id, tile, x, y) with blob and segment: those of the pixel; in a blob but off its segments, the segment with the nearest centroid. Rows off all blobs have null."""
     spot = cat.withColumns({"_x": F.rint("x").cast("int"), "_y": F.rint("y").cast("int")})

@@ -98,3 +98,10 @@ def registration_stars(cat: DataFrame, width: int, height: int, least_flux: floa
     """Stars (is_star, flux, x, y) bright enough and off the image's edge."""
     inside = (F.col("x") > edge) & (F.col("x") < width - edge) & (F.col("y") > edge) & (F.col("y") < height - edge)
     return cat.where(F.col("is_star") & (F.col("flux") > least_flux) & F.coalesce(inside, F.lit(False)))
+
+
+def star_signal_pixels(pixels: DataFrame, band: str) -> DataFrame | None:
+    """Pixels (tile, x, y) with the star-signal bit of a VIS flag plane; None without a plane. Other bands have no such bit, and are an error."""
+    if band.upper() != "VIS":
+        raise ValueError(f"{band} has no star-signal bit")
+    return pixels.where(star_signal(F.col("flag"))).select("tile", "x", "y") if "flag" in pixels.columns else None

@@ -97,8 +97,8 @@ def brightest_neighbour(cat: DataFrame, radius_arcsec: float) -> DataFrame:
     return cat.join(best.select("id", (-F.col("m.k")).alias("neighbour_id"), F.col("m.right_flux").alias("neighbour_flux")), "id", "left")
 
 
-def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = (), first_arcsec: float = 30.0) -> DataFrame:
-    """cat with sample_id of the nearest PSF sample by chord length (safe across RA 0), no interpolation; samples share keys (such as band) with cat.
+def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = (), first_arcsec: float = 30.0, flat: bool = False) -> DataFrame:
+    """cat with sample_id of the nearest PSF sample by chord length (safe across RA 0), or with flat by tangent offsets at the row, no interpolation; samples share keys (such as band) with cat.
 
     Rows meet the samples within a radius by cells; those that find none are asked again
     with four times the radius, up to the whole sky, so no row meets all samples unless
@@ -107,6 +107,9 @@ def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = (), first_a
     """
     u, v = (sky.unit_vector(F.col(f"left_{p}"), F.col(f"left_{q}")) if k == 0 else sky.unit_vector(F.col(f"right_{p}"), F.col(f"right_{q}")) for k, p, q in ((0, "ra", "dec"), (1, "ra", "dec")))
     d2 = sum(((u[k] - v[k]) * (u[k] - v[k]) for k in ("ux", "uy", "uz")), F.lit(0.0))
+    if flat:
+        o = sky.tangent_offsets_arcsec(F.col("left_ra"), F.col("left_dec"), F.col("right_ra"), F.col("right_dec"))
+        d2 = o["dx"] * o["dx"] + o["dy"] * o["dy"]
     rest, found, radius = _placed(cat).select("id", "ra", "dec", *keys), None, first_arcsec
     known = samples.select(*keys).distinct() if keys else None
     if known is not None:
@@ -115,6 +118,8 @@ def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = (), first_a
         near = pairs(rest, samples, radius, left_cols=("ra", "dec", *keys), right_cols=("ra", "dec", *keys))
         for k in keys:
             near = near.where(F.col(f"left_{k}") == F.col(f"right_{k}"))
+        if flat and radius < 180 * 3600:  # the plane and the sphere differ a little at the circle's rim
+            near = near.where(d2 <= (0.98 * radius) ** 2)
         best = cut(near.groupBy(F.col("left_id").alias("id")).agg(F.min(F.struct(F.round(d2, 15).alias("d2"), F.col("right_id").alias("sample_id"))).alias("m")).select("id", "m.sample_id"))
         found = best if found is None else found.unionByName(best)
         if radius >= 180 * 3600:

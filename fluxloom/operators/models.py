@@ -117,3 +117,8 @@ def sersic_kept(chi2_before: Column, chi2_after: Column, snr: Column, model: Col
 def unphysical(flux: Column, reference: Column) -> Column:
     """A fitted flux that is negative, or over 100 times a positive reference."""
     return F.coalesce(flux < 0, F.lit(False)) | F.coalesce((reference > 0) & (F.abs(flux) > 100 * reference), F.lit(False)) | ~finite(flux)
+
+
+def initial_flux(flux: Column) -> Column:
+    """The flux that a trial of a model starts from: 1 where there is none, or none that is positive."""
+    return F.when(finite(flux) & (flux > 0), flux).otherwise(1.0)

@@ -141,3 +141,14 @@ def masked_clones(pixels: DataFrame, masks: DataFrame, boxes: DataFrame) -> Data
     own = masks.select("tile", "blob", "x", "y").distinct().withColumn("_own", F.lit(True))
     p = p.join(own, ["tile", "blob", "x", "y"], "left")
     return p.select("tile", "blob", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "d", F.when(F.col("_own"), F.col("w")).otherwise(0.0).alias("w"))
+
+
+def containing_tiles(fields: DataFrame, candidates: DataFrame) -> DataFrame:
+    """fields (field, ra, dec, size_arcsec) with tile_id, x0, y0 and n of the first candidate tile (field, rank, tile_id, width, height, crval1 .. cd22) that holds the whole square; null without one."""
+    w = {k: F.col(k) for k in sky.WCS_FIELDS}
+    p = sky.sky_to_pixel(F.col("ra"), F.col("dec"), w)
+    j = fields.join(candidates, "field").withColumn("n", F.ceil(F.col("size_arcsec") / sky.pixel_scale_arcsec(w)).cast("int"))
+    j = j.withColumns({"x0": F.rint(p["x"] - (F.col("n") - 1) / 2).cast("int"), "y0": F.rint(p["y"] - (F.col("n") - 1) / 2).cast("int")})
+    inside = j.where((F.col("x0") >= 0) & (F.col("y0") >= 0) & (F.col("x0") + F.col("n") <= F.col("width")) & (F.col("y0") + F.col("n") <= F.col("height")))
+    first = inside.groupBy("field").agg(F.min(F.struct("rank", "tile_id", "x0", "y0", "n")).alias("m")).select("field", "m.tile_id", "m.x0", "m.y0", "m.n")
+    return fields.join(first, "field", "left")

@@ -516,3 +516,69 @@ def unwise_comparison(s, d):
     ref = others(s, d).withColumns({"err": F.lit(1.0), "primary": (F.col("id") % 3 != 0).cast("int"), "flags": (F.col("id") % 7 == 0).cast("int")})
     mine = stars(s, d).withColumns({"wise_flux": F.col("flux"), "wise_err": F.col("err") + 1, "quality": F.col("id") % 5 != 0})
     return compare.unwise(mine, ref, 0.9, 4.0, isolation_arcsec=8.0).select("id", "match_id", r("wise_flux").alias("wise_flux"), "selected", "clean")
+
+
+# -- tiles, stamps, scenes ----------------------------------------------------------------------------
+
+_TILE_WCS = (("crpix1", 199.5), ("crpix2", 199.5), ("cd11", -0.0001), ("cd12", 0.0), ("cd21", 0.0), ("cd22", 0.0001))
+
+
+@query("containing_tiles", f"WITH f AS (SELECT id AS field, ra, dec, 20 + id % 30 AS size FROM {STARS}), c AS (SELECT f.field, ra, dec, ceil(size/0.36)::INTEGER AS n, k AS tile_id, ra - (k - 1)*0.012 AS a, dec + (k - 1)*0.004 AS d FROM f, range(0, 3) t(k)), p AS (SELECT *, sin(radians(d))*sin(radians(dec))+cos(radians(d))*cos(radians(dec))*cos(radians(ra-a)) AS cc FROM c), q AS (SELECT *, round_even(199.5 + degrees(cos(radians(dec))*sin(radians(ra-a))/cc)/-0.0001 - (n-1)/2, 0)::INTEGER AS x0, round_even(199.5 + degrees((cos(radians(d))*sin(radians(dec))-sin(radians(d))*cos(radians(dec))*cos(radians(ra-a)))/cc)/0.0001 - (n-1)/2, 0)::INTEGER AS y0 FROM p) SELECT f.field, g.tile_id, g.x0, g.y0, g.n FROM f LEFT JOIN (SELECT field, tile_id, x0, y0, n FROM q WHERE x0 >= 0 AND y0 >= 0 AND x0 + n <= 250 AND y0 + n <= 300 QUALIFY row_number() OVER (PARTITION BY field ORDER BY tile_id) = 1) g ON g.field = f.field")
+def containing_tiles(s, d):
+    f = stars(s, d).select(F.col("id").alias("field"), "ra", "dec", (20 + F.col("id") % 30).alias("size_arcsec"))
+    k = F.col("tile_id")
+    c = f.select("field", F.col("ra").alias("a"), F.col("dec").alias("b")).crossJoin(F.broadcast(s.range(3).withColumnRenamed("id", "tile_id"))).select("field", "tile_id", k.alias("rank"), F.lit(250).alias("width"), F.lit(300).alias("height"), (F.col("a") - (k - 1) * 0.012).alias("crval1"), (F.col("b") + (k - 1) * 0.004).alias("crval2"), *[F.lit(v).alias(n) for n, v in _TILE_WCS])  # three rows
+    return tiles.containing_tiles(f, c).select("field", "tile_id", "x0", "y0", "n")
+
+
+@query("cropped_stamps", "SELECT s_suppkey AS id, sum((px*7 + py*13) % 17)::DOUBLE AS total FROM (SELECT *, s_suppkey*37 % 60 AS sx, s_suppkey*91 % 60 AS sy FROM supplier), range(0, 60) a(px), range(0, 60) b(py) WHERE abs(px-sx) <= 2 AND abs(py-sy) <= 2 GROUP BY 1 HAVING count(*) = 25")
+def cropped_stamps(s, d):
+    k = F.col("s_suppkey")
+    src = table(s, d, "supplier").select(k.alias("id"), F.lit(1).alias("tile"), (k * 37 % 60 + 0.25).alias("x"), (k * 91 % 60 - 0.25).alias("y"))
+    x, y = (F.col("id") % 60).cast("int"), F.floor(F.col("id") / 60).cast("int")
+    px = s.range(3600).select(F.lit(1).alias("tile"), x.alias("x"), y.alias("y"), ((x * 7 + y * 13) % 17).cast("double").alias("v"))
+    return psf.cropped(src, px, 5).select("id", F.aggregate("stamp", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+_FLAT = "pow(((p.ra-s.ra+180) % 360 - 180)*cos(radians(s.dec))*3600, 2) + pow((p.dec-s.dec)*3600, 2)"
+
+
+@query("psf_sample_flat", f"SELECT s.id, arg_min(p.id, (round({_FLAT}, 15), p.id)) AS sample_id FROM {STARS} s, (SELECT n_nationkey AS id, 269.40 + n_nationkey % 5 * 0.0501 AS ra, 67.25 + n_nationkey // 5 * 0.0253 AS dec FROM nation) p GROUP BY s.id")
+def psf_sample_flat(s, d):
+    k = F.col("n_nationkey")
+    samples = table(s, d, "nation").select(k.alias("id"), (269.40 + k % 5 * 0.0501).alias("ra"), (67.25 + F.floor(k / 5) * 0.0253).alias("dec"))
+    return matching.nearest_sample(stars(s, d), samples, flat=True).select("id", "sample_id")
+
+
+@query("scenes", f"WITH p AS (SELECT id, flux, sin(radians(67.3))*sin(radians(dec))+cos(radians(67.3))*cos(radians(dec))*cos(radians(ra-269.5)) AS cc, ra, dec FROM {STARS} WHERE flux > 0) SELECT id, flux FROM p WHERE 199.5 + degrees(cos(radians(dec))*sin(radians(ra-269.5))/cc)/-0.0001 BETWEEN -5/0.36 AND 399.999999 + 5/0.36 AND 199.5 + degrees((cos(radians(67.3))*sin(radians(dec))-sin(radians(67.3))*cos(radians(dec))*cos(radians(ra-269.5)))/cc)/0.0001 BETWEEN -5/0.36 AND 399.999999 + 5/0.36 ORDER BY flux DESC, id")
+def scenes(s, d):
+    return catalogs.scene(stars(s, d), dict(crval1=269.5, crval2=67.3) | dict(_TILE_WCS), 400, 400).select("id", "flux")
+
+
+@query("aligned_fits", f"SELECT s.id, s.flux, CASE WHEN s.id % 3 = 0 THEN s.err END AS fitted FROM {STARS} s")
+def aligned_fits(s, d):
+    fit = stars(s, d).where("id % 3 = 0").select("id", F.col("err").alias("fitted"))
+    return catalog.aligned(stars(s, d).select("id", "flux"), fit)
+
+
+@query("median_ratios", "SELECT count(*) AS n, round(quantile_cont(l_quantity/(l_extendedprice/1000), 0.5), 8) AS flux_ratio, round(quantile_cont(l_tax/l_discount, 0.5), 8) AS error_ratio FROM lineitem WHERE l_tax > 0 AND l_discount > 0")
+def median_ratios(s, d):
+    t = table(s, d, "lineitem").withColumn("b", F.col("l_extendedprice") / 1000)
+    return catalog.median_ratios(t, "l_quantity", "b", "l_tax", "l_discount").select("n", r("flux_ratio", 8).alias("flux_ratio"), r("error_ratio", 8).alias("error_ratio"))
+
+
+@query("magnitude_differences", "SELECT l_orderkey, l_linenumber, round(2.5*log10(25.0/l_quantity), 8) AS dmag, round(2.5/ln(10)*sqrt(pow(l_tax/l_quantity, 2) + pow(l_discount/25.0, 2)), 8) AS dmag_err FROM lineitem")
+def magnitude_differences(s, d):
+    m = units.mag_difference(F.col("l_quantity"), F.lit(25.0), F.col("l_tax"), F.col("l_discount"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", r(m["dmag"], 8).alias("dmag"), r(m["dmag_err"], 8).alias("dmag_err"))
+
+
+@query("initial_fluxes", f"SELECT id, CASE WHEN id % 4 = 0 OR flux <= 0 THEN 1.0 ELSE flux END AS flux FROM {STARS}")
+def initial_fluxes(s, d):
+    return stars(s, d).select("id", models.initial_flux(F.when(F.col("id") % 4 != 0, F.col("flux"))).alias("flux"))
+
+
+@query("star_signal_pixels", "SELECT o_orderkey AS x FROM orders WHERE (o_orderkey*8 & 262144) <> 0")
+def star_signal_pixels(s, d):
+    px = table(s, d, "orders").select(F.lit(1).alias("tile"), F.col("o_orderkey").alias("x"), F.lit(0).alias("y"), (F.col("o_orderkey") * 8).alias("flag"))
+    return flags.star_signal_pixels(px, "VIS").select("x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,6 +59,26 @@ class Result:
         return out
 
 
+    def images(self, name: str) -> DataFrame:
+        """A band's pixels with model, residual and chi, in microjanskys."""
+        b = self.bands[name]
+        first = next(iter(self.bands.values()))
+        src = self.sources if b is first else place(self.sources.drop("x", "y"), b).withColumn("re", F.col("re") * first.scale_arcsec / b.scale_arcsec)
+        t = inject.rendered(src, b.psf, b.width, b.height)
+        f = self.measurements.where(F.col("band") == name).select("id", (F.col("flux") / b.ujy_per_unit).alias("flux")).join(src.select("id", "tile"), "id")
+        out = solve.residuals(b.weights(), solve.model_image(t, f))
+        return out.withColumns({c: F.col(c) * b.ujy_per_unit for c in ("d", "model", "residual")}).withColumn("w", F.col("w") / b.ujy_per_unit**2)
+
+
+def prior_unless_known(src: DataFrame, existing: DataFrame | None, make) -> DataFrame:
+    """existing, if it has a row for just the ids of src; else make(src)."""
+    if existing is not None:
+        both = src.select("id").withColumn("_a", F.lit(1)).join(existing.select("id").withColumn("_b", F.lit(1)), "id", "full_outer")
+        if not both.where("_a is null or _b is null").head(1):
+            return existing
+    return make(src)
+
+
 def place(sources: DataFrame, band: Band, margin: float = -1.0) -> DataFrame:
     """Sources on the image with pixel positions; those off it (or closer than -margin to its edge) are dropped."""
     p = sky.sky_to_pixel(F.col("ra"), F.col("dec"), sky.wcs(**band.wcs))
@@ -79,6 +100,8 @@ def prior_sources(cfg: RunConfig, catalog_rows: DataFrame | None, coords: DataFr
             c = c.orderBy(F.desc("flux"), "id").limit(cfg.max_rows)
         src = models.from_catalog(c, force_model=cfg.prior["force_model"]).withColumn("is_star", units.known(F.col("point_like_prob"), 0.0) > 0.96)
     src = place(src, band).withColumn("re", F.col("re") / band.scale_arcsec)
+    if cfg.prior["mode"] == "coords" and not src.head(1):
+        raise ValueError("no coordinate lies on the image")
     return src.select("id", "tile", "ra", "dec", "x", "y", "model", "re", "ab", "pa", "n", "flux", "is_star")
 
 
@@ -142,10 +165,11 @@ def tree_models(src: DataFrame, band: Band) -> tuple[DataFrame, DataFrame]:
     return out, chosen.select("id", F.explode("trials").alias("t")).select(F.col("id").alias("source_id"), "t.stage", "t.model", F.col("t.rchi2").alias("chi2"))
 
 
-def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None, coords: DataFrame | None = None, neighbours: dict[str, DataFrame] | None = None, calibrate: bool = False, tile: int | None = 1024) -> Result:
+def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None, coords: DataFrame | None = None, neighbours: dict[str, DataFrame] | None = None, calibrate: bool = False, tile: int | None = 1024, at_once: int = 4) -> Result:
     """Forced photometry of one field (or of many images of equal geometry, which their column tile tells).
 
-    Fluxes of images larger than `tile` pixels are solved in tiles of that size.
+    Fluxes of images larger than `tile` pixels are solved in tiles of that size, and
+    `at_once` bands at a time.
 
     The first band is the prior band. Positions and shapes are fixed there; other
     bands solve fluxes alone, with the outside neighbours (id, ra, dec, flux) they
@@ -162,24 +186,28 @@ def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None
             moved = fit.refit(src, prior.weights(), prior.psf, prior.scale_arcsec, what, cfg.prior["flux_floor_ujy"])
             src = src.drop("x", "y", "model", "re", "ab", "pa", "n", "flux").join(moved.select("id", "x", "y", "model", "re", "ab", "pa", "n", "flux"), "id")
     src = cut(src)  # every band renders from it
-    measured, outside = None, None
-    for b in bands:
+
+    def one(b: Band) -> tuple[DataFrame, DataFrame | None]:
+        """A band's measurements, and those of its neighbours."""
         own = src if b is prior else place(src.drop("x", "y"), b).withColumn("re", F.col("re") * prior.scale_arcsec / b.scale_arcsec)
-        extra = (neighbours or {}).get(b.name)
-        rows = own
+        extra, rows, lost = (neighbours or {}).get(b.name), own, None
         if extra is not None:
             e = place(extra, b, margin=4 * b.psf.shape[0])
             e = e.select("id", "tile", "x", "y", "flux").withColumns({"model": F.lit("PointSource"), "is_neighbour": F.lit(True)})
             rows = catalog.outer_union(own, e)
         m = solve_band(rows, b, tile)
         if extra is not None:
-            keep, lost = catalog.split_neighbours(m.join(rows.select("id", "is_neighbour"), "id"))
-            m = keep.drop("is_neighbour")
-            outside = lost.drop("is_neighbour") if outside is None else outside.unionByName(lost.drop("is_neighbour"))
+            m, lost = (part.drop("is_neighbour") for part in catalog.split_neighbours(m.join(rows.select("id", "is_neighbour"), "id")))
         if calibrate and b.inflate == "empty":
             m = catalog.recalibrated(m, empty_factors(b, own))
-        m = cut(m)
-        measured = m if measured is None else measured.unionByName(m)
+        return cut(m), lost
+
+    measured, outside = None, None
+    with ThreadPoolExecutor(at_once) as pool:  # bands wait for one another's jobs no more than Spark's scheduler does
+        for m, lost in pool.map(one, bands):
+            measured = m if measured is None else measured.unionByName(m)
+            if lost is not None:
+                outside = lost if outside is None else outside.unionByName(lost)
     if outside is None:
         outside = measured.limit(0)
     return Result(src, measured, outside, trials, {b.name: b for b in bands})

@@ -170,3 +170,12 @@ def first_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 WISE_NMGY = {b: UJY_PER_NMGY * 10 ** (-0.4 * v) for b, v in VEGA_AB.items()}
 probable_stars = flags.probable_stars
+
+
+def scene(cat: DataFrame, wcs: dict, width: int, height: int, margin_arcsec: float = 5.0) -> DataFrame:
+    """Rows of positive finite flux on the image or within a margin around it, with x and y, brightest first."""
+    w = sky.wcs(**wcs)
+    p = sky.sky_to_pixel(F.col("ra"), F.col("dec"), w)
+    out = cat.where(units.finite(F.col("flux")) & (F.col("flux") > 0)).withColumns({"x": p["x"], "y": p["y"], "_m": margin_arcsec / sky.pixel_scale_arcsec(w)})
+    inside = (F.col("x") >= -F.col("_m")) & (F.col("x") < width + F.col("_m")) & (F.col("y") >= -F.col("_m")) & (F.col("y") < height + F.col("_m"))
+    return out.where(F.coalesce(inside, F.lit(False))).drop("_m").orderBy(F.desc("flux"), "id")

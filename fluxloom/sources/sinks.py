@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ def write_catalog(cat: DataFrame, path: str, metadata: dict | None = None, mode:
     (w.option("header", True) if ext == "csv" else w).save(path)
     if metadata is not None:
         spark = cat.sparkSession
+        metadata = {"written_utc": datetime.now(timezone.utc).isoformat(timespec="seconds")} | metadata
         spark.createDataFrame([(json.dumps(metadata, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path + ".meta")
 
 

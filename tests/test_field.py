@@ -335,3 +335,27 @@ def test_template_derivatives(spark):
     plane = np.zeros((64, 64))
     plane[got.y, got.x] = got.tx
     assert np.abs(plane - want).max() < 1e-4 and abs(got.ty.sum()) < 1e-6
+
+
+def test_images_and_known_priors(spark):
+    band = pipeline.Band("VIS", pixel_table(spark, image(POINTS), 1 / 0.09), PSF, WCS, 64, 64, ujy_per_unit=2.0)
+    r = pipeline.run(RunConfig(269.5, 67.3, 20.0), [band], as_catalog(spark, POINTS))
+    px = r.images("VIS").toPandas()
+    assert len(px) == 64 * 64 and abs(px.residual.std() - 2 * 0.3) < 0.05 and abs(px.chi.std() - 1) < 0.1 and np.allclose(px.d - px.model, px.residual)
+    a, b = spark.range(3), spark.range(4)
+    assert pipeline.prior_unless_known(a, a, lambda x: b) is a and pipeline.prior_unless_known(a, b, lambda x: x.limit(1)).count() == 1 and pipeline.prior_unless_known(a, None, lambda x: b) is b
+    with pytest.raises(ValueError):
+        pipeline.run(RunConfig(269.5, 67.3, 20.0, prior={"mode": "coords"}), [band], coords=spark.createDataFrame([(10.0, 10.0)], "ra double, dec double"))
+
+
+def test_backgrounds_and_bits(spark):
+    from fluxloom.operators import flags
+
+    px = pixel_table(spark, image([], level=5.0), 1 / 0.09)
+    assert detect.without_background(px, "none") is px
+    assert abs(detect.without_background(px, "mesh", 32).agg(F.avg("d")).head()[0]) < 0.05
+    with pytest.raises(ValueError):
+        detect.without_background(px, "other")
+    assert flags.star_signal_pixels(px, "VIS") is None
+    with pytest.raises(ValueError):
+        flags.star_signal_pixels(px, "H")
