@@ -10,14 +10,16 @@ only those whose first GRAM bytes (the leading token) stand at two anchors or mo
    and add, as a prefix, the bytes from the start of the first. A task writes equal
    pairs (prefix, suffix) twice at most: as often as it takes to see that they repeat.
 3. Sampled splitters range-partition the rows by leading tokens (suffix first, then
-   prefix, then a hash of both), so that rows which share a token, however many, may
-   be parted. A bucket sorts its suffixes, and its reversed prefixes, by multikey
-   quicksort over 8-byte symbols and takes the common lengths of neighbours. The
-   window that starts o bytes left of an anchor repeats if another row is in its run
+   prefix, then a hash of both). Splitters stand between tokens; a token of more rows
+   than a bucket sorts at a time, however many, is parted. They are cut to the bytes that
+   part their neighbours. A bucket sorts its suffixes, and its reversed prefixes, by
+   multikey quicksort over 8-byte symbols and takes the common lengths of neighbours.
+   The window that starts o bytes left of an anchor repeats if another row is in its run
    of suffixes with n - o common bytes and in its run of prefixes with o common bytes.
-4. Such a run may go on in another bucket only if it has n - o bytes in common with
-   its own bucket's least or largest row, as buckets are ranges. Windows of these runs
-   are compared across buckets, by 128 bits of their bytes.
+4. Such a run may go on in another bucket only if it has n - o bytes in common with a
+   splitter at its bucket's end, as buckets are ranges. Windows of these runs are
+   compared across buckets, by 128 bits of their bytes: those that repeat in their
+   bucket are named once, the others ask whether another bucket names them.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import hashlib
 from bisect import bisect_right
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -153,8 +156,8 @@ def repeated_offsets(left: list[bytes], right: list[bytes], count: np.ndarray, n
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 #: Bytes of the suffix, and of the prefix, by which rows are dealt.
 LEAD = 64
-#: Rows of a bucket that are sorted at a time, and pairs that a task remembers to have written.
-BUCKET_ROWS, REMEMBERED = 30_000, 400_000
+#: Rows of a bucket that are sorted at a time, pairs that a task remembers to have written, leads sampled for each partition.
+BUCKET_ROWS, REMEMBERED, SAMPLED = 30_000, 400_000, 16
 
 
 def contexts(slim: DataFrame, n: int) -> DataFrame:
@@ -204,38 +207,66 @@ def common_id(doc: int | None) -> int:
     return NULL_ID if doc is None else doc
 
 
-def lead_of(right: bytes, left: bytes) -> bytes:
-    return right[:LEAD] + left[:LEAD]
+def lead_of(right: bytes, left: bytes, c1: int) -> bytes:
+    return right[:LEAD] + left[:LEAD] + (c1 & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big")
 
 
 def common_length(a: bytes, b: bytes) -> int:
     if a == b:
         return len(a)
-    x = int.from_bytes(a.ljust(2 * LEAD, b"\0"), "big") ^ int.from_bytes(b.ljust(2 * LEAD, b"\0"), "big")
-    return min(2 * LEAD - (x.bit_length() + 7) // 8, len(a), len(b))
-
-
-def bucket_rows(batches, n: int, most: int):
-    """(c1, c2, runs) of the rows with windows that repeat in the bucket, and (c1, c2, w1, w2, o) of other windows that may stand in other buckets; windows of that kind that repeat in the bucket come as (w1, w2) alone."""
+    size = max(len(a), len(b))
+    x = int.from_bytes(a.ljust(size, b"\0"), "big") ^ int.from_bytes(b.ljust(size, b"\0"), "big")
+    return min(size - (x.bit_length() + 7) // 8, len(a), len(b))
+
+
+def splitters(leads: list[bytes], target: float, most: float) -> list[bytes]:
+    """Ascending splitters that leave about `target` of the sample's leads to a bucket. They stand between tokens (the first GRAM bytes); only a token of more than `most` leads is parted, where neighbours have the fewest bytes in common. A splitter has no more bytes than it takes to part its neighbours."""
+    leads = sorted(leads)
+    out: set[bytes] = set()
+    step, size, i = max(1, int(most)), 0, 0
+
+    def part(at: int) -> None:
+        out.add(leads[at][: common_length(leads[at - 1], leads[at]) + 1])
+
+    while i < len(leads):
+        j = i + 1
+        while j < len(leads) and leads[j][:GRAM] == leads[i][:GRAM]:
+            j += 1
+        if i and size and (size + j - i > target or j - i > most):
+            part(i)
+            size = 0
+        if j - i > most:
+            for mid in range(i + step, j, step):
+                gaps = [(common_length(leads[k - 1], leads[k]), abs(k - mid), k) for k in range(max(i + 1, mid - step // 3), min(j - 1, mid + step // 3) + 1) if leads[k - 1] != leads[k]]
+                if gaps:
+                    part(min(gaps)[2])
+            size = target  # the next token begins another bucket
+        else:
+            size += j - i
+        i = j
+    return sorted(out)
+
+
+def bucket_rows(batches, n: int, most: int, bounds: list[bytes]):
+    """(c1, c2, runs) of the rows with windows that repeat in the bucket, and (c1, c2, w1, w2, o) of other windows that may stand in other buckets; windows of that kind that repeat in the bucket come as (w1, w2) alone. Bucket k lies between the splitters k - 1 and k of bounds."""
     schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("runs", _RUNS), ("w1", pa.int64()), ("w2", pa.int64()), ("o", pa.int32())])
-    rows: dict[tuple[int, int], list] = {}  # equal pairs are one row
+    buckets: dict[int, dict[tuple[int, int], list]] = {}
     for b in batches:
-        for c1, c2, right, left in zip(*(common.column(b, c).to_pylist() for c in ("c1", "c2", "right", "left")), strict=True):
+        for k, c1, c2, right, left in zip(*(common.column(b, c).to_pylist() for c in ("bucket", "c1", "c2", "right", "left")), strict=True):
+            rows = buckets.setdefault(k, {})  # equal pairs are one row
             if (c1, c2) in rows:
                 rows[c1, c2][2] += 1
             else:
                 rows[c1, c2] = [right, left, 1]
 
-    def solved(part: list[tuple[tuple[int, int], list]]):
-        """Of a range of the bucket's rows, which is a bucket in its turn."""
-        leads = [lead_of(r[0], r[1]) for _, r in part]
-        least, largest = min(leads), max(leads)
+    def solved(part: list[tuple[tuple[int, int], list]], ends: list[bytes]):
         runs = repeated_offsets([r[1] for _, r in part], [r[0] for _, r in part], np.array([r[2] for _, r in part]), n)
         named: set[int] = set()
-        for (c, (right, left, _)), lead, own in zip(part, leads, runs, strict=True):
+        for (c, (right, left, _)), own in zip(part, runs, strict=True):
             if own:
                 yield [*c, [{"lo": a, "hi": z} for a, z in own], None, None, None]
-            shared = max(common_length(lead, least), common_length(lead, largest))
+            lead = lead_of(right, left, c[0])
+            shared = max((common_length(lead, e) for e in ends), default=0)
             if shared >= min(LEAD, len(right)):
                 shared = n  # how far they agree after it is not known
             whole, k = left[::-1] + right, len(left)
@@ -248,23 +279,24 @@ def bucket_rows(batches, n: int, most: int):
                     named.add(w)
 
     def all_rows():
-        held = list(rows.items())
-        rows.clear()
-        if len(held) <= most:
-            if held:
-                yield from solved(held)
-            return
-        key = lambda x: (lead_of(x[1][0], x[1][1]), x[0])
-        sample = sorted(map(key, held[:: max(1, most // 200)]))
-        pieces = -(-2 * len(held) // most)
-        splitters = [sample[len(sample) * i // pieces] for i in range(1, pieces)]
-        parts: list[list] = [[] for _ in range(pieces)]
-        for x in held:
-            parts[bisect_right(splitters, key(x))].append(x)
-        del held
-        while parts:
-            if part := parts.pop():
-                yield from solved(part)
+        for k in sorted(buckets):
+            held = list(buckets.pop(k).items())
+            inner: list[bytes] = []
+            if len(held) > most:  # a bucket of its own for each share
+                lead = lambda x: lead_of(x[1][0], x[1][1], x[0][0])
+                every = max(1, most // 64)
+                inner = splitters([lead(x) for x in held[::every]], most / every / 2, most / every)
+            parts: list[list] = [[] for _ in range(len(inner) + 1)]
+            for x in held:
+                parts[bisect_right(inner, lead(x)) if inner else 0].append(x)
+            del held
+            ends = [*bounds[max(0, k - 1) : k], *inner, *bounds[k : k + 1]]
+            low = len(bounds[max(0, k - 1) : k])
+            for i in range(len(parts)):
+                if part := parts[i]:
+                    at = i + low  # of the splitter above it
+                    yield from solved(part, [*(ends[at - 1 : at] if at else []), *ends[at : at + 1]])
+                parts[i] = []
 
     yield from files.batches_of(all_rows(), schema)
 
@@ -273,9 +305,20 @@ def repeated_spans(slim: DataFrame, n: int, most: int) -> DataFrame:
     """(doc, dig, spans): starts lo..hi of n-byte windows that also start elsewhere; doc is NULL_ID for null."""
     spark = slim.sparkSession
     found = common.written(contexts(slim, n), "suffixes")
-    lead = F.concat(F.substring("right", 1, LEAD), F.substring("left", 1, LEAD))
-    dealt = found.where("right is not null").select("c1", "c2", "right", "left").repartitionByRange(common.parts(spark), lead, "c1", "c2")
-    solved = common.written(dealt.mapInArrow(common.freeing(lambda it: bucket_rows(it, n, most)), "c1 long, c2 long, runs array<struct<lo:int,hi:int>>, w1 long, w2 long, o int"), "buckets")
+    whole = found.where("right is not null")
+    lead = F.concat(F.substring("right", 1, LEAD), F.substring("left", 1, LEAD), F.unhex(F.lpad(F.hex("c1"), 16, "0")))
+    parts = common.parts(spark)
+    total = whole.count()
+    share = min(1.0, SAMPLED * parts / max(1, total))
+    sample = [bytes(r[0]) for r in whole.sample(share, seed=7).select(lead).collect()]  # some SAMPLED leads a partition
+    bounds = splitters(sample, len(sample) / parts, max(most, total / parts) * share)
+
+    @F.pandas_udf("int")
+    def bucket(leads: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, x) for x in leads], dtype="int32")
+
+    dealt = whole.select("c1", "c2", "right", "left", bucket(lead).alias("bucket")).repartitionById(parts, "bucket")
+    solved = common.written(dealt.mapInArrow(common.freeing(lambda it: bucket_rows(it, n, most, bounds)), "c1 long, c2 long, runs array<struct<lo:int,hi:int>>, w1 long, w2 long, o int"), "buckets")
     edges = solved.where("runs is null")
     twice = common.written(edges.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.count("c1").alias("asking")).where("n > 1 and asking > 0").select("w1", "w2"), "edge-windows")
     run = F.struct(F.col("o").alias("lo"), F.col("o").alias("hi"))
