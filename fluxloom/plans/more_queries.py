@@ -578,7 +578,7 @@ def initial_fluxes(s, d):
     return stars(s, d).select("id", models.initial_flux(F.when(F.col("id") % 4 != 0, F.col("flux"))).alias("flux"))
 
 
-@query("star_signal_pixels", "SELECT o_orderkey AS x FROM orders WHERE (o_orderkey*8 & 262144) <> 0")
+@query("star_signal_pixels", "SELECT o_orderkey AS x FROM orders WHERE (o_orderkey*64 & 262144) <> 0")
 def star_signal_pixels(s, d):
-    px = table(s, d, "orders").select(F.lit(1).alias("tile"), F.col("o_orderkey").alias("x"), F.lit(0).alias("y"), (F.col("o_orderkey") * 8).alias("flag"))
+    px = table(s, d, "orders").select(F.lit(1).alias("tile"), F.col("o_orderkey").alias("x"), F.lit(0).alias("y"), (F.col("o_orderkey") * 64).alias("flag"))
     return flags.star_signal_pixels(px, "VIS").select("x")
