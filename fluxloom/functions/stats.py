@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,39 @@ def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*aggs), keys)
 
 
+def whole_quantiles(df: DataFrame, value: Column, shares: list[float], most: int = 100_000) -> list[float | None]:
+    """Exact quantiles (linear between neighbours) of a whole table; None of no rows.
+
+    A quantile's rank is bracketed by approximate ones, and the bracket narrowed until
+    it has `most` rows at most, whose counts per value come to the driver. No task holds
+    the table's values.
+    """
+    v = df.select(value.cast("double").alias("_v")).where(finite(F.col("_v")))
+    n, out = v.count(), []
+    for share in shares if n else []:
+        rank = (n - 1) * share
+        part, below, rows = v, 0, n
+        while rows > most:
+            p = (rank - below) / rows
+            ends = part.agg(F.percentile_approx("_v", [max(0.0, p - 2e-3), min(1.0, p + 2e-3)], 10_000)).head()[0]
+            lo, hi = (ends[0] if p > 2e-3 else -math.inf), (ends[1] if p < 1 - 2e-3 else math.inf)
+            less, inside = part.agg(F.count_if(F.col("_v") < lo), F.count_if((F.col("_v") >= lo) & (F.col("_v") <= hi))).head()
+            if not (below + less <= math.floor(rank) and math.ceil(rank) < below + less + inside) or inside == rows:
+                break  # one value fills the bracket, or its ends cannot be told apart
+            part, below, rows = part.where((F.col("_v") >= lo) & (F.col("_v") <= hi)), below + less, inside
+        at, got = below, {}
+        for r in part.groupBy("_v").count().orderBy("_v").toLocalIterator():
+            for k in (math.floor(rank), math.ceil(rank)):
+                if at <= k < at + r["count"]:
+                    got[k] = r["_v"]
+            at += r["count"]
+            if at > math.ceil(rank):
+                break
+        a, b = got[math.floor(rank)], got[math.ceil(rank)]
+        out.append(a + (b - a) * (rank - math.floor(rank)))
+    return out or [None] * len(shares)
+
+
 def mad_std(df: DataFrame, value: Column, keys: list[str], name: str = "mad_std") -> DataFrame:
     """keys, name, n: 1.4826 times the median distance from the median."""
     v = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
@@ -62,8 +97,8 @@ def chi_inflation(pixels: DataFrame, keys: list[str], least: int = 50) -> DataFr
 def equal_population_bins(df: DataFrame, x: Column, y: Column, n_bins: int) -> DataFrame:
     """bin, lo, hi, n, median_y, nmad: bins between quantiles of x, both ends included, so edge rows count in two."""
     v = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).where(finite(F.col("x")) & finite(F.col("y")))
-    edges = v.agg(F.percentile("x", F.array(*(F.lit(k / n_bins) for k in range(n_bins + 1)))).alias("e"))
-    bins = edges.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: F.struct(i.alias("bin"), F.get("e", i).alias("lo"), F.get("e", i + 1).alias("hi")))).alias("b")).select("b.*")
+    edges = F.array(*(F.lit(e).cast("double") for e in whole_quantiles(v, F.col("x"), [k / n_bins for k in range(n_bins + 1)])))
+    bins = v.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"), F.get(edges, F.col("id").cast("int")).alias("lo"), F.get(edges, F.col("id").cast("int") + 1).alias("hi"))
     inside = v.join(F.broadcast(bins), (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))  # n_bins rows
     spread = mad_std(inside, F.col("y"), ["bin"], "nmad").drop("n")
     return inside.groupBy("bin").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count("*").alias("n"), median(F.col("y")).alias("median_y")).join(spread, "bin")

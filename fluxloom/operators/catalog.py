@@ -30,8 +30,8 @@ def wide_catalog(measurements: DataFrame, bands: list[str]) -> DataFrame:
 
 def with_extinction(cat: DataFrame, bands: list[str], ebv: str = "ebv") -> DataFrame:
     """cat with a_<band>_mag and mag_<band>_ab_extcorr; bands without a coefficient are left out. A missing E(B-V) takes the catalog's median."""
-    filled = cat.crossJoin(F.broadcast(cat.agg(stats.median(F.when(finite(F.col(ebv)), F.col(ebv))).alias("_e"))))  # one row
-    filled = filled.withColumn(ebv, F.coalesce(F.when(finite(F.col(ebv)), F.col(ebv)), F.col("_e"))).drop("_e")
+    (middle,) = stats.whole_quantiles(cat, F.col(ebv), [0.5])
+    filled = cat.withColumn(ebv, F.coalesce(F.when(finite(F.col(ebv)), F.col(ebv)), F.lit(middle).cast("double")))
     cols = {}
     for b in bands:
         if b in EXTINCTION:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import STAR_PROBABILITY, UJY_PER_NMGY, VEGA_AB
-from ..functions import sky, units
+from ..functions import sky, stats, units
 from ..operators import flags, models
 from ..operators.tiles import standard_columns
 from ..plans.cut import cut
@@ -39,12 +39,11 @@ def dawn_region(cat: DataFrame, ra: float, dec: float, radius_arcsec: float) ->
 
 def ebv_column(cat: DataFrame, field_value: float | None = None) -> DataFrame:
     """cat with ebv: the source's own (missing ones take the median), else the field's value, else null."""
-    from ..functions.stats import median
-
     if "gal_ebv" not in cat.columns:
         return cat.withColumn("ebv", F.lit(field_value).cast("double"))
     own = F.when(units.finite(F.col("gal_ebv")), F.col("gal_ebv"))
-    return cat.join(F.broadcast(cat.agg(median(own).alias("_m")))).withColumn("ebv", F.coalesce(own, "_m", F.lit(field_value).cast("double"))).drop("_m")  # one row
+    (middle,) = stats.whole_quantiles(cat, F.col("gal_ebv"), [0.5])
+    return cat.withColumn("ebv", F.coalesce(own, F.lit(middle).cast("double"), F.lit(field_value).cast("double")))
 
 
 def synthetic_catalog(coords: DataFrame) -> DataFrame:

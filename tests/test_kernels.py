@@ -141,3 +141,15 @@ def test_flags(spark):
     f = {r.id: r for r in flags.source_flags(c, bad, 100, 100).collect()}
     assert f[1].bright_star and not f[1].near_bright_star
     assert f[2].near_bright_star and f[2].edge and f[3].masked and not any(f[k].reliable for k in f)
+
+
+def test_quantiles_of_a_whole_table(spark):
+    from fluxloom.functions import stats
+
+    rng = np.random.default_rng(3)
+    shares = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    for x in (rng.normal(size=5000), np.repeat([1.0, 2.0, 7.0], [3000, 1, 1999]), rng.integers(0, 40, 5000).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in x], "v double").unionByName(spark.createDataFrame([(None,), (float("nan"),)], "v double")).repartition(3)
+        for most in (100_000, 50):
+            assert np.allclose(stats.whole_quantiles(df, F.col("v"), shares, most), np.quantile(x, shares), atol=1e-12)
+    assert stats.whole_quantiles(df.limit(0), F.col("v"), [0.5]) == [None]
