@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..config import FREE_PARAMETERS, RADIUS_ARCSEC, SERSIC_N
 from .render import template
-from .solve import solve_component
+from .solve import connected, solve_component
 
 
 @dataclass(frozen=True)
@@ -242,11 +242,37 @@ def interior(x, y, width: int, height: int):
     return (x > m) & (x < width - m) & (y > m) & (y < height - m)
 
 
+def apart(sources: list[Source], psf: np.ndarray, shape: tuple[int, int], grow: float):
+    """Groups of sources whose templates' boxes (grown by a factor of the radius, or by pixels for points) meet: (group, box, which of its pixels are under the group's boxes). Sources off the image come in no group."""
+    half = np.array([max(psf.shape) // 2 + 2 + (max(16, math.ceil(2 * s.re * max(grow, 1.0))) if s.re else math.ceil(grow)) for s in sources])
+    at = np.array([(s.x, s.y) for s in sources]).reshape(-1, 2)
+    low, high = np.floor(at - half[:, None]).astype(int), np.ceil(at + half[:, None]).astype(int) + 1
+    low, high = np.maximum(low, 0), np.minimum(high, [shape[1], shape[0]])
+    on = (low < high).all(axis=1)
+    label = np.arange(len(sources))
+    order = np.argsort(low[:, 0], kind="stable")
+    pairs = []
+    for k, i in enumerate(order):  # a sweep: boxes that begin before this one ends
+        later = order[k + 1 :]
+        later = later[: np.searchsorted(low[later, 0], high[i, 0])]
+        pairs += [(i, j) for j in later if on[i] and on[j] and low[j, 1] < high[i, 1] and low[i, 1] < high[j, 1]]
+    if pairs:
+        label = connected(len(sources), *np.array(pairs).T)
+    for g in np.unique(label[on]):
+        own = np.flatnonzero((label == g) & on)
+        x0, y0, x1, y1 = *low[own].min(axis=0), *high[own].max(axis=0)
+        mine = np.zeros((y1 - y0, x1 - x0), bool)
+        for i in own:
+            mine[low[i, 1] - y0 : high[i, 1] - y0, low[i, 0] - x0 : high[i, 0] - x0] = True
+        yield [sources[i] for i in own], (int(x0), int(y0), int(x1), int(y1)), mine
+
+
 def refit(sources: DataFrame, pixels: DataFrame, psf: np.ndarray, scale: float, what: str, flux_floor: float = 10.0, max_shift_arcsec: float = 0.2, steps: int = 30) -> DataFrame:
     """Free "shapes" or "positions" of a tile's interior sources (tile, id, x, y, model, re, ab, pa, n, flux), joint with all fluxes.
 
     Radii that run to a bound go back to their start, and so do positions that move
-    too far; positions are freed for sources over the flux floor.
+    too far; positions are freed for sources over the flux floor. Sources whose templates
+    do not meet are fitted apart, so a task holds a group's planes, not the tile's.
     """
     cols = ["tile", "id", "x", "y", "model", "re", "ab", "pa", "n", "flux", "moved"]
     kind = dict(sources.dtypes)["tile"]
@@ -259,16 +285,21 @@ def refit(sources: DataFrame, pixels: DataFrame, psf: np.ndarray, scale: float,
         d[right.y, right.x], wt[right.y, right.x] = right.d, right.w
         num = lambda v, z: z if v is None or v != v else float(v)
         src = [Source(int(r.id), r.x, r.y, r.model, num(r.re, 0.0), num(r.ab, 1.0), num(r.pa, 0.0), num(r.n, 1.0), flux=num(r.flux, 1.0)) for r in left.sort_values("id").itertuples()]
-        inside = [s for s in src if interior(s.x, s.y, w, h)]
-        free = {s.id: SHAPE[s.model] for s in inside} if what == "shapes" else {s.id: ("x", "y") for s in inside if s.flux > flux_floor}
-        b = limits(scale)
-        out, _ = fit(d, wt, src, psf, free, b, steps, stop=0.1 if what == "shapes" else 1e-3)
-        old = {s.id: s for s in src}
-        railed = lambda s: s.id in free and s.re and (s.re <= b["re"][0] * 1.001 or s.re >= b["re"][1] * 0.999)
-        far = lambda s: math.hypot(s.x - old[s.id].x, s.y - old[s.id].y) * scale > max_shift_arcsec
-        back = {s.id for s in out if (what == "shapes" and railed(s)) or (what == "positions" and far(s))}
-        out, _ = fit(d, wt, [old[s.id] if s.id in back else s for s in out], psf, {}, b, 0)
-        return pd.DataFrame([(key[0], s.id, s.x, s.y, s.model, s.re, s.ab, s.pa, s.n, s.flux, s.id in free and s.id not in back) for s in out], columns=cols)
+        b, rows = limits(scale), []
+        grown = 1 + (max_shift_arcsec / scale if what == "positions" else 0)
+        for group, (x0, y0, x1, y1), mine in apart(src, psf, (h, w), grown if what == "positions" else 3.0):
+            dd, ww = d[y0:y1, x0:x1], np.where(mine, wt[y0:y1, x0:x1], 0.0)
+            here = [replace(s, x=s.x - x0, y=s.y - y0) for s in group]
+            inside = {s.id for s in group if interior(s.x, s.y, w, h)}
+            free = {s.id: SHAPE[s.model] for s in here if s.id in inside} if what == "shapes" else {s.id: ("x", "y") for s in here if s.id in inside and s.flux > flux_floor}
+            out, _ = fit(dd, ww, here, psf, free, b, steps, stop=0.1 if what == "shapes" else 1e-3)
+            old = {s.id: s for s in here}
+            railed = lambda s: s.id in free and s.re and (s.re <= b["re"][0] * 1.001 or s.re >= b["re"][1] * 0.999)  # noqa: B023, E731
+            far = lambda s: math.hypot(s.x - old[s.id].x, s.y - old[s.id].y) * scale > max_shift_arcsec  # noqa: B023, E731
+            back = {s.id for s in out if (what == "shapes" and railed(s)) or (what == "positions" and far(s))}
+            out, _ = fit(dd, ww, [old[s.id] if s.id in back else s for s in out], psf, {}, b, 0)
+            rows += [(key[0], s.id, s.x + x0, s.y + y0, s.model, s.re, s.ab, s.pa, s.n, s.flux, s.id in free and s.id not in back) for s in out]
+        return pd.DataFrame(rows, columns=cols)
 
     pixels = pixels.toDF(*pixels.columns)  # both sides may come from one table
     return sources.groupBy("tile").cogroup(pixels.groupBy("tile")).applyInPandas(run, f"tile {kind}, id long, x double, y double, model string, re double, ab double, pa double, n double, flux double, moved boolean")

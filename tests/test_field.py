@@ -359,3 +359,17 @@ def test_backgrounds_and_bits(spark):
     assert flags.star_signal_pixels(px, "VIS") is None
     with pytest.raises(ValueError):
         flags.star_signal_pixels(px, "H")
+
+
+def test_sources_apart_are_fitted_apart():
+    far = [fit.Source(1, 20.3, 22.7, flux=60.0), fit.Source(2, 24.1, 23.0, flux=35.0), fit.Source(3, 90.6, 95.2, "ExpGalaxy", re=2.0, ab=0.7, pa=20.0, flux=200.0), fit.Source(9, 500.0, 5.0)]
+    groups = list(fit.apart(far, PSF, (120, 120), 3.0))
+    assert [[s.id for s in g] for g, _, _ in groups] == [[1, 2], [3]]
+    d, w = image(far[:3], size=120), np.full((120, 120), 1 / 0.09)
+    whole = {s.id: s for s in fit.fit(d, w, far[:3], PSF, {3: fit.SHAPE["ExpGalaxy"]}, fit.limits(0.1))[0]}
+    for group, (x0, y0, x1, y1), mine in groups:
+        here = [fit.replace(s, x=s.x - x0, y=s.y - y0) for s in group]
+        out, _ = fit.fit(d[y0:y1, x0:x1], np.where(mine, w[y0:y1, x0:x1], 0), here, PSF, {3: fit.SHAPE["ExpGalaxy"]}, fit.limits(0.1))
+        for s in out:
+            assert abs(s.flux / whole[s.id].flux - 1) < 0.01 and abs(s.re - whole[s.id].re) < 0.05
+    assert list(fit.apart([], PSF, (10, 10), 1.0)) == []
