@@ -181,13 +181,34 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard_join.join_components(empty).count() == 0
 
 
-def test_jaccard_keeps_one_of_each(docs, rows):
-    kept = jaccard_join.one_of_each(docs)
+@pytest.mark.parametrize("n,pct", [(5, 80), (4, 85), (3, 60)])
+def test_jaccard_keeps_one_of_each(docs, rows, n, pct):
+    kept = jaccard_join.one_of_each(docs, n, pct)
     assert kept.columns == docs.columns
-    want = sorted({i for i, n, c in brute_components(rows) if i is not None and (i == c or n == 0)})
+    want = sorted({i for i, size, c in brute_components(rows, n, pct) if i is not None and (i == c or size == 0)})
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == want
 
 
+def test_jaccard_join_of_one_large_group(spark):
+    """Near copies of one text, most of them linked through it alone, with a passage that many other texts share: components against brute force at several thresholds."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6, 8])):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join([word() for _ in range(rng.choice([4, 8, 30]))] + passage + [word() for _ in range(rng.choice([0, 3, 9]))])) for i in range(120)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n, pct in ((4, 85), (5, 80), (4, 60)):
+        want = brute_components(rows, n, pct)
+        assert 1 < len({c for _, _, c in want}) < len(rows)
+        assert counted(map(tuple, jaccard_join.join_components(df, n, pct).collect())) == counted(want)
+
+
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
 def test_jaccard_keeps_by_row(spark, broadcast_rows):
     a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
