@@ -149,8 +149,8 @@ def repeated_windows(rows: DataFrame, n: int, broadcast_bytes: int) -> DataFrame
         cells = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint32)]
         return pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int64()), pa.array(cells[1], pa.int64()), pa.array(cells[2].astype(np.int32)), pa.array(cells[3].view(np.int64)), pa.array(cells[4].view(np.int32))], ["key", "dig", "start", "w1", "w2"])
 
-    found = texts.mapInArrow(common.freeing(emit), "key long, dig long, start int, w1 long, w2 int")
-    # written, so that the join has two shuffles of its own and a frequent window's rows can be split
+    # both written: windows are hashed once, and the join has two shuffles of its own, so a frequent window's rows can be split
+    found = common.written(texts.mapInArrow(common.freeing(emit), "key long, dig long, start int, w1 long, w2 int"), "window-rows")
     first = common.written(found.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last"), "windows")
     return found.join(first, ["w1", "w2"]).where("first < key").groupBy("key", "dig").agg(F.collect_list("start").alias("starts"))
 
