@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -30,29 +32,35 @@ def whole_quantiles(df: DataFrame, value: Column, shares: list[float], most: int
     the table's values.
     """
     v = df.select(value.cast("double").alias("_v")).where(finite(F.col("_v")))
-    n, out = v.count(), []
-    for share in shares if n else []:
-        rank = (n - 1) * share
-        part, below, rows = v, 0, n
-        while rows > most:
-            p = (rank - below) / rows
-            ends = part.agg(F.percentile_approx("_v", [max(0.0, p - 2e-3), min(1.0, p + 2e-3)], 10_000)).head()[0]
-            lo, hi = (ends[0] if p > 2e-3 else -math.inf), (ends[1] if p < 1 - 2e-3 else math.inf)
-            less, inside = part.agg(F.count_if(F.col("_v") < lo), F.count_if((F.col("_v") >= lo) & (F.col("_v") <= hi))).head()
-            if not (below + less <= math.floor(rank) and math.ceil(rank) < below + less + inside) or inside == rows:
-                break  # one value fills the bracket, or its ends cannot be told apart
-            part, below, rows = part.where((F.col("_v") >= lo) & (F.col("_v") <= hi)), below + less, inside
-        at, got = below, {}
-        for r in part.groupBy("_v").count().orderBy("_v").toLocalIterator():
-            for k in (math.floor(rank), math.ceil(rank)):
-                if at <= k < at + r["count"]:
-                    got[k] = r["_v"]
-            at += r["count"]
-            if at > math.ceil(rank):
-                break
-        a, b = got[math.floor(rank)], got[math.ceil(rank)]
+    n = v.count()
+    if not n:
+        return [None] * len(shares)
+    ranks = [(n - 1) * share for share in shares]
+    ends, below, rows = [(-math.inf, math.inf)] * len(shares), [0] * len(shares), [n] * len(shares)
+    while max(rows) > most:
+        wide = [k for k, m in enumerate(rows) if m > most]
+        inside = [(F.col("_v") >= ends[k][0]) & (F.col("_v") <= ends[k][1]) for k in wide]
+        at = [(ranks[k] - below[k]) / rows[k] for k in wide]
+        got = v.agg(*[F.percentile_approx(F.when(c, F.col("_v")), [max(0.0, p - 2e-3), min(1.0, p + 2e-3)], 10_000) for c, p in zip(inside, at, strict=True)]).head()
+        near = [(e[0] if p > 2e-3 else ends[k][0], e[1] if p < 1 - 2e-3 else ends[k][1]) for k, p, e in zip(wide, at, got, strict=True)]
+        counts = v.agg(*[c for lo, hi in near for c in (F.count_if(F.col("_v") < lo), F.count_if((F.col("_v") >= lo) & (F.col("_v") <= hi)))]).head()
+        moved = False
+        for k, e, less, m in zip(wide, near, counts[::2], counts[1::2], strict=True):
+            if less <= math.floor(ranks[k]) and math.ceil(ranks[k]) < less + m < less + rows[k]:
+                ends[k], below[k], rows[k], moved = e, less, m, True
+        if not moved:  # one value fills a bracket
+            break
+    some = F.lit(False)
+    for lo, hi in set(ends):
+        some = some | ((F.col("_v") >= lo) & (F.col("_v") <= hi))
+    held = [(r["_v"], r["count"]) for r in v.where(some).groupBy("_v").count().orderBy("_v").toLocalIterator()]
+    out = []
+    for (lo, hi), rank, first in zip(ends, ranks, below, strict=True):
+        own = [(x, m) for x, m in held if lo <= x <= hi]
+        past = list(itertools.accumulate((m for _, m in own), initial=first))[1:]
+        a, b = (own[bisect.bisect_right(past, k)][0] for k in (math.floor(rank), math.ceil(rank)))
         out.append(a + (b - a) * (rank - math.floor(rank)))
-    return out or [None] * len(shares)
+    return out
 
 
 def mad_std(df: DataFrame, value: Column, keys: list[str], name: str = "mad_std") -> DataFrame:
