@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Tasks among which the edges of one node are dealt, so that the centre of a large star is no task's alone.
+SALTS = 8
+
+
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of their u in least (u, m)."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["u", "salt"]).drop("salt")
+
 
 def _larger(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the least of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _beside(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _smaller(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of them. Edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _beside(edges, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
