@@ -31,10 +31,18 @@ def end_id() -> Column:
     return F.xxhash64(F.lit(END))
 
 
+def raw_words(text: Column) -> Column:
+    """Words of the text as they stand; null: none."""
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SEPARATORS), "")
+
+
+def low(word: Column) -> Column:
+    """The word with A-Z (alone) lower-cased."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
 def words(text: Column) -> Column:
-    """Words of the text with A-Z (alone) lower-cased; null: none."""
-    low = lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
-    return F.transform(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SEPARATORS), ""), low)
+    return F.transform(raw_words(text), low)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -54,9 +62,11 @@ def window_terms(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> Da
 def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The stored index: (doc, dig, at, tid) of every place of a term, and for each row of docs its END."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    placed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("dig"), F.posexplode(F.concat(words(text), F.array(F.lit(END)))).alias("at", "term"))
+    placed = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("dig"), F.posexplode(F.concat(raw_words(text), F.array(F.lit(END)))).alias("at", "word"))
     ends = terms.sparkSession.createDataFrame([(END,)], "term string")
-    return common.written(placed.join(small(terms.unionByName(ends)), "term").select("doc", "dig", "at", F.xxhash64("term").alias("tid")), "postings")
+    tids = terms.unionByName(ends).select(F.xxhash64("term").alias("tid")).distinct()
+    # words are lowered and named after they are apart, in generated code, and looked up by number
+    return common.written(placed.select("doc", "dig", "at", F.xxhash64(low(F.col("word"))).alias("tid")).join(small(tids), "tid").select("doc", "dig", "at", "tid"), "postings")
 
 
 ROW = ["doc", "dig"]
@@ -73,14 +83,14 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     rarest = small(ranked.where("rank = 1"))
     starts = index.join(rarest, "tid").where("at >= k").select(*ROW, (F.col("at") - F.col("k")).alias("start"), "w1", "w2", "size").distinct()
     second = small(ranked.where("rank = 2").select("w1", "w2", F.col("k").alias("k2"), F.col("tid").alias("tid2")))
-    lists = index.join(small(ranked.where("rank = 2").select("tid").distinct()), "tid", "left_semi").distinct()
+    lists = index.join(small(ranked.where("rank = 2").select("tid").distinct()), "tid", "left_semi")
     probe = starts.join(second, ["w1", "w2"], "left").select("*", (F.col("start") + F.col("k2")).alias("at"), F.col("tid2").alias("tid"))
     one_word = probe.where("tid is null").select(*ROW, "start", "size", "w1", "w2")
     two = probe.where("tid is not null").join(lists, [*ROW, "at", "tid"], "left_semi").select(*ROW, "start", "size", "w1", "w2")
     two = common.written(two.union(one_word), "starts")
     rest = small(ranked.where("rank > 2").select("w1", "w2", "k", "tid"))
     wanted = two.where("size > 2").join(rest, ["w1", "w2"]).select(*ROW, (F.col("start") + F.col("k")).alias("at"), "tid", "start", "size", "w1", "w2")
-    there = index.join(small(ranked.where("rank > 2").select("tid").distinct()), "tid", "left_semi").distinct()
+    there = index.join(small(ranked.where("rank > 2").select("tid").distinct()), "tid", "left_semi")
     full = wanted.join(there, [*ROW, "at", "tid"], "left_semi").groupBy(*ROW, "start", "size", "w1", "w2").count().where("count = size - 2").drop("count")
     return full.unionByName(two.where("size <= 2"))
 
