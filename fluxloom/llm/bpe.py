@@ -142,7 +142,10 @@ class PieceEncoder:
     Special tokens in a text are themselves, as in the library.
     """
 
-    def __init__(self, path: str, cache_bytes: int = 48 << 20):
+    #: Bytes of text that are handled together.
+    group = 4 << 20
+
+    def __init__(self, path: str, cache_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(path)
@@ -225,7 +228,7 @@ class PieceEncoder:
         i = 0
         while i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size < 4 << 20):
+            while j < len(texts) and (j == i or size < self.group):
                 size += len(texts[j])
                 j += 1
             if self.held > self.most:
@@ -254,6 +257,8 @@ class LibraryBpe(PieceEncoder):
 class SpeculativeBpe(PieceEncoder):
     """Encodes and decodes as the tokenizers library does with the same file (BPE with an end-of-word suffix, byte-level alphabet)."""
 
+    group = 1 << 20
+
     def prepare(self, spec: dict) -> None:
         del self.tokenize  # the library's model is not needed
         model = spec["model"]
@@ -496,7 +501,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     and text_col are left behind. With digests, SHA-256 of ids and decoded text
     stand in their place (for tables of results). Map only: no shuffle.
     """
-    common.tuned(docs.sparkSession)
+    common.tuned(docs.sparkSession, 4 << 20, 500)  # ids and decoded texts take several times the text
     path = path or vocabulary_path()
     cols = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string" if with_decoded else "ids binary"
 

@@ -47,14 +47,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def tuned(spark: SparkSession) -> None:
+def tuned(spark: SparkSession, most_bytes: int = BATCH_BYTES, rows: int = 2000) -> None:
     """Bound the bytes of an Arrow batch (rows vary from nothing to megabytes)."""
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
     except Exception as e:  # a session whose settings are closed keeps its own bound
         if "CANNOT_MODIFY" not in str(e):
             raise
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
