@@ -184,3 +184,22 @@ def anchors(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     at = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[first], first
+
+
+def ranked(df: DataFrame, order: list[Column], what: str, name: str = "rank") -> DataFrame:
+    """df as a written table with the rank (long, from 0) of each row in the order given; rows equal in it come one after another.
+
+    Rows are dealt to ranges by sampled bounds and sorted there, so no task sorts more
+    than a range; only the ranges' row counts, one number a partition, meet at the driver.
+    """
+    spark = df.sparkSession
+    sorted_ = df.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(sorted_.select("*", F.spark_partition_id().alias(f"{name}_part"), within.alias(f"{name}_within")), what)
+    before, total = [], 0
+    for r in placed.groupBy(f"{name}_part").count().sort(f"{name}_part").collect():
+        before.append((r[0], total))
+        total += r[1]
+    start = spark.createDataFrame(before, f"{name}_part int, {name}_start long")
+    out = placed.join(F.broadcast(start), f"{name}_part")
+    return out.withColumn(name, F.col(f"{name}_start") + F.col(f"{name}_within")).drop(f"{name}_part", f"{name}_within", f"{name}_start")

@@ -61,3 +61,40 @@ c AS (SELECT b.doc_id, pos, word, coalesce(pos - max(r.k) OVER (PARTITION BY b.d
 s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS gone, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
+
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, length(text) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(text, 1, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+#: The crc of a gram's bytes: eight shifts make a table of 256 entries, each byte is one look-up.
+OP12 = f"""
+WITH table_ AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END) AS v FROM range(256) r(i))),
+d AS (SELECT 0 AS kind, doc_id, regexp_extract_all({_LOW}, {_PLAIN}) AS w FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all({_LOW}, {_PLAIN}) FROM benchmark),
+f AS (SELECT kind, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM d),
+c AS (SELECT kind, doc_id, gram, count(*) AS n FROM f GROUP BY ALL),
+g AS (SELECT gram, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(gram))), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i + 1, 2))::BIGINT)), lambda x, y: xor(t[xor(x % 256, y) + 1], x // 256))) % 10000 AS bucket FROM (SELECT DISTINCT gram FROM c), table_),
+b AS (SELECT kind, doc_id, bucket, sum(n) AS n FROM c JOIN g USING (gram) GROUP BY ALL),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM b GROUP BY 1),
+v AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * ((SELECT sum(t) FROM s) + 10000)))) AS gain FROM s),
+m AS (SELECT doc_id, sum(n)::BIGINT AS n, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM b JOIN v USING (bucket) WHERE kind = 0 GROUP BY 1),
+x AS (SELECT d.doc_id, len(w) AS n_words, coalesce(m.n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m USING (doc_id) WHERE kind = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS many FROM x WHERE n_words >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN k <= 25 * many // 100 THEN k END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS size, sha256('13:' || doc_id)[1:16] AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM d GROUP BY 1),
+o AS (SELECT *, 3 * source_size AS cap, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level, row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS k FROM s WINDOW before AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min(k) AS first FROM o WHERE level * weight <= cap),
+t AS (SELECT source, source_size, CASE WHEN first IS NULL OR k < first THEN cap::DOUBLE ELSE (SELECT level FROM o, f WHERE k = first) * weight END AS target FROM o, f),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS whole FROM t),
+c AS (SELECT doc_id, size, source_size, target, whole, quota - whole * source_size - coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, free)))::BIGINT AS taken FROM c
+"""

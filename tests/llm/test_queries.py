@@ -1,4 +1,4 @@
-"""The ten queries themselves, over the whole smallest tables: their columns, and their rows against SQL or brute force."""
+"""The queries themselves, over the whole smallest tables: their columns, and their rows against SQL or brute force."""
 
 import collections
 import hashlib
@@ -24,6 +24,9 @@ COLUMNS = {
     8: "doc_id bigint, held_out boolean, score double, predicted int",
     9: "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     10: "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    11: "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    12: "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    13: "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
 
@@ -50,7 +53,7 @@ def texts(spark):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_columns_and_rows(spark, results, n):
     kinds = dict(results(n).dtypes)
     assert {k: kinds.get(k) for k in (c.split()[0] for c in COLUMNS[n].split(", "))} == dict(c.split() for c in COLUMNS[n].split(", "))
