@@ -167,10 +167,15 @@ def test_psf_tools(spark):
     g = render.resized(render.gaussian_psf(4.0), 41)
     assert abs(psf.resampled(g, 0.5, 61).sum() - 1) < 0.02 and abs(psf.integrated(g, 2.0, 21).sum() - 1) < 0.02
     assert np.abs(psf.rotated(g, 33) - g).max() < 5e-3 and psf.odd_trimmed(np.ones((4, 5))).shape == (3, 5)
-    assert psf.comparison_score([g], g, 6) < 1e-9 < psf.comparison_score([render.resized(render.gaussian_psf(3.0), 41)], g, 6)
-    stars = [(float(x), float(y), g) for x in (10, 50, 90) for y in (10, 50, 90)]
-    assert psf.assess(stars, g, 100, 100)["verdict"] == "supplied" and psf.assess(stars[:3], g, 100, 100)["verdict"] == "unverified"
-    assert psf.assess(stars, render.resized(render.gaussian_psf(6.0), 41), 100, 100)["verdict"] == "empirical"
+    stars = lambda *images: spark.createDataFrame([(t, k, x, y, im.ravel().tolist()) for t, im, places in images for k, (x, y) in enumerate(places)], "tile long, id long, x double, y double, stamp array<double>")
+    narrow, places = render.resized(render.gaussian_psf(3.0), 41), [(float(x), float(y)) for x in (10, 50, 90) for y in (10, 50, 90)]
+    nothing = stars()
+    scores = {r.tile: r.score for r in psf.comparison_scores(stars((0, g, [(0.0, 0.0)]), (1, narrow, [(0.0, 0.0)])), psf.as_table(nothing, g), 41, ["tile", "id"], 6).collect()}
+    assert scores[0] < 1e-9 < scores[1] and psf.comparison_scores(nothing, psf.as_table(nothing, g), 41, ["tile", "id"]).count() == 0
+    table = stars((0, g, places), (1, g, places[:3]), (2, g, places[:3]), (2, narrow, places[3:]))
+    table = table.withColumn("id", F.col("x") * 100 + F.col("y"))
+    assert {r.tile: r.verdict for r in psf.assess(table, g, 100, 100).collect()} == {0: "supplied", 1: "unverified", 2: "spatial"}
+    assert {r.tile: r.verdict for r in psf.assess(table, render.resized(render.gaussian_psf(6.0), 41), 100, 100).collect()}[0] == "empirical"
     samples = spark.createDataFrame([(1, 10.0, 0.0, 2.0, [0.0, 1.0, 1.0]), (2, 10.0, 0.001, 3.0, [1.0, 1.0, 0.0]), (3, 11.0, 0.0, 9.0, [1.0, 1.0, 1.0]), (4, 10.0, 0.0, 2.0, [0.0, 0.0, 0.0])], "id long, ra double, dec double, fwhm double, stamp array<double>")
     near = psf.near_samples(samples, 10.0, 0.0, drop_blank=True)
     s = psf.summary(near).head()
@@ -307,21 +312,30 @@ def test_psf_by_place(spark):
         psf.place_of_psf(samples, samples, "average")
 
 
-def test_stars_against_the_psf():
+def test_stars_against_the_psf(spark):
     g = render.resized(render.gaussian_psf(3.0), 41)
     image, weight = np.random.default_rng(0).normal(2.0, 0.01, (80, 80)), np.full((80, 80), 1e4)
     star = fit.Source(1, 40.3, 39.6, flux=500.0)
     image += star.flux * star.plane((80, 80), g)
-    own, given = psf.star_and_reference(image, weight, g, 40.3, 39.6)
-    assert np.abs(own - given).max() < 2e-3 and abs(render.core_fwhm(own) - render.core_fwhm(g)) < 0.1
-    assert psf.star_stamp(image, weight, 10.0, 40.0, 20) is None and psf.star_stamp(image, weight, 25.0, 25.0, 20) is None
     masked = weight.copy()
     masked[40, 41] = 0
-    assert psf.star_stamp(image, masked, 40.3, 39.6, 20) is None
-    wings = psf.radial_wings(own)
+    rows = [(t, x, y, float(image[y, x]), float(w[y, x])) for t, w in ((0, weight), (1, masked)) for y in range(80) for x in range(80)]
+    px = spark.createDataFrame(rows, "tile long, x int, y int, d double, w double")
+    stars = spark.createDataFrame([(t, k, x, y) for t in (0, 1) for k, (x, y) in enumerate([(40.3, 39.6), (10.0, 40.0), (25.0, 25.0)])], "tile long, id long, x double, y double")
+    stamps = psf.star_stamps(stars, px, 20).cache()
+    r = psf.stars_and_psf(stamps, g).collect()
+    assert [(s.tile, s.id) for s in r] == [(0, 0)]  # else near the edge, faint or masked
+    own, given = (np.reshape(v, (41, 41)) for v in (r[0].stamp, r[0].reference))
+    assert np.abs(own - given).max() < 2e-3 and abs(render.core_fwhm(own) - render.core_fwhm(g)) < 0.1
+    assert abs(psf.widths(stamps, 41, ["tile", "id"]).head().fwhm - render.core_fwhm(own)) < 1e-9
+    wings = np.reshape(psf.radial_wings(stamps.select("id", "stamp"), 41).head().stamp, (41, 41))
     assert abs(wings.sum() - 1) < 1e-9 and (wings >= 0).all() and np.ptp(wings[20, [8, 32]]) < 1e-12
-    with pytest.raises(ValueError):
-        psf.radial_wings(-g)
+    ring = np.floor(np.hypot(*(np.mgrid[:41, :41] - 20))).astype(int)
+    want = np.clip(np.array([np.median(own[ring == k]) for k in range(30)])[ring], 0, None)
+    want[ring < 8] = np.clip(own, 0, None)[ring < 8]
+    assert np.abs(wings - want / want.sum()).max() < 1e-12
+    with pytest.raises(Exception, match="no light"):
+        psf.radial_wings(psf.as_table(stamps, -g), 41).collect()
     assert psf.grid_settings(None, None, {"Warm", "cryo"})["label"] == "cryo+warm" and psf.grid_settings("a", "b", set())["source"] == "files"
     with pytest.raises(ValueError):
         psf.grid_settings("a", None, set())
