@@ -8,8 +8,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import MAD_SCALE
+from .cut import cut
+from .small import small
 from .units import finite
 
 
@@ -35,6 +38,8 @@ def whole_quantiles(df: DataFrame, value: Column, shares: list[float], most: int
     n = v.count()
     if not n:
         return [None] * len(shares)
+    if n <= most:
+        return list(v.agg(F.percentile("_v", F.lit(shares))).head()[0])
     ranks = [(n - 1) * share for share in shares]
     ends, below, rows = [(-math.inf, math.inf)] * len(shares), [0] * len(shares), [n] * len(shares)
     while max(rows) > most:
@@ -63,23 +68,130 @@ def whole_quantiles(df: DataFrame, value: Column, shares: list[float], most: int
     return out
 
 
+#: Values of a group that one task may gather (8 MB of them). The groups are counted first; beyond it nothing is gathered.
+MOST = 1_000_000
+#: Parts into which a round of the search splits a group.
+PARTS = 64
+
+
+def largest(v: DataFrame, keys: list[str]) -> int:
+    return v.groupBy(*keys).count().agg(F.max("count")).head()[0] or 0
+
+
+def gathered(v: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and _a, the group's values (_v) in order; for groups of MOST values at most."""
+    return v.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
+
+
+def middle(a: Column) -> Column:
+    """Median of a sorted array; null of an empty one."""
+    n = F.size(a)
+    return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
+
+
+def array_mean(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def met(v: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """v with its group's columns: one row for all, or a join that broadcasts the groups if they are few."""
+    return v.join(small(groups), keys) if keys else v.crossJoin(F.broadcast(groups))  # one row
+
+
+def quantiles(v: DataFrame, keys: list[str], share: float, name: str = "_q") -> DataFrame:
+    """keys, name, n: the exact quantile (linear between neighbours) of the finite values _v of each group.
+
+    Groups of up to MOST values are gathered as counts. Of larger ones the rank is
+    bracketed by approximate quantiles, for all groups at once; values below and in the
+    bracket are counted in each task before they meet, and the bracket is narrowed until
+    it holds MOST values or one value fills it.
+    """
+    whole = v.groupBy(*keys).agg(F.count("*").alias("n"))
+    if largest(v, keys) <= MOST:
+        return v.groupBy(*keys).agg(F.percentile("_v", F.lit(share)).alias(name), F.count("*").alias("n"))
+    rank = (F.col("n") - 1) * share
+    infinity = F.lit(math.inf)
+    state = cut(whole.select(*keys, "n", rank.alias("rank"), (-infinity).alias("lo"), infinity.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("rows")).where("n > 0"))
+    while (state.agg(F.max("rows")).head()[0] or 0) > MOST:
+        wide = state.where(F.col("rows") > MOST)
+        inside = met(v, wide, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        grid = inside.groupBy(*keys).agg(F.percentile_approx("_v", [k / PARTS for k in range(PARTS + 1)], 10_000).alias("grid"))
+        at = F.floor((F.col("rank") - F.col("below")) / F.col("rows") * PARTS).cast("int")
+        near = met(wide, grid, keys).withColumns({"a": F.when(at >= 1, F.get("grid", at - 1)).otherwise(F.col("lo")), "b": F.when(at + 2 <= PARTS, F.get("grid", at + 2)).otherwise(F.col("hi"))})
+        near = cut(near.select(*keys, "a", "b"))
+        counts = met(v, near, keys).groupBy(*keys).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.count_if(F.col("_v") < F.col("a")).alias("less"), F.count_if(F.col("_v").between(F.col("a"), F.col("b"))).alias("m"))
+        holds = (F.col("less") <= F.floor("rank")) & (F.ceil("rank") < F.col("less") + F.col("m")) & (F.col("m") < F.col("rows"))
+        both = state.join(counts, keys, "left") if keys else state.crossJoin(F.broadcast(counts))  # one row
+        new = cut(both.select(*keys, "n", "rank", *[F.when(holds, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("a", "lo"), ("b", "hi"), ("less", "below"), ("m", "rows"))], F.coalesce(holds, F.lit(False)).alias("moved")))
+        state, moved = new.drop("moved"), new.where("moved").count()
+        if not moved:  # one value fills a bracket
+            break
+    held = met(v, state, keys).where(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy(*keys, "n", "rank", "below", "_v").agg(F.count("*").alias("c"))
+    past = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("_v"))  # of a bracket's values
+    placed = held.withColumn("past", past).withColumn("first", F.col("past") - F.col("c"))
+    of = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("past")), F.col("_v")))
+    ends = placed.groupBy(*keys, "n", "rank").agg(of(F.floor("rank")).alias("a"), of(F.ceil("rank")).alias("b"))
+    return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias(name), "n")
+
+
+def medians(df: DataFrame, value: Column, keys: list[str], name: str = "median") -> DataFrame:
+    """keys, name, n: the median of each group's finite values."""
+    return quantiles(df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v"))), keys, 0.5, name)
+
+
 def mad_std(df: DataFrame, value: Column, keys: list[str], name: str = "mad_std") -> DataFrame:
     """keys, name, n: 1.4826 times the median distance from the median."""
     v = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
-    return with_group(v, keys, median(F.col("_v")).alias("_m")).groupBy(*keys).agg((MAD_SCALE * median(F.abs(F.col("_v") - F.col("_m")))).alias(name), F.count("*").alias("n"))
+    if largest(v, keys) <= MOST:
+        return mad_of(gathered(v, keys), keys, name)
+    off = met(v, quantiles(v, keys, 0.5, "_m"), keys).select(*keys, F.abs(F.col("_v") - F.col("_m")).alias("_v"))
+    return quantiles(off, keys, 0.5, "_d").select(*keys, (MAD_SCALE * F.col("_d")).alias(name), "n")
+
 
+def mad_of(groups: DataFrame, keys: list[str], name: str, *more: str) -> DataFrame:
+    m = groups.select(*keys, *more, "_a", middle(F.col("_a")).alias("_m"))
+    off = m.select(*keys, *more, F.sort_array(F.transform("_a", lambda x: F.abs(x - F.col("_m")))).alias("_d"))
+    return off.select(*keys, *more, (MAD_SCALE * middle(F.col("_d"))).alias(name), F.size("_d").cast("long").alias("n"))
 
-def clipped(v: DataFrame, keys: list[str], sigma: float = 3.0, iterations: int = 5) -> DataFrame:
-    """keys, _v without what lies over sigma population deviations from the median of its group, round by round."""
+
+def clipped_arrays(groups: DataFrame, keys: list[str], sigma: float = 3.0, iterations: int = 5, where: Column | None = None, *more: str) -> DataFrame:
+    """groups (keys, _a) whose arrays lose, round by round, what lies over sigma population deviations from their median; where: the groups to clip."""
+    names = [*keys, *more]
     for _ in range(iterations):
-        v = with_group(v, keys, median(F.col("_v")).alias("_m"), F.stddev_pop("_v").alias("_s")).where(F.abs(F.col("_v") - F.col("_m")) <= sigma * F.col("_s")).select(*keys, "_v")
-    return v
+        groups = groups.select(*names, "_a", middle(F.col("_a")).alias("_m"), array_mean(F.col("_a")).alias("_mean"))
+        spread = F.sqrt(F.aggregate("_a", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size("_a"))
+        groups = groups.select(*names, "_a", "_m", spread.alias("_s"))
+        near = F.filter("_a", lambda x: F.abs(x - F.col("_m")) <= sigma * F.col("_s"))
+        groups = groups.select(*names, (near if where is None else F.when(where, near).otherwise(F.col("_a"))).alias("_a"))
+    return groups
+
+
+def clip_limits(v: DataFrame, keys: list[str], sigma: float = 3.0, iterations: int = 5) -> DataFrame:
+    """keys, lo and hi: the span that the rounds of clipping leave of each group, from sums and medians alone."""
+    s = v.groupBy(*keys).agg(F.lit(-math.inf).alias("lo"), F.lit(math.inf).alias("hi"))
+    for _ in range(iterations):
+        s = cut(s)
+        inside = met(v, s, keys).where(F.col("_v").between(F.col("lo"), F.col("hi"))).select(*keys, "_v")
+        spread = inside.groupBy(*keys).agg(F.stddev_pop("_v").alias("_s"))
+        now = met(quantiles(inside, keys, 0.5, "_m"), spread, keys)
+        s = met(s, now, keys).select(*keys, F.greatest("lo", F.col("_m") - sigma * F.col("_s")).alias("lo"), F.least("hi", F.col("_m") + sigma * F.col("_s")).alias("hi"))
+    return cut(s)
+
+
+def within(v: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    return met(v, limits, keys).where(F.col("_v").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def sigma_clipped(df: DataFrame, value: Column, keys: list[str], sigma: float = 3.0, iterations: int = 5) -> DataFrame:
     """keys, clipped_std, clipped_median, n after rounds that drop what lies over sigma population deviations from the median."""
-    v = clipped(df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v"))), keys, sigma, iterations)
-    return v.groupBy(*keys).agg(F.stddev_pop("_v").alias("clipped_std"), median(F.col("_v")).alias("clipped_median"), F.count("*").alias("n"))
+    v = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
+    if largest(v, keys) <= MOST:
+        a = clipped_arrays(gathered(v, keys), keys, sigma, iterations).select(*keys, "_a", middle(F.col("_a")).alias("clipped_median"), array_mean(F.col("_a")).alias("_mean"))
+        spread = F.sqrt(F.aggregate("_a", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size("_a"))
+        return a.select(*keys, spread.alias("clipped_std"), "clipped_median", F.size("_a").cast("long").alias("n"))
+    left = within(v, clip_limits(v, keys, sigma, iterations), keys)
+    spread = left.groupBy(*keys).agg(F.stddev_pop("_v").alias("clipped_std"))
+    return met(quantiles(left, keys, 0.5, "clipped_median"), spread, keys).select(*keys, "clipped_std", "clipped_median", "n")
 
 
 def chi_inflation(pixels: DataFrame, keys: list[str], least: int = 50) -> DataFrame:
@@ -90,26 +202,50 @@ def chi_inflation(pixels: DataFrame, keys: list[str], least: int = 50) -> DataFr
     pixels, clipped at three deviations in five rounds (pool is null then). The factor
     is max(1, mad_std of the pool).
     """
-    p = pixels.where((F.col("weight") > 0) & finite(F.col("data")) & finite(F.col("model"))).select(*keys, ((F.col("data") - F.col("model")) * F.sqrt("weight")).alias("chi"), (F.abs(F.col("model") - F.col("sky")) * F.sqrt("weight")).alias("depth"))
-    counts = [F.count(F.when(F.col("depth") < k, 1)).alias(f"n{k}") for k in (1, 2, 3, 5)]
-    p = with_group(p, keys, *counts)
+    p = pixels.where((F.col("weight") > 0) & finite(F.col("data")) & finite(F.col("model"))).select(*keys, ((F.col("data") - F.col("model")) * F.sqrt("weight")).cast("double").alias("_v"), (F.abs(F.col("model") - F.col("sky")) * F.sqrt("weight")).alias("depth"))
+    counts = p.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count(F.when(F.col("depth") < k, 1)).alias(f"n{k}") for k in (1, 2, 3, 5)])
     limit = F.when(F.col("n1") >= least, 1.0).when(F.col("n2") >= least, 2.0).when(F.col("n3") >= least, 3.0).when(F.col("n5") >= least, 5.0)
-    p = p.withColumn("pool", limit)
-    rest = clipped(p.where("pool is null").select(*keys, F.col("chi").cast("double").alias("_v")), keys)
-    pool = p.where("depth < pool").select(*keys, "chi", "pool").unionByName(rest.select(*keys, F.col("_v").alias("chi"), F.lit(None).cast("double").alias("pool")))
-    label = pool.groupBy(*keys).agg(F.max("pool").alias("pool"))
-    out = mad_std(pool, F.col("chi"), keys, "spread").join(label, keys) if keys else mad_std(pool, F.col("chi"), keys, "spread").crossJoin(label)
-    return out.select(*keys, F.greatest(F.lit(1.0), "spread").alias("inflation"), "pool", "n")
+    pools = cut(counts.where("n > 0").select(*keys, "n", limit.alias("pool")))
+    most, open_ = pools.agg(F.max("n"), F.count_if(F.col("pool").isNull())).head()
+    v = met(p, pools.drop("n"), keys).where(F.col("pool").isNull() | (F.col("depth") < F.col("pool"))).select(*keys, "pool", "_v").where(finite(F.col("_v")))
+    if (most or 0) <= MOST:
+        a = gathered(v, [*keys, "pool"])
+        if open_:
+            a = clipped_arrays(a, keys, 3.0, 5, F.col("pool").isNull(), "pool")
+        spread = mad_of(a, keys, "spread", "pool")
+    else:
+        if open_:
+            rest = v.where("pool is null").select(*keys, "_v")
+            rest = within(rest, clip_limits(rest, keys), keys)
+            v = v.where("pool is not null").unionByName(rest.withColumn("pool", F.lit(None).cast("double")))
+        spread = met(mad_std(v, F.col("_v"), keys, "spread"), pools.drop("n"), keys)
+    return spread.select(*keys, F.greatest(F.lit(1.0), "spread").alias("inflation"), "pool", "n")
+
+
+def bisected(x: Column, edges: list[float], lo: int, hi: int, test) -> Column:
+    """The first k from lo to hi for which test(x, edges[k]) holds (hi if for none before), by a tree of comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    k = (lo + hi) // 2
+    return F.when(test(x, F.lit(edges[k])), bisected(x, edges, lo, k, test)).otherwise(bisected(x, edges, k + 1, hi, test))
 
 
 def equal_population_bins(df: DataFrame, x: Column, y: Column, n_bins: int) -> DataFrame:
     """bin, lo, hi, n, median_y, nmad: bins between quantiles of x, both ends included, so edge rows count in two."""
     v = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).where(finite(F.col("x")) & finite(F.col("y")))
-    edges = F.array(*(F.lit(e).cast("double") for e in whole_quantiles(v, F.col("x"), [k / n_bins for k in range(n_bins + 1)])))
-    bins = v.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"), F.get(edges, F.col("id").cast("int")).alias("lo"), F.get(edges, F.col("id").cast("int") + 1).alias("hi"))
-    inside = v.join(F.broadcast(bins), (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))  # n_bins rows
-    spread = mad_std(inside, F.col("y"), ["bin"], "nmad").drop("n")
-    return inside.groupBy("bin").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count("*").alias("n"), median(F.col("y")).alias("median_y")).join(spread, "bin")
+    edges = whole_quantiles(v, F.col("x"), [k / n_bins for k in range(n_bins + 1)])
+    if edges[0] is None:
+        return v.where(F.lit(False)).select(F.lit(0).alias("bin"), F.col("x").alias("lo"), F.col("x").alias("hi"), F.lit(0).cast("long").alias("n"), F.col("y").alias("median_y"), F.col("y").alias("nmad"))
+    first = bisected(F.col("x"), edges[1:], 0, n_bins - 1, lambda a, e: a <= e)
+    past = bisected(F.col("x"), edges[1:], 0, n_bins - 1, lambda a, e: a < e)  # the last bin that begins at x or before
+    b = v.select(F.explode(F.sequence(first, past)).alias("bin"), F.col("y").alias("_v"))
+    ends = lambda k: F.get(F.array(*map(F.lit, edges)), k)
+    if largest(b, ["bin"]) <= MOST:
+        g = gathered(b, ["bin"]).select("bin", "_a", middle(F.col("_a")).alias("median_y"))
+        out = mad_of(g, ["bin"], "nmad", "median_y")
+    else:
+        out = quantiles(b, ["bin"], 0.5, "median_y").drop("n").join(mad_std(b, F.col("_v"), ["bin"], "nmad"), "bin")
+    return out.select("bin", ends(F.col("bin")).alias("lo"), ends(F.col("bin") + 1).alias("hi"), "n", "median_y", "nmad")
 
 
 def log_bin(x: Column, lo: float, hi: float, n: int) -> Column:

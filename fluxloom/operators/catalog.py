@@ -43,7 +43,7 @@ def with_extinction(cat: DataFrame, bands: list[str], ebv: str = "ebv") -> DataF
 def depth(measurements: DataFrame) -> DataFrame:
     """band, depth_ab, n: the magnitude of five times the median finite positive error."""
     ok = measurements.where(finite(F.col("err")) & (F.col("err") > 0))
-    return ok.groupBy("band").agg(units.flux_to_ab_mag(5 * stats.median(F.col("err"))).alias("depth_ab"), F.count("*").alias("n"))
+    return stats.medians(ok, F.col("err"), ["band"], "err").select("band", units.flux_to_ab_mag(5 * F.col("err")).alias("depth_ab"), "n")
 
 
 def recovery(truth: DataFrame, measured: DataFrame, lo: float, hi: float, n_bins: int = 4, snr_min: float = 5.0) -> DataFrame:
@@ -127,4 +127,4 @@ def median_ratios(cmp: DataFrame, a: str, b: str, ea: str, eb: str) -> DataFrame
     ok = cmp
     for c in (a, b, ea, eb):
         ok = ok.where(finite(F.col(c)) & (F.col(c) > 0))
-    return ok.agg(F.count("*").alias("n"), stats.median(F.col(a) / F.col(b)).alias("flux_ratio"), stats.median(F.col(ea) / F.col(eb)).alias("error_ratio"))
+    return stats.met(stats.medians(ok, F.col(a) / F.col(b), [], "flux_ratio"), stats.medians(ok, F.col(ea) / F.col(eb), [], "error_ratio").drop("n"), []).select("n", "flux_ratio", "error_ratio")

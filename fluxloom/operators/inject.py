@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats, units
-from ..plans.cut import cut
+from ..functions.cut import cut
 from .render import normalized, template
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sky
 from ..functions.units import finite
-from ..plans.cut import cut
+from ..functions.cut import cut
 
 
 def _placed(df: DataFrame) -> DataFrame:

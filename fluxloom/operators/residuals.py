@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.small import small
 from ..functions.units import finite
 
 
@@ -17,13 +18,16 @@ def statistics(pixels: DataFrame, keys: list[str], least_outside: int = 100) ->
     1 / sqrt(median weight). chi counts pixels with weight alone.
     """
     p = pixels.withColumn("_r", F.col("data") - F.col("model")).where(finite(F.col("_r")))
-    off = F.count(F.when(~F.coalesce("inside", F.lit(False)), 1)).alias("_off")
-    use = stats.with_group(p, keys, off).where((F.col("_off") <= least_outside) | ~F.coalesce("inside", F.lit(False)))
+    off = p.groupBy(*keys).agg(F.count(F.when(~F.coalesce("inside", F.lit(False)), 1)).alias("_off"))
+    use = stats.met(p, off, keys).where((F.col("_off") <= least_outside) | ~F.coalesce("inside", F.lit(False)))
     std = stats.sigma_clipped(use, F.col("_r"), keys).select(*keys, F.col("clipped_std").alias("residual_std"))
     w = p.where("weight > 0").withColumn("_chi", F.col("_r") * F.sqrt("weight"))
-    sums = w.groupBy(*keys).agg((1 / F.sqrt(stats.median(F.col("weight")))).alias("formal_sigma"), F.stddev_pop("_chi").alias("chi_std"), (100 * F.avg((F.abs("_chi") > 3).cast("double"))).alias("pct_chi_gt_3"))
+    sigma = stats.medians(w, F.col("weight"), keys, "_w").select(*keys, (1 / F.sqrt("_w")).alias("formal_sigma"))
+    sums = w.groupBy(*keys).agg(F.stddev_pop("_chi").alias("chi_std"), (100 * F.avg((F.abs("_chi") > 3).cast("double"))).alias("pct_chi_gt_3"))
     mad = stats.mad_std(w, F.col("_chi"), keys, "chi_mad").drop("n")
-    out = std.join(sums, keys, "left").join(mad, keys, "left")
+    out = std
+    for more in (sums, sigma, mad):
+        out = out.join(small(more), keys, "left") if keys else out.crossJoin(F.broadcast(more))  # one row
     return out.withColumn("formal_sigma", F.coalesce("formal_sigma", "residual_std"))
 
 
@@ -38,7 +42,7 @@ def central_fraction(stamps: DataFrame, half: int = 9) -> DataFrame:
 def median_offsets(offsets: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, and the median dx and dy of rows with both."""
     ok = offsets.where(finite(F.col("dx")) & finite(F.col("dy")))
-    return ok.groupBy(*keys).agg(F.count("*").alias("n"), stats.median(F.col("dx")).alias("dx"), stats.median(F.col("dy")).alias("dy"))
+    return stats.met(stats.medians(ok, F.col("dx"), keys, "dx"), stats.medians(ok, F.col("dy"), keys, "dy").drop("n"), keys).select(*keys, "n", "dx", "dy")
 
 
 def aperture_gains(sources: DataFrame, pixels: DataFrame, core: float, radius: float) -> DataFrame:

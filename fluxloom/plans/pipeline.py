@@ -6,14 +6,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
 from ..functions import sky, stats, units
 from ..operators import catalog, detect, fit, flags, inject, matching, models, psf, render, solve
 from ..operators.tiles import weighted
-from .cut import cut
+from ..functions.cut import cut
 
 
 @dataclass
@@ -263,11 +263,17 @@ def register_offsets(stars: DataFrame, dets: DataFrame, scale_arcsec: float, max
     alone = matching.second_nearest(as_sky(stars), isolation_pix * scale_arcsec).where("neighbour_sep = double('infinity')")
     m = matching.nearest_greedy(alone.drop("neighbour_sep"), as_sky(dets), max_pix * scale_arcsec, cols=("x", "y"))
     m = m.select((F.col("match_x") - F.col("x")).alias("dx"), (F.col("match_y") - F.col("y")).alias("dy"))
-    m = stats.with_group(m, [], stats.median(F.col("dx")).alias("mx"), stats.median(F.col("dy")).alias("my")).withColumn("r", F.hypot(F.col("dx") - F.col("mx"), F.col("dy") - F.col("my")))
-    m = stats.with_group(m, [], stats.median(F.col("r")).alias("mr"))
-    kept = m.where(F.col("r") <= F.greatest(F.lit(0.3), 4 * 1.4826 * F.col("mr")))
-    r = kept.agg(F.count("*"), stats.median(F.col("dx")), stats.median(F.col("dy"))).head()
-    return {"n": r[0], "dx": r[1], "dy": r[2]}
+    m = cut(m)
+    m = m.withColumn("r", F.hypot(F.col("dx") - middle_of(m, "dx"), F.col("dy") - middle_of(m, "dy")))
+    kept = cut(m.where(F.col("r") <= F.greatest(F.lit(0.3), 4 * 1.4826 * middle_of(m, "r"))))
+    if not (n := kept.count()):
+        return {"n": 0, "dx": None, "dy": None}
+    return {"n": n, "dx": stats.whole_quantiles(kept, F.col("dx"), [0.5])[0], "dy": stats.whole_quantiles(kept, F.col("dy"), [0.5])[0]}
+
+
+def middle_of(m: DataFrame, value: str | Column) -> Column:
+    """The whole table's median as a number (null of none), found without gathering it."""
+    return F.lit(stats.whole_quantiles(m, F.col(value) if isinstance(value, str) else value, [0.5])[0]).cast("double")
 
 
 def register_image(stars: DataFrame, dets: DataFrame, wcs: dict, width: int, height: int, least_flux: float = 1.0, max_pix: float = 3.0, least: int = 20, rounds: int = 6) -> dict:
@@ -288,10 +294,11 @@ def register_image(stars: DataFrame, dets: DataFrame, wcs: dict, width: int, hei
     m = cut(m)
     if m.count() < least:
         raise ValueError("too few isolated stars match detections")
-    m = stats.with_group(m, [], stats.median(F.col("mx") - F.col("x")).alias("_sx"), stats.median(F.col("my") - F.col("y")).alias("_sy")).withColumn("r", F.hypot(F.col("mx") - F.col("x") - F.col("_sx"), F.col("my") - F.col("y") - F.col("_sy")))
-    m = stats.with_group(m, [], stats.median(F.col("r")).alias("_mr"))
-    m = stats.with_group(m, [], stats.median(F.abs(F.col("r") - F.col("_mr"))).alias("_mad"))
-    m = cut(m.where(F.col("r") < F.greatest(F.lit(0.3), 4 * 1.4826 * F.col("_mad"))).select("a", "d", "x", "y", "mx", "my"))
+    dx, dy = F.col("mx") - F.col("x"), F.col("my") - F.col("y")
+    m = m.withColumn("r", F.hypot(dx - middle_of(m, dx), dy - middle_of(m, dy)))
+    m = m.withColumn("off", F.abs(F.col("r") - middle_of(m, "r")))
+    # fixed values: a common shift is cut at four robust deviations, 0.3 pixels at least
+    m = cut(m.where(F.col("r") < F.greatest(F.lit(0.3), 4 * 1.4826 * middle_of(m, "off"))).select("a", "d", "x", "y", "mx", "my"))
     n = m.count()
     if n < least:
         raise ValueError("too few consistent matches")
@@ -312,8 +319,8 @@ def register_image(stars: DataFrame, dets: DataFrame, wcs: dict, width: int, hei
             break
     after = sky.sky_to_pixel(F.col("a"), F.col("d"), sky.wcs(**new))
     scale = abs(new["cd11"] * new["cd22"] - new["cd12"] * new["cd21"]) ** 0.5 * 3600
-    r = m.agg(stats.median(F.hypot(F.col("mx") - F.col("x"), F.col("my") - F.col("y"))), stats.median(F.hypot(F.col("mx") - after["x"], F.col("my") - after["y"]))).head()
-    return {"wcs": new, "n": n, "before_arcsec": r[0] * scale, "after_arcsec": r[1] * scale}
+    before, now = (stats.whole_quantiles(m, F.hypot(F.col("mx") - x, F.col("my") - y), [0.5])[0] for x, y in ((F.col("x"), F.col("y")), (after["x"], after["y"])))
+    return {"wcs": new, "n": n, "before_arcsec": before * scale, "after_arcsec": now * scale}
 
 
 gaussian_psf = render.gaussian_psf

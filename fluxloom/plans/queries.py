@@ -15,7 +15,7 @@ from ..config import EXTINCTION, IRAC_FLUX_CORRECTION, MAD_SCALE, VEGA_AB, bit_m
 from ..functions import sky, stats, units
 from ..operators import catalog, flags, matching, models, render, solve, tiles
 from ..sources import catalogs
-from .cut import cut
+from ..functions.cut import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

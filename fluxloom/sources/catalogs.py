@@ -10,7 +10,7 @@ from ..config import STAR_PROBABILITY, UJY_PER_NMGY, VEGA_AB
 from ..functions import sky, stats, units
 from ..operators import flags, models
 from ..operators.tiles import standard_columns
-from ..plans.cut import cut
+from ..functions.cut import cut
 
 def source_catalog(catalogue: DataFrame, morphology: DataFrame, ra: float, dec: float, half_deg: float, brightness_cut_ujy: float = 0.0, require_band: str | None = None, most: int | None = None) -> DataFrame:
     """Left join on object_id, circle and box, flux cut, brightest first, is_star. `most` is a cap that the caller asks for."""

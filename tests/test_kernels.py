@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxloom import config
-from fluxloom.functions import sky
+from fluxloom.functions import sky, stats
 from fluxloom.operators import catalog, flags, matching, models, render, solve, tiles
 
 
@@ -153,3 +153,46 @@ def test_quantiles_of_a_whole_table(spark):
         for most in (100_000, 50):
             assert np.allclose(stats.whole_quantiles(df, F.col("v"), shares, most), np.quantile(x, shares), atol=1e-12)
     assert stats.whole_quantiles(df.limit(0), F.col("v"), [0.5]) == [None]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 600])
+def test_statistics_of_groups_of_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "MOST", most)
+    rng = np.random.default_rng(4)
+    groups = {"big": np.concatenate([rng.normal(0, 1, 3000), rng.normal(0, 1e9, 40)]), "ties": np.array([1.0] * 900 + [2.0] * 100), "all one": np.full(500, 7.0), "few": np.array([3.0, -1.0, 2.0, 50.0]), "one": np.array([5.0])}
+    odd = [("big", None), ("big", float("nan")), ("few", float("inf")), ("none", None)]
+    df = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + odd, "k string, v double").repartition(5)
+    for share in (0.0, 0.999) if most > 600 else (0.25,):
+        v = df.select("k", F.col("v").alias("_v")).where("_v is not null and abs(_v) < double('infinity')")
+        got = {r.k: (r.q, r.n) for r in stats.quantiles(v, ["k"], share, "q").collect()}
+        assert got.keys() == groups.keys() and all(np.isclose(got[k][0], np.quantile(x, share), rtol=1e-12) and got[k][1] == len(x) for k, x in groups.items())
+
+    rounds = 5 if most > 600 else 1
+
+    def clipped(x, sigma, n=5):
+        for _ in range(n):
+            x = x[np.abs(x - np.median(x)) <= sigma * x.std()]
+        return x
+
+    mad = {r.k: (r.mad_std, r.n) for r in stats.mad_std(df, F.col("v"), ["k"]).collect()}
+    left = {r.k: (r.clipped_std, r.clipped_median, r.n) for r in stats.sigma_clipped(df, F.col("v"), ["k"], 2.5, rounds).collect()}
+    for k, x in groups.items():
+        c = clipped(x, 2.5, rounds)
+        assert np.isclose(mad[k][0], 1.4826 * np.median(np.abs(x - np.median(x))), rtol=1e-4, atol=1e-12) and mad[k][1] == len(x)
+        assert np.isclose(left[k][0], c.std(), rtol=1e-9, atol=1e-9) and left[k][1:] == (np.median(c), len(c))
+    whole = stats.mad_std(df, F.col("v"), []).head()
+    x = np.concatenate(list(groups.values()))
+    assert np.isclose(whole.mad_std, 1.4826 * np.median(np.abs(x - np.median(x))), rtol=1e-4) and whole.n == len(x)
+    if most == 600:
+        return
+    px = df.where("k in ('big', 'ties')").selectExpr("k", "v as data", "0D as model", "4D as weight", "if(k = 'big', 1e6D, 1D) as sky")
+    chi = {r.k: (r.inflation, r.pool, r.n) for r in stats.chi_inflation(px, ["k"]).collect()}
+    c = clipped(groups["big"] * 2, 3.0)
+    assert np.isclose(chi["big"][0], max(1, 1.4826 * np.median(np.abs(c - np.median(c)))), rtol=1e-4) and chi["big"][1:] == (None, len(c)) and chi["ties"] == (1.0, 3.0, 1000)
+    b = stats.equal_population_bins(df.where("k in ('big', 'ties')").withColumn("y", F.col("v") * 3 + 1), F.col("v"), F.col("y"), 7).collect()
+    x = np.concatenate([groups["big"], groups["ties"]])
+    edges = np.quantile(x, np.arange(8) / 7)
+    for r in b:
+        own = x[(x >= edges[r.bin]) & (x <= edges[r.bin + 1])] * 3 + 1
+        assert np.isclose([r.lo, r.hi], edges[r.bin : r.bin + 2], rtol=1e-12).all() and r.n == len(own) and np.isclose(r.median_y, np.median(own), rtol=1e-9) and np.isclose(r.nmad, 1.4826 * np.median(np.abs(own - np.median(own))), rtol=1e-4)
+    assert len(b) == 7 and stats.equal_population_bins(df.limit(0), F.col("v"), F.col("v"), 3).count() == 0
