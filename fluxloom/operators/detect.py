@@ -1,4 +1,4 @@
-"""Background, detection and blobs: one numpy kernel for each tile, joins for what crosses catalogs."""
+"""Background, detection and blobs: numpy kernels for tiles with halos, tables of links for what crosses their borders, joins for what crosses catalogs."""
 
 from __future__ import annotations
 
@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import stats
+from ..functions.cut import cut
+from ..functions.small import small
+from .components import roots
+
 # -- kernels -----------------------------------------------------------------------------
 
 
@@ -51,13 +56,17 @@ def background_map(data: np.ndarray, mask: np.ndarray, mesh: int, filter_size: i
     ny, nx = math.ceil(h / mesh), math.ceil(w / mesh)
     cells = np.array([[clipped_mode(data[j * mesh : (j + 1) * mesh, i * mesh : (i + 1) * mesh][ok[j * mesh : (j + 1) * mesh, i * mesh : (i + 1) * mesh]]) for i in range(nx)] for j in range(ny)])
     level, rms = np.nanmedian(cells[..., 0]), np.nanmedian(cells[..., 1])
-    grid = np.where(np.isnan(cells[..., 0]), level, cells[..., 0])
-    k = filter_size // 2
-    padded = np.pad(grid, k, mode="reflect" if min(grid.shape) > k else "edge")
-    grid = np.median(np.lib.stride_tricks.sliding_window_view(padded, (filter_size, filter_size)), axis=(2, 3))
+    grid = filtered(cells[..., 0], filter_size)
     return bicubic(grid, (np.arange(h) + 0.5) / mesh - 0.5, (np.arange(w) + 0.5) / mesh - 0.5), float(level), float(rms)
 
 
+def filtered(levels: np.ndarray, size: int = 3) -> np.ndarray:
+    """A grid of mesh levels whose holes have the others' median, smoothed by medians of size x size."""
+    grid, k = np.where(np.isnan(levels), np.nanmedian(levels), levels), size // 2
+    padded = np.pad(grid, k, mode="reflect" if min(grid.shape) > k else "edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(padded, (size, size)), axis=(2, 3))
+
+
 def natural_spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural cubic spline through y[0], y[1], ... (first axis) at real places, held constant outside."""
     n, at = len(y), np.clip(at, 0, len(y) - 1)
@@ -77,13 +86,14 @@ def bicubic(grid: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return natural_spline(natural_spline(grid, rows).T, cols).T
 
 
-def matched(data: np.ndarray, weight: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """S/N plane of a matched filter under pixel-wise noise."""
+def matched(data: np.ndarray, weight: np.ndarray, kernel: np.ndarray, top: float | None = None) -> np.ndarray:
+    """S/N plane of a matched filter under pixel-wise noise; 0 where next to no weight is under the kernel. top: the image's largest weight."""
     from .render import convolved
 
     flip = kernel[::-1, ::-1]
     num, den = convolved(np.where(weight > 0, data, 0) * weight, flip), convolved(weight, flip**2)
-    return np.where(den > 1e-12 * max(den.max(), 1e-300), num / np.sqrt(np.maximum(den, 1e-300)), 0.0)
+    least = 1e-12 * max((weight.max(initial=0) if top is None else top) * (kernel**2).sum(), 1e-300)
+    return np.where(den > least, num / np.sqrt(np.maximum(den, 1e-300)), 0.0)
 
 
 def label(mask: np.ndarray) -> np.ndarray:
@@ -106,15 +116,29 @@ def label(mask: np.ndarray) -> np.ndarray:
     return out.reshape(h, w) + (0 if (ids == 0).any() else 1)
 
 
+def squared_distance(mask: np.ndarray, most: int) -> np.ndarray:
+    """Squared distance of every pixel from the nearest true one; beyond `most` pixels, any larger number. Distances down the columns first, then the lower envelope along the rows."""
+    h, w = mask.shape
+    far, rows = most + 1, np.arange(h)[:, None]
+    last = np.maximum.accumulate(np.where(mask, rows, -far), axis=0)
+    following = np.minimum.accumulate(np.where(mask, rows, h + far)[::-1], axis=0)[::-1]
+    down = np.minimum(np.minimum(rows - last, following - rows), far).astype(np.int64) ** 2
+    out = np.full((h, w), 2 * far * far, np.int64)
+    for k in range(-min(most, w - 1), min(most, w - 1) + 1):
+        a, b = max(0, k), min(w, w + k)
+        np.minimum(out[:, a:b], down[:, a - k : b - k] + k * k, out=out[:, a:b])
+    return out
+
+
 def dilated(mask: np.ndarray, radius: float) -> np.ndarray:
     """Pixels within the radius of a true one."""
-    r, (h, w) = int(radius), mask.shape
-    p, out = np.pad(mask, r), np.zeros_like(mask)
-    for dy in range(-r, r + 1):
-        for dx in range(-r, r + 1):
-            if dy * dy + dx * dx <= radius * radius:
-                out |= p[r + dy : r + dy + h, r + dx : r + dx + w]
-    return out
+    return squared_distance(mask, int(radius)) <= radius * radius
+
+
+def wing_window(segment: np.ndarray, radius: float | None = None) -> np.ndarray:
+    """A segment grown by twice its radius (that of a disc of its area, if none is given): fixed values, 10 to 40 pixels."""
+    r = math.sqrt(segment.sum() / math.pi) if radius is None else radius
+    return dilated(segment, int(min(max(2 * r, 10), 40)))
 
 
 def deblended(values: np.ndarray, seg: np.ndarray, levels: int = 32, contrast: float = 0.005, minarea: int = 5) -> np.ndarray:
@@ -176,52 +200,213 @@ def detect(data: np.ndarray, weight: np.ndarray, kernel: np.ndarray | None = Non
 
 # -- tables ---------------------------------------------------------------------------------
 
+#: Side of the tiles in which an image's pixels are worked on; results do not depend on it.
+TILE = 1024
+#: A region is named by its first pixel in reading order: its row times this, its column and one.
+ROW = 1 << 32
+WORK = ["tile", "_ty", "_tx"]
 
-def planes(pdf: pd.DataFrame, *cols: str) -> list[np.ndarray]:
-    """Dense planes of a tile's pixel rows; what is missing is 0."""
-    h, w = int(pdf.y.max()) + 1, int(pdf.x.max()) + 1
-    out = []
-    for c in cols:
-        a = np.zeros((h, w))
-        a[pdf.y.to_numpy(), pdf.x.to_numpy()] = pdf[c].to_numpy(float)
-        out.append(a)
-    return out
 
+def name_of(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return y.astype(np.int64) * ROW + x.astype(np.int64) + 1
 
-def detections(pixels: DataFrame, **settings) -> DataFrame:
-    """(tile, segment, x, y, flux, a, b, theta, npix, blob) of pixels (tile, x, y, d, w); a tile's pixels are one group of bounded size."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, w = planes(pdf, "d", "w")
-        return detect(d, w, **settings)[2].assign(tile=pdf.tile.iloc[0])
+def dealt(pixels: DataFrame, size: int, halo: int = 0) -> DataFrame:
+    """pixels (tile: the image, x, y, ...) with _ty and _tx, sent to every tile of the size whose halo holds them."""
+    if not halo:
+        return pixels.withColumns({"_ty": F.floor(F.col("y") / size).cast("int"), "_tx": F.floor(F.col("x") / size).cast("int")})
+    near = lambda c: F.sequence(F.greatest(F.floor((F.col(c) - halo) / size), F.lit(0)).cast("int"), F.floor((F.col(c) + halo) / size).cast("int"))
+    return pixels.withColumn("_ty", F.explode(near("y"))).withColumn("_tx", F.explode(near("x")))
 
-    return pixels.groupBy("tile").applyInPandas(run, f"segment long, x double, y double, flux double, a double, b double, theta double, npix long, blob long, tile {dict(pixels.dtypes)['tile']}")
 
+def patch(pdf: pd.DataFrame, *cols: str) -> tuple[int, int, list[np.ndarray]]:
+    """Corner and dense planes of a tile's pixel rows; what is missing is 0."""
+    y0, x0 = int(pdf.y.min()), int(pdf.x.min())
+    shape = (int(pdf.y.max()) - y0 + 1, int(pdf.x.max()) - x0 + 1)
+    at, out = (pdf.y.to_numpy() - y0, pdf.x.to_numpy() - x0), []
+    for c in cols:
+        a = np.zeros(shape)
+        a[at] = pdf[c].to_numpy(float)
+        out.append(a)
+    return y0, x0, out
+
+
+def extents(pixels: DataFrame) -> DataFrame:
+    """(tile, height, width, least, top): the image's size, the weight from which its pixels count, and the largest weight. One row an image."""
+    size = pixels.groupBy("tile").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.max("w").cast("double").alias("top"))
+    middle = stats.medians(pixels.where("w > 0"), F.col("w"), ["tile"], "_m").select("tile", (1e-6 * F.col("_m")).alias("least"))
+    return size.join(middle, "tile", "left").select("tile", "height", "width", F.coalesce("least", F.lit(0.0)).alias("least"), "top")
+
+
+def background_grids(usable: DataFrame, images: DataFrame, mesh: int, filter_size: int = 3) -> DataFrame:
+    """(tile, ny, nx, grid, level, rms) of each image with usable pixels (tile, x, y, d): its meshes' levels, each from the pixels of one mesh, filtered. A task holds one mesh's pixels, or one number a mesh."""
+    kind = dict(usable.dtypes)["tile"]
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        level, rms = clipped_mode(pdf.d.to_numpy(float))
+        return pd.DataFrame({"tile": [pdf.tile.iloc[0]], "j": [pdf.j.iloc[0]], "i": [pdf.i.iloc[0]], "v": [level], "s": [rms]})
+
+    at = usable.select("tile", F.floor(F.col("y") / mesh).alias("j"), F.floor(F.col("x") / mesh).alias("i"), "d")
+    cells = at.groupBy("tile", "j", "i").applyInPandas(cell, f"tile {kind}, j long, i long, v double, s double").join(small(images.select("tile", F.ceil(F.col("height") / mesh).alias("ny"), F.ceil(F.col("width") / mesh).alias("nx"))), "tile")
+
+    def grid(pdf: pd.DataFrame) -> pd.DataFrame:
+        ny, nx = int(pdf.ny.iloc[0]), int(pdf.nx.iloc[0])
+        v, s = np.full((ny, nx), np.nan), np.full((ny, nx), np.nan)
+        v[pdf.j, pdf.i], s[pdf.j, pdf.i] = pdf.v, pdf.s
+        out = filtered(v, filter_size)
+        return pd.DataFrame({"tile": [pdf.tile.iloc[0]], "ny": [ny], "nx": [nx], "grid": [out.ravel().tolist()], "level": [np.nanmedian(v)], "rms": [np.nanmedian(s)]})
+
+    return cells.groupBy("tile").applyInPandas(grid, f"tile {kind}, ny int, nx int, grid array<double>, level double, rms double")
+
+
+def with_grid(work: DataFrame, grids: DataFrame):
+    """The tiles of work, each grouped with its image's grid."""
+    widest = grids.agg(F.max(F.col("ny") * F.col("nx"))).head()[0] or 1
+    tiles = work.select(*WORK).distinct().join(small(grids, (32 << 20) // (8 * widest)), "tile")
+    return work.groupBy(*WORK).cogroup(tiles.toDF(*tiles.columns).groupBy(*WORK))  # both sides come from one table
+
+
+def grid_plane(right: pd.DataFrame, mesh: int, y0: int, x0: int, shape: tuple[int, int]) -> np.ndarray:
+    g = np.reshape(right.grid.iloc[0], (right.ny.iloc[0], right.nx.iloc[0]))
+    return bicubic(g, (y0 + np.arange(shape[0]) + 0.5) / mesh - 0.5, (x0 + np.arange(shape[1]) + 0.5) / mesh - 0.5)
+
+
+def regions(work: DataFrame, mask, size: int, cols: str = "", grids: DataFrame | None = None) -> DataFrame:
+    """(tile, y, x, region, and cols) of the pixels that mask marks: 8-connected over all tiles of an image.
+
+    mask(rows, grid) gives, of a tile's rows, its corner, a boolean plane and planes of
+    cols. A tile labels its own pixels; labels that meet across a border are links, whose
+    components (in tables) give each region the least of its names.
+    """
+    more = cols.split(", ") if cols else []
+    names = ["tile", "y", "x", "region", *[c.split()[0] for c in more]]
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame | None = None) -> pd.DataFrame:
+        found = mask(left, right) if len(left) else None
+        if found is None:
+            return pd.DataFrame(columns=names)
+        y0, x0, on, planes = found
+        own = on.copy()
+        ys, xs = y0 + np.arange(on.shape[0]), x0 + np.arange(on.shape[1])
+        own[ys // size != key[1]] = False
+        own[:, xs // size != key[2]] = False
+        y, x = np.nonzero(own)
+        labels = label(own)[y, x] if len(y) else np.zeros(0, int)
+        first = np.unique(labels, return_index=True)[1]  # labels run in reading order, as their first pixels do
+        region = name_of(y[first] + y0, x[first] + x0)[labels - 1] if len(y) else np.zeros(0, np.int64)
+        return pd.DataFrame({"tile": key[0], "y": y + y0, "x": x + x0, "region": region} | {n: p[y, x] for n, p in zip(names[4:], planes, strict=True)}, columns=names)
+
+    schema = ", ".join(["tile long, y int, x int, region long", *more])
+    if grids is None:
+        local = work.groupBy(*WORK).applyInPandas(lambda key, pdf: run(key, pdf), schema)
+    else:
+        local = with_grid(work, grids).applyInPandas(run, schema)
+    local = cut(local)
+    edge = (F.col("y") % size).isin(0, size - 1) | (F.col("x") % size).isin(0, size - 1)
+    border = local.where(edge).select("tile", "y", "x", F.col("region").alias("a"))
+    steps = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j, i in ((0, 1), (1, -1), (1, 0), (1, 1)))))
+    beside = border.withColumn("k", steps).select("tile", (F.col("y") + F.col("k.j")).alias("y"), (F.col("x") + F.col("k.i")).alias("x"), "a")
+    links = beside.join(border.withColumnRenamed("a", "b"), ["tile", "y", "x"]).where("a <> b").select("tile", "a", "b").distinct()
+    names_ = roots(links, ["tile"]).select("tile", F.col("id").alias("region"), "root")
+    return local.join(small(names_), ["tile", "region"], "left").withColumn("region", F.coalesce("root", "region")).drop("root")
+
+
+def found(pixels: DataFrame, kernel: np.ndarray | None = None, threshold: float = 1.5, minarea: int = 5, dilate_pix: int = 4, mesh: int = 64, contrast: float = 0.005, levels: int = 32, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(detections, segments) of the images' pixels (tile: the image, x, y, d, w), the same for any tile size.
+
+    detections: tile, segment, x, y, flux, a, b, theta, npix, blob; segments: tile, x, y,
+    segment (0 off all of them), blob, of every pixel in a blob. Segments and blobs are
+    named by their first pixel. A task holds a tile and its halo, one mesh, or the
+    segments that begin in a tile.
+    """
+    px = cut(pixels.select("tile", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("d").cast("double").alias("d"), F.col("w").cast("double").alias("w")).withColumn("tile", F.col("tile").cast("long")))
+    images = cut(extents(px))
+    flagged = px.join(small(images.select("tile", "least", "top")), "tile")
+    grids = cut(background_grids(flagged.where((F.col("w") > F.col("least")) & (F.col("w") > 0)), images, mesh))
+    reach = max(kernel.shape) // 2 if kernel is not None else 0
+
+    def significant(left: pd.DataFrame, right: pd.DataFrame):
+        if not len(right):
+            return None
+        y0, x0, (d, w) = patch(left, "d", "w")
+        usable = (w > left.least.iloc[0]) & (w > 0)
+        sub = np.where(usable, d - grid_plane(right, mesh, y0, x0, d.shape), 0)
+        w = np.where(usable, w, 0)
+        s = matched(sub, w, kernel, left.top.iloc[0]) if kernel is not None else sub * np.sqrt(w)
+        return y0, x0, s > threshold, [sub]
+
+    raw = regions(dealt(flagged, tile, reach), significant, tile, "v double", grids)
+    large = raw.groupBy("tile", "region").count().where(F.col("count") >= minarea).select("tile", "region")
+    segs = raw.join(large, ["tile", "region"], "left_semi").withColumnRenamed("region", "segment")
+    if contrast < 1:
+        begin = {"_ty": F.floor(F.floor((F.col("segment") - 1) / ROW) / tile).cast("int"), "_tx": F.floor(((F.col("segment") - 1) % ROW) / tile).cast("int")}
+
+        def parted(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for _, s in pdf.groupby("segment", sort=True):
+                y0, x0, (own, v) = patch(s.assign(one=1.0), "one", "v")
+                parts = deblended(np.maximum(v, 0), own.astype(int), levels, contrast, minarea)
+                y, x = np.nonzero(parts)
+                k, first, inverse = np.unique(parts[y, x], return_index=True, return_inverse=True)
+                out.append(pd.DataFrame({"tile": key[0], "y": y + y0, "x": x + x0, "segment": name_of(y[first] + y0, x[first] + x0)[inverse], "v": v[y, x]}))
+            return pd.concat(out)
+
+        segs = segs.withColumns(begin).groupBy(*WORK).applyInPandas(parted, "tile long, y int, x int, segment long, v double")
+    segs = cut(segs.select("tile", "y", "x", "segment", "v"))
+
+    def grown(left: pd.DataFrame, _):
+        y0, x0 = int(left.y.min()) - dilate_pix, int(left.x.min()) - dilate_pix
+        on = np.zeros((int(left.y.max()) + dilate_pix + 1 - y0, int(left.x.max()) + dilate_pix + 1 - x0), bool)
+        on[left.y - y0, left.x - x0] = True
+        on = dilated(on, dilate_pix)
+        cy, cx = max(0, -y0), max(0, -x0)
+        on = on[cy : int(left.height.iloc[0]) - y0, cx : int(left.width.iloc[0]) - x0]
+        return y0 + cy, x0 + cx, on, []
+
+    blobs = cut(regions(dealt(segs.join(small(images.select("tile", "height", "width")), "tile"), tile, dilate_pix), grown, tile).withColumnRenamed("region", "blob"))
+    every = blobs.join(segs.select("tile", "y", "x", "segment"), ["tile", "y", "x"], "left").select("tile", "x", "y", F.coalesce("segment", F.lit(0)).alias("segment"), "blob")
+    kind = dict(pixels.dtypes)["tile"]
+    return detections_of(segs, blobs).withColumn("tile", F.col("tile").cast(kind)), every.withColumn("tile", F.col("tile").cast(kind))
+
+
+def detections_of(segs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Moments of each segment (tile, y, x, segment, v) by sums about its first pixel."""
+    v, dx, dy = F.greatest("v", F.lit(1e-12)), F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    s = segs.withColumns({"_y": F.floor((F.col("segment") - 1) / ROW), "_x": (F.col("segment") - 1) % ROW})
+    sums = s.groupBy("tile", "segment", "_y", "_x").agg(F.sum(v).alias("s"), *[(F.sum(v * c) / F.sum(v)).alias(n) for n, c in (("mx", dx), ("my", dy), ("xx", dx * dx), ("yy", dy * dy), ("xy", dx * dy))], F.sum("v").alias("flux"), F.count("*").alias("npix"))
+    xx, yy, xy = F.col("xx") - F.col("mx") * F.col("mx"), F.col("yy") - F.col("my") * F.col("my"), F.col("xy") - F.col("mx") * F.col("my")
+    mean, root = (xx + yy) / 2, F.hypot((xx - yy) / 2, xy)
+    axis = lambda c: F.sqrt(F.greatest(c, F.lit(1 / 12)))
+    shape = sums.select("tile", "segment", (F.col("_x") + F.col("mx")).alias("x"), (F.col("_y") + F.col("my")).alias("y"), "flux", axis(mean + root).alias("a"), axis(mean - root).alias("b"), F.degrees(0.5 * F.atan2(2 * xy, xx - yy)).alias("theta"), "npix", "_y", "_x")
+    home = blobs.select("tile", F.col("y").alias("_y"), F.col("x").alias("_x"), "blob")
+    return shape.join(home, ["tile", "_y", "_x"]).select("segment", "x", "y", "flux", "a", "b", "theta", "npix", "blob", "tile")
 
-def segments(pixels: DataFrame, **settings) -> DataFrame:
-    """(tile, x, y, segment, blob) of every pixel in a blob."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, w = planes(pdf, "d", "w")
-        seg, blobs, _ = detect(d, w, **settings)
-        y, x = np.nonzero(blobs)
-        return pd.DataFrame({"tile": pdf.tile.iloc[0], "x": x, "y": y, "segment": seg[y, x], "blob": blobs[y, x]})
+def detections(pixels: DataFrame, **settings) -> DataFrame:
+    """(tile, segment, x, y, flux, a, b, theta, npix, blob) of pixels (tile, x, y, d, w); see found."""
+    return found(pixels, **settings)[0]
 
-    return pixels.groupBy("tile").applyInPandas(run, f"tile {dict(pixels.dtypes)['tile']}, x int, y int, segment long, blob long")
+
+def segments(pixels: DataFrame, **settings) -> DataFrame:
+    """(tile, x, y, segment, blob) of every pixel in a blob; see found."""
+    return found(pixels, **settings)[1]
 
 
-def with_background(pixels: DataFrame, mesh: int = 64) -> DataFrame:
-    """pixels with background and the tile's rms."""
+def with_background(pixels: DataFrame, mesh: int = 64, tile: int = TILE) -> DataFrame:
+    """pixels with background and the image's rms; NaN in an image without weight. The same for any tile size."""
+    images = cut(pixels.groupBy("tile").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")))
+    grids = cut(background_grids(pixels.where("w > 0").select("tile", "x", "y", "d"), images, mesh))
     schema = ", ".join(f"{n} {t}" for n, t in pixels.dtypes) + ", background double, background_rms double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, w = planes(pdf, "d", "w")
-        if not (w > 0).any():
-            return pdf.assign(background=math.nan, background_rms=math.nan)
-        plane, _, rms = background_map(d, w <= 0, mesh)
-        return pdf.assign(background=plane[pdf.y, pdf.x], background_rms=rms)
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.drop(columns=["_ty", "_tx"])
+        if not len(right):
+            return left.assign(background=math.nan, background_rms=math.nan)
+        y0, x0, _ = patch(left)
+        plane = grid_plane(right, mesh, y0, x0, (int(left.y.max()) - y0 + 1, int(left.x.max()) - x0 + 1))
+        return left.assign(background=plane[left.y - y0, left.x - x0], background_rms=right.rms.iloc[0])
 
-    return pixels.groupBy("tile").applyInPandas(run, schema)
+    return with_grid(dealt(pixels, tile), grids).applyInPandas(run, schema)
 
 
 def without_background(pixels: DataFrame, method: str = "mesh", mesh: int = 64) -> DataFrame:

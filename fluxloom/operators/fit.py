@@ -8,10 +8,15 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import FREE_PARAMETERS, RADIUS_ARCSEC, SERSIC_N
+from ..functions.cut import cut
+from ..functions.small import small
+from .components import roots
+from .detect import wing_window
 from .render import template
-from .solve import connected, solve_component
+from .solve import solve_component
 
 
 @dataclass(frozen=True)
@@ -121,20 +126,22 @@ def reduced(data: np.ndarray, weight: np.ndarray, sources: list[Source], psf: np
     return float((r[use] ** 2 * weight[use]).sum() / max(use.sum() - k, 1))
 
 
-def tree(data: np.ndarray, weight: np.ndarray, members: list[Source], segments: dict[int, np.ndarray], psf: np.ndarray, scale: float, limit: float = 1.5, point_gain: float = 0.05, tie: float = 0.15, simple_re: float = 0.30, full_ladder_snr: float = 0.0, max_shift: float | None = None) -> tuple[list[Source], list[tuple]]:
+def tree(data: np.ndarray, weight: np.ndarray, members: list[Source], segments: dict[int, np.ndarray], psf: np.ndarray, scale: float, limit: float = 1.5, point_gain: float = 0.05, tie: float = 0.15, simple_re: float = 0.30, full_ladder_snr: float = 0.0, max_shift: float | None = None, wings: bool = False) -> tuple[list[Source], list[tuple]]:
     """The chi2 tree of one blob: (fitted members, trials as (id, stage, model, rchi2)).
 
     Stages: simple galaxies, points (and the point lock), exponentials, de
     Vaucouleurs, composites; then a joint refit, the guarded Sersic tier and a last
     flux-only solve. Positions stay fixed; with max_shift (pixels) the joint refit frees
     them, and what moves farther goes back. Members that are settled keep their model in
-    later stages.
+    later stages. With wings, members of the full ladder are scored on their segment grown by
+    twice its radius.
     """
     b = limits(scale)
     snr = {}
     for s in members:
         use = segments[s.id] & (weight > 0)
         snr[s.id] = float(data[use].sum() / math.sqrt((1 / weight[use]).sum())) if use.any() else 0.0
+    seen = {i: wing_window(g) if wings and snr[i] >= full_ladder_snr else g for i, g in segments.items()}
     chi: dict[int, dict[str, float]] = {s.id: {} for s in members}
     best: dict[int, dict[str, Source]] = {s.id: {} for s in members}
     settled: dict[int, Source] = {}
@@ -154,7 +161,7 @@ def tree(data: np.ndarray, weight: np.ndarray, members: list[Source], segments:
             if s.id in settled:
                 settled[s.id] = s
                 continue
-            c = reduced(data, weight, out, psf, segments[s.id], FREE_PARAMETERS[model])
+            c = reduced(data, weight, out, psf, seen[s.id], FREE_PARAMETERS[model])
             chi[s.id][model], best[s.id][model] = c, s
             trials.append((s.id, number, model, c))
 
@@ -242,67 +249,72 @@ def interior(x, y, width: int, height: int):
     return (x > m) & (x < width - m) & (y > m) & (y < height - m)
 
 
-def apart(sources: list[Source], psf: np.ndarray, shape: tuple[int, int], grow: float):
-    """Groups of sources whose templates' boxes (grown by a factor of the radius, or by pixels for points) meet: (group, box, which of its pixels are under the group's boxes). Sources off the image come in no group."""
-    half = np.array([max(psf.shape) // 2 + 2 + (max(16, math.ceil(2 * s.re * max(grow, 1.0))) if s.re else math.ceil(grow)) for s in sources])
-    at = np.array([(s.x, s.y) for s in sources]).reshape(-1, 2)
-    low, high = np.floor(at - half[:, None]).astype(int), np.ceil(at + half[:, None]).astype(int) + 1
-    low, high = np.maximum(low, 0), np.minimum(high, [shape[1], shape[0]])
-    on = (low < high).all(axis=1)
-    label = np.arange(len(sources))
-    order = np.argsort(low[:, 0], kind="stable")
-    pairs = []
-    for k, i in enumerate(order):  # a sweep: boxes that begin before this one ends
-        later = order[k + 1 :]
-        later = later[: np.searchsorted(low[later, 0], high[i, 0])]
-        pairs += [(i, j) for j in later if on[i] and on[j] and low[j, 1] < high[i, 1] and low[i, 1] < high[j, 1]]
-    if pairs:
-        label = connected(len(sources), *np.array(pairs).T)
-    for g in np.unique(label[on]):
-        own = np.flatnonzero((label == g) & on)
-        x0, y0, x1, y1 = *low[own].min(axis=0), *high[own].max(axis=0)
-        mine = np.zeros((y1 - y0, x1 - x0), bool)
-        for i in own:
-            mine[low[i, 1] - y0 : high[i, 1] - y0, low[i, 0] - x0 : high[i, 0] - x0] = True
-        yield [sources[i] for i in own], (int(x0), int(y0), int(x1), int(y1)), mine
+def boxes(sources: DataFrame, images: DataFrame, psf: np.ndarray, grow: float) -> DataFrame:
+    """sources (tile, id, x, y, re, ...) that reach their image, with lx, ly, hx, hy: where their template may be (grown by a factor of the radius, or by pixels for points), half open, within the image (tile, height, width)."""
+    reach = max(psf.shape) // 2 + 2
+    half = reach + F.when(F.coalesce("re", F.lit(0.0)) > 0, F.greatest(F.lit(16), F.ceil(2 * F.col("re") * max(grow, 1.0)))).otherwise(math.ceil(grow))
+    s = sources.join(small(images), "tile").withColumn("_half", half)
+    low = lambda c: F.greatest(F.floor(F.col(c) - F.col("_half")), F.lit(0)).cast("int")
+    high = lambda c, n: F.least(F.ceil(F.col(c) + F.col("_half")) + 1, F.col(n)).cast("int")
+    return s.withColumns({"lx": low("x"), "ly": low("y"), "hx": high("x", "width"), "hy": high("y", "height")}).drop("_half").where("lx < hx and ly < hy")
+
+
+def in_cells(b: DataFrame, size: int) -> DataFrame:
+    """b (lx, ly, hx, hy) once for each cell of the size that its box touches."""
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("int"), F.floor((F.col(hi) - 1) / size).cast("int"))
+    return b.withColumn("_ci", F.explode(span("lx", "hx"))).withColumn("_cj", F.explode(span("ly", "hy")))
+
+
+def grouped(b: DataFrame, size: int = 64) -> DataFrame:
+    """b (tile, id, box) with group, the least id of the sources that it is tied to by boxes that meet. Boxes meet in cells; links are joined up in tables."""
+    c = in_cells(b.select("tile", "id", "lx", "ly", "hx", "hy"), size)
+    other = c.select("tile", "_ci", "_cj", F.col("id").alias("b"), F.col("lx").alias("mx"), F.col("ly").alias("my"), F.col("hx").alias("nx"), F.col("hy").alias("ny"))
+    meet = c.join(other, ["tile", "_ci", "_cj"]).where("id < b and lx < nx and mx < hx and ly < ny and my < hy")
+    tied = roots(meet.select("tile", F.col("id").alias("a"), "b").distinct(), ["tile"])
+    return b.join(tied, ["tile", "id"], "left").withColumn("group", F.coalesce("root", "id")).drop("root")
 
 
 def refit(sources: DataFrame, pixels: DataFrame, psf: np.ndarray, scale: float, what: str, flux_floor: float = 10.0, max_shift_arcsec: float = 0.2, steps: int = 30) -> DataFrame:
-    """Free "shapes" or "positions" of a tile's interior sources (tile, id, x, y, model, re, ab, pa, n, flux), joint with all fluxes.
+    """Free "shapes" or "positions" of an image's interior sources (tile, id, x, y, model, re, ab, pa, n, flux), joint with all fluxes.
 
     Radii that run to a bound go back to their start, and so do positions that move
-    too far; positions are freed for sources over the flux floor. Sources whose templates
-    do not meet are fitted apart, so a task holds a group's planes, not the tile's.
+    too far; positions are freed for sources over the flux floor. Sources whose boxes
+    meet are one group; a group is sent the pixels under its boxes alone, and groups are
+    dealt over all tasks, so none holds an image. Sources off the image have no row.
     """
     cols = ["tile", "id", "x", "y", "model", "re", "ab", "pa", "n", "flux", "moved"]
     kind = dict(sources.dtypes)["tile"]
+    grow = 1 + max_shift_arcsec / scale if what == "positions" else 3.0
+    images = cut(pixels.groupBy("tile").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")))
+    placed = sources.select("tile", "id", "x", "y", "model", *[F.col(c).cast("double").alias(c) for c in ("re", "ab", "pa", "n", "flux")])
+    b = cut(grouped(cut(boxes(placed, images, psf, grow))))
+    size = 64
+    under = in_cells(b.select("tile", "group", "lx", "ly", "hx", "hy"), size)
+    near = pixels.select("tile", "x", "y", "d", "w").withColumns({"_ci": F.floor(F.col("x") / size).cast("int"), "_cj": F.floor(F.col("y") / size).cast("int")}).join(under, ["tile", "_ci", "_cj"])
+    mine = near.where("x >= lx and x < hx and y >= ly and y < hy").select("tile", "group", "x", "y", "d", "w").dropDuplicates(["tile", "group", "x", "y"])
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=cols)
-        h, w = int(right.y.max()) + 1, int(right.x.max()) + 1
-        d, wt = np.zeros((h, w)), np.zeros((h, w))
-        d[right.y, right.x], wt[right.y, right.x] = right.d, right.w
+        x0, y0 = int(right.x.min()), int(right.y.min())
+        d = np.zeros((int(right.y.max()) - y0 + 1, int(right.x.max()) - x0 + 1))
+        wt = np.zeros_like(d)
+        d[right.y - y0, right.x - x0], wt[right.y - y0, right.x - x0] = right.d, right.w
         num = lambda v, z: z if v is None or v != v else float(v)
-        src = [Source(int(r.id), r.x, r.y, r.model, num(r.re, 0.0), num(r.ab, 1.0), num(r.pa, 0.0), num(r.n, 1.0), flux=num(r.flux, 1.0)) for r in left.sort_values("id").itertuples()]
-        b, rows = limits(scale), []
-        grown = 1 + (max_shift_arcsec / scale if what == "positions" else 0)
-        for group, (x0, y0, x1, y1), mine in apart(src, psf, (h, w), grown if what == "positions" else 3.0):
-            dd, ww = d[y0:y1, x0:x1], np.where(mine, wt[y0:y1, x0:x1], 0.0)
-            here = [replace(s, x=s.x - x0, y=s.y - y0) for s in group]
-            inside = {s.id for s in group if interior(s.x, s.y, w, h)}
-            free = {s.id: SHAPE[s.model] for s in here if s.id in inside} if what == "shapes" else {s.id: ("x", "y") for s in here if s.id in inside and s.flux > flux_floor}
-            out, _ = fit(dd, ww, here, psf, free, b, steps, stop=0.1 if what == "shapes" else 1e-3)
-            old = {s.id: s for s in here}
-            railed = lambda s: s.id in free and s.re and (s.re <= b["re"][0] * 1.001 or s.re >= b["re"][1] * 0.999)  # noqa: B023, E731
-            far = lambda s: math.hypot(s.x - old[s.id].x, s.y - old[s.id].y) * scale > max_shift_arcsec  # noqa: B023, E731
-            back = {s.id for s in out if (what == "shapes" and railed(s)) or (what == "positions" and far(s))}
-            out, _ = fit(dd, ww, [old[s.id] if s.id in back else s for s in out], psf, {}, b, 0)
-            rows += [(key[0], s.id, s.x + x0, s.y + y0, s.model, s.re, s.ab, s.pa, s.n, s.flux, s.id in free and s.id not in back) for s in out]
+        here = [Source(int(r.id), r.x - x0, r.y - y0, r.model, num(r.re, 0.0), num(r.ab, 1.0), num(r.pa, 0.0), num(r.n, 1.0), flux=num(r.flux, 1.0)) for r in left.sort_values("id").itertuples()]
+        b, w, h = limits(scale), int(left.width.iloc[0]), int(left.height.iloc[0])
+        inside = {s.id for s in here if interior(s.x + x0, s.y + y0, w, h)}
+        free = {s.id: SHAPE[s.model] for s in here if s.id in inside} if what == "shapes" else {s.id: ("x", "y") for s in here if s.id in inside and s.flux > flux_floor}
+        out, _ = fit(d, wt, here, psf, free, b, steps, stop=0.1 if what == "shapes" else 1e-3)
+        old = {s.id: s for s in here}
+        railed = lambda s: s.id in free and s.re and (s.re <= b["re"][0] * 1.001 or s.re >= b["re"][1] * 0.999)
+        far = lambda s: math.hypot(s.x - old[s.id].x, s.y - old[s.id].y) * scale > max_shift_arcsec
+        back = {s.id for s in out if (what == "shapes" and railed(s)) or (what == "positions" and far(s))}
+        out, _ = fit(d, wt, [old[s.id] if s.id in back else s for s in out], psf, {}, b, 0)
+        rows = [(key[0], s.id, s.x + x0, s.y + y0, s.model, s.re, s.ab, s.pa, s.n, s.flux, s.id in free and s.id not in back) for s in out]
         return pd.DataFrame(rows, columns=cols)
 
-    pixels = pixels.toDF(*pixels.columns)  # both sides may come from one table
-    return sources.groupBy("tile").cogroup(pixels.groupBy("tile")).applyInPandas(run, f"tile {kind}, id long, x double, y double, model string, re double, ab double, pa double, n double, flux double, moved boolean")
+    return b.groupBy("tile", "group").cogroup(mine.toDF(*mine.columns).groupBy("tile", "group")).applyInPandas(run, f"tile {kind}, id long, x double, y double, model string, re double, ab double, pa double, n double, flux double, moved boolean")
 
 
 def bounded_positions(data: np.ndarray, weight: np.ndarray, sources: list[Source], psf: np.ndarray, shift_pix: float) -> list[Source]:

@@ -155,7 +155,7 @@ def empty_factors(band: Band, src: DataFrame, n: int = 200, avoid: float = 15.0)
 def tree_models(src: DataFrame, band: Band) -> tuple[DataFrame, DataFrame]:
     """Models of the sources chosen by the tree, and its trials. Sources in no blob keep their own."""
     px = band.weights()
-    dets, segs = detect.detections(px), detect.segments(px)
+    dets, segs = detect.found(px)
     where = detect.assign_to_blobs(src, segs, dets).where("blob is not null").select("tile", "blob", "id", "x", "y", "re", "segment")
     near = px.join(segs, ["tile", "x", "y"]).select("tile", "blob", "x", "y", "d", "w", "segment")
     chosen = cut(fit.select_models(where, near, band.psf, band.scale_arcsec))

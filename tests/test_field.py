@@ -375,15 +375,79 @@ def test_backgrounds_and_bits(spark):
         flags.star_signal_pixels(px, "H")
 
 
-def test_sources_apart_are_fitted_apart():
-    far = [fit.Source(1, 20.3, 22.7, flux=60.0), fit.Source(2, 24.1, 23.0, flux=35.0), fit.Source(3, 90.6, 95.2, "ExpGalaxy", re=2.0, ab=0.7, pa=20.0, flux=200.0), fit.Source(9, 500.0, 5.0)]
-    groups = list(fit.apart(far, PSF, (120, 120), 3.0))
-    assert [[s.id for s in g] for g, _, _ in groups] == [[1, 2], [3]]
-    d, w = image(far[:3], size=120), np.full((120, 120), 1 / 0.09)
-    whole = {s.id: s for s in fit.fit(d, w, far[:3], PSF, {3: fit.SHAPE["ExpGalaxy"]}, fit.limits(0.1))[0]}
-    for group, (x0, y0, x1, y1), mine in groups:
-        here = [fit.replace(s, x=s.x - x0, y=s.y - y0) for s in group]
-        out, _ = fit.fit(d[y0:y1, x0:x1], np.where(mine, w[y0:y1, x0:x1], 0), here, PSF, {3: fit.SHAPE["ExpGalaxy"]}, fit.limits(0.1))
-        for s in out:
-            assert abs(s.flux / whole[s.id].flux - 1) < 0.01 and abs(s.re - whole[s.id].re) < 0.05
-    assert list(fit.apart([], PSF, (10, 10), 1.0)) == []
+def test_sources_apart_are_fitted_apart(spark):
+    far = [fit.Source(1, 20.3, 22.7, flux=60.0), fit.Source(2, 24.1, 23.0, flux=35.0), fit.Source(3, 80.6, 85.2, "ExpGalaxy", re=2.0, ab=0.7, pa=20.0, flux=200.0), fit.Source(9, 500.0, 5.0)]
+    d = image(far[:3], size=120)
+    px = pixel_table(spark, d, 1 / 0.09)
+    table = spark.createDataFrame([(0, s.id, s.x, s.y, s.model, s.re or None, s.ab, s.pa, s.n, s.flux) for s in far], "tile long, id long, x double, y double, model string, re double, ab double, pa double, n double, flux double")
+    images = spark.createDataFrame([(0, 120, 120)], "tile long, height int, width int")
+    assert {r.id: r.group for r in fit.grouped(fit.boxes(table, images, PSF, 3.0), 16).collect()} == {1: 1, 2: 1, 3: 3}
+    whole = {s.id: s for s in fit.fit(d, np.full((120, 120), 1 / 0.09), far[:3], PSF, {3: fit.SHAPE["ExpGalaxy"]}, fit.limits(0.1))[0]}
+    got = {r.id: r for r in fit.refit(table, px, PSF, 0.1, "shapes").collect()}
+    assert got.keys() == {1, 2, 3} and got[3].moved
+    for k, s in whole.items():
+        assert abs(got[k].flux / s.flux - 1) < 0.01 and abs(got[k].re - s.re) < 0.05
+    assert fit.refit(table.limit(0), px, PSF, 0.1, "positions").count() == 0
+
+
+def chained(n):
+    """Links of a long path, a star, and pairs."""
+    path, star = [(0, k, k + 1) for k in range(100, 100 + n)], [(0, 50, k) for k in range(300, 330)]
+    return path + star + [(1, 7, 3), (1, 3, 7), (1, 9, 9)]
+
+
+def test_components_in_tables(spark):
+    from fluxloom.operators import components
+
+    got = {(r.tile, r.id): r.root for r in components.roots(spark.createDataFrame(chained(40), "tile long, a long, b long"), ["tile"]).collect()}
+    assert got == {(0, k): 100 for k in range(100, 141)} | {(0, k): 50 for k in (50, *range(300, 330))} | {(1, 3): 3, (1, 7): 3}
+
+
+def by_brute_force(mask, radius):
+    y, x = np.nonzero(mask)
+    yy, xx = np.mgrid[: mask.shape[0], : mask.shape[1]]
+    return ((yy[..., None] - y) ** 2 + (xx[..., None] - x) ** 2).min(axis=2, initial=10**9) <= radius * radius
+
+
+def test_windows_grow_by_distance():
+    rng = np.random.default_rng(0)
+    for shape, share in (((40, 55), 0.01), ((30, 7), 0.05), ((9, 60), 0.3), ((20, 20), 0.0)):
+        mask = rng.random(shape) < share
+        for radius in (0, 1, 2, 4.5, 13):
+            assert (detect.dilated(mask, radius) == by_brute_force(mask, radius)).all()
+    one = np.zeros((120, 120), bool)
+    one[55:65, 50:70] = True
+    for radius, grown in ((None, 15), (1.0, 10), (13.4, 26), (90.0, 40)):
+        assert (detect.wing_window(one, radius) == by_brute_force(one, grown)).all()
+
+
+def test_detection_is_the_same_in_any_tiles(spark):
+    rng = np.random.default_rng(3)
+    many = [fit.Source(k, float(x), float(y), flux=float(f)) for k, (x, y, f) in enumerate(zip(rng.uniform(2, 157, 40), rng.uniform(2, 97, 40), rng.uniform(20, 200, 40)))]
+    many += [fit.Source(99, 64.0, 32.0, "ExpGalaxy", re=9.0, ab=0.4, pa=45.0, flux=3000.0)]  # over a corner of four tiles
+    d = rng.normal(3.0, 0.3, (100, 160)) + 0.01 * np.mgrid[:100, :160][1] + sum(s.flux * s.plane((100, 160), PSF) for s in many)
+    w = np.full(d.shape, 1 / 0.09)
+    w[40:44, 20:90] = 0
+    seg, blobs, want = detect.detect(d, w, PSF, 3.0, dilate_pix=3, mesh=32)
+    first = lambda plane, k: tuple(np.argwhere(plane == k)[0])
+    names = {k: first(seg, k)[0] * detect.ROW + first(seg, k)[1] + 1 for k in range(1, seg.max() + 1)}
+    homes = {k: first(blobs, k)[0] * detect.ROW + first(blobs, k)[1] + 1 for k in range(1, blobs.max() + 1)}
+    assert len(names) > 20 and len(homes) > 5
+    px = pixel_table(spark, d, w)
+    px = px.unionByName(px.withColumn("tile", F.lit(5).cast("long")).where("x < 50"))
+    for tile in (32, 1024):
+        dets, segs = detect.found(px, PSF, 3.0, dilate_pix=3, mesh=32, tile=tile)
+        got = segs.where("tile = 0").toPandas()
+        plane, home = np.zeros(d.shape, np.int64), np.zeros(d.shape, np.int64)
+        plane[got.y, got.x], home[got.y, got.x] = got.segment, got.blob
+        assert (plane == np.vectorize(lambda k: names.get(k, 0))(seg)).all() and (home == np.vectorize(lambda k: homes.get(k, 0))(blobs)).all()
+        rows = dets.where("tile = 0").toPandas().set_index("segment")
+        for r in want.itertuples():
+            g = rows.loc[names[r.segment]]
+            assert np.allclose([g[c] for c in ("x", "y", "flux", "a", "b", "npix")], [getattr(r, c) for c in ("x", "y", "flux", "a", "b", "npix")], rtol=1e-6) and g.blob == homes[r.blob]
+            assert abs((g.theta - r.theta + 90) % 180 - 90) < 1e-3
+        assert len(rows) == len(want) and dets.where("tile = 5").count() > 0
+    plane, _, rms = detect.background_map(d, w <= 0, 32)
+    got = detect.with_background(px, 32, 48).where("tile = 0").toPandas()
+    assert np.abs(got.background - plane[got.y, got.x]).max() < 1e-9 and np.abs(got.background_rms - rms).max() < 1e-9
+    assert detect.found(px.withColumn("w", F.lit(0.0)), PSF)[0].count() == 0
