@@ -1,10 +1,12 @@
-"""The joint flux solve: normal equations by relational sums, small dense solves by component.
+"""The joint flux solve: normal equations by relational sums, exact solves by component.
 
 For each band minimise sum w (d - sum f_i t_i - sky)^2 over pixels of weight w > 0.
-N[i, j] = sum t_i t_j w comes from a self-join of the templates on the pixel, which
-touches overlapping pairs alone; b[i] = sum t_i d w. Both combine before the shuffle,
-so no task holds a tile's pixels. Tiles are solved one by one: their triplets go to
-one kernel each, which splits them into connected components.
+Templates are stacked on their pixels; N[i, j] = sum t_i t_j w comes from the pairs of a
+stack, which touches overlapping sources alone, b[i] = sum t_i d w from its members. Both
+combine before the shuffle, so no task holds an image's pixels. An image's triplets go to
+one kernel while they are few; beyond that each connected component goes to its own. The
+sky, one more unknown that all of an image's sources share, is solved from sums over their
+components (a Schur complement), so the result does not depend on how sources are dealt.
 """
 
 from __future__ import annotations
@@ -16,26 +18,52 @@ from pyspark.sql import functions as F
 
 from ..config import UJY_PER_NMGY
 from ..functions import units
+from ..functions.cut import cut
+from ..functions.small import small
+from .components import roots
 
 PIXEL = ["tile", "x", "y"]
 SKY = -(1 << 62)  # the id of the constant template
+#: Triplets of an image that one task solves; beyond it components are told apart in tables.
+TRIPLETS = 2_000_000
+
+
+def stacked(templates: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(tile, d, w, a): the templates' values (id, t) on each pixel with weight. Both sides meet in one shuffle on the pixel."""
+    stacks = templates.groupBy(*PIXEL).agg(F.collect_list(F.struct("id", "t")).alias("a"))  # of one pixel
+    return stacks.join(pixels.where("w > 0").select(*PIXEL, "d", "w"), PIXEL)
+
+
+def single_sums(stack: DataFrame) -> DataFrame:
+    """(tile, i, b, u, v): sums of t d w, t w and t t w of each template."""
+    one = stack.select("tile", "d", "w", F.explode("a").alias("s")).select("tile", F.col("s.id").alias("i"), F.col("s.t").alias("t"), "d", "w")
+    return one.groupBy("tile", "i").agg(F.sum(F.col("t") * F.col("d") * F.col("w")).alias("b"), F.sum(F.col("t") * F.col("w")).alias("u"), F.sum(F.col("t") * F.col("t") * F.col("w")).alias("v"))
+
+
+def pair_sums(stack: DataFrame) -> DataFrame:
+    """(tile, i, j, v) with i < j: sums of t_i t_j w."""
+    twice = stack.where(F.size("a") > 1).select("tile", "w", "a", F.explode("a").alias("s"))
+    pair = twice.select("tile", "w", F.col("s.id").alias("i"), F.col("s.t").alias("t"), F.explode(F.filter("a", lambda o: o["id"] > F.col("s.id"))).alias("o"))
+    return pair.groupBy("tile", "i", F.col("o.id").alias("j")).agg(F.sum(F.col("t") * F.col("o.t") * F.col("w")).alias("v"))
 
 
 def normal_matrix(templates: DataFrame, pixels: DataFrame, sky: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(tile, i, j, v) with i <= j, and (tile, i, b). templates: tile, id, x, y, t; pixels: tile, x, y, d, w."""
-    seen = pixels.where("w > 0").select(*PIXEL, "d", "w")
-    t = templates.select(*PIXEL, "id", "t").join(seen, PIXEL)
-    b = t.groupBy("tile", F.col("id").alias("i")).agg(F.sum(F.col("t") * F.col("d") * F.col("w")).alias("b"))
-    right = templates.select(*PIXEL, F.col("id").alias("j"), F.col("t").alias("u"))
-    n = t.join(right, PIXEL).where("id <= j").groupBy("tile", F.col("id").alias("i"), "j").agg(F.sum(F.col("t") * F.col("u") * F.col("w")).alias("v"))
+    """(tile, i, j, v) with i <= j, and (tile, i, b). templates: tile, id, x, y, t (a pixel of a source once); pixels: tile, x, y, d, w."""
+    stack = stacked(templates, pixels)
+    one = single_sums(stack)
+    n = one.select("tile", "i", F.col("i").alias("j"), "v").unionByName(pair_sums(stack))
+    b = one.select("tile", "i", "b")
     if sky:
-        cross = t.groupBy("tile", F.col("id").alias("j")).agg(F.sum(F.col("t") * F.col("w")).alias("v")).select("tile", F.lit(SKY).alias("i"), "j", "v")
-        own = seen.groupBy("tile").agg(F.sum("w").alias("v"), F.sum(F.col("d") * F.col("w")).alias("b"))
-        n = n.unionByName(cross).unionByName(own.select("tile", F.lit(SKY).alias("i"), F.lit(SKY).alias("j"), "v"))
+        own = sky_sums(pixels)
+        n = n.unionByName(one.select("tile", F.lit(SKY).alias("i"), F.col("i").alias("j"), F.col("u").alias("v"))).unionByName(own.select("tile", F.lit(SKY).alias("i"), F.lit(SKY).alias("j"), "v"))
         b = b.unionByName(own.select("tile", F.lit(SKY).alias("i"), "b"))
     return n, b
 
 
+def sky_sums(pixels: DataFrame) -> DataFrame:
+    return pixels.where("w > 0").groupBy("tile").agg(F.sum("w").alias("v"), F.sum(F.col("d") * F.col("w")).alias("b"))
+
+
 def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """A component number for each of n nodes."""
     label = np.arange(n)
@@ -49,8 +77,12 @@ def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def solve_component(a: np.ndarray, b: np.ndarray, rank_tol: float = 1e-12) -> tuple[np.ndarray, np.ndarray, int]:
-    """Fluxes, covariance diagonal and rank, with columns scaled to unit length. Directions without information get no flux and infinite variance."""
+#: Share of a component's largest eigenvalue under which a direction holds no information.
+RANK_TOL = 1e-12
+
+
+def solve_component(a: np.ndarray, b: np.ndarray, rank_tol: float = RANK_TOL) -> tuple[np.ndarray, np.ndarray, int]:
+    """Fluxes (for each column of b), covariance diagonal and rank, with columns scaled to unit length. Directions without information get no flux and infinite variance."""
     scale = 1 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
     m = a * scale[:, None] * scale[None, :]
     values, vectors = np.linalg.eigh((m + m.T) / 2)
@@ -58,73 +90,249 @@ def solve_component(a: np.ndarray, b: np.ndarray, rank_tol: float = 1e-12) -> tu
     inv = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T
     var = np.diag(inv) * scale**2
     lost = (vectors[:, ~keep] ** 2).sum(axis=1) > 1e-9
-    return inv @ (b * scale) * scale, np.where(lost, np.inf, var), int(keep.sum())
-
+    wide = scale[:, None] if b.ndim > 1 else scale
+    return inv @ (b * wide) * wide, np.where(lost, np.inf, var), int(keep.sum())
+
+
+#: Unknowns of a component that are solved by one dense matrix; the result is the same.
+DENSE = 400
+
+
+def level_sets(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distance, in links, of each node of a connected graph from one at its rim. Links join equal or neighbouring levels."""
+    ends, others = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(ends, kind="stable")
+    others, first = others[order], np.searchsorted(ends[order], np.arange(n + 1))
+    start, level = 0, None
+    for _ in range(3):  # from the farthest node found, again
+        level = np.full(n, -1)
+        level[start] = 0
+        front, depth = np.array([start]), 0
+        while len(front):
+            counts = first[front + 1] - first[front]
+            at = np.repeat(first[front] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            depth += 1
+            front = np.unique(others[at])
+            front = front[level[front] < 0]
+            level[front] = depth
+        start = int(level.argmax())
+    return level
+
+
+def solve_levels(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, rank_tol: float = RANK_TOL) -> tuple[np.ndarray, np.ndarray, int]:
+    """As solve_component, of a connected component's triplets (i <= j), without its dense matrix.
+
+    Ordered by levels of a breadth-first search the matrix is block tridiagonal: blocks are
+    eliminated in turn, and the inverse's diagonal blocks come back from the last to the
+    first. Time and memory grow with the unknowns and the widths of levels.
+    """
+    n, wide = len(b), b if b.ndim > 1 else b[:, None]
+    diag = np.bincount(i[i == j], v[i == j], n)
+    scale = 1 / np.sqrt(np.where(diag > 0, diag, 1.0))
+    u, off = v * scale[i] * scale[j], i != j
+    level = level_sets(n, i[off], j[off])
+    order = np.argsort(level, kind="stable")
+    starts = np.searchsorted(level[order], np.arange(level.max() + 2))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n) - starts[level[order]]
+    sizes = np.diff(starts)
+    inside, lower = [np.zeros((k, k)) for k in sizes], [np.zeros((sizes[k + 1], sizes[k])) for k in range(len(sizes) - 1)]
+    turn = level[i] > level[j]
+    p, q = np.where(turn, j, i), np.where(turn, i, j)  # p stands in the lower level
+    by = np.argsort(level[p], kind="stable")
+    for k, (s, e) in enumerate(zip(*(np.searchsorted(level[p][by], np.arange(len(sizes)) + d) for d in (0, 1)), strict=True)):
+        rows = by[s:e]
+        same = level[q[rows]] == k
+        r = rows[same]
+        inside[k][place[p[r]], place[q[r]]] = u[r]
+        inside[k][place[q[r]], place[p[r]]] = u[r]
+        r = rows[~same]
+        if len(r):
+            lower[k][place[q[r]], place[p[r]]] = u[r]
+    least = rank_tol * max(float(np.bincount(i, np.abs(u), n).max() + np.bincount(j[off], np.abs(u[off]), n).max()), 1e-300)
+    y, inverse, null, rank = [], [], [], 0
+    for k, block in enumerate(inside):
+        r = (wide * scale[:, None])[order[starts[k] : starts[k + 1]]]
+        if k:
+            back = lower[k - 1] @ inverse[-1]
+            block = block - back @ lower[k - 1].T
+            r = r - back @ y[-1]
+        values, vectors = np.linalg.eigh((block + block.T) / 2)
+        keep = values > least
+        inverse.append((vectors[:, keep] / values[keep]) @ vectors[:, keep].T)
+        rank += int(keep.sum())
+        null += [(k, z) for z in vectors[:, ~keep].T]
+        y.append(r)
+    x, var = np.zeros((n, wide.shape[1])), np.zeros(n)
+    for k in range(len(sizes) - 1, -1, -1):
+        own = order[starts[k] : starts[k + 1]]
+        if k == len(sizes) - 1:
+            x[own], g = inverse[k] @ y[k], inverse[k]
+        else:
+            up = inverse[k] @ lower[k].T
+            x[own] = inverse[k] @ y[k] - up @ x[order[starts[k + 1] : starts[k + 2]]]
+            g = inverse[k] + up @ g @ up.T
+        var[own] = np.diag(g)
+    if null:  # directions without information: none of the flux, and no bound on it
+        empty = np.zeros((n, len(null)))
+        for c, (k, z) in enumerate(null):
+            for m in range(k, -1, -1):
+                empty[order[starts[m] : starts[m + 1]], c] = z
+                z = -inverse[m - 1] @ lower[m - 1].T @ z if m else z
+        span = np.linalg.qr(empty)[0]
+        x = x - span @ (span.T @ x)
+        var = np.where((span**2).sum(axis=1) > 1e-9, np.inf, var)
+    x = x * scale[:, None]
+    return x if b.ndim > 1 else x[:, 0], var * scale**2, rank
+
+
+def solve_any(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    if len(b) > DENSE:
+        return solve_levels(i, j, v, b)
+    a = np.zeros((len(b), len(b)))
+    a[i, j] = a[j, i] = v
+    return solve_component(a, b)
+
+
+def by_component(ids: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """For each component of the links: its unknowns' places, and its triplets' places with i and j counted within it."""
+    part = connected(len(ids), i, j)
+    place = np.empty(len(ids), np.int64)
+    own_order, order = np.argsort(part, kind="stable"), np.argsort(part[i], kind="stable")
+    names, first = np.unique(part[own_order], return_index=True)
+    lo, hi = (np.searchsorted(part[i][order], names, side) for side in ("left", "right"))
+    for k, own in enumerate(np.split(own_order, first[1:])):
+        place[own] = np.arange(len(own))
+        rows = order[lo[k] : hi[k]]
+        yield own, rows, place[i[rows]], place[j[rows]]
+
+
+def in_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (tile, i, ...) with part: 0 while an image's triplets are few, else the least id of the component."""
+    if (rows.groupBy("tile").count().agg(F.max("count")).head()[0] or 0) <= TRIPLETS:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    names = roots(links.select("tile", F.col("i").alias("a"), F.col("j").alias("b")), ["tile"])
+    return rows.join(names.select("tile", F.col("id").alias("i"), "root"), ["tile", "i"], "left").withColumn("part", F.coalesce("root", "i")).drop("root")
+
+
+def triplets(templates: DataFrame, pixels: DataFrame, sky: bool) -> tuple[DataFrame, DataFrame]:
+    """(tile, i, j, v, b, u, part): an image's triplets; those of the diagonal carry b and, with sky, u."""
+    stack = stacked(templates, pixels)
+    nothing = F.lit(None).cast("double")
+    one = single_sums(stack).select("tile", "i", F.col("i").alias("j"), "v", "b", F.col("u") if sky else F.lit(0.0).alias("u"))
+    pairs = pair_sums(stack).select("tile", "i", "j", "v", nothing.alias("b"), nothing.alias("u"))
+    rows = cut(one.unionByName(pairs))
+    return in_parts(rows, rows.where("i <> j"))
 
-#: Unknowns of a component that are solved densely; beyond, the triplets are kept and the solve is iterative.
-DENSE = 2000
 
+def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, strict: bool = False) -> DataFrame:
+    """(tile, id, flux, information, variance, rank_ok). information is the template's own (the reported error ignores blending); variance is the full one. strict raises on dependent templates. With sky the image's constant is solved with all its sources and has the id SKY."""
+    rows = triplets(templates, pixels, sky)
+    kind = dict(templates.dtypes)["tile"]
 
-def solve_sparse(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, tol: float = 1e-12) -> np.ndarray:
-    """Fluxes of a large component by conjugate gradients on the triplets (i <= j) of the normal matrix, columns scaled to unit length. Directions without information get no flux."""
+    def part(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf.i == pdf.j].sort_values("i")
+        ids, rhs = own.i.to_numpy(np.int64), own[["b", "u"]].to_numpy(float)
+        i, j, v = np.searchsorted(ids, pdf.i.to_numpy(np.int64)), np.searchsorted(ids, pdf.j.to_numpy(np.int64)), pdf.v.to_numpy(float)
+        x, var, ok = np.zeros(rhs.shape), np.zeros(len(ids)), np.ones(len(ids), bool)
+        for mine, at, a, b in by_component(ids, i, j):
+            x[mine], var[mine], rank = solve_any(a, b, v[at], rhs[mine])
+            ok[mine] = rank == len(mine)
+        if strict and not ok.all():
+            raise ValueError(f"templates of tile {key[0]} depend on each other: {ids[~ok][:5].tolist()}")
+        return pd.DataFrame({"tile": key[0], "id": ids, "flux": x[:, 0], "g": x[:, 1], "information": own.v.to_numpy(float), "variance": var, "rank_ok": ok, "ub": rhs[:, 1] * x[:, 0], "ug": rhs[:, 1] * x[:, 1]})
+
+    names = ["tile", "id", "flux", "information", "variance", "rank_ok"]
+    solved = rows.groupBy("tile", "part").applyInPandas(part, f"tile {kind}, id long, flux double, g double, information double, variance double, rank_ok boolean, ub double, ug double")
+    if not sky:
+        return solved.select(*names)
+    solved = cut(solved)
+    own = sky_sums(pixels).join(solved.groupBy("tile").agg(F.sum("ub").alias("ub"), F.sum("ug").alias("ug")), "tile", "left").na.fill(0.0, ["ub", "ug"])
+    rest = F.col("v") - F.col("ug")
+    clear = rest > 1e-10 * F.col("v")  # else the templates make up a constant
+    level = own.select("tile", F.when(clear, (F.col("b") - F.col("ub")) / rest).otherwise(0.0).alias("s"), F.col("v").alias("of_sky"), F.when(clear, 1 / rest).otherwise(float("inf")).alias("s_var"), clear.alias("clear"))
+    if strict:
+        level = level.withColumn("clear", F.when(F.col("clear"), F.col("clear")).otherwise(F.raise_error(F.lit("templates make up the sky")).cast("boolean")))
+    level = cut(level)
+    moved = solved.join(small(level), "tile")
+    g2 = F.when(F.col("g") == 0, 0.0).otherwise(F.col("g") * F.col("g") * F.col("s_var"))
+    own_rows = moved.select("tile", "id", (F.col("flux") - F.col("s") * F.col("g")).alias("flux"), "information", (F.col("variance") + g2).alias("variance"), (F.col("rank_ok") & F.col("clear")).alias("rank_ok"))
+    return own_rows.unionByName(level.select("tile", F.lit(SKY).alias("id"), F.col("s").alias("flux"), F.col("of_sky").alias("information"), F.col("s_var").alias("variance"), F.col("clear").alias("rank_ok")))
+
+
+def bounded(i: np.ndarray, j: np.ndarray, v: np.ndarray, b: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Least squares within bounds: x, variance of the free ones (NaN at a bound), side (-1, 0, 1), and whether the conditions of the least are met.
+
+    Sets of free and bound unknowns are exchanged, all that break a condition at once (a free
+    one beyond its bound, a bound one whose gradient points inwards); when that gains
+    nothing for ten rounds, only the last of them, which ends in any case.
+    """
     n = len(b)
-    diag = np.bincount(i[i == j], v[i == j], n)
-    scale = 1 / np.sqrt(np.where(diag > 0, diag, 1.0))
     off = i != j
-    u = v * scale[i] * scale[j]
-    times = lambda x: np.bincount(i, u * x[j], n) + np.bincount(j[off], u[off] * x[i[off]], n)
-    rest = b * scale
-    x, way, square = np.zeros(n), rest.copy(), rest @ rest
-    first = square
-    for _ in range(20 * n):
-        if square <= tol * tol * first or square == 0:
-            break
-        curved = times(way)
-        bend = way @ curved
-        if bend <= 0:
-            break
-        x, rest = x + square / bend * way, rest - square / bend * curved
-        old, square = square, rest @ rest
-        way = rest + square / old * way
-    return x * scale
+    times = lambda x: np.bincount(i, v * x[j], n) + np.bincount(j[off], v[off] * x[i[off]], n)
+    side, fewest, patience = np.zeros(n, int), n + 1, 10
+    scale = np.sqrt(np.maximum(np.bincount(i[~off], v[~off], n), 1e-300))
+    for _ in range(20 * n + 100):
+        x = np.where(side < 0, lower, np.where(side > 0, upper, 0.0))
+        var, free = np.full(n, np.nan), np.flatnonzero(side == 0)
+        if len(free):
+            rhs = b - times(x)
+            place = np.full(n, -1)
+            place[free] = np.arange(len(free))
+            use = (place[i] >= 0) & (place[j] >= 0)
+            for own, rows, p, q in by_component(free, place[i[use]], place[j[use]]):
+                x[free[own]], var[free[own]], _ = solve_any(p, q, v[use][rows], rhs[free[own]])
+        slope = (times(x) - b) / scale
+        tol = 1e-9 * (1 + np.abs(b / scale).max(initial=0))
+        low = (side == 0) & (x < lower - tol / scale)
+        high = (side == 0) & (x > upper + tol / scale)
+        inward = ((side < 0) & (slope < -tol)) | ((side > 0) & (slope > tol))
+        wrong = np.flatnonzero(low | high | inward)
+        if not len(wrong):
+            return x, var, side, True
+        if len(wrong) < fewest:
+            fewest, patience = len(wrong), 10
+        else:
+            patience -= 1
+        if patience < 0:
+            wrong = wrong[-1:]
+        side[wrong] = np.where(low[wrong], -1, np.where(high[wrong], 1, 0))
+    return x, var, side, False
+
+
+def solve_bounded(templates: DataFrame, pixels: DataFrame, limits: DataFrame, sky: bool = False) -> DataFrame:
+    """(tile, id, flux, information, variance, side, met): fluxes within the limits (tile, id, lower, upper; null or no row: none).
+
+    side: -1 or 1 at a bound (variance is null there), else 0; met: the conditions of the
+    least hold. With sky the image's constant, id SKY, has no bound, and an image is solved in
+    one task; without, a component is.
+    """
+    rows = triplets(templates, pixels, False)
+    if sky:
+        one = single_sums(stacked(templates, pixels))
+        own = sky_sums(pixels)
+        none = F.lit(None).cast("double")
+        cross = one.select("tile", F.lit(SKY).alias("i"), F.col("i").alias("j"), F.col("u").alias("v"), none.alias("b"))
+        rows = rows.select("tile", "i", "j", "v", "b").unionByName(cross).unionByName(own.select("tile", F.lit(SKY).alias("i"), F.lit(SKY).alias("j"), "v", "b")).withColumn("part", F.lit(0).cast("long"))
+    kind = dict(templates.dtypes)["tile"]
+    ends = limits.select("tile", F.col("id").alias("i"), F.col("id").alias("j"), F.col("lower").cast("double").alias("lower"), F.col("upper").cast("double").alias("upper"))
+    rows = rows.select("tile", "part", "i", "j", "v", "b").join(ends, ["tile", "i", "j"], "left")
 
+    def part(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf.i == pdf.j].sort_values("i")
+        ids, rhs = own.i.to_numpy(np.int64), own.b.to_numpy(float)
+        lower, upper = np.nan_to_num(own.lower.to_numpy(float), nan=-np.inf), np.nan_to_num(own.upper.to_numpy(float), nan=np.inf)
+        i, j, v = np.searchsorted(ids, pdf.i.to_numpy(np.int64)), np.searchsorted(ids, pdf.j.to_numpy(np.int64)), pdf.v.to_numpy(float)
+        x, var, side, met = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), int), np.ones(len(ids), bool)
+        for mine, at, a, b in by_component(ids, i, j):
+            x[mine], var[mine], side[mine], met[mine] = bounded(a, b, v[at], rhs[mine], lower[mine], upper[mine])
+        return pd.DataFrame({"tile": key[0], "id": ids, "flux": x, "information": own.v.to_numpy(float), "variance": [None if k else float(s) for k, s in zip(side, var, strict=True)], "side": side, "met": met})
 
-def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, strict: bool = False) -> DataFrame:
-    """(tile, id, flux, information, variance, rank_ok). information is the template's own (the reported error ignores blending); variance is the full one. strict raises on dependent templates. Components of more than DENSE unknowns are solved without a dense matrix; their variance and rank_ok are null."""
-    n, b = normal_matrix(templates, pixels, sky)
-    rows = n.select("tile", "i", "j", F.col("v")).unionByName(b.select("tile", "i", F.lit(None).cast("long").alias("j"), F.col("b").alias("v")))
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        rhs = pdf[pdf.j.isna()].sort_values("i")
-        ids, vec = rhs.i.to_numpy(np.int64), rhs.v.to_numpy()
-        m = pdf[pdf.j.notna()]
-        i, j = np.searchsorted(ids, m.i.to_numpy(np.int64)), np.searchsorted(ids, m.j.to_numpy(np.int64))
-        part = connected(len(ids), i, j)
-        flux, info, var, ok = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids)), np.ones(len(ids), object)
-        info[i[i == j]] = m.v.to_numpy()[i == j]
-        place = np.empty(len(ids), np.int64)
-        order = np.argsort(part[i], kind="stable")
-        bounds = np.flatnonzero(np.diff(part[i][order], prepend=-1))
-        for lo, hi in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
-            rows_ = order[lo:hi]
-            own = np.unique(np.concatenate([i[rows_], j[rows_]]))
-            place[own] = np.arange(len(own))
-            if len(own) > DENSE:
-                flux[own] = solve_sparse(place[i[rows_]], place[j[rows_]], m.v.to_numpy()[rows_], vec[own])
-                var[own], ok[own] = np.nan, None
-                continue
-            a = np.zeros((len(own), len(own)))
-            a[place[i[rows_]], place[j[rows_]]] = m.v.to_numpy()[rows_]
-            a[place[j[rows_]], place[i[rows_]]] = m.v.to_numpy()[rows_]
-            flux[own], var[own], rank = solve_component(a, vec[own])
-            ok[own] = rank == len(own)
-        lost = ids[[x is False or x == False for x in ok]]  # noqa: E712
-        if strict and len(lost):
-            raise ValueError(f"templates of tile {pdf.tile.iloc[0]} depend on each other: {lost[:5].tolist()}")
-        return pd.DataFrame({"tile": pdf.tile.iloc[0], "id": ids, "flux": flux, "information": info, "variance": var, "rank_ok": ok})
+    return rows.groupBy("tile", "part").applyInPandas(part, f"tile {kind}, id long, flux double, information double, variance double, side int, met boolean")
 
-    kind = dict(templates.dtypes)["tile"]
-    return rows.groupBy("tile").applyInPandas(tile, f"tile {kind}, id long, flux double, information double, variance double, rank_ok boolean")
+
+#: Solvers by name: free is exact with scaled columns; bounded keeps limits.
+SOLVERS = {"free": solve_fluxes, "scaled": solve_fluxes, "bounded": solve_bounded}
 
 
 def with_errors(fluxes: DataFrame, inflation: float = 1.0) -> DataFrame:

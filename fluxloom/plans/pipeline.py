@@ -105,20 +105,9 @@ def prior_sources(cfg: RunConfig, catalog_rows: DataFrame | None, coords: DataFr
     return src.select("id", "tile", "ra", "dec", "x", "y", "model", "re", "ab", "pa", "n", "flux", "is_star")
 
 
-def solve_band(src: DataFrame, band: Band, tile: int | None = None) -> DataFrame:
-    """(id, band, flux, err, factor) in microjanskys for every source on the band's image. A flux that is negative or absurd against the prior keeps its row, with null error.
-
-    An image larger than `tile` pixels is solved in tiles: each has the sources and
-    pixels of its core and of a halo as wide as templates reach, and reports its core's.
-    """
+def solve_band(src: DataFrame, band: Band) -> DataFrame:
+    """(id, band, flux, err, factor) in microjanskys for every source on the band's image. A flux that is negative or absurd against the prior keeps its row, with null error. Sky and inflation are those of the whole image, whatever its size."""
     px = band.weights()
-    if tile and max(band.width, band.height) > tile:
-        halo = 2 * max(band.psf.shape)
-        parts = ground_tiles(src, band.width, band.height, tile, halo)
-        px, src = pixel_tiles(px, band.width, band.height, tile, halo), cut(parts.drop("core"))
-        core = cut(parts.where("core").select("tile", "id"))
-    else:
-        core = None
     px = cut(px)
     if band.psf_samples is not None:
         src = cut(psf.with_stamps(src, band.psf_samples))
@@ -133,8 +122,6 @@ def solve_band(src: DataFrame, band: Band, tile: int | None = None) -> DataFrame
         own = own.join(stats.chi_inflation(res, ["tile"]).select("tile", "inflation"), "tile", "left")
         factor = F.coalesce("inflation", F.lit(1.0))
     err = F.when(F.col("information") > 0, factor / F.sqrt(F.when(F.col("information") > 0, F.col("information"))))
-    if core is not None:
-        own = own.join(core, ["tile", "id"], "left_semi")
     m = own.join(src.select("id", F.col("flux").alias("prior_flux")).distinct(), "id")
     flux = F.col("flux") * band.ujy_per_unit
     bad = models.unphysical(flux, F.col("prior_flux"))
@@ -152,10 +139,10 @@ def empty_factors(band: Band, src: DataFrame, n: int = 200, avoid: float = 15.0)
     return inject.empty_inflation(m, ["band"]).select("band", "factor")
 
 
-def tree_models(src: DataFrame, band: Band) -> tuple[DataFrame, DataFrame]:
+def tree_models(src: DataFrame, band: Band, tile: int) -> tuple[DataFrame, DataFrame]:
     """Models of the sources chosen by the tree, and its trials. Sources in no blob keep their own."""
     px = band.weights()
-    dets, segs = detect.found(px)
+    dets, segs = detect.found(px, tile=tile)
     where = detect.assign_to_blobs(src, segs, dets).where("blob is not null").select("tile", "blob", "id", "x", "y", "re", "segment")
     near = px.join(segs, ["tile", "x", "y"]).select("tile", "blob", "x", "y", "d", "w", "segment")
     chosen = cut(fit.select_models(where, near, band.psf, band.scale_arcsec))
@@ -168,8 +155,8 @@ def tree_models(src: DataFrame, band: Band) -> tuple[DataFrame, DataFrame]:
 def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None, coords: DataFrame | None = None, neighbours: dict[str, DataFrame] | None = None, calibrate: bool = False, tile: int | None = 1024, at_once: int = 4) -> Result:
     """Forced photometry of one field (or of many images of equal geometry, which their column tile tells).
 
-    Fluxes of images larger than `tile` pixels are solved in tiles of that size, and
-    `at_once` bands at a time.
+    Images are searched for detections in tiles of `tile` pixels; no result depends on it.
+    `at_once` bands are solved at a time.
 
     The first band is the prior band. Positions and shapes are fixed there; other
     bands solve fluxes alone, with the outside neighbours (id, ra, dec, flux) they
@@ -180,7 +167,7 @@ def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None
     prior, trials = bands[0], None
     src = prior_sources(cfg, catalog_rows, coords, prior)
     if cfg.prior["mode"] == "tree":
-        src, trials = tree_models(src, prior)
+        src, trials = tree_models(src, prior, tile or detect.TILE)
     if cfg.prior["free_shapes"] or cfg.prior["refine_positions"]:
         for what in [w for w, on in (("shapes", cfg.prior["free_shapes"]), ("positions", cfg.prior["refine_positions"])) if on]:
             moved = fit.refit(src, prior.weights(), prior.psf, prior.scale_arcsec, what, cfg.prior["flux_floor_ujy"])
@@ -195,7 +182,7 @@ def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None
             e = place(extra, b, margin=4 * b.psf.shape[0])
             e = e.select("id", "tile", "x", "y", "flux").withColumns({"model": F.lit("PointSource"), "is_neighbour": F.lit(True)})
             rows = catalog.outer_union(own, e)
-        m = solve_band(rows, b, tile)
+        m = solve_band(rows, b)
         if extra is not None:
             m, lost = (part.drop("is_neighbour") for part in catalog.split_neighbours(m.join(rows.select("id", "is_neighbour"), "id")))
         if calibrate and b.inflate == "empty":

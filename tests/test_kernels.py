@@ -54,7 +54,9 @@ def scene(spark, n=25, size=40, seed=3):
     return s, t, px, src, d, w
 
 
-def test_joint_solve_equals_least_squares(spark):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_joint_solve_equals_least_squares(spark, monkeypatch, most):
+    monkeypatch.setattr(solve, "TRIPLETS", most)  # all in one task, or components in tables
     s, t, px, src, d, w = scene(spark)
     rows = t.toPandas()
     a = np.zeros((d.size, len(src) + 1))
@@ -88,6 +90,91 @@ def test_dependent_templates(spark):
         solve.solve_fluxes(t, px, strict=True).collect()
 
 
+def field_matrix(n, seed, step=3.0):
+    """Triplets of a crowded field's normal matrix: overlaps of points that fall off with distance."""
+    rng = np.random.default_rng(seed)
+    side = math.sqrt(n) * step
+    at = rng.uniform(0, side, (n, 2))
+    order = np.argsort(at[:, 0])
+    at, i, j = at[order], [], []
+    for k in range(n):
+        m = np.arange(k, np.searchsorted(at[:, 0], at[k, 0] + 6.0))
+        m = m[np.hypot(*(at[m] - at[k]).T) < 6.0]
+        i.append(np.full(len(m), k))
+        j.append(m)
+    i, j = np.concatenate(i), np.concatenate(j)
+    weight = rng.uniform(0.5, 4.0, n)
+    v = np.exp(-((at[i] - at[j]) ** 2).sum(axis=1) / 3.0) * weight[i] * weight[j]
+    v[i == j] += 0.05
+    return i, j, v, rng.normal(0, 50, n)
+
+
+def test_large_components_have_fluxes_and_variances():
+    i, j, v, b = field_matrix(5000, 1)
+    part = solve.connected(5000, i, j)
+    big = np.bincount(part).argmax()
+    keep, place = part[i] == big, np.cumsum(part == big) - 1
+    i, j, v, b = place[i[keep]], place[j[keep]], v[keep], b[part == big]
+    n = len(b)
+    a = np.zeros((n, n))
+    a[i, j] = a[j, i] = v
+    inverse = np.linalg.inv(a)
+    x, var, rank = solve.solve_levels(i, j, v, b)
+    assert n > 4000 and rank == n and np.allclose(x, inverse @ b, rtol=1e-7, atol=1e-7 * np.abs(x).max()) and np.allclose(var, np.diag(inverse), rtol=1e-7)
+
+
+def test_levels_without_information():
+    i, j, v, b = field_matrix(300, 2)
+    part = solve.connected(300, i, j)
+    own = np.flatnonzero(part == np.bincount(part).argmax())
+    a = np.zeros((300, 300))
+    a[i, j] = a[j, i] = v
+    a, b = a[np.ix_(own, own)], b[own]
+    n = len(own)
+    more = np.zeros((n + 2, n + 2))  # two templates that stand twice
+    more[:n, :n] = a
+    for k, m in ((n, 5), (n + 1, n // 2)):
+        more[k, :k] = more[:k, k] = more[m, :k]
+        more[k, k] = more[m, m]
+    rhs = np.concatenate([b, b[[5, n // 2]]])
+    p, q = np.nonzero(np.triu(more))
+    x, var, rank = solve.solve_levels(p, q, more[p, q], np.column_stack([rhs, 2 * rhs]))
+    want, lost, full = solve.solve_component(more, rhs)
+    assert rank == full == n and np.allclose(x[:, 0], want, rtol=1e-6, atol=1e-6) and np.allclose(x[:, 1], 2 * x[:, 0])
+    assert (np.isinf(var) == np.isinf(lost)).all() and np.isinf(var).sum() == 4 and np.allclose(var[np.isfinite(var)], lost[np.isfinite(lost)], rtol=1e-6)
+
+
+@pytest.mark.parametrize("n,seed", [(1, 0), (2, 1), (60, 2), (700, 3)])
+def test_bounded_fluxes_meet_the_conditions_of_the_least(n, seed):
+    i, j, v, b = field_matrix(n, seed, 2.0)
+    rng = np.random.default_rng(seed)
+    lower, upper = np.where(rng.random(n) < 0.7, 0.0, -np.inf), np.where(rng.random(n) < 0.3, 4.0, np.inf)
+    a = np.zeros((n, n))
+    a[i, j] = a[j, i] = v
+    x, var, side, met = solve.bounded(i, j, v, b, lower, upper)
+    slope = a @ x - b
+    assert met and (x >= lower - 1e-9).all() and (x <= upper + 1e-9).all()
+    assert np.abs(slope[side == 0]).max(initial=0) < 1e-6 and (slope[side < 0] > -1e-6).all() and (slope[side > 0] < 1e-6).all()
+    assert (x[side < 0] == lower[side < 0]).all() and (x[side > 0] == upper[side > 0]).all() and (np.isnan(var) == (side != 0)).all()
+    free = side == 0
+    assert np.allclose(var[free], np.diag(np.linalg.inv(a[np.ix_(free, free)])), rtol=1e-6)
+
+
+def test_bounded_solve_of_tables(spark, monkeypatch):
+    s, t, px, src, d, w = scene(spark, n=14, size=30)
+    free = {r.id: r.flux for r in solve.solve_fluxes(t, px, sky=True).collect()}
+    limits = s.selectExpr("tile", "id", "if(id % 2 = 0, 20.0D, null) as lower", "if(id = 3, 1.0D, null) as upper")
+    got = {r.id: r for r in solve.SOLVERS["bounded"](t, px, limits, sky=True).collect()}
+    assert got.keys() == free.keys() and all(r.met for r in got.values()) and got[3].flux <= 1 and all(got[k].flux >= 20 for k in range(0, 14, 2))
+    assert {r.side for r in got.values()} >= {0, -1} and all((r.variance is None) == (r.side != 0) for r in got.values())
+    open_ = {r.id: r.flux for r in solve.solve_bounded(t, px, limits.where("id < 0"), sky=True).collect()}
+    assert all(abs(open_[k] - free[k]) < 1e-7 for k in free)
+    monkeypatch.setattr(solve, "TRIPLETS", 0)
+    apart = {r.id: r.flux for r in solve.solve_bounded(t, px, limits).collect()}
+    monkeypatch.undo()
+    assert all(abs(r.flux - apart[r.id]) < 1e-8 for r in solve.solve_bounded(t, px, limits).collect())
+
+
 @pytest.mark.parametrize("ra0,dec0", [(269.5, 67.3), (0.0, 0.0), (180.0, 89.95), (359.999, -89.9)])
 def test_pairs_are_all_pairs(spark, ra0, dec0):
     rng = np.random.default_rng(5)
