@@ -173,7 +173,7 @@ def contexts(slim: DataFrame, n: int) -> DataFrame:
             cells = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["gram", "doc", "dig", "at"])
 
-    grams = slim.mapInArrow(anchor_rows, "gram long, doc long, dig long, at int")
+    grams = slim.mapInArrow(common.freeing(anchor_rows), "gram long, doc long, dig long, at int")
     # written, so that the join has two shuffles of its own and a frequent gram's rows can be split
     twice = common.written(grams.groupBy("gram").count().where("count > 1").select("gram"), "repeated-grams")
     lists = grams.join(twice, "gram").groupBy("doc", "dig").agg(F.array_distinct(F.collect_list("at")).alias("at"))
@@ -375,7 +375,7 @@ def clean_documents(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_
     dropped; those that had none (null and empty texts too) stay. Rows repeated in
     the table repeat each other, so they lose all windows. An empty table stays so.
     """
-    common.tuned(docs.sparkSession)
+    common.tuned(docs.sparkSession, 4 << 20, 500)  # a batch is held several times over
     spans = repeated_spans(common.keyed(docs, id_col, text_col), n, most)
     a = common.carried(docs, id_col, text_col).alias("a")
     mine = F.coalesce(F.col("a.doc"), F.lit(NULL_ID))
@@ -384,29 +384,29 @@ def clean_documents(docs: DataFrame, n: int = 200, id_col: str = "doc_id", text_
 
     def run(batches):
         for b in batches:
-            found = common.column(b, "spans").to_pylist()
+            lists = common.column(b, "spans")
+            lo, hi = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            offsets, cut = lists.offsets.to_numpy(), np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist()
             cols = common.column(b, "row").flatten()
-            text, keep = cols[names.index(text_col)].to_pylist(), []
-            for i, (t, spans) in enumerate(zip(text, found, strict=True)):
-                if spans:
-                    raw = t.encode()
+            at = names.index(text_col)
+            keep = np.ones(len(b), bool)
+            if cut:
+                texts = cols[at].to_pylist()
+                for i in cut:
+                    raw = np.frombuffer(texts[i].encode(), np.uint8)
                     mark = np.zeros(len(raw) + 1, np.int32)
-                    at = np.array([(x["lo"], x["hi"]) for x in spans])
-                    np.add.at(mark, at[:, 0], 1)
-                    np.add.at(mark, at[:, 1] + n, -1)
-                    text[i] = np.frombuffer(raw, np.uint8)[np.cumsum(mark[:-1]) == 0].tobytes().decode("utf-8", "ignore")
-                if not spans or text[i].split():
-                    keep.append(i)
-            cut = [i for i, s in enumerate(found) if s]
-            for k, name in enumerate(names):
-                if name == text_col:
-                    cols[k] = pa.array(text, cols[k].type)
-                elif name == count_col and cut:
+                    np.add.at(mark, lo[offsets[i] : offsets[i + 1]], 1)
+                    np.add.at(mark, hi[offsets[i] : offsets[i + 1]] + n, -1)
+                    texts[i] = raw[np.cumsum(mark[:-1]) == 0].tobytes().decode("utf-8", "ignore")
+                    keep[i] = bool(texts[i].split())
+                cols[at] = pa.array(texts, cols[at].type)
+                if count_col in names:
+                    k = names.index(count_col)
                     values = cols[k].to_pylist()
                     for i in cut:
-                        values[i] = len(text[i])
+                        values[i] = len(texts[i])
                     cols[k] = pa.array(values, cols[k].type)
-            yield pa.RecordBatch.from_arrays(cols, names).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
 
     return both.mapInArrow(common.freeing(run), docs.schema)
 
