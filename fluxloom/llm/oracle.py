@@ -23,15 +23,19 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, regexp_extract_all
 x AS (SELECT doc_id, source, text, i, line, regexp_extract_all(line, {_SPACED}) AS lw FROM (SELECT doc_id, source, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)),
 y AS (SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm FROM x WHERE len(lw) > 0),
 often AS (SELECT source, norm FROM y GROUP BY 1, 2 HAVING count(DISTINCT text) > 50),
-gone AS (SELECT doc_id, sum(len(lw)) AS n FROM y JOIN often o ON o.norm = y.norm AND o.source IS NOT DISTINCT FROM y.source GROUP BY 1),
+z AS (SELECT y.doc_id, y.i, y.lw, o.norm IS NOT NULL AS hit FROM y LEFT JOIN often o ON o.norm = y.norm AND o.source IS NOT DISTINCT FROM y.source),
+gone AS (SELECT doc_id, sum(len(lw)) FILTER (hit) AS n, flatten(coalesce(list(lw ORDER BY i) FILTER (NOT hit), [])) AS w FROM z GROUP BY 1 HAVING bool_or(hit)),
+k2 AS (SELECT doc_id, k, array_to_string(w[k:k+7], ' ') AS win FROM (SELECT doc_id, unnest({_STARTS.format(n=8)}) AS k, w FROM gone)),
+h2 AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS c FROM k2), range(0, 8) t(j) WHERE c > 1 GROUP BY 1),
+left_ AS (SELECT doc_id, len(w) < 20 OR 100*coalesce(h2.n, 0) > 30*len(w) AS bad FROM gone LEFT JOIN h2 USING (doc_id)),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM y GROUP BY 1),
 k AS (SELECT doc_id, k, array_to_string(w[k:k+7], ' ') AS win FROM (SELECT doc_id, unnest({_STARTS.format(n=8)}) AS k, w FROM d)),
 g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS c FROM k),
 h AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM (SELECT doc_id, k FROM g WHERE c > 1), range(0, 8) t(j) GROUP BY 1),
 m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda t: length(t))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d)
 SELECT m.doc_id, n_words, word_chars, n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words,
-  n_words < 20 OR 100*coalesce(h.n, 0) > 30*n_words AS base_failed, NOT (n_words < 20 OR 100*coalesce(h.n, 0) > 30*n_words) AND n_words - coalesce(gone.n, 0) >= 0.25*n_words AS kept
-FROM m LEFT JOIN dup ON dup.doc_id = m.doc_id LEFT JOIN h ON h.doc_id = m.doc_id LEFT JOIN gone ON gone.doc_id = m.doc_id
+  n_words < 20 OR 100*coalesce(h.n, 0) > 30*n_words AS base_failed, NOT (n_words < 20 OR 100*coalesce(h.n, 0) > 30*n_words) AND n_words - coalesce(gone.n, 0) >= 0.75*n_words AND NOT coalesce(left_.bad, false) AS kept
+FROM m LEFT JOIN dup ON dup.doc_id = m.doc_id LEFT JOIN h ON h.doc_id = m.doc_id LEFT JOIN gone ON gone.doc_id = m.doc_id LEFT JOIN left_ ON left_.doc_id = m.doc_id
 """
 
 OP4 = """

@@ -110,7 +110,7 @@ def apply_rules(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = 50,
-    min_left: float = 0.25,
+    min_left: float = 0.75,
     min_words: int = 20,
     max_repeat_pct: int = 30,
     broadcast_rows: int = 1_000_000,
@@ -120,7 +120,7 @@ def apply_rules(
 
     A document is rejected by the base rules (fewer than min_words words, or more
     than max_repeat_pct % repeated words) or if the lines over the limit leave less
-    than min_left of its words. A line is over the limit in more than max_docs documents
+    than min_left of its words, or a text that the base rules reject. A line is over the limit in more than max_docs documents
     of different texts of one host. A null text is empty (rejected: no words); a null
     host is a host of its own; rows repeated in the table, or under another id, are one
     document to the count, and each gets its own row; a text of any length is read
@@ -136,24 +136,25 @@ def apply_rules(
     schema = pa.schema([("doc", pa.int64()), *[(c, pa.int64()) for c in names], *tail])
     kinds = f"doc long, {', '.join(f'{c} long' for c in names)}, n_removed_words long, base_failed boolean, kept boolean{', cleaned_text string' * with_text}"
 
-    def judged(text: bytes, removed: int) -> list:
-        m = measures(text)
-        failed = m[0] < min_words or 100 * m[4] > max_repeat_pct * m[0]
-        return [*m, removed, failed, not failed and m[0] - removed >= min_left * m[0]]
+    def failed(n_words: int, n_repeat: int) -> bool:
+        return n_words < min_words or 100 * n_repeat > max_repeat_pct * n_words
 
     def verdict(text: bytes, frequent: Callable[[list[int]], np.ndarray]) -> list:
-        lines = list(document_lines(text))
+        lines, m = list(document_lines(text)), measures(text)
         gone = frequent([h for h, _ in lines])
-        out = judged(text, sum(n for (_, n), x in zip(lines, gone.tolist(), strict=True) if x))
-        if with_text:
+        removed = sum(n for (_, n), x in zip(lines, gone.tolist(), strict=True) if x)
+        bad = failed(m[0], m[4])
+        kept, cleaned = not bad and m[0] - removed >= min_left * m[0], text
+        if removed and (kept or with_text):
             left, at = [], 0
             for x in text.split(b"\n"):
                 worded = bool(x.split())
                 if not (worded and gone[at]):
                     left.append(x)
                 at += worded
-            out.append(b"\n".join(left).decode())
-        return out
+            cleaned = b"\n".join(left)
+            kept = kept and not failed(*measures(cleaned)[::4])
+        return [*m, removed, bad, kept, *[cleaned.decode()] * with_text]
 
     if n_often <= broadcast_rows:
         held = often.toArrow()

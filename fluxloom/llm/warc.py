@@ -159,76 +159,112 @@ def parse(data: bytes, at: int = 0, vouched: bool = False) -> tuple[Record, int]
     return r, end + 8 + n
 
 
-def unzipped(data: bytes, at: int) -> tuple[bytes, int, str | None]:
-    """What the member at `at` gives, where it ends, and what is wrong with it."""
-    z = zlib.decompressobj(31)
-    out, place, step = [], at, 1 << 16
+def deflate_start(data: bytes, at: int) -> int | None:
+    """Where the compressed bytes of the gzip member at `at` begin; None if its header is none."""
+    flags, place = (data[at + 3], at + 10) if at + 10 <= len(data) and data[at + 2] == 8 else (0xFF, at)
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for bit in (8, 16):  # a name, a comment
+        if flags & bit:
+            end = data.find(b"\0", place)
+            if end < 0:
+                return None
+            place = end + 1
+    place += 2 * bool(flags & 2)
+    return place if place <= len(data) else None
+
+
+def inflated(data: bytes, at: int, step: int, most: int) -> tuple[list[bytes], int, bool, str | None]:
+    """What the compressed bytes from `at` on give, in parts; where they end; whether an end was seen; what is wrong."""
+    z, out = zlib.decompressobj(-15), []
     try:
         while not z.eof:
-            part = data[place : place + step]
+            part = data[at : at + step]
             if not part:
-                return b"".join(out), place, "the member is cut off"
-            place += len(part)
+                return out, at, False, "the member is cut off"
+            at += len(part)
             out.append(z.decompress(part))
-            step = min(step * 2, 1 << 22)
+            step = min(step * 2, most)
     except zlib.error as e:
-        return b"".join(out), place, f"gzip: {e}"
-    return b"".join(out), place - len(z.unused_data), None
+        return out, at - len(part), False, f"gzip: {e}"
+    return out, at - len(z.unused_data), True, None
+
+
+def unzipped(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at `at` gives, from where to go on, and what is wrong with it. All that comes before a fault is given; the trailer is checked apart, so a wrong one costs nothing."""
+    start = deflate_start(data, at)
+    if start is None:
+        return b"", at + 1, "gzip: no header"
+    out, end, whole, wrong = inflated(data, start, 1 << 16, 1 << 22)
+    if not whole:
+        if wrong.startswith("gzip"):  # a call that fails gives nothing: again, byte by byte at the fault
+            near, place, _, _ = inflated(data, start, 1 << 10, 1 << 10)
+            z = zlib.decompressobj(-15)
+            out = [z.decompress(data[start:place])]
+            try:
+                for k in range(place, min(len(data), place + (1 << 10))):
+                    out.append(z.decompress(data[k : k + 1]))
+            except zlib.error:
+                pass
+        return b"".join(out), at + 1, wrong
+    plain, trailer = b"".join(out), data[end : end + 8]
+    if len(trailer) < 8:
+        return plain, end, "the member is cut off"
+    if trailer != (zlib.crc32(plain).to_bytes(4, "little") + (len(plain) & 0xFFFFFFFF).to_bytes(4, "little")):
+        return plain, end, "gzip: the trailer differs"
+    return plain, end + 8, None
 
 
 @dataclass
 class Salvage:
-    """Records of a file's bytes; gaps fills as they are read. vouched: the bytes are a member's whose checksum was right."""
+    """Records of a file's bytes; gaps fills as they are read. vouched: the bytes are a member's whose checksum was right; inner: they are a member's, so no member begins in them."""
 
     data: bytes
     gaps: list[Gap] = field(default_factory=list)
     vouched: bool = False
+    inner: bool = False
+
+    def next_begin(self, at: int) -> int:
+        """The next place from `at` on where a member or a version line begins, or the end."""
+        found = (_VERSION if self.inner else _BEGIN).search(self.data, at)
+        return found.start() if found else len(self.data)
 
     def _at(self, at: int) -> tuple[list[Record], list[Gap], int]:
-        """Records and inner gaps of the member or the plain record at `at`, and where it ends."""
-        if self.data[at : at + 2] != b"\x1f\x8b":
+        """Records and inner gaps of the member or the plain record at `at`, and where to go on."""
+        if self.inner or self.data[at : at + 2] != b"\x1f\x8b":
             record, end = parse(self.data, at, self.vouched)
             return [record], [], end
         plain, end, wrong = unzipped(self.data, at)
-        inner = Salvage(plain, vouched=wrong is None)
-        records = [r for r in inner if wrong is None or r.verified]
+        inner = Salvage(plain, vouched=wrong is None, inner=True)
+        records = [r for r in inner if wrong is None or r.verified]  # digests vouch where the checksum does not
         if not records:
             raise Damaged(wrong or inner.gaps[0].reason if wrong or inner.gaps else "the member is empty")
         for r in records:
             r.offset = at
         if wrong is None:
             return records, [Gap(at, g.length, f"inside a member: {g.reason}") for g in inner.gaps], end
-        # what follows the damage is found by the search for the next member
-        found = _BEGIN.search(self.data, at + 1)
-        while found:
-            try:
-                self._at(found.start())
-                break
-            except Damaged:
-                found = _BEGIN.search(self.data, found.start() + 1)
-        end = found.start() if found else len(self.data)
+        end = self.next_begin(end)
         return records, [Gap(at, end - at, wrong)], end
 
     def __iter__(self) -> Iterator[Record]:
         at, n = 0, len(self.data)
         while at < n:
-            start, reason, found = at, None, None
-            while True:
+            start, reason = at, None
+            while at < n:
                 try:
                     records, gaps, end = self._at(at)
                     break
                 except Damaged as e:
                     reason = reason or str(e)
-                found = _BEGIN.search(self.data, at + 1)
-                if not found:
-                    self.gaps.append(Gap(start, n - start, reason))
-                    return
-                at = found.start()
+                at = self.next_begin(at + 1)
             if at > start:
                 self.gaps.append(Gap(start, at - start, reason))
-            yield from records
-            self.gaps += gaps
-            at = end
+            if at < n:
+                yield from records
+                self.gaps += gaps
+                at = end
 
 
 # -- tables ---------------------------------------------------------------------------
@@ -253,7 +289,8 @@ def write_archives(pages: DataFrame, folder: str, compressed: bool = True, roll:
     """Write the rows of with_revisits() as WARC files; return the manifest (file, n_records, n_bytes), written once.
 
     A file is closed when it has `roll` bytes; a task without rows writes none, so an
-    empty table has no files and an empty manifest. Other columns are left behind.
+    empty table has no files and an empty manifest. Other columns are left behind. A row
+    of 2 GB or more is none that Spark can hold, so no record has it.
     """
     schema = pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -287,7 +324,10 @@ def read_archives(contents: DataFrame, with_payload: bool = True) -> DataFrame:
     record_type, page_id, url, payload_bytes, payload_digest (hex), refers_to and
     payload (null for revisits). With a column n_records in contents, a file that
     gives fewer records is an error. Other columns are left behind. A file is held
-    whole, and so is what one of its members unzips to.
+    whole, and so is what one of its members unzips to; a file of 2 GB or more, which Spark
+    does not read as one row, is an error. Of a member whose checksum or bytes are wrong the
+    records before the fault, and those after it that can be read, stay if their own block
+    digest is right.
     """
     cols = [("file", pa.string(), "string"), ("byte_offset", pa.int64(), "long"), ("kind", pa.string(), "string"), ("n_bytes", pa.int64(), "long"), ("reason", pa.string(), "string"), ("record_type", pa.string(), "string"), ("page_id", pa.int64(), "long"), ("url", pa.string(), "string"), ("payload_bytes", pa.int64(), "long"), ("payload_digest", pa.string(), "string"), ("refers_to", pa.int64(), "long")]
     cols += [("payload", pa.binary(), "binary")] * with_payload
