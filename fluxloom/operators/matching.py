@@ -129,52 +129,143 @@ def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = (), first_a
     return none if found is None else cat.join(found, "id", "left")
 
 
-def nearest_vector(queries: DataFrame, samples: DataFrame, column: str, rows: int = 256) -> DataFrame:
+#: Landmarks in feature space, rings about each by distance, and rows of a block.
+LANDMARKS, RINGS, BLOCK = 64, 8, 256
+
+
+def nearest_vector(queries: DataFrame, samples: DataFrame, column: str, rows: int = BLOCK, landmarks: int = LANDMARKS, counts: dict | None = None) -> DataFrame:
     """id, sample_id, distance: the nearest of all samples of each query in feature space; ties go to the smaller id.
 
-    Both sides are packed into blocks of `rows` vectors, and each pair of blocks gives
-    a query's minimum, so nothing is broadcast and no pair of rows is kept. Vectors
-    match those of their own length; a query
-    that is null or not finite has no sample (null), and no such sample is found.
+    Samples stand in cells: that of their nearest landmark (some of the samples, a bounded
+    number) and of a ring of distances from it. By the triangle inequality a query is no
+    nearer to any sample of a cell than its distance from the landmark tells, so it is
+    first compared with its most promising cell, and then only with cells whose bound
+    does not exceed what it has found. Both sides meet in blocks of `rows` vectors by an
+    equi-join on the cell. Vectors match those of their own length; a query that is null
+    or not finite has no sample (null), and no such sample is found. counts: gets the
+    pairs of rows that are compared in both rounds, and all pairs.
     """
     import pandas as pd
     import pyarrow as pa
 
     kinds = {side: df.schema["id"].dataType.simpleString() for side, df in (("q", queries), ("s", samples))}
 
+    def finite_rows(df: DataFrame) -> DataFrame:
+        v = df.select("id", F.col(column).cast("array<double>").alias("v")).where("v is not null")
+        return v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("size", F.size("v"))
+
+    q, s = cut(finite_rows(queries)), cut(finite_rows(samples))
+    n_samples = s.count()
+    share = max(1, n_samples // (4 * landmarks))
+    marks: dict[int, np.ndarray] = {}
+    for r in s.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("size").agg(F.slice(F.array_sort(F.collect_set("v")), 1, landmarks).alias("m")).collect():
+        marks[r["size"]] = np.array(r.m, float).reshape(len(r.m), r["size"])  # some four times the landmarks are looked at
+
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([((b - x) ** 2).sum(axis=1) for x in a]) ** 0.5
+
+    def by_size(batch):
+        """A batch's rows of each size: which they are, and their vectors."""
+        v = batch.column(batch.schema.get_field_index("v"))
+        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):
+            of = np.flatnonzero(sizes == size)
+            yield int(size), of, v.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(len(of), size)
+
+    def placed(batches):
+        for b in batches:
+            for size, of, x in by_size(b):
+                d = distances(x, marks[size]) if size in marks else np.zeros((len(x), 1))
+                at = d.argmin(axis=1)
+                own = b.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at])], ["id", "v", "size", "mark", "far"])
+
+    near = cut(s.mapInArrow(placed, f"id {kinds['s']}, v array<double>, size int, mark int, far double"))
+    edges = near.groupBy("size", "mark").agg(F.percentile_approx("far", [k / RINGS for k in range(1, RINGS)], 1000).alias("edges"))  # few numbers a landmark
+    ringed = cut(near.join(F.broadcast(edges), ["size", "mark"]).withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("far")))).drop("edges"))
+    cells: dict[int, list] = {}
+    for r in ringed.groupBy("size", "mark", "ring").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("n")).sort("size", "mark", "ring").collect():
+        cells.setdefault(r["size"], []).append((r.mark, r.ring, r.lo, r.hi, r.n))  # landmarks times rings at most
+    spark = queries.sparkSession
+
+    def bounds(size: int, x: np.ndarray) -> np.ndarray:
+        """How near each query may come to each cell of its size, a little less for rounding."""
+        mark, _, lo, hi, _ = map(np.array, zip(*cells[size], strict=True))
+        d = distances(x, marks[size])[:, mark] if size in marks else np.zeros((len(x), len(mark)))
+        return np.maximum(0, np.maximum(d - hi, lo - d) * (1 - 1e-9) - 1e-12)
+
+    def asked(first: bool):
+        def run(batches):
+            for b in batches:
+                for size, of, x in by_size(b):
+                    if size not in cells:
+                        continue
+                    own, bound = b.take(pa.array(of)), bounds(size, x)
+                    d = distances(x, marks[size])[:, [c[0] for c in cells[size]]] if size in marks else bound
+                    best = np.lexsort((d, bound), axis=1)[:, 0] if bound.shape[1] else np.zeros(0, int)
+                    if first:
+                        row, cell = np.arange(len(x)), best
+                    else:
+                        reach = own.column(own.schema.get_field_index("distance")).to_numpy(zero_copy_only=False)
+                        want = bound <= reach[:, None]
+                        want[np.arange(len(x)), best] = False
+                        row, cell = np.nonzero(want)
+                    at = pa.array(row)
+                    mark, ring = (np.array([c[k] for c in cells[size]], np.int32) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(at), own.column(1).take(at), own.column(2).take(at), pa.array(mark[cell]), pa.array(ring[cell])], ["id", "v", "size", "mark", "ring"])
+
+        return run
+
+    key = ["size", "mark", "ring"]
+
     def packed(df: DataFrame, side: str) -> DataFrame:
+        """Blocks of up to `rows` vectors of one cell; a cell with many is dealt by salt."""
+
         def run(batches):
             for b in batches:
-                sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                for size in np.unique(sizes):
-                    of = np.flatnonzero(sizes == size)
-                    for k in range(0, len(of), rows):
-                        own = b.take(pa.array(of[k : k + rows]))
+                where = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in key])
+                turns = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
+                for lo, hi in zip([0, *turns], [*turns, len(b)], strict=True):
+                    for k in range(lo, hi, rows):
+                        own = b.slice(k, min(rows, hi - k))
                         ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(0))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([size], pa.int32()), pa.array([own.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()])], [f"{side}_ids", f"{side}_size", side])
+                        data = own.column(own.schema.get_field_index("v")).flatten().to_numpy(zero_copy_only=False).tobytes()
+                        yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int32()) for x in where[lo]), ids, pa.array([data])], [*key, f"{side}_ids", side])
 
-        v = df.select("id", F.col(column).cast("array<double>").alias("v")).where("v is not null")
-        return v.mapInArrow(run, f"{side}_ids array<{kinds[side]}>, {side}_size int, {side} binary")
+        salted = df.select("id", "v", *key, F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt"))
+        ordered = salted.repartition(*key, "salt").sortWithinPartitions(*key)
+        return ordered.mapInArrow(run, f"size int, mark int, ring int, {side}_ids array<{kinds[side]}>, {side} binary")
 
     def least(frames):
         for f in frames:
-            for q_ids, size, q, s_ids, s in zip(f["q_ids"], f["q_size"], f["q"], f["s_ids"], f["s"], strict=True):
-                q, s = (np.frombuffer(x, np.float64).reshape(len(ids), size) for x, ids in ((q, q_ids), (s, s_ids)))
+            for size, q_ids, qv, s_ids, sv in zip(f["size"], f["q_ids"], f["q"], f["s_ids"], f["s"], strict=True):
+                x, y = (np.frombuffer(z, np.float64).reshape(len(ids), size) for z, ids in ((qv, q_ids), (sv, s_ids)))
                 order = np.argsort(s_ids, kind="stable")
-                s, names = s[order], np.asarray(s_ids)[order]
-                d = np.stack([((s - x) ** 2).sum(axis=1) for x in q]) ** 0.5
-                d[~np.isfinite(d)] = np.inf
+                d = distances(x, y[order])
                 at = d.argmin(axis=1)
-                best = d[np.arange(len(q)), at]
-                ok = best < np.inf
-                yield pd.DataFrame({"id": np.asarray(q_ids)[ok], "distance": best[ok], "sample_id": names[at][ok]})
-
-    a, b = packed(queries, "q"), packed(samples, "s")
-    both = a.hint("shuffle_replicate_nl").join(b, F.col("q_size") == F.col("s_size")).select("q_ids", "q_size", "q", "s_ids", "s")
-    found = both.mapInPandas(least, f"id {kinds['q']}, distance double, sample_id {kinds['s']}")
-    m = F.struct("distance", "sample_id")
+                yield pd.DataFrame({"id": np.asarray(q_ids), "distance": d[np.arange(len(x)), at], "sample_id": np.asarray(s_ids)[order][at]})
+
+    blocks = cut(packed(ringed, "s"))
+
+    def compared(of: DataFrame, name: str) -> DataFrame:
+        of = cut(of)
+        if counts is not None:
+            sizes = spark.createDataFrame([(k, c[0], c[1], c[4]) for k, cs in cells.items() for c in cs], "size int, mark int, ring int, n long")
+            counts[name] = of.join(F.broadcast(sizes), key).agg(F.sum("n")).head()[0] or 0
+        both = packed(of, "q").join(blocks, key).select("size", "q_ids", "q", "s_ids", "s")
+        found = both.mapInPandas(least, f"id {kinds['q']}, distance double, sample_id {kinds['s']}")
+        return cut(found.groupBy("id").agg(F.min(F.struct("distance", "sample_id")).alias("m")))
+
+    kind = f"id {kinds['q']}, v array<double>, size int, mark int, ring int"
+    if not cells:
+        return queries.select("id", F.lit(None).cast(kinds["s"]).alias("sample_id"), F.lit(None).cast("double").alias("distance"))
+    one = compared(q.mapInArrow(asked(True), kind), "first")
+    reach = q.join(one.select("id", F.col("m.distance").alias("distance")), "id")
+    two = compared(reach.select("id", "v", "size", "distance").mapInArrow(asked(False), kind), "rest")
+    if counts is not None:
+        counts["all"] = q.count() * n_samples
     every = queries.select("id", F.lit(None).cast(f"struct<distance:double,sample_id:{kinds['s']}>").alias("m"))
-    return found.select("id", m.alias("m")).union(every).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.sample_id", "m.distance")
+    return one.union(two).union(every).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.sample_id", "m.distance")
 
 
 def grid_node(x: Column, step: float) -> Column:

@@ -71,7 +71,25 @@ def test_nearest_vector_in_blocks(spark):
     a, b = rng.integers(0, 4, (90, 3)).astype(float), rng.integers(0, 4, (70, 3)).astype(float)  # many ties
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(90, None)], "id long, v array<double>").repartition(3)
     s = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)] + [(70, None), (71, [1.0]), (72, [float("nan")] * 3)], "id long, v array<double>").repartition(3)
-    out = matching.nearest_vector(q, s, "v", rows=7)
-    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    out = matching.nearest_vector(q, s, "v", rows=7, landmarks=9)
+    assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
     d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
     assert {r.id: (r.sample_id, r.distance) for r in out.collect()} == {i: (int(d[i].argmin()), d[i].min()) for i in range(90)} | {90: (None, None)}
+
+
+def test_nearest_vector_compares_fewer_blocks_of_clustered_vectors(spark):
+    import numpy as np
+
+    from fluxloom.operators import matching
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 50, (25, 6))
+    a, b = (centres[rng.integers(0, 25, n)] + rng.normal(0, 1, (n, 6)) for n in (400, 900))
+    q, s = (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>") for x in (a, b))
+    counts = {}
+    got = {r.id: (r.sample_id, r.distance) for r in matching.nearest_vector(q, s, "v", counts=counts).collect()}
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert got == {i: (int(d[i].argmin()), pytest.approx(d[i].min(), rel=1e-12)) for i in range(400)}
+    assert counts["all"] == 360_000 and counts["first"] + counts["rest"] < 0.25 * counts["all"]
+    none = matching.nearest_vector(q.limit(3), s.limit(0), "v").collect()
+    assert len(none) == 3 and all(r.sample_id is None for r in none)
