@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--band", default="VIS")
     run.add_argument("--prior", choices=("catalog", "tree"), default="catalog")
     run.add_argument("--no-flags", action="store_true")
-    run.add_argument("--tile", type=int, default=1024, help="images larger than this are solved in tiles")
+    run.add_argument("--tile", type=int, default=1024, help="side of the tiles in which detections are searched")
     run.add_argument("--more", action="append", default=[], metavar="BAND=IMAGE", help="another band on the same grid of positions; may be repeated")
     run.add_argument("--coords", help="parquet, CSV or JSON of ra and dec in the catalog's place")
     return p

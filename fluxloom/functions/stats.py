@@ -83,14 +83,25 @@ def gathered(v: DataFrame, keys: list[str]) -> DataFrame:
     return v.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def middle(a: Column) -> Column:
     """Median of a sorted array; null of an empty one."""
-    n = F.size(a)
-    return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
+    return let(a, lambda v: F.when(F.size(v) > 0, (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2))
+
 
+def array_deviation(a: Column) -> Column:
+    """Population deviation of an array's values."""
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    return let(mean(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)))
 
-def array_mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+def array_deviation_robust(a: Column) -> Column:
+    """1.4826 times the median distance of a sorted array's values from their median."""
+    return MAD_SCALE * let(middle(a), lambda m: middle(F.sort_array(F.transform(a, lambda x: F.abs(x - m)))))
 
 
 def met(v: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,21 +160,14 @@ def mad_std(df: DataFrame, value: Column, keys: list[str], name: str = "mad_std"
 
 
 def mad_of(groups: DataFrame, keys: list[str], name: str, *more: str) -> DataFrame:
-    m = groups.select(*keys, *more, "_a", middle(F.col("_a")).alias("_m"))
-    off = m.select(*keys, *more, F.sort_array(F.transform("_a", lambda x: F.abs(x - F.col("_m")))).alias("_d"))
-    return off.select(*keys, *more, (MAD_SCALE * middle(F.col("_d"))).alias(name), F.size("_d").cast("long").alias("n"))
+    told = let(F.col("_a"), lambda a: F.struct(array_deviation_robust(a).alias(name), F.size(a).cast("long").alias("n")))
+    return groups.select(*keys, *more, F.inline(F.array(told)))
 
 
-def clipped_arrays(groups: DataFrame, keys: list[str], sigma: float = 3.0, iterations: int = 5, where: Column | None = None, *more: str) -> DataFrame:
-    """groups (keys, _a) whose arrays lose, round by round, what lies over sigma population deviations from their median; where: the groups to clip."""
-    names = [*keys, *more]
-    for _ in range(iterations):
-        groups = groups.select(*names, "_a", middle(F.col("_a")).alias("_m"), array_mean(F.col("_a")).alias("_mean"))
-        spread = F.sqrt(F.aggregate("_a", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size("_a"))
-        groups = groups.select(*names, "_a", "_m", spread.alias("_s"))
-        near = F.filter("_a", lambda x: F.abs(x - F.col("_m")) <= sigma * F.col("_s"))
-        groups = groups.select(*names, (near if where is None else F.when(where, near).otherwise(F.col("_a"))).alias("_a"))
-    return groups
+def clipped_array(a: Column, sigma: float, iterations: int) -> Column:
+    """A sorted array without, round by round, what lies over sigma population deviations from its median."""
+    near = lambda v: let(middle(v), lambda m: let(array_deviation(v), lambda s: F.filter(v, lambda x: F.abs(x - m) <= sigma * s)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), a, lambda v, _: near(v))
 
 
 def clip_limits(v: DataFrame, keys: list[str], sigma: float = 3.0, iterations: int = 5) -> DataFrame:
@@ -186,9 +190,8 @@ def sigma_clipped(df: DataFrame, value: Column, keys: list[str], sigma: float =
     """keys, clipped_std, clipped_median, n after rounds that drop what lies over sigma population deviations from the median."""
     v = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
     if largest(v, keys) <= MOST:
-        a = clipped_arrays(gathered(v, keys), keys, sigma, iterations).select(*keys, "_a", middle(F.col("_a")).alias("clipped_median"), array_mean(F.col("_a")).alias("_mean"))
-        spread = F.sqrt(F.aggregate("_a", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / F.size("_a"))
-        return a.select(*keys, spread.alias("clipped_std"), "clipped_median", F.size("_a").cast("long").alias("n"))
+        told = let(clipped_array(F.col("_a"), sigma, iterations), lambda a: F.struct(array_deviation(a).alias("clipped_std"), middle(a).alias("clipped_median"), F.size(a).cast("long").alias("n")))
+        return gathered(v, keys).select(*keys, F.inline(F.array(told)))
     left = within(v, clip_limits(v, keys, sigma, iterations), keys)
     spread = left.groupBy(*keys).agg(F.stddev_pop("_v").alias("clipped_std"))
     return met(quantiles(left, keys, 0.5, "clipped_median"), spread, keys).select(*keys, "clipped_std", "clipped_median", "n")
@@ -211,7 +214,7 @@ def chi_inflation(pixels: DataFrame, keys: list[str], least: int = 50) -> DataFr
     if (most or 0) <= MOST:
         a = gathered(v, [*keys, "pool"])
         if open_:
-            a = clipped_arrays(a, keys, 3.0, 5, F.col("pool").isNull(), "pool")
+            a = a.select(*keys, "pool", F.when(F.col("pool").isNull(), clipped_array(F.col("_a"), 3.0, 5)).otherwise(F.col("_a")).alias("_a"))
         spread = mad_of(a, keys, "spread", "pool")
     else:
         if open_:

@@ -136,8 +136,11 @@ def blob_boxes(masks: DataFrame, width: int, height: int, margin: int = 20) -> D
 
 
 def masked_clones(pixels: DataFrame, masks: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Each blob's pixels (tile, x, y, d, w) inside its box, moved to the box's corner; weight 0 off the blob's own mask."""
-    p = pixels.join(boxes, "tile").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("width")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("height")))
+    """Each blob's pixels (tile, x, y, d, w) inside its box, moved to the box's corner; weight 0 off the blob's own mask. Pixels and boxes meet in cells."""
+    size = 32
+    span = lambda a, n: F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor((F.col(a) + F.col(n) - 1) / size).cast("int"))
+    b = boxes.where("width > 0 and height > 0").withColumn("_ci", F.explode(span("x0", "width"))).withColumn("_cj", F.explode(span("y0", "height")))
+    p = pixels.withColumns({"_ci": F.floor(F.col("x") / size).cast("int"), "_cj": F.floor(F.col("y") / size).cast("int")}).join(b, ["tile", "_ci", "_cj"]).where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("width")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("height")))
     own = masks.select("tile", "blob", "x", "y").distinct().withColumn("_own", F.lit(True))
     p = p.join(own, ["tile", "blob", "x", "y"], "left")
     return p.select("tile", "blob", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), "d", F.when(F.col("_own"), F.col("w")).otherwise(0.0).alias("w"))

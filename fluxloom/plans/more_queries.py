@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import FREE_PARAMETERS, MAD_SCALE, UJY_PER_NMGY, VEGA_AB, bit_mask
 from ..functions import sky, stats, units
-from ..operators import catalog, compare, detect, flags, inject, matching, models, psf, render, residuals, solve, tiles
+from ..operators import catalog, compare, detect, fit, flags, inject, matching, models, psf, render, residuals, solve, tiles
 from ..sources import catalogs
 from .queries import OTHERS, STARS, WRAP, near_sql, others, query, r, sep_sql, stars, table, wrap
 
@@ -377,9 +377,9 @@ def star_of_psf(s, d):
     return psf.place_of_psf(src, st).select("id", "star_id")
 
 
-@query("psf_summary", "WITH e AS (SELECT * FROM embeddings WHERE len(embedding) >= 16), m AS (SELECT i, avg(abs(embedding[i])::DOUBLE) AS v FROM e, range(1, 17) t(i) GROUP BY i) SELECT (i-1)::INTEGER AS k, round(v/(SELECT sum(v) FROM m), 8) AS v, (SELECT count(*) FROM e) AS n, (SELECT round(quantile_cont(vec_id % 100 / 10.0, 0.5), 6) FROM e) AS fwhm FROM m")
+@query("psf_summary", "WITH e AS (SELECT * FROM embeddings WHERE len(embedding) >= 16), m AS (SELECT i, avg(abs(v)::DOUBLE) AS v FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM e) GROUP BY i) SELECT (i-1)::INTEGER AS k, round(v/(SELECT sum(v) FROM m), 8) AS v, (SELECT count(*) FROM e) AS n, (SELECT round(quantile_cont(vec_id % 100 / 10.0, 0.5), 6) FROM e) AS fwhm FROM m")
 def psf_summary(s, d):
-    e = table(s, d, "embeddings").where(F.size("embedding") >= 16).select((F.col("vec_id") % 100 / 10.0).alias("fwhm"), F.slice(F.transform("embedding", lambda v: F.abs(v).cast("double")), 1, 16).alias("stamp"))
+    e = table(s, d, "embeddings").where(F.size("embedding") >= 16).select((F.col("vec_id") % 100 / 10.0).alias("fwhm"), F.transform("embedding", lambda v: F.abs(v).cast("double")).alias("stamp"))
     return psf.summary(e).select("n", r("fwhm").alias("fwhm"), F.posexplode("stamp").alias("k", "v")).select("k", r("v", 8).alias("v"), "n", "fwhm")
 
 
@@ -582,3 +582,78 @@ def initial_fluxes(s, d):
 def star_signal_pixels(s, d):
     px = table(s, d, "orders").select(F.lit(1).alias("tile"), F.col("o_orderkey").alias("x"), F.lit(0).alias("y"), (F.col("o_orderkey") * 64).alias("flag"))
     return flags.star_signal_pixels(px, "VIS").select("x")
+
+
+# -- solves within bounds, regions and groups over tiles, quantiles ---------------------------------
+
+_PAIRED = "(SELECT l_suppkey % 200 AS tile, l_orderkey AS x, l_linenumber AS y, max(l_quantity)/50.0 AS t1, (l_linenumber % 4)/3.0 AS t2, max(l_extendedprice)/10000.0 - 4.5 + l_linenumber % 3 AS d, 1 + max(l_tax)*10 AS w FROM lineitem GROUP BY 1, 2, 3)"
+
+
+@query(
+    "bounded_fluxes",
+    f"""WITH s AS (SELECT tile, sum(t1*t1*w) AS a, sum(t1*t2*w) AS c, sum(t2*t2*w) AS b, sum(t1*d*w) AS p, sum(t2*d*w) AS q FROM {_PAIRED} GROUP BY 1),
+u AS (SELECT *, (p*b - q*c)/(a*b - c*c) AS f1, (q*a - p*c)/(a*b - c*c) AS f2, greatest(p/a, 0) AS g1, greatest(q/b, 0) AS g2 FROM s),
+v AS (SELECT tile, CASE WHEN f1 >= 0 AND f2 >= 0 THEN f1 WHEN p*g1 - a*g1*g1/2 >= q*g2 - b*g2*g2/2 THEN g1 ELSE 0 END AS x, CASE WHEN f1 >= 0 AND f2 >= 0 THEN f2 WHEN p*g1 - a*g1*g1/2 >= q*g2 - b*g2*g2/2 THEN 0 ELSE g2 END AS y FROM u)
+SELECT tile, 1::BIGINT AS id, round(x, 6) + 0.0 AS flux, CASE WHEN x > 0 THEN 0 ELSE -1 END AS side FROM v UNION ALL SELECT tile, 2::BIGINT, round(y, 6) + 0.0, CASE WHEN y > 0 THEN 0 ELSE -1 END FROM v""",
+)
+def bounded_fluxes(s, d):
+    """Two templates on each of 200 images, neither below nothing."""
+    lines = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 200).alias("tile"), F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y")).agg(*[F.max(f"l_{c}").alias(c) for c in ("quantity", "extendedprice", "tax")])
+    px = lines.select("tile", "x", "y", (F.col("extendedprice") / 10000 - 4.5 + F.col("y") % 3).alias("d"), (1 + F.col("tax") * 10).alias("w"), (F.col("quantity") / 50).alias("t1"), (F.col("y") % 4 / 3).alias("t2"))
+    t = px.select("tile", "x", "y", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("id"), F.col("t1").alias("t")), F.struct(F.lit(2).cast("long").alias("id"), F.col("t2").alias("t")))).alias("k")).select("tile", "x", "y", "k.id", "k.t")
+    limits = t.select("tile", "id").distinct().select("tile", "id", F.lit(0.0).alias("lower"), F.lit(None).cast("double").alias("upper"))
+    out = solve.solve_bounded(t, px, limits)
+    return out.select("tile", "id", (r("flux") + 0.0).alias("flux"), "side")
+
+
+_LIT = f"(SELECT DISTINCT o_custkey % 7 AS tile, (o_custkey // 7)::BIGINT AS y, (dayofyear(o_orderdate) // 8)::BIGINT AS x FROM orders)"
+
+
+@query(
+    "pixel_regions",
+    f"""WITH RECURSIVE p AS (SELECT *, y*4294967296 + x + 1 AS name FROM {_LIT}),
+e AS (SELECT a.tile, a.name AS a, b.name AS b FROM p a JOIN p b ON a.tile = b.tile AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
+c AS (SELECT tile, name AS a, name AS b FROM p UNION SELECT c.tile, c.a, e.b FROM c JOIN e ON e.tile = c.tile AND e.a = c.b),
+r AS (SELECT tile, a, min(b) AS region FROM c GROUP BY 1, 2)
+SELECT tile::BIGINT AS tile, region, count(*) AS n FROM r GROUP BY 1, 2""",
+)
+def pixel_regions(s, d):
+    """Days on which a customer ordered as pixels: their 8-connected regions, over tiles of 16."""
+    import numpy as np
+
+    px = table(s, d, "orders").select((F.col("o_custkey") % 7).cast("long").alias("tile"), F.floor(F.col("o_custkey") / 7).cast("int").alias("y"), F.floor(F.dayofyear("o_orderdate") / 8).cast("int").alias("x")).distinct()
+
+    def lit(rows, _):
+        y0, x0 = int(rows.y.min()), int(rows.x.min())
+        on = np.zeros((int(rows.y.max()) - y0 + 1, int(rows.x.max()) - x0 + 1), bool)
+        on[rows.y - y0, rows.x - x0] = True
+        return y0, x0, on, []
+
+    return detect.regions(detect.dealt(px, 16), lit, 16).groupBy("tile", "region").agg(F.count("*").alias("n"))
+
+
+_BOXED = "(SELECT c_custkey AS id, c_custkey // 1500 AS tile, (c_custkey*37 % 997) + 0.25 AS x, (c_custkey*91 % 991) + 0.5 AS y FROM customer)"
+
+
+@query(
+    "box_groups",
+    f"""WITH RECURSIVE b AS (SELECT id, tile, greatest(floor(x - 5), 0) AS lx, greatest(floor(y - 5), 0) AS ly, least(ceil(x + 5) + 1, 900) AS hx, least(ceil(y + 5) + 1, 950) AS hy FROM {_BOXED}),
+k AS (SELECT * FROM b WHERE lx < hx AND ly < hy),
+e AS (SELECT p.id AS a, q.id AS b FROM k p JOIN k q ON p.tile = q.tile AND p.lx < q.hx AND q.lx < p.hx AND p.ly < q.hy AND q.ly < p.hy),
+c AS (SELECT id AS a, id AS b FROM k UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b)
+SELECT a AS id, min(b) AS "group" FROM c GROUP BY 1""",
+)
+def box_groups(s, d):
+    """Which sources are fitted together: those tied by boxes that meet."""
+    import numpy as np
+
+    k = F.col("c_custkey")
+    src = table(s, d, "customer").select(k.alias("id"), F.floor(k / 1500).alias("tile"), (k * 37 % 997 + 0.25).alias("x"), (k * 91 % 991 + 0.5).alias("y"), F.lit(None).cast("double").alias("re"))
+    images = src.select("tile").distinct().select("tile", F.lit(950).alias("height"), F.lit(900).alias("width"))
+    return fit.grouped(fit.boxes(src, images, np.ones((5, 5)), 1.0), 32).select("id", "group")
+
+
+@query("group_quantiles", "SELECT l_suppkey % 9 AS k, round(quantile_cont(l_extendedprice/l_quantity, 0.9), 6) AS q, count(*) AS n FROM lineitem GROUP BY 1")
+def group_quantiles(s, d):
+    v = table(s, d, "lineitem").select((F.col("l_suppkey") % 9).alias("k"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("_v"))
+    return stats.quantiles(v, ["k"], 0.9, "q").select("k", r("q").alias("q"), "n")

@@ -152,7 +152,7 @@ def tree_models(src: DataFrame, band: Band, tile: int) -> tuple[DataFrame, DataF
     return out, chosen.select("id", F.explode("trials").alias("t")).select(F.col("id").alias("source_id"), "t.stage", "t.model", F.col("t.rchi2").alias("chi2"))
 
 
-def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None, coords: DataFrame | None = None, neighbours: dict[str, DataFrame] | None = None, calibrate: bool = False, tile: int | None = 1024, at_once: int = 4) -> Result:
+def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None, coords: DataFrame | None = None, neighbours: dict[str, DataFrame] | None = None, calibrate: bool = False, tile: int | None = 1024, at_once: int = 4, known: DataFrame | None = None) -> Result:
     """Forced photometry of one field (or of many images of equal geometry, which their column tile tells).
 
     Images are searched for detections in tiles of `tile` pixels; no result depends on it.
@@ -160,18 +160,23 @@ def run(cfg: RunConfig, bands: list[Band], catalog_rows: DataFrame | None = None
 
     The first band is the prior band. Positions and shapes are fixed there; other
     bands solve fluxes alone, with the outside neighbours (id, ra, dec, flux) they
-    are given, which are not reported.
+    are given, which are not reported. known: the sources of an earlier run (its result's
+    `sources`); they are taken as they are, without another fit, if they are just these.
     """
     if not bands or {b.name for b in bands} - set(cfg.bands):
         raise ValueError("bands and settings differ")
     prior, trials = bands[0], None
     src = prior_sources(cfg, catalog_rows, coords, prior)
-    if cfg.prior["mode"] == "tree":
-        src, trials = tree_models(src, prior, tile or detect.TILE)
-    if cfg.prior["free_shapes"] or cfg.prior["refine_positions"]:
+    def fitted(src: DataFrame) -> DataFrame:
+        nonlocal trials
+        if cfg.prior["mode"] == "tree":
+            src, trials = tree_models(src, prior, tile or detect.TILE)
         for what in [w for w, on in (("shapes", cfg.prior["free_shapes"]), ("positions", cfg.prior["refine_positions"])) if on]:
             moved = fit.refit(src, prior.weights(), prior.psf, prior.scale_arcsec, what, cfg.prior["flux_floor_ujy"])
             src = src.drop("x", "y", "model", "re", "ab", "pa", "n", "flux").join(moved.select("id", "x", "y", "model", "re", "ab", "pa", "n", "flux"), "id")
+        return src
+
+    src = prior_unless_known(src, known, fitted)
     src = cut(src)  # every band renders from it
 
     def one(b: Band) -> tuple[DataFrame, DataFrame | None]:

@@ -349,6 +349,13 @@ def test_images_and_known_priors(spark):
     r = pipeline.run(RunConfig(269.5, 67.3, 20.0), [band], as_catalog(spark, POINTS))
     px = r.images("VIS").toPandas()
     assert len(px) == 64 * 64 and abs(px.residual.std() - 2 * 0.3) < 0.05 and abs(px.chi.std() - 1) < 0.1 and np.allclose(px.d - px.model, px.residual)
+    cfg = RunConfig(269.5, 67.3, 20.0, prior={"mode": "catalog", "refine_positions": True})
+    first = pipeline.run(cfg, [band], as_catalog(spark, POINTS))
+    moved = first.sources.withColumn("x", F.col("x") + 0.125)
+    again = pipeline.run(cfg, [band], as_catalog(spark, POINTS), known=moved)
+    assert {r.id: r.x for r in again.sources.collect()} == {r.id: r.x for r in moved.collect()}
+    fewer = pipeline.run(cfg, [band], as_catalog(spark, POINTS), known=moved.where("id > 1"))
+    assert {r.id: r.x for r in fewer.sources.collect()} == {r.id: r.x for r in first.sources.collect()}
     a, b = spark.range(3), spark.range(4)
     assert pipeline.prior_unless_known(a, a, lambda x: b) is a and pipeline.prior_unless_known(a, b, lambda x: x.limit(1)).count() == 1 and pipeline.prior_unless_known(a, None, lambda x: b) is b
     with pytest.raises(ValueError):
