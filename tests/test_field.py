@@ -1,5 +1,6 @@
 """Detection, fits, PSFs, files and the one-call pipeline on synthetic fields."""
 
+import gzip
 import math
 
 import numpy as np
@@ -12,7 +13,7 @@ from fluxloom.config import RunConfig
 from fluxloom.functions import sky
 from fluxloom.operators import detect, fit, inject, psf, render, solve
 from fluxloom.plans import pipeline
-from fluxloom.sources import catalogs, fits, sinks
+from fluxloom.sources import catalogs, fits, sinks, tilezip
 
 WCS = dict(crval1=269.5, crval2=67.3, crpix1=31.5, crpix2=31.5, cd11=-0.1 / 3600, cd12=0.0, cd21=0.0, cd22=0.1 / 3600)
 PSF = render.gaussian_psf(2.5)
@@ -187,6 +188,153 @@ def test_psf_tools(spark):
     assert [g.node for g in grid] == [1] and grid[0].n_exposures == 2 and abs(sum(grid[0].stamp) - 1) < 1e-9
 
 
+def riced(values, size, block=32):
+    """A Rice-coded tile, bit by bit as text; each block takes its cheapest selector."""
+    select, most = tilezip._RICE[size]
+    whole = 8 * size
+    bits = [format(int(values[0]) % (1 << whole), f"0{whole}b")]
+    last = int(values[0])
+    for at in range(0, len(values), block):
+        steps = []
+        for v in map(int, values[at : at + block]):
+            d = (v - last + (1 << (whole - 1))) % (1 << whole) - (1 << (whole - 1))
+            steps.append(2 * d if d >= 0 else -2 * d - 1)
+            last = v
+        if not any(steps):
+            bits.append("0" * select)
+            continue
+        costs = {low: sum((x >> low) + 1 + low for x in steps) for low in range(most)}
+        low = min(costs, key=costs.get)
+        if costs[low] >= whole * len(steps):
+            bits += [format(most + 1, f"0{select}b"), *(format(x, f"0{whole}b") for x in steps)]
+        else:
+            bits += [format(low + 1, f"0{select}b"), *("0" * (x >> low) + "1" + (format(x & ((1 << low) - 1), f"0{low}b") if low else "") for x in steps)]
+    text = "".join(bits)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def compressed_file(path, w, h, bitpix, method, cells, more, columns=(), deep=1):
+    """A FITS file whose second unit is tile-compressed. cells: bytes of each tile; columns: (name, letter, values)."""
+    wide = 8 + 8 * len(columns)
+    table, heap = b"", b""
+    for k, data in enumerate(cells):
+        table += np.array([len(data), len(heap)], ">i4").tobytes() + b"".join(np.array([v[k]], ">f8").tobytes() for _, _, v in columns)
+        heap += data
+    cards = ["XTENSION= 'BINTABLE'".ljust(80)] + [fits.card(k, v) for k, v in {"BITPIX": 8, "NAXIS": 2, "NAXIS1": wide, "NAXIS2": len(cells), "PCOUNT": len(heap), "GCOUNT": 1, "TFIELDS": 1 + len(columns), "TTYPE1": "COMPRESSED_DATA", "TFORM1": "1PB(9)"}.items()]
+    cards += [fits.card(k, v) for n, (name, letter, _) in enumerate(columns, 2) for k, v in ((f"TTYPE{n}", name), (f"TFORM{n}", f"1{letter}"))]
+    cards += [fits.card(k, v) for k, v in {"ZIMAGE": True, "ZBITPIX": bitpix, "ZNAXIS": 2, "ZNAXIS1": w, "ZNAXIS2": h, "ZTILE1": w, "ZTILE2": deep, "ZCMPTYPE": method, "EXTNAME": "PACKED", **more}.items()]
+    head = fits.padded("".join([*cards, "END".ljust(80)]).encode(), b" ")
+    with open(path, "wb") as f:
+        f.write(fits.padded((fits.card("SIMPLE", True) + fits.card("BITPIX", 8) + fits.card("NAXIS", 0) + "END".ljust(80)).encode(), b" ") + head + fits.padded(table + heap, b"\0"))
+
+
+def test_rice_tiles():
+    rng = np.random.default_rng(1)
+    for size, kind in ((4, "i4"), (2, "i2"), (1, "u1")):
+        top = np.iinfo(kind).max
+        for values in (rng.normal(0, 20, 500).astype(kind), np.zeros(70, kind), rng.integers(np.iinfo(kind).min, top, 333, dtype=kind, endpoint=True), np.array([5], kind), np.repeat(rng.integers(0, 9, 40), 7).astype(kind), np.array([top, np.iinfo(kind).min] * 40, kind)):
+            assert (tilezip.unrice(riced(values, size), len(values), size) == values).all()
+
+
+def test_compressed_units_are_their_plain_twins(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    w, h = 50, 23
+    image_ = np.cumsum(rng.integers(-9, 9, (h, w)), axis=1).astype(np.int32)
+    gz = lambda b: gzip.compress(b)
+    files = {}
+    for name, method, deep, pack in (
+        ("rice", "RICE_1", 1, lambda t: riced(t.ravel(), 4)),
+        ("rows", "RICE_1", 5, lambda t: riced(t.ravel(), 4)),
+        ("gzip", "GZIP_1", 2, lambda t: gz(t.astype(">i4").tobytes())),
+        ("turned", "GZIP_2", 1, lambda t: gz(t.astype(">i4").view(np.uint8).reshape(-1, 4).T.tobytes())),
+    ):
+        files[name] = str(tmp_path / f"{name}.fits")
+        compressed_file(files[name], w, h, 32, method, [pack(image_[k : k + deep]) for k in range(0, h, deep)], {"BSCALE": 0.5, "BZERO": 3.0, "ZNAME1": "BLOCKSIZE", "ZVAL1": 32, "ZNAME2": "BYTEPIX", "ZVAL2": 4}, deep=deep)
+    for path in files.values():
+        assert (fits.rows_of(path, None, 0, h)[1] == image_ * 0.5 + 3).all() and (fits.rows_of(path, "PACKED", 7, 12, 3, 9)[1] == image_[7:12, 3:9] * 0.5 + 3).all()
+    fits.register(spark)
+    got = spark.read.format("fits_image").option("rows", 6).load(files["rows"]).orderBy("y").collect()
+    assert [r["values"] for r in got] == (image_ * 0.5 + 3).tolist()
+    scale, zero = rng.uniform(0.5, 2, h), rng.normal(0, 5, h)
+    for how in ("NO_DITHER", "SUBTRACTIVE_DITHER_1", "SUBTRACTIVE_DITHER_2"):
+        path = str(tmp_path / f"{how}.fits")
+        own = image_.copy()
+        own[3, 4], own[5, 6] = -2147483647, -2147483646
+        compressed_file(path, w, h, -32, "RICE_1", [riced(own[k], 4) for k in range(h)], {"ZQUANTIZ": how, "ZDITHER0": 9998, "ZBLANK": -2147483647}, (("ZSCALE", "D", scale), ("ZZERO", "D", zero)))
+        got = fits.rows_of(path, None, 2, h)[1]
+        r = np.full((h, w), 0.5)
+        if how != "NO_DITHER":
+            for k in range(h):
+                at = int(tilezip.dither()[(k + 9997) % 10_000] * 500)
+                r[k] = tilezip.dither()[at : at + w]
+        want = (own - r + 0.5) * scale[:, None] + zero[:, None]
+        if how == "SUBTRACTIVE_DITHER_2":
+            want[5, 6] = 0
+        want[3, 4] = np.nan
+        assert np.allclose(got, want[2:], equal_nan=True, rtol=1e-12)
+    assert tilezip.dither()[0] == 16807 / 2147483647 and int(tilezip.dither()[-1] * 2147483647 + 0.5) == 1043618065  # the standard's own check
+
+
+def test_a_box_reads_its_own_bytes(spark, tmp_path, monkeypatch):
+    a = np.random.default_rng(0).normal(0, 1, (300, 4000)).astype("f4").astype(float)
+    path = str(tmp_path / "wide.fits")
+    fits.write_image(path, a)
+    read = []
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def read(self, n):
+            read.append(n)
+            return self.f.read(n)
+
+    opened = fits.open_input
+    monkeypatch.setattr(fits, "open_input", lambda p: Counting(opened(p)))
+    _, box = fits.rows_of(path, None, 100, 140, 700, 760)
+    assert (box == a[100:140, 700:760]).all() and sum(read) == 2880 + 40 * 60 * 4
+    monkeypatch.undo()
+    fits.register(spark)
+    rows = spark.read.format("fits_image").option("rows", 10).option("x", "700,760").load(path)
+    some = rows.where("y >= 100 and y < 140")
+    assert rows.rdd.getNumPartitions() == 30 and some.rdd.getNumPartitions() == 4
+    assert [r["values"] for r in some.orderBy("y").collect()] == a[100:140, 700:760].tolist()
+    assert [r.y for r in rows.where("y = 7").collect()] == [7] and rows.where("y > 400").count() == 0 and rows.where("y > 5 and y <= 12 and path = 'none'").count() == 0
+    assert {r.y for r in rows.where("y > 5 and y <= 12").collect()} == set(range(6, 13))
+
+
+def test_planes_are_written_by_tasks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    planes = {n: rng.normal(0, 1, (17, 33)).astype("f4") for n in ("SCI", "RMS", "MODEL", "RESID", "CHI")}
+    y, x = np.mgrid[:17, :33]
+    px = spark.createDataFrame(pd.DataFrame({"x": x.ravel(), "y": y.ravel()} | {n: p.ravel().astype(float) for n, p in planes.items()})).repartition(5)
+    path = f"{tmp_path}/fit.fits"
+    fits.write_planes(px.where("not (x = 3 and y = 4) and y <> 9"), path, list(planes), 33, 17, {"CRVAL1": 10.5})
+    for name, p in planes.items():
+        head, got = fits.rows_of(path, name, 0, 17)
+        want = p.astype(float)
+        want[4, 3], want[9] = np.nan, np.nan
+        assert np.array_equal(got, want, equal_nan=True) and (name != "SCI" or head["CRVAL1"] == 10.5)
+    with pytest.raises(Exception, match="exists"):
+        fits.write_planes(px, path, list(planes), 33, 17)
+    bad = px.withColumn("SCI", F.when(F.col("y") == 12, F.raise_error(F.lit("lost"))).otherwise(F.col("SCI")))
+    with pytest.raises(Exception, match="lost"):
+        fits.write_planes(bad, f"{tmp_path}/bad.fits", list(planes), 33, 17)
+    with pytest.raises(Exception, match="rows of"):
+        rows = spark.createDataFrame([("SCI", 0, [0.0] * 4)], "plane string, y int, values array<double>")
+        rows.write.format("fits_planes").mode("append").option("planes", "SCI").option("width", 4).option("height", 2).save(f"{tmp_path}/short.fits")
+    assert sorted(p.name for p in tmp_path.iterdir() if "fits" in p.name) == ["fit.fits"]
+
+
 def test_fits_source(spark, tmp_path):
     a = np.arange(600, dtype=float).reshape(20, 30)
     path = str(tmp_path / "a.fits")
