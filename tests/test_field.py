@@ -599,3 +599,42 @@ def test_detection_is_the_same_in_any_tiles(spark):
     got = detect.with_background(px, 32, 48).where("tile = 0").toPandas()
     assert np.abs(got.background - plane[got.y, got.x]).max() < 1e-9 and np.abs(got.background_rms - rms).max() < 1e-9
     assert detect.found(px.withColumn("w", F.lit(0.0)), PSF)[0].count() == 0
+
+
+def test_prf_grids_from_files(spark, tmp_path):
+    from fluxloom.sources import prf_grids
+
+    (tmp_path / "more").mkdir()
+    made = {}
+    for node, fwhm, name in ((1, 3.0, "mosaic_gp000001.fits"), (2, 4.0, "mosaic_gp000002.fits"), (3, 5.0, "more/own.fits")):
+        made[node] = render.resized(render.gaussian_psf(fwhm), 31) * 7
+        fits.write_image(str(tmp_path / name), made[node], {"NFRAMES": node, "SAMP_NEW": 4.07})
+    packed = tmp_path / "mosaic_gp000002.fits"
+    (tmp_path / "mosaic_gp000002.fits.gz").write_bytes(gzip.compress(packed.read_bytes()))
+    packed.unlink()
+    table = spark.createDataFrame([(1, 11.0, 11.0, None), (2, 41.0, 11.0, ""), (3, 11.0, 51.0, "some/where/own.fits"), (4, float("nan"), 1.0, None)], "id_gridpt int, X double, y double, filename string")
+    grid = prf_grids.nodes(table, WCS)
+    assert {(r.node, r.x, r.y) for r in grid.collect()} == {(1, 10.0, 10.0), (2, 40.0, 10.0), (3, 10.0, 50.0)}
+    settings = psf.grid_settings("grid", str(tmp_path), set())
+    same = {r.id: r for r in prf_grids.samples(settings, WCS, 0.3, 21, table, str(tmp_path), channel=1).collect()}  # 1.221 / 4.07 = 0.3
+    fine = {r.id: r for r in prf_grids.samples(settings, WCS, 0.15, 41, table, str(tmp_path), input_scale=0.3).collect()}
+    for k, own in made.items():
+        own = own.astype("f4").astype(float)
+        assert same[k].width == 21 and same[k].n_frames == k and np.allclose(np.reshape(same[k].stamp, (21, 21)), render.normalized(render.resized(own, 21)), atol=1e-12)
+        assert np.allclose(np.reshape(fine[k].stamp, (41, 41)), render.normalized(psf.resampled(own, 0.5, 41)), atol=1e-12) and abs(sum(fine[k].stamp) - 1) < 1e-12
+    store = prf_grids.samples(settings, WCS, 0.3, 21, table, str(tmp_path), channel=1)
+    src = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate([(12.0, 8.0), (30.0, 10.0), (9.0, 45.0)])], "id long, x double, y double")
+    got = {r.id: r.psf for r in psf.with_stamps(src, store).collect()}
+    assert got == {0: same[1].stamp, 1: same[2].stamp, 2: same[3].stamp}
+    with pytest.raises(FileNotFoundError, match="000009"):
+        prf_grids.stamps(grid.withColumns({"node": F.lit(9), "file": F.lit("mosaic_gp000009.fits")}), str(tmp_path), 0.3)
+    with pytest.raises(ValueError):
+        prf_grids.nodes(table.drop("id_gridpt"), WCS)
+    sky_table = spark.createDataFrame([(7, 269.5, 67.3)], "ID_GRIDPT int, ra double, DEC_CEN double")
+    at = prf_grids.nodes(sky_table, WCS).head()
+    assert abs(at.x - 31.5) < 1e-6 and abs(at.y - 31.5) < 1e-6 and at.file == "mosaic_gp000007.fits"
+    one = {"cryo": {(c, r): psf.comb_normalized(render.resized(render.gaussian_psf(9.0), 41)) for c in (25, 129, 233) for r in (25, 129, 233)}}
+    exposures = spark.createDataFrame([(269.5, 67.3, 15.0, 30.0, 256, 256, 1.2)], "ra0 double, dec0 double, pa double, exptime double, width int, height int, detector_scale double")
+    positions = spark.createDataFrame([(1, 269.5, 67.3)], "node long, ra double, dec double")
+    stacked = prf_grids.samples(psf.grid_settings(None, None, {"cryo"}), WCS, 0.6, 21, positions=positions, exposures=exposures, prfs=one["cryo"]).collect()
+    assert [(r.id, r.width, r.n_frames) for r in stacked] == [(1, 21, 1)] and abs(sum(stacked[0].stamp) - 1) < 1e-9
