@@ -1,9 +1,9 @@
 """The joint flux solve: normal equations by relational sums, exact solves by component.
 
 For each band minimise sum w (d - sum f_i t_i - sky)^2 over pixels of weight w > 0.
-Templates are stacked on their pixels; N[i, j] = sum t_i t_j w comes from the pairs of a
-stack, which touches overlapping sources alone, b[i] = sum t_i d w from its members. Both
-combine before the shuffle, so no task holds an image's pixels. An image's triplets go to
+N[i, j] = sum t_i t_j w and b[i] = sum t_i d w are summed over cells of pixels, in which
+templates and pixels meet, and only for sources that overlap. The cells' sums combine before
+the shuffle, so no task holds an image's pixels. An image's triplets go to
 one kernel while they are few; beyond that each connected component goes to its own. The
 sky, one more unknown that all of an image's sources share, is solved from sums over their
 components (a Schur complement), so the result does not depend on how sources are dealt.
@@ -24,35 +24,56 @@ from .components import roots
 
 PIXEL = ["tile", "x", "y"]
 SKY = -(1 << 62)  # the id of the constant template
+#: Side of the cells in which templates and pixels meet.
+CELL = 64
 #: Triplets of an image that one task solves; beyond it components are told apart in tables.
 TRIPLETS = 2_000_000
 
 
-def stacked(templates: DataFrame, pixels: DataFrame) -> DataFrame:
-    """(tile, d, w, a): the templates' values (id, t) on each pixel with weight. Both sides meet in one shuffle on the pixel."""
-    stacks = templates.groupBy(*PIXEL).agg(F.collect_list(F.struct("id", "t")).alias("a"))  # of one pixel
-    return stacks.join(pixels.where("w > 0").select(*PIXEL, "d", "w"), PIXEL)
+def pixel_sums(templates: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(tile, i, j, v, b, u) with i <= j: sums of t_i t_j w; on the diagonal also those of t d w and t w.
 
-
-def single_sums(stack: DataFrame) -> DataFrame:
-    """(tile, i, b, u, v): sums of t d w, t w and t t w of each template."""
-    one = stack.select("tile", "d", "w", F.explode("a").alias("s")).select("tile", F.col("s.id").alias("i"), F.col("s.t").alias("t"), "d", "w")
-    return one.groupBy("tile", "i").agg(F.sum(F.col("t") * F.col("d") * F.col("w")).alias("b"), F.sum(F.col("t") * F.col("w")).alias("u"), F.sum(F.col("t") * F.col("t") * F.col("w")).alias("v"))
-
-
-def pair_sums(stack: DataFrame) -> DataFrame:
-    """(tile, i, j, v) with i < j: sums of t_i t_j w."""
-    twice = stack.where(F.size("a") > 1).select("tile", "w", "a", F.explode("a").alias("s"))
-    pair = twice.select("tile", "w", F.col("s.id").alias("i"), F.col("s.t").alias("t"), F.explode(F.filter("a", lambda o: o["id"] > F.col("s.id"))).alias("o"))
-    return pair.groupBy("tile", "i", F.col("o.id").alias("j")).agg(F.sum(F.col("t") * F.col("o.t") * F.col("w")).alias("v"))
+    templates: tile, id, x, y, t (a pixel of a source once); pixels: tile, x, y, d, w. Both meet
+    in cells of CELL pixels, whose products are small dense matrices; cells' sums are added up
+    in each task before they meet.
+    """
+    kind, spot = dict(templates.dtypes)["tile"], {"_ci": F.floor(F.col("x") / CELL), "_cj": F.floor(F.col("y") / CELL)}
+    at = (F.col("x") - F.floor(F.col("x") / CELL) * CELL + CELL * (F.col("y") - F.floor(F.col("y") / CELL) * CELL)).cast("int").alias("at")
+    key = ["tile", "_ci", "_cj"]
+    t = templates.select("tile", *[c.alias(n) for n, c in spot.items()], at, F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"))
+    px = pixels.where("w > 0").select("tile", *[c.alias(n) for n, c in spot.items()], at, F.col("d").cast("double").alias("d"), F.col("w").cast("double").alias("w"))
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        d, w = np.zeros(CELL * CELL), np.zeros(CELL * CELL)
+        d[right["at"]], w[right["at"]] = right.d, right.w
+        left = left[w[left["at"].to_numpy()] > 0]
+        ids, own = np.unique(left.id.to_numpy(np.int64), return_inverse=True)
+        where, t = left["at"].to_numpy(), left.t.to_numpy()
+        b, u = (np.bincount(own, t * w[where] * q, len(ids)) for q in (d[where], 1.0))
+        plane = np.zeros((CELL * CELL, len(ids)))
+        plane[where, own] = t
+        heavy, i, j, v = plane * w[:, None], [], [], []
+        for k in range(0, len(ids), 256):  # some columns at a time
+            n = plane.T @ heavy[:, k : k + 256]
+            p, q = np.nonzero(n)
+            use = p <= q + k
+            i.append(p[use]), j.append(q[use] + k), v.append(n[p[use], q[use]])
+        every = np.arange(len(ids))
+        i, j, v = np.concatenate([*i, every]), np.concatenate([*j, every]), np.concatenate([*v, np.zeros(len(ids))])
+        fill = np.zeros(len(v))
+        out = pd.DataFrame({"tile": key[0], "i": ids[i], "j": ids[j], "v": v, "b": fill, "u": fill.copy()})
+        out.loc[len(v) - len(ids) :, "b"], out.loc[len(v) - len(ids) :, "u"] = b, u
+        return out
+
+    cells = t.groupBy(*key).cogroup(px.toDF(*px.columns).groupBy(*key)).applyInPandas(run, f"tile {kind}, i long, j long, v double, b double, u double")
+    return cells.groupBy("tile", "i", "j").agg(*[F.sum(c).alias(c) for c in ("v", "b", "u")])
 
 
 def normal_matrix(templates: DataFrame, pixels: DataFrame, sky: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(tile, i, j, v) with i <= j, and (tile, i, b). templates: tile, id, x, y, t (a pixel of a source once); pixels: tile, x, y, d, w."""
-    stack = stacked(templates, pixels)
-    one = single_sums(stack)
-    n = one.select("tile", "i", F.col("i").alias("j"), "v").unionByName(pair_sums(stack))
-    b = one.select("tile", "i", "b")
+    """(tile, i, j, v) with i <= j, and (tile, i, b); with sky its rows too. See pixel_sums."""
+    rows = pixel_sums(templates, pixels)
+    one = rows.where("i = j")
+    n, b = rows.select("tile", "i", "j", "v"), one.select("tile", "i", "b")
     if sky:
         own = sky_sums(pixels)
         n = n.unionByName(one.select("tile", F.lit(SKY).alias("i"), F.col("i").alias("j"), F.col("u").alias("v"))).unionByName(own.select("tile", F.lit(SKY).alias("i"), F.lit(SKY).alias("j"), "v"))
@@ -215,24 +236,20 @@ def in_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(names.select("tile", F.col("id").alias("i"), "root"), ["tile", "i"], "left").withColumn("part", F.coalesce("root", "i")).drop("root")
 
 
-def triplets(templates: DataFrame, pixels: DataFrame, sky: bool) -> tuple[DataFrame, DataFrame]:
-    """(tile, i, j, v, b, u, part): an image's triplets; those of the diagonal carry b and, with sky, u."""
-    stack = stacked(templates, pixels)
-    nothing = F.lit(None).cast("double")
-    one = single_sums(stack).select("tile", "i", F.col("i").alias("j"), "v", "b", F.col("u") if sky else F.lit(0.0).alias("u"))
-    pairs = pair_sums(stack).select("tile", "i", "j", "v", nothing.alias("b"), nothing.alias("u"))
-    rows = cut(one.unionByName(pairs))
+def triplets(templates: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(tile, i, j, v, b, u, part): an image's triplets; those of the diagonal carry b and u."""
+    rows = cut(pixel_sums(templates, pixels))
     return in_parts(rows, rows.where("i <> j"))
 
 
 def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, strict: bool = False) -> DataFrame:
     """(tile, id, flux, information, variance, rank_ok). information is the template's own (the reported error ignores blending); variance is the full one. strict raises on dependent templates. With sky the image's constant is solved with all its sources and has the id SKY."""
-    rows = triplets(templates, pixels, sky)
+    rows = triplets(templates, pixels)
     kind = dict(templates.dtypes)["tile"]
 
     def part(key, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf.i == pdf.j].sort_values("i")
-        ids, rhs = own.i.to_numpy(np.int64), own[["b", "u"]].to_numpy(float)
+        ids, rhs = own.i.to_numpy(np.int64), own[["b", "u"]].to_numpy(float) * [1.0, sky]
         i, j, v = np.searchsorted(ids, pdf.i.to_numpy(np.int64)), np.searchsorted(ids, pdf.j.to_numpy(np.int64)), pdf.v.to_numpy(float)
         x, var, ok = np.zeros(rhs.shape), np.zeros(len(ids)), np.ones(len(ids), bool)
         for mine, at, a, b in by_component(ids, i, j):
@@ -307,12 +324,10 @@ def solve_bounded(templates: DataFrame, pixels: DataFrame, limits: DataFrame, sk
     least hold. With sky the image's constant, id SKY, has no bound, and an image is solved in
     one task; without, a component is.
     """
-    rows = triplets(templates, pixels, False)
+    rows = triplets(templates, pixels)
     if sky:
-        one = single_sums(stacked(templates, pixels))
         own = sky_sums(pixels)
-        none = F.lit(None).cast("double")
-        cross = one.select("tile", F.lit(SKY).alias("i"), F.col("i").alias("j"), F.col("u").alias("v"), none.alias("b"))
+        cross = rows.where("i = j").select("tile", F.lit(SKY).alias("i"), "j", F.col("u").alias("v"), F.lit(0.0).alias("b"))
         rows = rows.select("tile", "i", "j", "v", "b").unionByName(cross).unionByName(own.select("tile", F.lit(SKY).alias("i"), F.lit(SKY).alias("j"), "v", "b")).withColumn("part", F.lit(0).cast("long"))
     kind = dict(templates.dtypes)["tile"]
     ends = limits.select("tile", F.col("id").alias("i"), F.col("id").alias("j"), F.col("lower").cast("double").alias("lower"), F.col("upper").cast("double").alias("upper"))
