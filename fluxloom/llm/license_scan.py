@@ -8,7 +8,8 @@ at an end with k or fewer, the regex library's matching, bounded by that least n
 and the few characters it can reach, verifies the notice and reports its span.
 
 Edits may fall anywhere but in the words that tell notices apart (`KEY_WORDS`): the
-span must hold those of the notice and no others. What the span leaves of the words
+span must hold those of the notice and no others. A key word of three letters or more may
+have one edit, where no other one is as near ("mlt" is mit). What the span leaves of the words
 at its ends is k characters at most. Both searches read the words of the whole text,
 lower-cased and joined by one space, so line breaks and punctuation in a notice do not
 count.
@@ -49,9 +50,54 @@ NOTICES = [
     ("all rights reserved", "all-rights-reserved"),
     ("licensed under the mit license", "mit"),
     ("licensed under cc by sa", "cc-by-sa"),
+    ("licensed under the apache license", "apache"),
+    ("licensed under cc by nd", "cc-by-nd"),
+    ("licensed under cc by nc sa", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd", "cc-by-nc-nd"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("creative commons attribution noderivatives", "cc-by-nd"),
+    ("creative commons zero", "cc0"),
+    ("cc0 1 0 universal", "cc0"),
+    ("licensed under cc0", "cc0"),
+    ("permission to use copy modify and or distribute this software", "isc"),
+    ("licensed under the isc license", "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("licensed under the unlicense", "unlicense"),
+    ("mozilla public license 2 0", "mpl"),
+    ("mozilla public license version 2 0", "mpl"),
+    ("available under the gpl v2", "gpl"),
+    ("available under the gpl v3", "gpl"),
+    ("licensed under the gpl", "gpl"),
+    ("licensed under the lgpl", "lgpl"),
+    ("licensed under the agpl", "agpl"),
+    ("gnu lesser general public license", "lgpl"),
+    ("gnu affero general public license", "agpl"),
+    ("gnu free documentation license", "gfdl"),
+    ("eclipse public license", "epl"),
+    ("european union public licence", "eupl"),
+    ("artistic license 2 0", "artistic"),
+    ("boost software license", "bsl"),
+    ("business source license", "busl"),
+    ("licensed under the zlib license", "zlib"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("common development and distribution license", "cddl"),
+    ("microsoft public license", "ms-pl"),
+    ("sil open font license", "ofl"),
+    ("academic free license", "afl"),
+    ("open software license", "osl"),
+    ("ncsa open source license", "ncsa"),
+    ("licensed under the postgresql license", "postgresql"),
+    ("python software foundation license", "psf"),
+    ("open database license", "odbl"),
+    ("server side public license", "sspl"),
+    ("elastic license 2 0", "elastic"),
+    ("universal permissive license", "upl"),
+    ("redistributions of source code must retain the above copyright notice", "bsd"),
+    ("this project is dual licensed under", "dual"),
 ]
 #: Words that name a licence.
-KEY_WORDS = frozenset(b"mit apache gnu lesser affero cc by nc sa nd bsd mozilla creative commons isc mpl spdx".split())
+KEY_WORDS = frozenset(b"mit apache gnu lesser affero cc by nc sa nd bsd mozilla creative commons isc mpl spdx cc0 zero sharealike noncommercial noderivatives unlicense gpl lgpl agpl v2 v3 eclipse artistic boost business zlib microsoft sil academic ncsa postgresql python database elastic".split())
 
 
 @dataclass(frozen=True)
@@ -71,6 +117,7 @@ class NoticeSearch:
 
         self.key_words = key_words if key_words is not None else frozenset() if notices else KEY_WORDS
         notices = notices or NOTICES
+        self.known = {w for text, _ in notices for w in text.encode().split()} | self.key_words
 
         self.notices, seeds = [], {}
         for n, (text, label) in enumerate(notices):
@@ -132,8 +179,25 @@ class NoticeSearch:
         after = 0 if words[h.end - 1 : h.end] == b" " else (end if end >= 0 else len(words)) - h.end
         if before + after > k:
             return False
-        keys = lambda t: sorted(w for w in t.split() if w in self.key_words)
-        return keys(words[h.start - before : h.end + after]) == keys(text)
+        there = words[h.start - before : h.end + after].split()
+        whole = range(bool(before), len(there) - bool(after))  # words of which the span leaves nothing
+        named = [w if w in self.key_words else self.near_key(w) if i in whole else None for i, w in enumerate(there)]
+        return sorted(w for w in named if w) == sorted(w for w in text.split() if w in self.key_words)
+
+    def near_key(self, word: bytes) -> bytes | None:
+        """The only key word of three letters or more that is one edit from a word that no notice has."""
+        if word in self.known or len(word) < 2:
+            return None
+        near = [w for w in self.key_words if len(w) > 2 and one_edit(w, word)]
+        return near[0] if len(near) == 1 else None
+
+
+def one_edit(a: bytes, b: bytes) -> bool:
+    """Whether one letter put in, left out or changed makes b of a."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
 
 
 def nearest_end(words: bytes, a: int, b: int, masks: dict[int, int], size: int, k: int) -> tuple[int, int] | None:

@@ -131,7 +131,14 @@ def test_license_notices_are_told_apart():
     for notice, label in license_scan.NOTICES:
         within = {other for text, other in license_scan.NOTICES if f" {text} " in f" {notice} "}
         assert label in within and labels(notice) == within, notice
-    assert labels("licensed under the isc license") == set() and labels("released under the mlt license") == set()
+    assert labels("licensed under the isc license") == {"isc"} and labels("released under the mlt license") == {"mit"}
+    assert labels("licensed under the xsc license") == {"isc"} and labels("licensed under the old license") == set() == labels("licensed under the license")
+    for t, want in (("permission to use copy modify and or distribute this software", "isc"), ("licensed under the unlicense", "unlicense"), ("creative commons zero", "cc0"), ("mozilla public license 2 0", "mpl"), ("available under the gpl v3", "gpl")):
+        assert labels(t) == {want}
+    assert labels("licensed under the apache licence") == {"apache"} and labels("the mozila public license 2 0") == {"mpl"}
+    words = [b"mit", b"mits", b"mt", b"imt", b"bit", b"mit", b"xx", b"mitra", b"t", b""]
+    slow = lambda a, b: a != b and any(b == a[:k] + m + a[k + d :] for k in range(len(a) + 1) for d in (0, 1) for m in (b"", *(bytes([c]) for c in range(97, 123))))
+    assert all(license_scan.one_edit(a, b) == slow(a, b) for a in words for b in words)
     assert labels("licensd under the mit licence") == {"mit"} and labels("licensed under the bsd licens") == {"bsd"}
     assert labels("licensed under cc by 4 0") == {"cc-by"} and labels("licensd under cc by sa") == {"cc-by", "cc-by-sa"}  # "cc by" stands there too
     assert "gpl" not in labels(license_scan.NOTICES[4][0].replace("gnu general", "gnu lesser general"))
