@@ -40,13 +40,11 @@ def main(argv: list[str] | None = None) -> None:
     def band(name: str, image: str) -> pipeline.Band:
         with fits.open_input(image) as f:
             head, _ = fits.image_unit(f)
-        w = [float(head.get(k, 0.0)) for k in ("CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CD1_1", "CD1_2", "CD2_1", "CD2_2")]
-        w[2], w[3] = w[2] - 1, w[3] - 1
-        wcs = dict(zip(("crval1", "crval2", "crpix1", "crpix2", "cd11", "cd12", "cd21", "cd22"), w, strict=True))
+        wcs = fits.wcs_of(head)
         rows = spark.read.format("fits_image").load(image)
         px = rows.select(F.lit(0).cast("long").alias("tile"), "y", F.posexplode("values").alias("x", "d")).select("tile", "x", "y", "d", units.invvar_from_rms(F.lit(a.rms), F.col("d")).alias("w")).withColumn("d", units.known(F.col("d"), 0.0))
-        scale = abs(w[4] * w[7] - w[5] * w[6]) ** 0.5 * 3600
-        return pipeline.Band(name, px, pipeline.gaussian_psf(a.psf_fwhm), wcs, head["NAXIS1"], head["NAXIS2"], scale)
+        scale = abs(wcs["cd11"] * wcs["cd22"] - wcs["cd12"] * wcs["cd21"]) ** 0.5 * 3600
+        return pipeline.Band(name, px, pipeline.gaussian_psf(a.psf_fwhm), wcs, *fits.size_of(head), scale)
 
     bands = [band(a.band, a.image), *(band(*more.split("=", 1)) for more in a.more)]
     cfg = RunConfig(a.ra, a.dec, a.size, tuple(b.name for b in bands), {"mode": "coords" if a.coords else a.prior}, with_flags=not a.no_flags)

@@ -185,6 +185,39 @@ class FitsImage(DataSource):
         return _Reader(self.options)
 
 
+def wcs_of(head: dict) -> dict:
+    """A header's tangent projection as the other modules take it: places counted from 0."""
+    get = lambda k, z=0.0: float(head.get(k, z))
+    return {"crval1": get("CRVAL1"), "crval2": get("CRVAL2"), "crpix1": get("CRPIX1") - 1, "crpix2": get("CRPIX2") - 1, "cd11": get("CD1_1"), "cd12": get("CD1_2"), "cd21": get("CD2_1"), "cd22": get("CD2_2")}
+
+
+#: Largest difference of two grids' matrices (degrees a pixel): a fixed value.
+SAME_GRID = 1e-12
+
+
+def aligned(spark: SparkSession, path: str, wcs: dict, width: int, height: int, hdu: str | None = None):
+    """(rows, wcs): rows (y, values) of another plane on the pixels of an image (its projection, width and height), and that projection as the plane has it.
+
+    The planes share a grid, and lie apart by the rounded difference of their reference
+    pixels. Only the byte ranges of these pixels are read. Other grids, and an image that
+    reaches beyond the plane, are errors.
+    """
+    from pyspark.sql import functions as F
+
+    with open_input(path) as f:
+        head, _ = image_unit(f, hdu)
+    there, (full_w, full_h) = wcs_of(head), size_of(head)
+    if any(abs(there[k] - wcs[k]) > SAME_GRID for k in ("cd11", "cd12", "cd21", "cd22")):
+        raise ValueError("the grids of plane and image differ")
+    x0, y0 = (int(round(there[k] - wcs[k])) for k in ("crpix1", "crpix2"))
+    if x0 < 0 or y0 < 0 or x0 + width > full_w or y0 + height > full_h:
+        raise ValueError("the image reaches beyond the plane")
+    register(spark)
+    rows = spark.read.format("fits_image").option("x", f"{x0},{x0 + width}")
+    rows = (rows.option("hdu", hdu) if hdu else rows).load(path).where((F.col("y") >= y0) & (F.col("y") < y0 + height))
+    return rows.select((F.col("y") - y0).alias("y"), "values"), there | {"crpix1": there["crpix1"] - x0, "crpix2": there["crpix2"] - y0}
+
+
 def card(k, v) -> str:
     if isinstance(v, bool):
         body = f"{'T' if v else 'F':>20}"

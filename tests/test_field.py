@@ -638,3 +638,17 @@ def test_prf_grids_from_files(spark, tmp_path):
     positions = spark.createDataFrame([(1, 269.5, 67.3)], "node long, ra double, dec double")
     stacked = prf_grids.samples(psf.grid_settings(None, None, {"cryo"}), WCS, 0.6, 21, positions=positions, exposures=exposures, prfs=one["cryo"]).collect()
     assert [(r.id, r.width, r.n_frames) for r in stacked] == [(1, 21, 1)] and abs(sum(stacked[0].stamp) - 1) < 1e-9
+
+
+def test_planes_are_aligned_by_their_reference_pixels(spark, tmp_path):
+    a = np.arange(150 * 200, dtype=float).reshape(150, 200)
+    head = {"CRVAL1": 10.0, "CRVAL2": 2.0, "CRPIX1": 90.3, "CRPIX2": 80.6, "CD1_1": -1e-4, "CD1_2": 0.0, "CD2_1": 0.0, "CD2_2": 1e-4}
+    path = str(tmp_path / "mosaic.fits")
+    fits.write_image(path, a, head)
+    image_ = fits.wcs_of(head) | {"crpix1": 89.3 - 30.2, "crpix2": 79.6 - 40}
+    rows, wcs = fits.aligned(spark, path, image_, 50, 25)
+    assert [r["values"] for r in rows.orderBy("y").collect()] == a[40:65, 30:80].tolist() and [r.y for r in rows.orderBy("y").collect()] == list(range(25))
+    assert abs(wcs["crpix1"] - 59.3) < 1e-9 and abs(wcs["crpix2"] - 39.6) < 1e-9
+    for wrong, size in ((image_ | {"cd11": -1.1e-4}, 25), (image_ | {"crpix1": 95.0}, 25), (image_, 140)):
+        with pytest.raises(ValueError):
+            fits.aligned(spark, path, wrong, 50, size)
