@@ -114,8 +114,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     document is never parted, however long.
 
     Documents are dealt out by sampled id ranges, texts once over the network. Null
-    ids come first. A null text is empty: its only id is end_id. An empty table
-    gives files without documents.
+    ids come first. A null text is empty: its only id is end_id. Rows repeated in the
+    table are written as often as they stand there; other columns are left behind. An
+    empty table gives files without documents. A document whose coded ids take 2 GB or more
+    makes a file that Spark does not read back as one row: an error on reading.
     """
     spark = docs.sparkSession
     common.tuned(spark)

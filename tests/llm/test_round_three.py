@@ -7,9 +7,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from fluxloom.llm import fill_in_middle, importance, mixing
+from fluxloom.llm import bpe, fill_in_middle, importance, mixing, suffix_dedup, token_files, window_dedup
+from fluxloom.llm import files as llm_files
 from tests.llm.test_operators import SCHEMA, corpus, counted, plain_words, space_words
 
 
@@ -206,3 +208,54 @@ def test_the_mixture_has_the_words_taken(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, max_epochs=0)
+
+
+# very long texts ---------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """A text of 60,000 words that says two passages twice, one of a single long word, and a short one that shares a passage."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 8))) for _ in range(60_000)]
+    words[50_000:50_080], words[30_000:30_070] = words[100:180], words[20_000:20_070]
+    return [(1, " ".join(words)), (2, "q" * 150_000), (3, "before " + " ".join(words[40_000:40_090]) + " after")]
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark, long_texts):
+    return spark.createDataFrame(long_texts, "doc_id long, text string")
+
+
+def test_suffix_dedup_of_long_texts(long_docs, long_texts):
+    seen = collections.Counter(t[k : k + 200] for _, t in long_texts for k in range(len(t) - 199) if t[0] != "q")
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.dedup(long_docs).collect()}
+    for i, t in long_texts:
+        gone = np.zeros(len(t) + 1, int)
+        for k in range(len(t) - 199):
+            if t[0] == "q" or seen[t[k : k + 200]] > 1:
+                gone[k] += 1
+                gone[k + 200 if k + 200 <= len(t) else len(t)] -= 1
+        assert got[i] == "".join(c for c, g in zip(t, np.cumsum(gone), strict=False) if not g)
+    assert got[2] == "" and 0 < len(got[1]) < len(long_texts[0][1])
+
+
+@pytest.mark.parametrize("bounds", [{}, {"broadcast_bytes": 0}])
+def test_window_dedup_of_long_texts(long_docs, long_texts, bounds):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in window_dedup.dedup(long_docs, **bounds).collect()}
+    words = dict((i, t.split()) for i, t in long_texts)
+    assert got[1] == (60_000, 0, long_texts[0][1]) and got[2] == (1, 0, long_texts[1][1])  # a document's own repeats stay
+    assert got[3] == (92, 90, "before after") and len(words[3]) == 92
+
+
+def test_token_files_of_long_texts(spark, long_docs, long_texts):
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.vocabulary_path())
+    lib.no_truncation()
+    lib.no_padding()
+    folder = llm_files.new_folder(spark, "long-ids")
+    manifest = token_files.write_token_files(long_docs, folder, shards=2, roll=50_000)
+    start = 0
+    for (i, t), r in zip(long_texts, token_files.read_token_files(spark, folder, manifest).orderBy("doc").collect(), strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids + [2]
+        assert (r.doc, r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(want), np.array(want, "<u4").tobytes())
+        start += len(want)
