@@ -20,14 +20,7 @@ def median(c: Column) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
-def with_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    """df with aggregates of its group as columns. The aggregates are joined back, so a large group is not gathered in one task."""
-    if not keys:
-        return df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
-    return df.join(df.groupBy(*keys).agg(*aggs), keys)
-
-
-def whole_quantiles(df: DataFrame, value: Column, shares: list[float], most: int = 100_000) -> list[float | None]:
+def whole_quantiles(df: DataFrame, value: Column, shares: list[float], most: int = 400_000) -> list[float | None]:
     """Exact quantiles (linear between neighbours) of a whole table; None of no rows.
 
     A quantile's rank is bracketed by approximate ones, and the bracket narrowed until
