@@ -44,13 +44,14 @@ def pixel_sums(templates: DataFrame, pixels: DataFrame) -> DataFrame:
     px = pixels.where("w > 0").select("tile", *[c.alias(n) for n, c in spot.items()], at, F.col("d").cast("double").alias("d"), F.col("w").cast("double").alias("w"))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        d, w = np.zeros(CELL * CELL), np.zeros(CELL * CELL)
-        d[right["at"]], w[right["at"]] = right.d, right.w
-        left = left[w[left["at"].to_numpy()] > 0]
-        ids, own = np.unique(left.id.to_numpy(np.int64), return_inverse=True)
-        where, t = left["at"].to_numpy(), left.t.to_numpy()
+        place, d, w = np.full(CELL * CELL, -1), right.d.to_numpy(), right.w.to_numpy()
+        place[right["at"]] = np.arange(len(right))
+        where = place[left["at"].to_numpy()]
+        seen = where >= 0
+        where, t = where[seen], left.t.to_numpy()[seen]
+        ids, own = np.unique(left.id.to_numpy(np.int64)[seen], return_inverse=True)
         b, u = (np.bincount(own, t * w[where] * q, len(ids)) for q in (d[where], 1.0))
-        plane = np.zeros((CELL * CELL, len(ids)))
+        plane = np.zeros((len(w), len(ids)))
         plane[where, own] = t
         heavy, i, j, v = plane * w[:, None], [], [], []
         for k in range(0, len(ids), 256):  # some columns at a time
