@@ -4,13 +4,17 @@ A document of label 1 is preferred to one of label 0; logistic loss on the
 differences of their features gives weights, so each document gets one number, its
 margin. The threshold is a quantile of the margins of the fitted sample: the share
 of label 0 in it. Scores are a logistic map of margins that puts that quantile at
-the stated score (0.3). Features are counts of a text's surface and its hashed words
-and character trigrams, all of the whole text.
+the stated score (0.3).
+
+Features are all of the whole text: what its bytes, words and lines are like (SURFACE,
+nothing that names a kind of junk), and its words and character trigrams, hashed into
+65,536 buckets. Of the buckets those get a weight in which the labels of the fitted
+sample differ most, so what a low text looks like is learned.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -20,47 +24,50 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SURFACE = ["bias", "log_words", "upper", "symbols", "exclaims", "bars", "word_repeats", "distinct", "word_chars", "digits", "lines", "line_repeats", "stops", "long_words"]
-#: Buckets of hashed words, and of hashed trigrams.
-BUCKETS = 128
+SURFACE = ["bias", "log_words", "upper", "digits", "marks", "foreign", "blanks", "entropy", "word_chars", "word_spread", "distinct", "word_repeats", "lines", "line_repeats", "line_ends"]
+#: Buckets of hashed words, and as many of hashed trigrams.
+BITS = 15
+BUCKETS = 1 << BITS
 WIDTH = len(SURFACE) + 2 * BUCKETS
-_SYMBOLS, _UPPER, _DIGITS, _STOPS = b"#*$%&<>", bytes(range(65, 91)), bytes(range(48, 58)), b".!?"
+_KINDS = np.array([1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 4 if b > 127 else 5 if b in b" \t\n\r\x0b\x0c" else 3 if 33 <= b < 127 and not 97 <= b < 123 else 0 for b in range(256)])
+#: A text's bytes are counted and hashed up to so many at a time, to a blank if there is one (longer words are cut).
+STRIDE = 1 << 16
 
 
 def surface(text: bytes) -> list[float]:
-    """Numbers of one text, each bounded; an empty text gives those of no words."""
+    """Numbers of one text, each from 0 to 1; an empty text gives those of no words."""
     words = text.split()
-    n, size = len(words), len(text)
-    per_word, per_byte = 1 / max(n, 1), 1 / max(size, 1)
-    gone = lambda chars: size - len(text.translate(None, chars))
-    lines = [x for x in text.split(b"\n") if x]
+    n, whole = len(words), np.frombuffer(text, np.uint8)
+    per_word, per_byte = 1 / max(n, 1), 1 / max(len(text), 1)
+    counts = np.zeros(256)
+    for k in range(0, len(whole), STRIDE):
+        counts += np.bincount(whole[k : k + STRIDE], minlength=256)
+    share = counts[counts > 0] * per_byte
+    kinds = np.bincount(_KINDS, counts, 6) * per_byte
+    lengths = np.fromiter(map(len, words), float, n) if n else np.zeros(1)
+    lines = [x for line in text.split(b"\n") if (x := line.strip())]
     return [
         1.0,
-        np.log1p(n) / 10,
-        gone(_UPPER) * per_byte,
-        min(1.0, gone(_SYMBOLS) * per_word / 3),
-        min(1.0, text.count(b"!!") * per_word),
-        min(1.0, text.count(b"|") * per_word),
-        sum(map(eq, words, words[1:])) * per_word,
+        min(1.0, np.log1p(n) / 20),
+        *kinds[1:],
+        -float(share @ np.log2(share)) / 8,
+        min(1.0, lengths.mean() / 20),
+        min(1.0, lengths.std() / 20),
         len(set(words)) * per_word,
-        min(1.0, sum(map(len, words)) * per_word / 20),
-        gone(_DIGITS) * per_byte,
+        sum(map(eq, words, words[1:])) * per_word,
         min(1.0, len(lines) * per_word),
         1 - len(set(lines)) / max(len(lines), 1),
-        min(1.0, gone(_STOPS) * per_word),
-        sum(len(w) > 30 for w in words) * per_word,
+        sum(x[-1] in b".!?" for x in lines) / max(len(lines), 1),
     ]
 
 
 _BLANKS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-#: A text's bytes are hashed up to so many at a time, to a blank if there is one (longer words are cut).
-STRIDE = 1 << 16
 _UP = np.cumprod(np.full(STRIDE + 1, 0x9E3779B97F4A7C15, np.uint64))
 _DOWN = np.cumprod(np.full(STRIDE + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Roots of the shares of words, and of trigrams, in each bucket (A-Z as a-z)."""
+def grams(text: bytes, buckets: np.ndarray | None = None) -> np.ndarray:
+    """Roots of the shares of words, and of trigrams (A-Z as a-z), in the buckets asked for (None: each); trigrams' follow words'."""
     out = np.zeros((2, BUCKETS))
     whole = np.frombuffer(text.translate(common.LOWER), np.uint8)
     with np.errstate(over="ignore"):
@@ -75,25 +82,32 @@ def grams(text: bytes) -> np.ndarray:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * _UP[: len(b)])])
             out[0] += np.bincount(common.mixed((total[past] - total[first]) * _DOWN[first]) % np.uint64(BUCKETS), minlength=BUCKETS)
             x = whole[k : end + 2].astype(np.uint32)
-            out[1] += np.bincount(((x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(25), minlength=BUCKETS)
+            out[1] += np.bincount(((x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=BUCKETS)
             k = end
-    return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1)).ravel()
+    share = 1 / np.maximum(out.sum(axis=1), 1)
+    if buckets is None:
+        return np.sqrt(out * share[:, None]).ravel()
+    return np.sqrt(out.ravel()[buckets] * share[buckets >> BITS])
 
 
-def features(text: bytes) -> np.ndarray:
-    return np.concatenate([surface(text), grams(text)]).astype(np.float32)
+def features(text: bytes, buckets: np.ndarray | None = None) -> np.ndarray:
+    return np.concatenate([surface(text), grams(text, buckets)]).astype(np.float32)
 
 
-def matrix(texts: list[bytes]) -> np.ndarray:
-    return np.array([features(t) for t in texts], np.float32).reshape(-1, WIDTH)
+def matrix(texts: list[bytes], buckets: np.ndarray | None = None) -> np.ndarray:
+    return np.array([features(t, buckets) for t in texts], np.float32).reshape(len(texts), WIDTH if buckets is None else len(SURFACE) + len(buckets))
 
 
 @dataclass(frozen=True)
 class Ranker:
-    weights: tuple[float, ...]
+    weights: tuple[float, ...]  # of SURFACE, then of the buckets
     cut: float  # the margin that gets the score `at`
     scale: float
     at: float
+    buckets: tuple[int, ...] = ()
+
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        return self.scores(matrix(texts, np.array(self.buckets, np.int64)))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = (x.astype(np.float64) @ np.array(self.weights) - self.cut) / self.scale + np.log(self.at / (1 - self.at))
@@ -143,19 +157,49 @@ def held_out(doc: Column) -> Column:
     return F.pmod(F.crc32(doc.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
-    """Fit on at most `most` labelled rows, the first by a hash of their id; held-out ids and null ids or labels are left out. What comes to the driver is `most` rows of 1 kB, or more only where ids are repeated in docs."""
+def telling(counts: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """The buckets, at most `most` and ascending, whose share of texts differs most between two labels, in standard deviations. counts: texts of label 0 and 1 that have each bucket; n: texts of each label."""
+    share = counts / np.maximum(n, 1)
+    both = counts.sum(axis=1) / max(n.sum(), 1)
+    far = np.abs(share[:, 1] - share[:, 0]) / np.sqrt(np.maximum(both * (1 - both), 1e-12))
+    best = np.argsort(-far, kind="stable")[:most]
+    return np.sort(best[counts[best].sum(axis=1) > 0])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_buckets: int = 2048, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
+    """Fit on at most `most` labelled rows, the first by a hash of their id; held-out ids and null ids or labels are left out.
+
+    Two passes over that sample: one counts, for each bucket, the texts of each label that
+    have it (65,536 numbers, whatever the corpus), the other brings SURFACE and the
+    `most_buckets` most telling buckets. What comes to the driver is `most` rows of 8 kB,
+    or more only where ids are repeated in docs.
+    """
     common.tuned(docs.sparkSession)
     doc = F.col(id_col).cast("long")
     chosen = labels.select(doc.alias("doc"), F.col(label_col).cast("int").alias("y")).where("doc is not null and y in (0, 1)").where(~held_out(F.col("doc"))).orderBy(F.xxhash64("doc"), "doc", "y").limit(most)
     joined = common.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc").select("doc", "y", "text")  # at most `most` rows of 12 bytes
 
+    def seen(batches):
+        counts = np.zeros((2, 2 * BUCKETS + 1), np.int64)  # the last: texts
+        for b in batches:
+            for t, y in zip(common.texts(b), common.column(b, "y").to_pylist()):
+                counts[y, np.flatnonzero(grams(t))] += 1
+                counts[y, -1] += 1
+        y, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[y, at])], ["y", "bucket", "n"])
+
+    table = np.zeros((2 * BUCKETS + 1, 2))
+    for r in joined.mapInArrow(common.freeing(seen), "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).collect():
+        table[r.bucket, r.y] = r.n
+    buckets = telling(table[:-1], table[-1], most_buckets) if table[-1].all() else np.zeros(0, np.int64)
+
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "y"), pa.array([features(t).tobytes() for t in common.texts(b)], pa.binary())], ["doc", "y", "x"])
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "y"), pa.array([features(t, buckets).tobytes() for t in common.texts(b)], pa.binary())], ["doc", "y", "x"])
 
     rows = joined.mapInArrow(common.freeing(run), "doc long, y int, x binary").toPandas().sort_values(["doc", "y", "x"], kind="stable")
-    return fit_pairs(np.frombuffer(b"".join(rows.x), np.float32).reshape(-1, WIDTH), rows.y.to_numpy())
+    x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), len(SURFACE) + len(buckets))
+    return replace(fit_pairs(x, rows.y.to_numpy()), buckets=tuple(buckets.tolist()))
 
 
 def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +213,7 @@ def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), pa.array(ranker.scores(matrix(common.texts(b))))], schema=schema)
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), pa.array(ranker.of(common.texts(b)))], schema=schema)
 
     return common.keyed(docs, id_col, text_col).select("doc", "text").mapInArrow(common.freeing(run), "doc long, score double").withColumnRenamed("doc", id_col)
 
@@ -180,7 +224,7 @@ def accepted(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFra
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(ranker.scores(matrix(common.texts(b, text_col))) >= ranker.at))
+            yield b.filter(pa.array(ranker.of(common.texts(b, text_col)) >= ranker.at))
 
     return docs.mapInArrow(common.freeing(run), docs.schema)
 

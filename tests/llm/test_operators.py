@@ -713,6 +713,25 @@ def test_grams_are_hashed_words_and_trigrams():
     assert not quality_classifier.grams(b"").any() and quality_classifier.matrix([]).shape == (0, quality_classifier.WIDTH)
 
 
+def test_buckets_are_those_that_tell_labels_apart():
+    n = np.array([10, 30])
+    counts = np.array([[10, 30], [9, 0], [0, 0], [1, 29], [5, 15], [0, 3]])  # shares of label 0 and 1: equal, apart, none, apart, equal, a little apart
+    assert quality_classifier.telling(counts, n, 2).tolist() == [1, 3]
+    assert quality_classifier.telling(counts, n, 3).tolist() == [1, 3, 5]
+    assert quality_classifier.telling(counts, n, 9).tolist() == [0, 1, 3, 4, 5]  # buckets without a text get no weight
+
+
+def test_chosen_buckets_are_those_of_all():
+    t = b"Some words, some of THEM twice.\nsome words again " * 3
+    at = np.array([0, 5, 40, quality_classifier.BUCKETS - 1, quality_classifier.BUCKETS, 2 * quality_classifier.BUCKETS - 1])
+    at = np.unique(np.concatenate([at, np.flatnonzero(quality_classifier.grams(t))[::3]]))
+    assert np.array_equal(quality_classifier.grams(t, at), quality_classifier.grams(t)[at])
+    assert quality_classifier.matrix([t, b""], at).shape == (2, len(quality_classifier.SURFACE) + len(at))
+    long = np.array(quality_classifier.surface(t * 3000))
+    assert (long >= 0).all() and (long <= 1).all() and np.allclose(long[2:9], np.array(quality_classifier.surface(t))[2:9], atol=0.02)
+    assert all(np.isfinite(quality_classifier.surface(x)).all() for x in (b"", b" ", b"\n\n", b"\xff" * 9, b"a"))
+
+
 def test_held_out_by_crc(spark):
     df = spark.range(50).select(F.col("id").alias("i"), quality_classifier.held_out(F.col("id")).alias("h"))
     assert all(r.h == (zlib.crc32(str(r.i).encode()) % 5 == 0) for r in df.collect())
