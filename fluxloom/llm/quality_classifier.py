@@ -120,7 +120,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, at: float = 0.3, n_pairs: int = 60_0
     k = x.shape[1] if x.ndim == 2 else WIDTH
     if not len(good) or not len(bad):
         return Ranker((0.0,) * k, 0.0, 1.0, at)
-    x = x.astype(np.float64)
+    x = np.asarray(x, np.float64)
     draw = np.random.default_rng(seed)
     i, j = draw.choice(good, n_pairs), draw.choice(bad, n_pairs)
     back = lambda c: x.T @ (np.bincount(i, c, len(x)) - np.bincount(j, c, len(x))) / n_pairs
@@ -166,18 +166,19 @@ def telling(counts: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     return np.sort(best[counts[best].sum(axis=1) > 0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_buckets: int = 2048, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
     """Fit on at most `most` labelled rows, the first by a hash of their id; held-out ids and null ids or labels are left out.
 
     Two passes over that sample: one counts, for each bucket, the texts of each label that
     have it (65,536 numbers, whatever the corpus), the other brings SURFACE and the
-    `most_buckets` most telling buckets. What comes to the driver is `most` rows of 8 kB,
-    or more only where ids are repeated in docs.
+    `most_buckets` most telling buckets. What comes to the driver is `most` rows of up to
+    6 kB (what is not zero), or more only where ids are repeated in docs; the fit holds
+    them as 8 kB each.
     """
     common.tuned(docs.sparkSession)
     doc = F.col(id_col).cast("long")
     chosen = labels.select(doc.alias("doc"), F.col(label_col).cast("int").alias("y")).where("doc is not null and y in (0, 1)").where(~held_out(F.col("doc"))).orderBy(F.xxhash64("doc"), "doc", "y").limit(most)
-    joined = common.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc").select("doc", "y", "text")  # at most `most` rows of 12 bytes
+    joined = common.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc").select("doc", "dig", "y", "text")  # at most `most` rows of 12 bytes
 
     def seen(batches):
         counts = np.zeros((2, 2 * BUCKETS + 1), np.int64)  # the last: texts
@@ -189,17 +190,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000, most_buckets: in
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[y, at])], ["y", "bucket", "n"])
 
     table = np.zeros((2 * BUCKETS + 1, 2))
-    for r in joined.mapInArrow(common.freeing(seen), "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).collect():
-        table[r.bucket, r.y] = r.n
+    found = joined.mapInArrow(common.freeing(seen), "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table[found["bucket"].to_numpy(), found["y"].to_numpy()] = found["n"].to_numpy()
     buckets = telling(table[:-1], table[-1], most_buckets) if table[-1].all() else np.zeros(0, np.int64)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "y"), pa.array([features(t, buckets).tobytes() for t in common.texts(b)], pa.binary())], ["doc", "y", "x"])
-
-    rows = joined.mapInArrow(common.freeing(run), "doc long, y int, x binary").toPandas().sort_values(["doc", "y", "x"], kind="stable")
-    x = np.frombuffer(b"".join(rows.x), np.float32).reshape(len(rows), len(SURFACE) + len(buckets))
-    return replace(fit_pairs(x, rows.y.to_numpy()), buckets=tuple(buckets.tolist()))
+            x = matrix(common.texts(b), buckets)
+            there = [np.flatnonzero(row).astype(np.uint16) for row in x]
+            packed = [pa.array([v.tobytes() for v in vs], pa.binary()) for vs in (there, [row[t] for row, t in zip(x, there)])]
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc"), common.column(b, "dig"), common.column(b, "y"), *packed], ["doc", "dig", "y", "at", "v"])
+
+    rows = joined.mapInArrow(common.freeing(run), "doc long, dig long, y int, at binary, v binary").toArrow()
+    order = np.lexsort([rows[c].to_numpy() for c in ("dig", "y", "doc")])
+    x = np.zeros((len(order), len(SURFACE) + len(buckets)))
+    for k, row in enumerate(order.tolist()):
+        x[k, np.frombuffer(rows["at"][row].as_py(), np.uint16)] = np.frombuffer(rows["v"][row].as_py(), np.float32)
+    y = rows["y"].to_numpy()[order]
+    del rows, found
+    return replace(fit_pairs(x, y), buckets=tuple(buckets.tolist()))
 
 
 def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
