@@ -8,16 +8,43 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fits_tables
+
 FORMATS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "json": "json", "orc": "orc"}
 
 
+#: Names that ECSV has for Spark's types.
+ECSV = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64", "boolean": "bool", "string": "string"}
+
+
+def write_ecsv(cat: DataFrame, path: str, metadata: dict | None = None, mode: str = "errorifexists") -> None:
+    """A folder of text whose parts, one after the other, are one ECSV table: the first holds the header with names, types and metadata. Null is an empty field, an empty string a quoted one."""
+    kinds = {f.name: f.dataType.simpleString() for f in cat.schema.fields}
+    if odd := [c for c, k in kinds.items() if k not in ECSV]:
+        raise ValueError(f"no ECSV type for {', '.join(odd)}")
+    head = ["%ECSV 1.0", "---", "delimiter: ','", "datatype:", *(f"- {{name: {json.dumps(c)}, datatype: {ECSV[k]}}}" for c, k in kinds.items())]
+    head += [f"meta: {json.dumps(metadata, sort_keys=True, default=str)}"] if metadata else []
+    names = ",".join(c if c.isidentifier() else '"' + c.replace('"', '""') + '"' for c in kinds)
+    lines = ["# " + line for line in [*head, "schema: astropy-2.0"]] + [names]
+    of = lambda c: F.when(F.col(c), "True").when(~F.col(c), "False") if kinds[c.strip("`")] == "boolean" else F.col(c)
+    rows = cat.select(F.to_csv(F.struct(*[of(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kinds)]), {"escape": '"'}).alias("value"))
+    cat.sparkSession.createDataFrame([(line,) for line in lines], "value string").coalesce(1).union(rows).write.mode(mode).text(path)
+
+
 def write_catalog(cat: DataFrame, path: str, metadata: dict | None = None, mode: str = "errorifexists") -> None:
-    """Write by extension (parquet without one) through Spark's committers, and metadata as path + ".meta"."""
+    """Write by extension (parquet without one) through Spark's committers, and metadata as path + ".meta". A FITS table is one file, in the order of id if there is one."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "parquet"
-    if ext not in FORMATS:
+    if ext == "fits":
+        if mode not in ("errorifexists", "error", "overwrite"):
+            raise ValueError(f"a FITS table is not written by mode {mode}")
+        fits_tables.write_table(cat, path, ["id"] if "id" in cat.columns else None, mode="overwrite" if mode == "overwrite" else "append")
+    elif ext == "ecsv":
+        write_ecsv(cat, path, metadata, mode)
+    elif ext in FORMATS:
+        w = cat.write.mode(mode).format(FORMATS[ext])
+        (w.option("header", True) if ext == "csv" else w).save(path)
+    else:
         raise ValueError(f"no writer for .{ext}")
-    w = cat.write.mode(mode).format(FORMATS[ext])
-    (w.option("header", True) if ext == "csv" else w).save(path)
     if metadata is not None:
         spark = cat.sparkSession
         metadata = {"written_utc": datetime.now(timezone.utc).isoformat(timespec="seconds")} | metadata

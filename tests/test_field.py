@@ -347,6 +347,79 @@ def test_fits_source(spark, tmp_path):
         spark.read.format("fits_image").option("hdu", "none").load(path).collect()
 
 
+def test_fits_tables_come_back(spark, tmp_path):
+    from datetime import date
+    from decimal import Decimal
+
+    from fluxloom.sources import fits_tables
+
+    kinds = "id long, n int, s short, ok boolean, f float, d double, name string, v array<double>, w array<int>, day date, dec decimal(8,2), c0 int"
+    rows = [(i, i * 3 if i % 5 else None, i % 7, None if i % 3 == 0 else i % 2 == 0, i / 2, None if i % 4 == 0 else i / 3, None if i % 6 == 0 else "é" * (i % 5) + "x", [i * 1.5] * (i % 4), None if i % 9 == 0 else [i, i + 1], date(2024, 1, 1 + i % 28), Decimal(i) / 4, -i) for i in range(300)]
+    df = spark.createDataFrame(rows, kinds).repartition(7)
+    path = f"{tmp_path}/t.fits"
+    fits_tables.write_table(df, path, ["id"], {"BAND": "VIS", "SIZE": 50.0})
+    raw = open(path, "rb").read()
+    assert len(raw) % 2880 == 0 and raw[2880:2888] == b"XTENSION"
+    back = fits_tables.read_table(spark, path)
+    assert dict(back.dtypes) == {"id": "bigint", "n": "int", "s": "int", "ok": "boolean", "f": "float", "d": "double", "name": "string", "v": "array<double>", "w": "array<int>", "day": "string", "dec": "double", "c0": "int"}
+    got = back.collect()  # in order, as written
+    assert [r.id for r in got] == list(range(300))
+    for r, (i, n, s, ok, f, d, name, v, w, day, dec, c0) in zip(got, rows):
+        assert (r.n, r.s, r.ok, r.f, r.name, r.day, r.dec, r.c0) == (n, s, ok, f, name or "", str(day), float(dec), c0)
+        assert np.isnan(r.d) if d is None else r.d == d
+        assert len(r.v) == 3 and r.v[: len(v)] == v and np.isnan(r.v[len(v) :]).all()
+        assert r.w == (w or [None] * 2)
+    some = spark.read.format("fits_table").option("rows", 40).option("columns", "name,id").load(f"{path},{path}")
+    assert some.columns == ["name", "id"] and some.rdd.getNumPartitions() == 16 and some.count() == 600 and some.agg(F.sum("id")).head()[0] == 2 * sum(range(300))
+    fits_tables.write_table(df.limit(0), f"{tmp_path}/none.fits", ["id"])
+    assert fits_tables.read_table(spark, f"{tmp_path}/none.fits").count() == 0
+    fits_tables.write_table(df.where("id < 3"), path, ["id"], mode="overwrite")
+    assert fits_tables.read_table(spark, path).count() == 3
+
+
+def test_fits_tables_refuse_what_they_cannot_hold(spark, tmp_path):
+    from fluxloom.sources import fits_tables
+
+    path = f"{tmp_path}/t.fits"
+    fits_tables.write_table(spark.range(4), path)
+    with pytest.raises(Exception, match="exists"):
+        fits_tables.write_table(spark.range(4), path)
+    with pytest.raises(ValueError, match="no form"):
+        fits_tables.write_table(spark.range(2).select(F.create_map("id", "id").alias("m")), f"{tmp_path}/m.fits")
+    with pytest.raises(ValueError, match="stands for null"):
+        fits_tables.write_table(spark.range(1).select(F.lit(-(1 << 31)).alias("a")), f"{tmp_path}/n.fits")
+    with pytest.raises(Exception, match="no column nothing"):
+        fits_tables.read_table(spark, path, columns=["nothing"])
+    with pytest.raises(Exception, match="no table X"):
+        fits_tables.read_table(spark, path, "X")
+    lost = spark.range(9).select(F.when(F.col("id") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        fits_tables.write_table(lost, f"{tmp_path}/lost.fits")
+    assert sorted(p.name for p in tmp_path.iterdir() if "fits" in p.name) == ["t.fits"]
+
+
+def test_fits_tables_of_other_writers(spark, tmp_path):
+    """Scaled integers, null values, forms that are passed over, and a table behind another unit."""
+    from fluxloom.sources import fits_tables
+
+    kind = np.dtype([("u", ">i2"), ("t", ">i4"), ("x", "u1", (2,)), ("p", ">i4", (2,)), ("k", ">i2"), ("l", "u1"), ("a", "S6")])
+    rows = np.zeros(5, kind)
+    rows["u"], rows["t"], rows["k"], rows["l"], rows["a"] = [-32768, 0, 1, 2, 32767], [1, -9, 3, -9, 5], [0, 10, 20, 30, 40], [84, 70, 0, 84, 70], [b"ab", b"c d ", b"", b"x\0y", b"abcdef"]
+    own = {"XTENSION": "BINTABLE", "BITPIX": 8, "NAXIS": 2, "NAXIS1": kind.itemsize, "NAXIS2": 5, "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": 7, "EXTNAME": "CAT"}
+    own |= {f"TFORM{k}": v for k, v in enumerate(("I", "1J", "11X", "1PE(3)", "1I", "L", "6A"), 1)} | {f"TTYPE{k}": v for k, v in enumerate("utxpkla", 1)}
+    own |= {"TZERO1": 32768, "TNULL2": -9, "TSCAL5": 0.5, "TZERO5": 1.0}
+    first = {"SIMPLE": True, "BITPIX": 8, "NAXIS": 0}
+    with open(f"{tmp_path}/o.fits", "wb") as f:
+        for head in (first, own):
+            f.write(fits.padded("".join([fits.card(k, v) for k, v in head.items()] + ["END".ljust(80)]).encode(), b" "))
+        f.write(fits.padded(rows.tobytes(), b"\0"))
+    got = fits_tables.read_table(spark, f"{tmp_path}/o.fits", "CAT")
+    assert got.columns == ["u", "t", "k", "l", "a"]
+    assert [tuple(r) for r in got.collect()] == [(0, 1, 1.0, True, "ab"), (32768, None, 6.0, False, "c d"), (32769, 3, 11.0, None, ""), (32770, None, 16.0, True, "x"), (65535, 5, 21.0, False, "abcdef")]
+    with pytest.raises(Exception, match="form X is not read"):
+        fits_tables.read_table(spark, f"{tmp_path}/o.fits", columns=["x"])
+
+
 def test_command_line_and_sinks(spark, tmp_path):
     at = str(tmp_path)
     d = image(POINTS)
@@ -362,6 +435,38 @@ def test_command_line_and_sinks(spark, tmp_path):
     assert sinks.cached(spark, f"{at}/cache", "SELECT  1", make).count() == sinks.cached(spark, f"{at}/cache", "SELECT 1", make).count() == 3 and len(made) == 1
 
 
+def test_command_line_takes_images_of_noise_and_psf(spark, tmp_path):
+    """Noise, variance and PSF from files, in another unit: the fluxes and errors of the plain run; FITS and ECSV catalogs hold the same rows."""
+    from fluxloom.sources import fits_tables
+
+    at, d, wcs = str(tmp_path), image(POINTS), {"CRVAL1": 269.5, "CRVAL2": 67.3, "CRPIX1": 32.5, "CRPIX2": 32.5, "CD1_1": -0.1 / 3600, "CD1_2": 0.0, "CD2_1": 0.0, "CD2_2": 0.1 / 3600}
+    fits.write_image(f"{at}/i.fits", d, wcs)
+    fits.write_image(f"{at}/n.fits", d / 3.631, wcs)
+    fits.write_image(f"{at}/rms.fits", np.full(d.shape, 0.3))
+    fits.write_image(f"{at}/var.fits", np.full(d.shape, (0.3 / 3.631) ** 2))
+    fits.write_image(f"{at}/psf.fits", pipeline.gaussian_psf(2.5))
+    fits_tables.write_table(as_catalog(spark, POINTS), f"{at}/c.fits", ["id"])
+    common = ["--ra", "269.5", "--dec", "67.3", "--size", "20", "--no-flags"]
+    cli.main(["run", f"{at}/c.fits", f"{at}/i.fits", f"{at}/a.fits", *common, "--rms", "0.3", "--psf-fwhm", "2.5"])
+    cli.main(["run", f"{at}/c.fits", f"{at}/i.fits", f"{at}/b.ecsv", *common, "--rms-image", f"{at}/rms.fits", "--psf", f"{at}/psf.fits", "--more", f"Y={at}/n.fits;variance_image={at}/var.fits;unit=nanomaggy"])
+    want = {r.id: r for r in fits_tables.read_table(spark, f"{at}/a.fits").collect()}
+    lines = [line for p in sorted(tmp_path.glob("b.ecsv/part-*")) for line in p.read_text().splitlines()]
+    assert lines[0] == "# %ECSV 1.0" and "# - {name: \"id\", datatype: int64}" in lines
+    names, *rows = [line.split(",") for line in lines if not line.startswith("#")]
+    got = {int(r["id"]): r for r in (dict(zip(names, row)) for row in rows)}
+    assert set(got) == set(want) == {1, 2, 3}
+    for i, r in got.items():
+        for band in ("vis", "y"):
+            assert np.isclose(float(r[f"flux_{band}_ujy"]), want[i].flux_vis_ujy, rtol=1e-4)
+            assert np.isclose(float(r[f"flux_err_{band}_ujy"]), want[i].flux_err_vis_ujy, rtol=1e-4)
+    with pytest.raises(SystemExit):
+        cli.main(["run", f"{at}/c.fits", f"{at}/i.fits", f"{at}/x.csv", *common, "--unit", "parsec"])
+    with pytest.raises(SystemExit):
+        cli.main(["run", f"{at}/c.fits", f"{at}/i.fits", f"{at}/x.csv", *common, "--more", "Y=i.fits;colour=red"])
+    with pytest.raises(ValueError, match="no ECSV type"):
+        sinks.write_ecsv(spark.range(1).select(F.array("id").alias("v")), f"{at}/v.ecsv")
+
+
 def test_exposure_lists(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# mjd ra dec pa t\n54000 10.0 1.0 30 100\n55000 10.01 1.0 0 30\n55000 50 1 0 30\nbad line\n")
     e = catalogs.exposure_table(spark, str(tmp_path / "e.txt"), 10.0, 1.0, 0.5)
