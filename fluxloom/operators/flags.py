@@ -24,14 +24,13 @@ def blend_flags(cat: DataFrame, radius_arcsec: float = 1.0, flux_ratio: float =
     radius does not make the others meet rows far away.
     """
     n = matching.others(cat, radius_arcsec, ("flux", "re"))
-    near = n.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("n_neighbors"), F.min("sep").alias("nearest_arcsec"), F.bool_or(known(F.col("right_flux"), 0.0) > flux_ratio * known(F.col("left_flux"), 0.0)).alias("bright"))
-    inside = n.where("sep < left_re")
+    bright, within = known(F.col("right_flux"), 0.0) > flux_ratio * known(F.col("left_flux"), 0.0), F.coalesce(F.col("sep") < F.col("left_re"), F.lit(False))
+    near = n.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("n_neighbors"), F.min("sep").alias("nearest_arcsec"), F.bool_or(bright).alias("bright"), F.bool_or(within).alias("inside"))
     large = cat.where(finite(F.col("re")) & (F.col("re") > radius_arcsec)).withColumn("_octave", F.floor(F.log2(F.col("re") / radius_arcsec)).cast("int"))
+    out = cat.join(near.hint("merge"), "id", "left")
     for k in sorted(r[0] for r in large.select("_octave").distinct().collect()):  # of a float, at most some two thousand
-        own = matching.pairs(large.where(F.col("_octave") == k), cat, min(radius_arcsec * 2.0 ** (k + 1), 180 * 3600.0), left_cols=("re",)).where("left_id <> right_id and sep < left_re")
-        inside = inside.select("left_id").unionByName(own.select("left_id"))
-    inside = inside.select(F.col("left_id").alias("id")).distinct().withColumn("inside", F.lit(True))
-    out = cat.join(near, "id", "left").join(inside, "id", "left")
+        own = matching.settled(large.where(F.col("_octave") == k), cat, min(radius_arcsec * 2.0 ** (k + 1), 180 * 3600.0), [F.lit(True).alias("_far")], left_cols=("re",), where="left_id <> right_id and sep < left_re")
+        out = out.join(own.hint("merge"), "id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)) | F.coalesce("_far", F.lit(False))).drop("_far")
     return out.withColumns(
         {
             "n_neighbors": F.coalesce("n_neighbors", F.lit(0)).cast("int"),
@@ -49,7 +48,7 @@ def source_flags(cat: DataFrame, bad_pixels: DataFrame, width: int, height: int,
     """
     star = F.coalesce(F.col("is_star") & (F.col("flux") > bright_ujy), F.lit(False))
     c = cat.withColumn("bright_star", star)
-    near = matching.pairs(c, c.where("bright_star"), near_arcsec, strict=True).where("left_id <> right_id").select(F.col("left_id").alias("id")).distinct().withColumn("near", F.lit(True))
+    near = matching.settled(c, c.where("bright_star"), near_arcsec, [F.lit(True).alias("near")], strict=True, where="left_id <> right_id")
     size = 2 * box + 1
     spots = c.select("id", "tile", F.rint("x").cast("int").alias("px"), F.rint("y").cast("int").alias("py"))
     cell = lambda v: F.floor(F.col(v) / size).cast("int")
