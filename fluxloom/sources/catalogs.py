@@ -91,8 +91,8 @@ def exposure_files(spark: SparkSession, path: str) -> DataFrame:
     return t.select("filename", F.regexp_extract("filename", r"_(\d{5,9})_", 1).alias("aor"), F.regexp_extract("filename", r"_(\d{4})_\d+_", 1).alias("exposure")).distinct()
 
 
-def covered(sources: DataFrame, exposures: DataFrame, width: int = 256, height: int = 256) -> DataFrame:
-    """Rows of sources (ra, dec) on the detector of one exposure at least. Sources meet the exposures whose centre is within a detector's diagonal, by cells."""
+def covered(sources: DataFrame, exposures: DataFrame, width: int = 256, height: int = 256, margin: float = 0.0) -> DataFrame:
+    """Rows of sources (ra, dec) on the detector of one exposure at least, from edge to edge of its pixels less a margin (pixels). Sources meet the exposures whose centre is within a detector's diagonal, by cells."""
     from ..operators import matching
 
     fields = ("crval1", "crval2", "cd11", "cd12", "cd21", "cd22")
@@ -105,7 +105,7 @@ def covered(sources: DataFrame, exposures: DataFrame, width: int = 256, height:
     near = matching.pairs(s.select(F.col("_row").alias("id"), "ra", "dec"), cut(e), 0.75 * max(width, height) * widest * 3600, left_cols=("ra", "dec"), right_cols=fields)
     w = {k: F.col(f"right_{k}") for k in fields} | {"crpix1": F.lit((width - 1) / 2), "crpix2": F.lit((height - 1) / 2)}
     p = sky.sky_to_pixel(F.col("left_ra"), F.col("left_dec"), w)
-    hit = near.where(sky.footprint(p["x"], p["y"], width, height)).select(F.col("left_id").alias("_row")).distinct()
+    hit = near.where(p["x"].between(margin - 0.5, width - 0.5 - margin) & p["y"].between(margin - 0.5, height - 0.5 - margin)).select(F.col("left_id").alias("_row")).distinct()
     return s.join(hit, "_row", "left_semi").drop("_row")
 
 
