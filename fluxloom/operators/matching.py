@@ -224,6 +224,41 @@ def nearest_sample(cat: DataFrame, samples: DataFrame, keys: tuple = (), first_a
     return none if found is None else cat.join(found, "id", "left")
 
 
+def nearest_on_plane(cat: DataFrame, samples: DataFrame, few: int = 64) -> DataFrame:
+    """id and sample_id of the sample (id, x, y) nearest to each row (id, x, y) in the plane; squared distances are rounded to six decimals, and ties go to the smaller id. Rows without a finite position are missing.
+
+    Up to `few` samples are compared in place, as one broadcast array. More of them meet rows
+    in square cells that double; what a circle of the cell's side holds is settled.
+    """
+    spot = lambda df: df.where(finite(F.col("x")) & finite(F.col("y"))).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rest, known, found = spot(cat), spot(samples), None
+    d2 = lambda x, y: F.round((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y), 6)
+    if known.limit(few + 1).count() <= few:
+        every = F.broadcast(known.agg(F.collect_list(F.struct("id", "x", "y")).alias("s")))  # one row
+        best = F.array_min(F.transform("s", lambda s: F.struct(d2(s["x"], s["y"]).alias("d2"), s["id"].alias("id"))))
+        return rest.repartition(tasks_of(cat), "id").crossJoin(every).select("id", best["id"].alias("sample_id"))
+    rest, known = cut(rest), cut(known)
+    n, *ends = known.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    own = rest.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    if own[0] is None:
+        return rest.select("id", F.lit(None).cast(samples.schema["id"].dataType).alias("sample_id"))
+    spans = [max(ends[k + 1], own[k + 1]) - min(ends[k], own[k]) for k in (0, 2)]
+    whole = max(math.hypot(*spans), 1e-9) * (1 + 1e-9) + 1e-3
+    side = min(whole, max(2 * math.sqrt(max((ends[1] - ends[0]) * (ends[3] - ends[2]), 0.0) / n), whole / 2**20))
+    while True:
+        cell = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
+        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        a = rest.withColumns({"_i": cell("x"), "_j": cell("y")})
+        b = known.select(F.col("id").alias("sample_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_a"), cell("y").alias("_b"), around.alias("k")).select("sample_id", "_x", "_y", (F.col("_a") + F.col("k.i")).alias("_i"), (F.col("_b") + F.col("k.j")).alias("_j"))
+        met = a.repartition(tasks_of(cat), "_i", "_j").join(b.repartition(tasks_of(cat), "_i", "_j").hint("merge"), ["_i", "_j"]).withColumn("d2", d2(F.col("_x"), F.col("_y")))
+        got = cut(met.where(F.col("d2") <= side * side * (1 - 1e-9) - 1e-6).groupBy("id").agg(F.min(F.struct("d2", "sample_id")).alias("m")).select("id", "m.sample_id"))
+        found = got if found is None else found.unionByName(got)
+        rest = cut(rest.join(got.select("id").hint("merge"), "id", "left_anti"))
+        if side > 1.01 * whole or not rest.head(1):
+            return found
+        side *= 2
+
+
 #: Landmarks in feature space, rings about each by distance, and rows of a block.
 LANDMARKS, RINGS, BLOCK = 64, 8, 256
 

@@ -45,3 +45,33 @@ def test_positional_joins_broadcast_only_what_is_counted(crowd):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan(matching.pairs(cat, cat, 1.0))
     assert "BroadcastHashJoin" in plan(matching.pairs(cat, cat.where("id < 9"), 1.0))
+
+
+def test_covered_sources_end_at_the_edge(spark):
+    from fluxloom.sources import catalogs
+
+    e = spark.createDataFrame([(10.0, 0.0, -1e-4, 0.0, 0.0, 1e-4)], "crval1 double, crval2 double, cd11 double, cd12 double, cd21 double, cd22 double")
+    src = spark.createDataFrame([(1, 10.0, 31.9e-4), (2, 10.0, 32.4e-4), (3, 10.0, -31.9e-4), (4, 10.0, -32.6e-4), (5, 10.0 - 32.6e-4, 0.0)], "id long, ra double, dec double")
+    assert sorted(r.id for r in catalogs.covered(src, e, 65, 65).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in catalogs.covered(src, e, 65, 65, margin=0.5).collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_nearest_on_the_plane(spark, few):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 40, (200, 2)) * 0.5, [*(rng.integers(0, 12, (30, 2)) * 1.5).tolist(), [90.0, 80.0]]  # many ties
+    cat = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(a)] + [(500, 200.0, 0.0), (501, None, 1.0)], "id long, x double, y double")
+    sam = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(b)], "id long, x double, y double")
+    want = {i: min((round((x - u) ** 2 + (y - v) ** 2, 6), k) for k, (u, v) in enumerate(b))[1] for i, (x, y) in [*enumerate(a.tolist()), (500, (200.0, 0.0))]}
+    assert {r.id: r.sample_id for r in matching.nearest_on_plane(cat, sam, few).collect()} == want
+
+
+def test_field_ids_beyond_64_bits(spark, tmp_path):
+    from fluxloom.plans import queries
+
+    rows = [(k, c) for k, c in ((1, 2), (4_300_000, 17), (8_999_999, 899_999), (10**12, 5))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {k: ((v := (k * 1000003 + c) * 2147483) >> 48 & 2047, v >> 32 & 65535, v >> 29 & 7, v >> 16 & 4095) for k, c in rows}
+    assert {r[0]: tuple(r[1:]) for r in queries.QUERIES["field_id_decode"](spark, str(tmp_path)).collect()} == want
