@@ -26,6 +26,8 @@ PIXEL = ["tile", "x", "y"]
 SKY = -(1 << 62)  # the id of the constant template
 #: Side of the cells in which templates and pixels meet.
 CELL = 64
+#: Pixels of a cell, in the mean, beyond which each cell is a group of its own.
+FULL = 256
 #: Triplets of an image that one task solves; beyond it components are told apart in tables.
 TRIPLETS = 2_000_000
 
@@ -34,39 +36,111 @@ def pixel_sums(templates: DataFrame, pixels: DataFrame) -> DataFrame:
     """(tile, i, j, v, b, u) with i <= j: sums of t_i t_j w; on the diagonal also those of t d w and t w.
 
     templates: tile, id, x, y, t (a pixel of a source once); pixels: tile, x, y, d, w. Both meet
-    in cells of CELL pixels, whose products are small dense matrices; cells' sums are added up
-    in each task before they meet.
+    in cells of CELL pixels, whose products are small dense matrices if they are full. Of sparse
+    ones, with few pixels each, a task takes many in one batch, in order. Sums are added up in each task before they meet.
     """
     kind, spot = dict(templates.dtypes)["tile"], {"_ci": F.floor(F.col("x") / CELL), "_cj": F.floor(F.col("y") / CELL)}
     at = (F.col("x") - F.floor(F.col("x") / CELL) * CELL + CELL * (F.col("y") - F.floor(F.col("y") / CELL) * CELL)).cast("int").alias("at")
     key = ["tile", "_ci", "_cj"]
-    t = templates.select("tile", *[c.alias(n) for n, c in spot.items()], at, F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"))
-    px = pixels.where("w > 0").select("tile", *[c.alias(n) for n, c in spot.items()], at, F.col("d").cast("double").alias("d"), F.col("w").cast("double").alias("w"))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        place, d, w = np.full(CELL * CELL, -1), right.d.to_numpy(), right.w.to_numpy()
-        place[right["at"]] = np.arange(len(right))
-        where = place[left["at"].to_numpy()]
-        seen = where >= 0
-        where, t = where[seen], left.t.to_numpy()[seen]
-        ids, own = np.unique(left.id.to_numpy(np.int64)[seen], return_inverse=True)
-        b, u = (np.bincount(own, t * w[where] * q, len(ids)) for q in (d[where], 1.0))
-        plane = np.zeros((len(w), len(ids)))
-        plane[where, own] = t
-        heavy, i, j, v = plane * w[:, None], [], [], []
-        for k in range(0, len(ids), 256):  # some columns at a time
-            n = plane.T @ heavy[:, k : k + 256]
-            p, q = np.nonzero(n)
-            use = p <= q + k
-            i.append(p[use]), j.append(q[use] + k), v.append(n[p[use], q[use]])
-        every = np.arange(len(ids))
-        i, j, v = np.concatenate([*i, every]), np.concatenate([*j, every]), np.concatenate([*v, np.zeros(len(ids))])
-        fill = np.zeros(len(v))
-        out = pd.DataFrame({"tile": key[0], "i": ids[i], "j": ids[j], "v": v, "b": fill, "u": fill.copy()})
-        out.loc[len(v) - len(ids) :, "b"], out.loc[len(v) - len(ids) :, "u"] = b, u
-        return out
-
-    cells = t.groupBy(*key).cogroup(px.toDF(*px.columns).groupBy(*key)).applyInPandas(run, f"tile {kind}, i long, j long, v double, b double, u double")
+    double = lambda c: F.col(c).cast("double")
+    t = templates.select("tile", *[c.alias(n) for n, c in spot.items()], at, F.col("id").cast("long").alias("id"), double("t").alias("t"), F.lit(0.0).alias("d"), F.lit(0.0).alias("w"), F.lit(False).alias("lit"))
+    px = pixels.where("w > 0").select("tile", *[c.alias(n) for n, c in spot.items()], at, F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("t"), double("d").alias("d"), double("w").alias("w"), F.lit(True).alias("lit"))
+
+    if (px.groupBy(*key).count().agg(F.avg("count")).head()[0] or 0) > FULL:
+        left, right = t.drop("d", "w", "lit"), px.drop("id", "t", "lit")
+
+        def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            place, d, w = np.full(CELL * CELL, -1), right.d.to_numpy(), right.w.to_numpy()
+            place[right["at"]] = np.arange(len(right))
+            where = place[left["at"].to_numpy()]
+            seen = where >= 0
+            where, t = where[seen], left.t.to_numpy()[seen]
+            ids, own = np.unique(left.id.to_numpy(np.int64)[seen], return_inverse=True)
+            b, u = (np.bincount(own, t * w[where] * q, len(ids)) for q in (d[where], 1.0))
+            plane = np.zeros((len(w), len(ids)))
+            plane[where, own] = t
+            heavy, i, j, v = plane * w[:, None], [], [], []
+            for k in range(0, len(ids), 256):  # some columns at a time
+                n = plane.T @ heavy[:, k : k + 256]
+                p, q = np.nonzero(n)
+                use = p <= q + k
+                i.append(p[use]), j.append(q[use] + k), v.append(n[p[use], q[use]])
+            every = np.arange(len(ids))
+            i, j, v = np.concatenate([*i, every]), np.concatenate([*j, every]), np.concatenate([*v, np.zeros(len(ids))])
+            fill = np.zeros(len(v))
+            out = pd.DataFrame({"tile": key[0], "i": ids[i], "j": ids[j], "v": v, "b": fill, "u": fill.copy()})
+            out.loc[len(v) - len(ids) :, "b"], out.loc[len(v) - len(ids) :, "u"] = b, u
+            return out
+
+        cells = left.groupBy(*key).cogroup(right.toDF(*right.columns).groupBy(*key)).applyInPandas(one, f"tile {kind}, i long, j long, v double, b double, u double")
+        return cells.groupBy("tile", "i", "j").agg(*[F.sum(c).alias(c) for c in ("v", "b", "u")])
+
+    def sums(f: pd.DataFrame) -> pd.DataFrame:
+        """Of whole cells, in order."""
+        new = (f[key] != f[key].shift()).any(axis=1).to_numpy()
+        cell = np.cumsum(new) - 1
+        place, lit = cell * np.int64(CELL * CELL) + f["at"].to_numpy(np.int64), f.lit.to_numpy(bool)
+        order = np.argsort(place[lit], kind="stable")
+        pixel, d, w = place[lit][order], f.d.to_numpy()[lit][order], f.w.to_numpy()[lit][order]
+        where = np.searchsorted(pixel, place)
+        seen = ~lit & (where < len(pixel))
+        seen[seen] = pixel[where[seen]] == place[seen]
+        where, t, cell, tiles = where[seen], f.t.to_numpy()[seen], cell[seen], f.tile.to_numpy()[new]
+        ids, own = np.unique(f.id[seen].to_numpy(np.int64), return_inverse=True)
+        order = np.lexsort((own, where))
+        where, t, cell, own = where[order], t[order], cell[order], own[order]
+        parts = [(cell, own, own, np.zeros(len(t)), t * w[where] * d[where], t * w[where])]
+        first = np.searchsorted(where, where, "left")
+        met, held = np.bincount(cell, minlength=len(tiles)), np.bincount(cell, np.searchsorted(where, where, "right") - first, len(tiles))
+        dense = held > 64 * np.maximum(met, 1)  # a pixel has many templates
+        ends = np.searchsorted(cell, np.arange(len(tiles) + 1))
+        for c in np.flatnonzero(dense):
+            rows = slice(ends[c], ends[c + 1])
+            spots, r = np.unique(where[rows], return_inverse=True)
+            mine, q = np.unique(own[rows], return_inverse=True)
+            plane = np.zeros((len(spots), len(mine)))
+            plane[r, q] = t[rows]
+            for k in range(0, len(mine), 256):  # some columns at a time
+                n = plane.T @ (plane[:, k : k + 256] * w[spots][:, None])
+                i, j = np.nonzero(n)
+                use = i <= j + k
+                i, j = i[use], j[use]
+                parts.append((np.full(len(i), c), mine[i], mine[j + k], n[i, j], np.zeros(len(i)), np.zeros(len(i))))
+        sparse = ~dense[cell]
+        step = 0
+        while sparse.any():  # each template with itself, the next on its pixel, and so on
+            a = np.flatnonzero(sparse[: len(t) - step])
+            a = a[where[a] == where[a + step]]
+            if not len(a):
+                break
+            parts.append((cell[a], own[a], own[a + step], t[a] * t[a + step] * w[where[a]], np.zeros(len(a)), np.zeros(len(a))))
+            step += 1
+        cell, i, j, v, b, u = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        image, named = pd.factorize(tiles, use_na_sentinel=False)
+        code, back = np.unique((image[cell] * len(ids) + i) * len(ids) + j, return_inverse=True)
+        v, b, u = (np.bincount(back, x, len(code)) for x in (v, b, u))
+        i, j = code // max(len(ids), 1) % max(len(ids), 1), code % max(len(ids), 1)
+        use = (v != 0) | (i == j)
+        return pd.DataFrame({"tile": named[code // max(len(ids), 1) ** 2], "i": ids[i], "j": ids[j], "v": v, "b": b, "u": u})[use]
+
+    def run(frames):
+        kept, n = [], 0
+        for f in frames:
+            kept.append(f)
+            n += len(f)
+            if n < 100_000:
+                continue
+            f = pd.concat(kept, ignore_index=True) if len(kept) > 1 else f
+            last = (f[key] == f[key].iloc[-1]).all(axis=1).to_numpy()  # may go on in the next batch
+            if not last.all():
+                yield sums(f[~last])
+                f = f[last].reset_index(drop=True)
+            kept, n = [f], len(f)
+        if n:
+            yield sums(pd.concat(kept, ignore_index=True))
+
+    tasks = int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = t.unionByName(px).repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(run, f"tile {kind}, i long, j long, v double, b double, u double")
     return cells.groupBy("tile", "i", "j").agg(*[F.sum(c).alias(c) for c in ("v", "b", "u")])
 
 

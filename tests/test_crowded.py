@@ -75,3 +75,29 @@ def test_field_ids_beyond_64_bits(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     want = {k: ((v := (k * 1000003 + c) * 2147483) >> 48 & 2047, v >> 32 & 65535, v >> 29 & 7, v >> 16 & 4095) for k, c in rows}
     assert {r[0]: tuple(r[1:]) for r in queries.QUERIES["field_id_decode"](spark, str(tmp_path)).collect()} == want
+
+
+def test_pixel_sums_of_sparse_and_of_crowded_cells(spark):
+    import numpy as np
+
+    from fluxloom.operators import solve
+
+    rng, base = np.random.default_rng(2), (1 << 60) + 1
+    px = [(1, x, y, float(rng.normal()), float(rng.uniform(-0.2, 1))) for x in range(8) for y in range(4)]
+    t = [(1, base + k, x, y, float(rng.uniform(0, 1))) for k in range(150) for x in range(8) for y in range(4)]  # 150 templates on a pixel
+    px += [(2, 40 * k, 0, float(k), 2.0) for k in range(600)]  # about one pixel a cell
+    t += [(2, base + k % 7 + m, 40 * k, 0, 0.5 + m) for k in range(650) for m in (0, 1)]
+    n, light = {}, {(p, x, y): (d, w) for p, x, y, d, w in px if w > 0}
+    at = {}
+    for p, i, x, y, v in t:
+        if (p, x, y) in light:
+            at.setdefault((p, x, y), []).append((i, v))
+    for k, own in at.items():
+        for i, v in own:
+            for j, u in own:
+                if i <= j:
+                    n[k[0], i, j] = n.get((k[0], i, j), 0) + u * v * light[k][1]
+    rows = solve.pixel_sums(spark.createDataFrame(t, "tile int, id long, x int, y int, t double"), spark.createDataFrame(px, "tile int, x int, y int, d double, w double")).collect()
+    assert len(rows) == len(n) and all(r.v == pytest.approx(n[r.tile, r.i, r.j], rel=1e-9) for r in rows)
+    b = {(p, i): sum(v * light[k][0] * light[k][1] for k, own in at.items() if k[0] == p for j, v in own if j == i) for p, i in {(r.tile, r.i) for r in rows}}
+    assert all(r.b == pytest.approx(b[r.tile, r.i], rel=1e-9, abs=1e-9) for r in rows if r.i == r.j)
