@@ -56,7 +56,7 @@ def source_flags(cat: DataFrame, bad_pixels: DataFrame, width: int, height: int,
     spots = spots.withColumn("d", reach).select("id", "tile", "px", "py", (cell("px") + F.col("d.i")).alias("cx"), (cell("py") + F.col("d.j")).alias("cy"))
     bad = bad_pixels.select("tile", F.col("x").alias("bx"), F.col("y").alias("by")).withColumns({"cx": cell("bx"), "cy": cell("by")})
     hit = spots.join(bad, ["tile", "cx", "cy"]).where((F.abs(F.col("px") - F.col("bx")) <= box) & (F.abs(F.col("py") - F.col("by")) <= box)).select("id").distinct().withColumn("hit", F.lit(True))
-    out = c.join(near, "id", "left").join(hit, "id", "left")
+    out = c.join(near.hint("merge"), "id", "left").join(hit.hint("merge"), "id", "left")
     out = out.withColumns(
         {
             "near_bright_star": F.coalesce("near", F.lit(False)) & ~F.col("bright_star"),

@@ -114,11 +114,11 @@ def template(model: str, x: float, y: float, psf: np.ndarray, re_pix: float | No
     return ix - stamp.shape[1] // 2, iy - stamp.shape[0] // 2, stamp
 
 
-def point_templates(sources: DataFrame, sigma_pix: float, half: int, width: int, height: int) -> DataFrame:
-    """(tile, id, x, y, t): Gaussian point templates of sources (tile, id, x, y) by expressions alone; unit sum on the full plane."""
+def point_templates(sources: DataFrame, sigma_pix: float, half: int, width: int, height: int, cols: tuple = ()) -> DataFrame:
+    """(tile, id, x, y, t, and the sources' cols): Gaussian point templates of sources (tile, id, x, y) by expressions alone; unit sum on the full plane."""
     span = lambda c, n: F.sequence(F.greatest(F.rint(c).cast("int") - half, F.lit(0)), F.least(F.rint(c).cast("int") + half, F.lit(n - 1)))
     inside = F.col("x").between(-half, width - 1 + half) & F.col("y").between(-half, height - 1 + half)
-    s = sources.where(inside).select("tile", "id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    s = sources.where(inside).select("tile", "id", F.col("x").alias("sx"), F.col("y").alias("sy"), *cols)
     p = s.withColumn("x", F.explode(span(F.col("sx"), width))).withColumn("y", F.explode(span(F.col("sy"), height)))
     d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-    return p.select("tile", "id", "x", "y", (F.exp(-d2 / (2 * sigma_pix**2)) / (2 * math.pi * sigma_pix**2)).alias("t"))
+    return p.select("tile", "id", "x", "y", (F.exp(-d2 / (2 * sigma_pix**2)) / (2 * math.pi * sigma_pix**2)).alias("t"), *cols)

@@ -32,12 +32,15 @@ FULL = 256
 TRIPLETS = 2_000_000
 
 
-def pixel_sums(templates: DataFrame, pixels: DataFrame) -> DataFrame:
+def pixel_sums(templates: DataFrame, pixels: DataFrame, full: bool | None = None, sky: bool = False) -> DataFrame:
     """(tile, i, j, v, b, u) with i <= j: sums of t_i t_j w; on the diagonal also those of t d w and t w.
 
     templates: tile, id, x, y, t (a pixel of a source once); pixels: tile, x, y, d, w. Both meet
     in cells of CELL pixels, whose products are small dense matrices if they are full. Of sparse
     ones, with few pixels each, a task takes many in one batch, in order. Sums are added up in each task before they meet.
+    Tables that are dealt by tile already are not shuffled for full cells. full: whether cells
+    are, if that is known; it is counted otherwise, and the sums are the same. With sky there
+    is a row more of each image, i = j = SKY: the sums of w (v) and of d w (b) of its pixels.
     """
     kind, spot = dict(templates.dtypes)["tile"], {"_ci": F.floor(F.col("x") / CELL), "_cj": F.floor(F.col("y") / CELL)}
     at = (F.col("x") - F.floor(F.col("x") / CELL) * CELL + CELL * (F.col("y") - F.floor(F.col("y") / CELL) * CELL)).cast("int").alias("at")
@@ -46,16 +49,20 @@ def pixel_sums(templates: DataFrame, pixels: DataFrame) -> DataFrame:
     t = templates.select("tile", *[c.alias(n) for n, c in spot.items()], at, F.col("id").cast("long").alias("id"), double("t").alias("t"), F.lit(0.0).alias("d"), F.lit(0.0).alias("w"), F.lit(False).alias("lit"))
     px = pixels.where("w > 0").select("tile", *[c.alias(n) for n, c in spot.items()], at, F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("t"), double("d").alias("d"), double("w").alias("w"), F.lit(True).alias("lit"))
 
-    if (px.groupBy(*key).count().agg(F.avg("count")).head()[0] or 0) > FULL:
-        left, right = t.drop("d", "w", "lit"), px.drop("id", "t", "lit")
-
-        def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            place, d, w = np.full(CELL * CELL, -1), right.d.to_numpy(), right.w.to_numpy()
-            place[right["at"]] = np.arange(len(right))
-            where = place[left["at"].to_numpy()]
+    if full is None:
+        full = (px.groupBy(*key).count().agg(F.avg("count")).head()[0] or 0) > FULL
+    if full:
+        left = t.select(*key, "at", "id", "t", "w")  # w is 0, and t a pixel's d where it is not
+        right = px.select(*key, "at", "id", F.col("d").alias("t"), "w")
+
+        def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+            lit, at, t = rows.w.to_numpy() > 0, rows["at"].to_numpy(), rows.t.to_numpy()
+            place, d, w = np.full(CELL * CELL, -1), t[lit], rows.w.to_numpy()[lit]
+            place[at[lit]] = np.arange(len(d))
+            where = place[at[~lit]]
             seen = where >= 0
-            where, t = where[seen], left.t.to_numpy()[seen]
-            ids, own = np.unique(left.id.to_numpy(np.int64)[seen], return_inverse=True)
+            where, t = where[seen], t[~lit][seen]
+            ids, own = np.unique(rows.id.to_numpy(np.int64)[~lit][seen], return_inverse=True)
             b, u = (np.bincount(own, t * w[where] * q, len(ids)) for q in (d[where], 1.0))
             plane = np.zeros((len(w), len(ids)))
             plane[where, own] = t
@@ -65,14 +72,14 @@ def pixel_sums(templates: DataFrame, pixels: DataFrame) -> DataFrame:
                 p, q = np.nonzero(n)
                 use = p <= q + k
                 i.append(p[use]), j.append(q[use] + k), v.append(n[p[use], q[use]])
-            every = np.arange(len(ids))
+            every, fill = np.arange(len(ids)), np.zeros(sum(map(len, v)))
             i, j, v = np.concatenate([*i, every]), np.concatenate([*j, every]), np.concatenate([*v, np.zeros(len(ids))])
-            fill = np.zeros(len(v))
-            out = pd.DataFrame({"tile": key[0], "i": ids[i], "j": ids[j], "v": v, "b": fill, "u": fill.copy()})
-            out.loc[len(v) - len(ids) :, "b"], out.loc[len(v) - len(ids) :, "u"] = b, u
-            return out
+            out = {"i": ids[i], "j": ids[j], "v": v, "b": np.concatenate([fill, b]), "u": np.concatenate([fill, u])}
+            if sky:
+                out = {c: np.append(x, y) for (c, x), y in zip(out.items(), (SKY, SKY, w.sum(), (d * w).sum(), 0.0), strict=True)}
+            return pd.DataFrame({"tile": key[0]} | out)
 
-        cells = left.groupBy(*key).cogroup(right.toDF(*right.columns).groupBy(*key)).applyInPandas(one, f"tile {kind}, i long, j long, v double, b double, u double")
+        cells = left.unionByName(right).groupBy(*key).applyInPandas(one, f"tile {kind}, i long, j long, v double, b double, u double")
         return cells.groupBy("tile", "i", "j").agg(*[F.sum(c).alias(c) for c in ("v", "b", "u")])
 
     def sums(f: pd.DataFrame) -> pd.DataFrame:
@@ -124,23 +131,13 @@ def pixel_sums(templates: DataFrame, pixels: DataFrame) -> DataFrame:
         return pd.DataFrame({"tile": named[code // max(len(ids), 1) ** 2], "i": ids[i], "j": ids[j], "v": v, "b": b, "u": u})[use]
 
     def run(frames):
-        kept, n = [], 0
-        for f in frames:
-            kept.append(f)
-            n += len(f)
-            if n < 100_000:
-                continue
-            f = pd.concat(kept, ignore_index=True) if len(kept) > 1 else f
-            last = (f[key] == f[key].iloc[-1]).all(axis=1).to_numpy()  # may go on in the next batch
-            if not last.all():
-                yield sums(f[~last])
-                f = f[last].reset_index(drop=True)
-            kept, n = [f], len(f)
-        if n:
-            yield sums(pd.concat(kept, ignore_index=True))
+        for f in whole_groups(frames, key, 100_000):
+            yield sums(f)
 
     tasks = int(templates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = t.unionByName(px).repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(run, f"tile {kind}, i long, j long, v double, b double, u double")
+    if sky:
+        cells = cells.unionByName(sky_sums(pixels).select("tile", F.lit(SKY).alias("i"), F.lit(SKY).alias("j"), F.col("v").cast("double").alias("v"), F.col("b").cast("double").alias("b"), F.lit(0.0).alias("u")))
     return cells.groupBy("tile", "i", "j").agg(*[F.sum(c).alias(c) for c in ("v", "b", "u")])
 
 
@@ -317,29 +314,62 @@ def triplets(templates: DataFrame, pixels: DataFrame) -> DataFrame:
     return in_parts(rows, rows.where("i <> j"))
 
 
-def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, strict: bool = False) -> DataFrame:
+def whole_groups(frames, key: list[str], least: int):
+    """Frames of `least` rows or more, each of whole groups, of batches that are sorted by key."""
+    kept, n = [], 0
+    for f in frames:
+        kept.append(f)
+        n += len(f)
+        if n < least:
+            continue
+        f = pd.concat(kept, ignore_index=True) if len(kept) > 1 else f
+        last = (f[key] == f[key].iloc[-1]).all(axis=1).to_numpy()  # may go on in the next batch
+        if not last.all():
+            yield f[~last]
+            f = f[last].reset_index(drop=True)
+        kept, n = [f], len(f)
+    if n:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, strict: bool = False, full: bool | None = None) -> DataFrame:
     """(tile, id, flux, information, variance, rank_ok). information is the template's own (the reported error ignores blending); variance is the full one. strict raises on dependent templates. With sky the image's constant is solved with all its sources and has the id SKY."""
-    rows = triplets(templates, pixels)
+    every = cut(pixel_sums(templates, pixels, full, sky))
+    rows = every.where(F.col("i") != SKY)
+    rows = in_parts(rows, rows.where("i <> j"))
     kind = dict(templates.dtypes)["tile"]
 
-    def part(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.i == pdf.j].sort_values("i")
+    def solved_groups(f: pd.DataFrame) -> pd.DataFrame:
+        """Of whole (tile, part) groups, in order; a group's links are within it."""
+        group = np.cumsum((f[["tile", "part"]] != f[["tile", "part"]].shift()).any(axis=1).to_numpy())
+        i, j = f.i.to_numpy(np.int64), f.j.to_numpy(np.int64)
+        known = np.unique(i[i == j])
+        i, j = (group * len(known) + np.searchsorted(known, x) for x in (i, j))
+        one = np.flatnonzero(i == j)
+        own = f.iloc[one[np.argsort(i[one])]]
+        nodes = np.sort(i[one])
+        i, j, v = np.searchsorted(nodes, i), np.searchsorted(nodes, j), f.v.to_numpy(float)
         ids, rhs = own.i.to_numpy(np.int64), own[["b", "u"]].to_numpy(float) * [1.0, sky]
-        i, j, v = np.searchsorted(ids, pdf.i.to_numpy(np.int64)), np.searchsorted(ids, pdf.j.to_numpy(np.int64)), pdf.v.to_numpy(float)
         x, var, ok = np.zeros(rhs.shape), np.zeros(len(ids)), np.ones(len(ids), bool)
         for mine, at, a, b in by_component(ids, i, j):
             x[mine], var[mine], rank = solve_any(a, b, v[at], rhs[mine])
             ok[mine] = rank == len(mine)
         if strict and not ok.all():
-            raise ValueError(f"templates of tile {key[0]} depend on each other: {ids[~ok][:5].tolist()}")
-        return pd.DataFrame({"tile": key[0], "id": ids, "flux": x[:, 0], "g": x[:, 1], "information": own.v.to_numpy(float), "variance": var, "rank_ok": ok, "ub": rhs[:, 1] * x[:, 0], "ug": rhs[:, 1] * x[:, 1]})
+            first = own.tile.to_numpy()[~ok][0]
+            raise ValueError(f"templates of tile {first} depend on each other: {ids[~ok & (own.tile.to_numpy() == first)][:5].tolist()}")
+        return pd.DataFrame({"tile": own.tile.to_numpy(), "id": ids, "flux": x[:, 0], "g": x[:, 1], "information": own.v.to_numpy(float), "variance": var, "rank_ok": ok, "ub": rhs[:, 1] * x[:, 0], "ug": rhs[:, 1] * x[:, 1]})
+
+    def run(frames):
+        for f in whole_groups(frames, ["tile", "part"], 10_000):
+            yield solved_groups(f)
 
     names = ["tile", "id", "flux", "information", "variance", "rank_ok"]
-    solved = rows.groupBy("tile", "part").applyInPandas(part, f"tile {kind}, id long, flux double, g double, information double, variance double, rank_ok boolean, ub double, ug double")
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile", "part").sortWithinPartitions("tile", "part")
+    solved = dealt.mapInPandas(run, f"tile {kind}, id long, flux double, g double, information double, variance double, rank_ok boolean, ub double, ug double")
     if not sky:
         return solved.select(*names)
     solved = cut(solved)
-    own = sky_sums(pixels).join(solved.groupBy("tile").agg(F.sum("ub").alias("ub"), F.sum("ug").alias("ug")), "tile", "left").na.fill(0.0, ["ub", "ug"])
+    own = every.where(F.col("i") == SKY).select("tile", "v", "b").join(solved.groupBy("tile").agg(F.sum("ub").alias("ub"), F.sum("ug").alias("ug")), "tile", "left").na.fill(0.0, ["ub", "ug"])
     rest = F.col("v") - F.col("ug")
     clear = rest > 1e-10 * F.col("v")  # else the templates make up a constant
     level = own.select("tile", F.when(clear, (F.col("b") - F.col("ub")) / rest).otherwise(0.0).alias("s"), F.col("v").alias("of_sky"), F.when(clear, 1 / rest).otherwise(float("inf")).alias("s_var"), clear.alias("clear"))

@@ -101,3 +101,30 @@ def test_pixel_sums_of_sparse_and_of_crowded_cells(spark):
     assert len(rows) == len(n) and all(r.v == pytest.approx(n[r.tile, r.i, r.j], rel=1e-9) for r in rows)
     b = {(p, i): sum(v * light[k][0] * light[k][1] for k, own in at.items() if k[0] == p for j, v in own if j == i) for p, i in {(r.tile, r.i) for r in rows}}
     assert all(r.b == pytest.approx(b[r.tile, r.i], rel=1e-9, abs=1e-9) for r in rows if r.i == r.j)
+
+
+def test_a_solve_of_tables_dealt_by_tile_moves_no_pixels(spark):
+    """Templates and pixels that stand together by tile meet without a shuffle; few images a batch are told apart."""
+    import numpy as np
+
+    from fluxloom.operators import render, solve
+    from fluxloom.plans import queries
+
+    src, px, t = queries.field(spark, "/root/testdata/sf0.001")
+    plan = solve.pixel_sums(t, px, full=True, sky=True)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("_ci" in x or " x#" in x or "(x#" in x)]
+    assert not dealt and "SortMergeJoin" not in plan
+    both = [{(r.tile, r.id): (r.flux, r.variance, r.information) for r in solve.solve_fluxes(t, px, sky=True, full=f).collect()} for f in (True, False)]
+    assert both[0].keys() == both[1].keys() and all(both[0][k] == pytest.approx(both[1][k], rel=1e-7, abs=1e-7) for k in both[0])
+    one = px.where("tile = 2").toPandas()
+    own = t.where("tile = 2").toPandas()
+    place = {(x, y): k for k, (x, y) in enumerate(zip(one.x, one.y))}
+    ids = sorted(own.id.unique())
+    a = np.zeros((len(one), len(ids) + 1))
+    a[:, -1] = 1
+    for r in own.itertuples():
+        a[place[r.x, r.y], ids.index(r.id)] = r.t
+    best = np.linalg.lstsq(a, one.d, rcond=None)[0]
+    assert [both[0][2, i][0] for i in [*ids, solve.SKY]] == pytest.approx(best.tolist(), rel=1e-6)
+    few = render.point_templates(src.where("id < 5"), 1.5, 8, 64, 64, ("flux",))
+    assert few.columns == ["tile", "id", "x", "y", "t", "flux"]
