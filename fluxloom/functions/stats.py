@@ -63,8 +63,8 @@ def whole_quantiles(df: DataFrame, value: Column, shares: list[float], most: int
 
 #: Values of a group that one task may gather (8 MB of them). The groups are counted first; beyond it nothing is gathered.
 MOST = 1_000_000
-#: Parts into which a round of the search splits a group.
-PARTS = 64
+#: Parts into which a round of the search splits a group, and the share on either side of the one asked for in the first.
+PARTS, NEAR = 64, 2e-3
 
 
 def largest(v: DataFrame, keys: list[str]) -> int:
@@ -106,16 +106,20 @@ def quantiles(v: DataFrame, keys: list[str], share: float, name: str = "_q") ->
     """keys, name, n: the exact quantile (linear between neighbours) of the finite values _v of each group.
 
     Groups of up to MOST values are gathered as counts. Of larger ones the rank is
-    bracketed by approximate quantiles, for all groups at once; values below and in the
-    bracket are counted in each task before they meet, and the bracket is narrowed until
+    bracketed by approximate quantiles, for all groups at once (first by two about the share,
+    then by a grid); values below and in the bracket are counted in each task before they meet, and the bracket is narrowed until
     it holds MOST values or one value fills it.
     """
-    whole = v.groupBy(*keys).agg(F.count("*").alias("n"))
     if largest(v, keys) <= MOST:
         return v.groupBy(*keys).agg(F.percentile("_v", F.lit(share)).alias(name), F.count("*").alias("n"))
     rank = (F.col("n") - 1) * share
     infinity = F.lit(math.inf)
-    state = cut(whole.select(*keys, "n", rank.alias("rank"), (-infinity).alias("lo"), infinity.alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("rows")).where("n > 0"))
+    ends = F.percentile_approx("_v", [max(0.0, share - NEAR), min(1.0, share + NEAR)], 10_000)
+    first = cut(v.groupBy(*keys).agg(F.count("*").alias("n"), ends.alias("e")).where("n > 0").select(*keys, "n", rank.alias("rank"), (F.get("e", F.lit(0)) if share > NEAR else -infinity).alias("a"), (F.get("e", F.lit(1)) if share < 1 - NEAR else infinity).alias("b")))
+    inside = F.col("_v").between(F.col("a"), F.col("b"))
+    counted = met(v, first, keys).groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", "rank", "a", "b")], F.count_if(F.col("_v") < F.col("a")).alias("less"), F.count_if(inside).alias("m"))
+    holds = (F.col("less") <= F.floor("rank")) & (F.ceil("rank") < F.col("less") + F.col("m"))
+    state = cut(counted.select(*keys, "n", "rank", *[F.when(holds, F.col(x)).otherwise(y).alias(z) for x, y, z in (("a", -infinity, "lo"), ("b", infinity, "hi"), ("less", F.lit(0).cast("long"), "below"), ("m", F.col("n"), "rows"))]))
     while (state.agg(F.max("rows")).head()[0] or 0) > MOST:
         wide = state.where(F.col("rows") > MOST)
         inside = met(v, wide, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import EXTINCTION, MAD_SCALE
 from ..functions import stats, units
+from ..functions.cut import cut
 from ..functions.small import small
 from ..functions.units import finite
 
@@ -90,8 +91,9 @@ def flux_ratio_bins(a: DataFrame, b: DataFrame, edges: list[float], snr: float =
     for k, (lo, hi) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
         bin_ = F.when((F.col("colour") >= lo) & (F.col("colour") < hi), F.lit(k)).otherwise(bin_)
     r = j.select((F.col("flux_b") / F.col("flux")).alias("ratio"), bin_.alias("bin")).where("bin is not null")
-    base = r.groupBy("bin").agg(F.count("*").alias("n"), stats.median(F.col("ratio")).alias("ratio_median"), F.count_if(F.abs(F.col("ratio") - 1) > 0.05).alias("n_off")).where(F.col("n") >= least)
-    return base.join(stats.mad_std(r, F.col("ratio"), ["bin"], "nmad").drop("n"), "bin")
+    r = cut(r)  # joined once, read by each step of the medians
+    base = r.groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("ratio") - 1) > 0.05).alias("n_off")).where(F.col("n") >= least)
+    return base.join(stats.medians(r, F.col("ratio"), ["bin"], "ratio_median").drop("n"), "bin", "left").join(stats.mad_std(r, F.col("ratio"), ["bin"], "nmad").drop("n"), "bin", "left")
 
 
 def stage_lookup(trials: DataFrame) -> DataFrame:

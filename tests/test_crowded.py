@@ -128,3 +128,29 @@ def test_a_solve_of_tables_dealt_by_tile_moves_no_pixels(spark):
     assert [both[0][2, i][0] for i in [*ids, solve.SKY]] == pytest.approx(best.tolist(), rel=1e-6)
     few = render.point_templates(src.where("id < 5"), 1.5, 8, 64, 64, ("flux",))
     assert few.columns == ["tile", "id", "x", "y", "t", "flux"]
+
+
+@pytest.mark.parametrize("most", [40, 1_000_000])
+def test_medians_of_joined_rows_do_not_join_again(spark, monkeypatch, most):
+    """Groups beyond what is gathered: no step of the medians repeats the join, and no task holds a group's values."""
+    import numpy as np
+
+    from fluxloom.functions import stats
+    from fluxloom.operators import catalog
+
+    monkeypatch.setattr(stats, "MOST", most)
+    rng = np.random.default_rng(4)
+    f, g = rng.uniform(10, 900, 700), rng.normal(1, 0.1, 700)
+    a = spark.createDataFrame([(i, float(x), 1.0, i % 3) for i, x in enumerate(f)], "id long, flux double, err double, colour int")
+    b = spark.createDataFrame([(i, float(x * y), 1.0) for i, (x, y) in enumerate(zip(f, g))], "id long, flux double, err double")
+    out = catalog.flux_ratio_bins(a, b, [0, 1, 2])
+    rec = catalog.recovery(a.select("id", "flux"), b, 10, 1000)
+    for df in (out, rec):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "[id#" not in plan and (most > 40 or "percentile(" not in plan)
+    use = (f > 5) & (f * g > 5)
+    for r in out.collect():
+        x = (f * g / f)[use & (np.arange(700) % 3 == r.bin)]
+        assert (r.n, r.n_off) == (len(x), int((abs(x - 1) > 0.05).sum())) and (r.ratio_median, r.nmad) == pytest.approx((np.median(x), 1.482602218505602 * np.median(abs(x - np.median(x)))), rel=1e-6)
+    got = {r.bin: r for r in rec.collect()}
+    assert got[-1].n == 700 and got[-1].ratio_median == pytest.approx(np.median(f * g / f)) and sum(r.n for k, r in got.items() if k >= 0) == 700
