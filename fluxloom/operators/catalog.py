@@ -54,9 +54,11 @@ def recovery(truth: DataFrame, measured: DataFrame, lo: float, hi: float, n_bins
     both = j.withColumn("bin", F.explode(F.array_compact(F.array(F.lit(-1), stats.log_bin(F.col("true_flux"), lo, hi, n_bins)))))
     good = finite(F.col("flux")) & (F.col("err") > 0)
     both = both.withColumns({"ratio": F.when(good & (F.col("true_flux") > 0), F.col("flux") / F.when(F.col("true_flux") > 0, F.col("true_flux"))), "pull": F.when(good, (F.col("flux") - F.col("true_flux")) / F.when(F.col("err") > 0, F.col("err")))})
-    base = both.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.col("found").cast("double")).alias("completeness"), stats.median(F.col("ratio")).alias("ratio_median"))
+    both = cut(both.select("bin", "found", "ratio", "pull"))  # joined once, read by each step of the medians
+    base = both.groupBy("bin").agg(F.count("*").alias("n"), F.avg(F.col("found").cast("double")).alias("completeness"))
+    ratio = stats.medians(both, F.col("ratio"), ["bin"], "ratio_median").drop("n")
     pull = stats.mad_std(both, F.col("pull"), ["bin"], "pull_width").select("bin", F.when(F.col("n") > 2, F.col("pull_width")).alias("pull_width"))
-    return base.join(pull, "bin", "left")
+    return base.join(ratio, "bin", "left").join(pull, "bin", "left")
 
 
 def disagreements(cmp: DataFrame, a: str, b: str, ea: str, eb: str, minimum_snr: float = 5.0, top_n: int = 20) -> DataFrame:
