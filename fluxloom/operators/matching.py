@@ -259,143 +259,131 @@ def nearest_on_plane(cat: DataFrame, samples: DataFrame, few: int = 64) -> DataF
         side *= 2
 
 
-#: Landmarks in feature space, rings about each by distance, and rows of a block.
+#: Landmarks in feature space, rings of samples about each by distance, and rows of a block of a ring.
 LANDMARKS, RINGS, BLOCK = 64, 8, 256
-
-
-def nearest_vector(queries: DataFrame, samples: DataFrame, column: str, rows: int = BLOCK, landmarks: int = LANDMARKS, counts: dict | None = None) -> DataFrame:
-    """id, sample_id, distance: the nearest of all samples of each query in feature space; ties go to the smaller id.
-
-    Samples stand in cells: that of their nearest landmark (some of the samples, a bounded
-    number) and of a ring of distances from it. By the triangle inequality a query is no
-    nearer to any sample of a cell than its distance from the landmark tells, so it is
-    first compared with its most promising cell, and then only with cells whose bound
-    does not exceed what it has found. Both sides meet in blocks of `rows` vectors by an
-    equi-join on the cell. Vectors match those of their own length; a query that is null
-    or not finite has no sample (null), and no such sample is found. counts: gets the
-    pairs of rows that are compared in both rounds, and all pairs.
+#: Numbers of a group of vectors (32 MB), and groups of queries that are made of fewer, for tasks to share.
+VALUES, SHARED = 1 << 22, 32
+
+
+def nearest_vector(queries: DataFrame, samples: DataFrame, column: str, rows: int = BLOCK, landmarks: int = LANDMARKS, counts: dict | None = None, values: int = VALUES) -> DataFrame:
+    """id, sample_id, distance: the nearest of all samples of each query in feature space; distances are compared to nine decimals, and ties go to the smaller id.
+
+    Both sides are dealt into groups of up to some `values` numbers, and each group of queries
+    meets each of samples, so a task holds two groups, however many rows there are. In a
+    group samples stand in blocks of `rows` by their nearest landmark (some of the samples,
+    a bounded number) and their distance from it. By the triangle inequality a query is
+    no nearer to any sample of a block than its distance from the landmark tells; it is compared
+    with the most promising blocks first, and not with those whose bound exceeds what it has
+    found. Products of blocks tell which samples may be the nearest; those are compared exactly.
+    Equal samples are one. Vectors match those of their own length; a query that is null or not
+    finite has no sample (null), and no such sample is found. counts: gets the pairs of rows
+    that are compared (first: those of queries' first blocks), and all pairs.
     """
-    import pandas as pd
     import pyarrow as pa
 
     kinds = {side: df.schema["id"].dataType.simpleString() for side, df in (("q", queries), ("s", samples))}
 
     def finite_rows(df: DataFrame) -> DataFrame:
-        v = df.select("id", F.col(column).cast("array<double>").alias("v")).where("v is not null")
+        single = df.schema[column].dataType.simpleString() == "array<float>"
+        v = df.select("id", F.col(column).cast("array<float>" if single else "array<double>").alias("v")).where("v is not null")
         return v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("size", F.size("v"))
 
-    q, s = cut(finite_rows(queries)), cut(finite_rows(samples))
-    n_samples = s.count()
+    q, known = cut(finite_rows(queries)), finite_rows(samples)
+    s = cut(known.groupBy("v", "size").agg(F.min("id").alias("id")))
+    (n_queries, widest), n_samples = q.agg(F.count("*"), F.max("size")).head(), s.count()
+    if not n_queries or not n_samples:
+        return queries.select("id", F.lit(None).cast(kinds["s"]).alias("sample_id"), F.lit(None).cast("double").alias("distance"))
     share = max(1, n_samples // (4 * landmarks))
     marks: dict[int, np.ndarray] = {}
-    for r in s.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("size").agg(F.slice(F.array_sort(F.collect_set("v")), 1, landmarks).alias("m")).collect():
+    for r in s.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("size").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("v").alias("h"), "v"))), 1, landmarks)["v"].alias("m")).collect():
         marks[r["size"]] = np.array(r.m, float).reshape(len(r.m), r["size"])  # some four times the landmarks are looked at
 
-    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.stack([((b - x) ** 2).sum(axis=1) for x in a]) ** 0.5
-
-    def by_size(batch):
-        """A batch's rows of each size: which they are, and their vectors."""
-        v = batch.column(batch.schema.get_field_index("v"))
-        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-        for size in np.unique(sizes):
-            of = np.flatnonzero(sizes == size)
-            yield int(size), of, v.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(len(of), size)
-
-    def placed(batches):
-        for b in batches:
-            for size, of, x in by_size(b):
-                d = distances(x, marks[size]) if size in marks else np.zeros((len(x), 1))
-                at = d.argmin(axis=1)
-                own = b.take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(at, pa.int32()), pa.array(d[np.arange(len(at)), at])], ["id", "v", "size", "mark", "far"])
-
-    near = cut(s.mapInArrow(placed, f"id {kinds['s']}, v array<double>, size int, mark int, far double"))
-    edges = near.groupBy("size", "mark").agg(F.percentile_approx("far", [k / RINGS for k in range(1, RINGS)], 1000).alias("edges"))  # few numbers a landmark
-    ringed = cut(near.join(F.broadcast(edges), ["size", "mark"]).withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("far")))).drop("edges"))
-    cells: dict[int, list] = {}
-    for r in ringed.groupBy("size", "mark", "ring").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("n")).sort("size", "mark", "ring").collect():
-        cells.setdefault(r["size"], []).append((r.mark, r.ring, r.lo, r.hi, r.n))  # landmarks times rings at most
-    spark = queries.sparkSession
-
-    def bounds(size: int, x: np.ndarray) -> np.ndarray:
-        """How near each query may come to each cell of its size, a little less for rounding."""
-        mark, _, lo, hi, _ = map(np.array, zip(*cells[size], strict=True))
-        d = distances(x, marks[size])[:, mark] if size in marks else np.zeros((len(x), len(mark)))
-        return np.maximum(0, np.maximum(d - hi, lo - d) * (1 - 1e-9) - 1e-12)
-
-    def asked(first: bool):
-        def run(batches):
-            for b in batches:
-                for size, of, x in by_size(b):
-                    if size not in cells:
-                        continue
-                    own, bound = b.take(pa.array(of)), bounds(size, x)
-                    d = distances(x, marks[size])[:, [c[0] for c in cells[size]]] if size in marks else bound
-                    best = np.lexsort((d, bound), axis=1)[:, 0] if bound.shape[1] else np.zeros(0, int)
-                    if first:
-                        row, cell = np.arange(len(x)), best
-                    else:
-                        reach = own.column(own.schema.get_field_index("distance")).to_numpy(zero_copy_only=False)
-                        want = bound <= reach[:, None]
-                        want[np.arange(len(x)), best] = False
-                        row, cell = np.nonzero(want)
-                    at = pa.array(row)
-                    mark, ring = (np.array([c[k] for c in cells[size]], np.int32) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([own.column(0).take(at), own.column(1).take(at), own.column(2).take(at), pa.array(mark[cell]), pa.array(ring[cell])], ["id", "v", "size", "mark", "ring"])
-
-        return run
-
-    key = ["size", "mark", "ring"]
-
-    def packed(df: DataFrame, side: str) -> DataFrame:
-        """Blocks of up to `rows` vectors of one cell; a cell with many is dealt by salt."""
-
-        def run(batches):
-            for b in batches:
-                where = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in key])
-                turns = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
-                for lo, hi in zip([0, *turns], [*turns, len(b)], strict=True):
-                    for k in range(lo, hi, rows):
-                        own = b.slice(k, min(rows, hi - k))
-                        ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(0))
-                        data = own.column(own.schema.get_field_index("v")).flatten().to_numpy(zero_copy_only=False).tobytes()
-                        yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int32()) for x in where[lo]), ids, pa.array([data])], [*key, f"{side}_ids", side])
-
-        salted = df.select("id", "v", *key, F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt"))
-        ordered = salted.repartition(*key, "salt").sortWithinPartitions(*key)
-        return ordered.mapInArrow(run, f"size int, mark int, ring int, {side}_ids array<{kinds[side]}>, {side} binary")
-
-    def least(frames):
-        for f in frames:
-            for size, q_ids, qv, s_ids, sv in zip(f["size"], f["q_ids"], f["q"], f["s_ids"], f["s"], strict=True):
-                x, y = (np.frombuffer(z, np.float64).reshape(len(ids), size) for z, ids in ((qv, q_ids), (sv, s_ids)))
-                order = np.argsort(s_ids, kind="stable")
-                d = distances(x, y[order])
-                at = d.argmin(axis=1)
-                yield pd.DataFrame({"id": np.asarray(q_ids), "distance": d[np.arange(len(x)), at], "sample_id": np.asarray(s_ids)[order][at]})
-
-    blocks = cut(packed(ringed, "s"))
-
-    def compared(of: DataFrame, name: str) -> DataFrame:
-        of = cut(of)
-        if counts is not None:
-            sizes = spark.createDataFrame([(k, c[0], c[1], c[4]) for k, cs in cells.items() for c in cs], "size int, mark int, ring int, n long")
-            counts[name] = of.join(F.broadcast(sizes), key).agg(F.sum("n")).head()[0] or 0
-        both = packed(of, "q").join(blocks, key).select("size", "q_ids", "q", "s_ids", "s")
-        found = both.mapInPandas(least, f"id {kinds['q']}, distance double, sample_id {kinds['s']}")
-        return cut(found.groupBy("id").agg(F.min(F.struct("distance", "sample_id")).alias("m")))
-
-    kind = f"id {kinds['q']}, v array<double>, size int, mark int, ring int"
-    if not cells:
-        return queries.select("id", F.lit(None).cast(kinds["s"]).alias("sample_id"), F.lit(None).cast("double").alias("distance"))
-    one = compared(q.mapInArrow(asked(True), kind), "first")
-    reach = q.join(one.select("id", F.col("m.distance").alias("distance")), "id")
-    two = compared(reach.select("id", "v", "size", "distance").mapInArrow(asked(False), kind), "rest")
+    most = max(rows, values // max(widest, 1))  # rows of a group
+    of_q, of_s = max(-(-n_queries // most), min(SHARED, -(-n_queries // 1024))), -(-n_samples // most)
+
+    def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0)
+
+    def plane(t, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return t.column("id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), size)
+
+    def least(key, left, right):
+        if not len(left) or not len(right):
+            return None
+        size = key[0].as_py()
+        (q_ids, x), (s_ids, y) = plane(left, size), plane(right, size)
+        m = marks.get(size, y[:1])
+        own = np.sqrt(squares(y, m))
+        mark = own.argmin(axis=1)
+        far = own[np.arange(len(y)), mark]
+        order = np.lexsort((far, mark))
+        s_ids, y, mark, far = s_ids[order], y[order], mark[order], far[order]
+        yy = (y * y).sum(axis=1)
+        turns = np.flatnonzero(mark[1:] != mark[:-1]) + 1
+        blocks = [(k, min(k + n, hi)) for lo, hi in zip([0, *turns], [*turns, len(y)], strict=True) for n in [min(rows, -(-(hi - lo) // RINGS))] for k in range(lo, hi, n)]
+        at = np.array([mark[lo] for lo, _ in blocks])
+        near, away = np.array([far[lo] for lo, _ in blocks]), np.array([far[hi - 1] for _, hi in blocks])
+        seen = np.concatenate([squares(x[k : k + 4096], m).argmin(axis=1) for k in range(0, len(x), 4096)])
+        order = np.argsort(seen, kind="stable")
+        q_ids, x, seen = q_ids[order], x[order], seen[order]
+        turns = np.flatnonzero(seen[1:] != seen[:-1]) + 1
+        parts = [(k, min(k + 2048, hi)) for lo, hi in zip([0, *turns], [*turns, len(x)], strict=True) for k in range(lo, hi, 2048)]
+        slack = yy.max(initial=0)
+        told, exact, best = np.full(len(x), np.inf), np.full(len(x), np.inf), np.zeros(len(x), s_ids.dtype)
+        first, rest = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for k, end in parts:  # queries about one landmark
+            rows_ = slice(k, end)
+            mine = x[rows_]
+            xx = (mine * mine).sum(axis=1)
+            off = 1e-12 * (xx + slack) + 1e-300  # of a square, by rounding
+            d = np.sqrt(squares(mine, m))[:, at]
+            wide = np.sqrt(1e-12 * (xx + slack))[:, None]  # of a distance from a landmark
+            bound = np.maximum(0, np.maximum(d - away, near - d) - 2 * wide - 1e-9)
+            for c in np.lexsort((d.sum(axis=0), bound.sum(axis=0))):
+                use = np.flatnonzero(bound[:, c] <= told[rows_] + 2e-9)
+                if not len(use):
+                    continue
+                lo, hi = blocks[c]
+                fresh = np.isinf(told[k + use])
+                first[k + use[fresh]] += hi - lo
+                rest[k + use[~fresh]] += hi - lo
+                a = mine if len(use) == len(mine) else mine[use]
+                d2 = xx[use][:, None] + yy[lo:hi] - 2 * (a @ y[lo:hi].T)
+                limit = (np.sqrt(np.maximum(d2.min(axis=1), 0) + off[use]) + 2e-9) ** 2 + off[use]
+                limit = np.minimum(limit, (told[k + use] + 2e-9) ** 2 + off[use])
+                p, z = np.nonzero(d2 <= limit[:, None])
+                for e in range(0, len(p), 1 << 16):
+                    i, j = k + use[p[e : e + (1 << 16)]], lo + z[e : e + (1 << 16)]
+                    found = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+                    short = np.round(found, 9)
+                    by = np.lexsort((s_ids[j], short, i))
+                    i, j, found, short = i[by], j[by], found[by], short[by]
+                    top = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                    i, j, found, short = i[top], j[top], found[top], short[top]
+                    win = (short < told[i]) | ((short == told[i]) & (s_ids[j] < best[i]))
+                    i, j = i[win], j[win]
+                    told[i], exact[i], best[i] = short[win], found[win], s_ids[j]
+        return pa.table({"id": q_ids, "told": told, "sample_id": best, "distance": exact, "first": first, "rest": rest})
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.select("id", "v", "size", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def run(key, left, right):
+        out = least(key, left, right)
+        return empty if out is None else out.cast(empty.schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = f"id {kinds['q']}, told double, sample_id {kinds['s']}, distance double, first long, rest long"
+    empty = to_arrow_schema(StructType.fromDDL(kind)).empty_table()
+    key = ["size", "i", "j"]
+    met = dealt(q, "i", of_q, "j", of_s).groupBy(*key).cogroup(dealt(s, "j", of_s, "i", of_q).groupBy(*key)).applyInArrow(run, kind)
+    found = cut(met.groupBy("id").agg(F.min(F.struct("told", "sample_id", "distance")).alias("m"), F.sum("first").alias("first"), F.sum("rest").alias("rest")))
     if counts is not None:
-        counts["all"] = q.count() * n_samples
-    every = queries.select("id", F.lit(None).cast(f"struct<distance:double,sample_id:{kinds['s']}>").alias("m"))
-    return one.union(two).union(every).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.sample_id", "m.distance")
+        counts["first"], counts["rest"] = found.agg(F.sum("first"), F.sum("rest")).head()
+        counts["all"] = n_queries * known.count()
+    return queries.select("id").distinct().join(found.hint("merge"), "id", "left").select("id", "m.sample_id", "m.distance")
 
 
 def grid_node(x: Column, step: float) -> Column:

@@ -154,3 +154,22 @@ def test_medians_of_joined_rows_do_not_join_again(spark, monkeypatch, most):
         assert (r.n, r.n_off) == (len(x), int((abs(x - 1) > 0.05).sum())) and (r.ratio_median, r.nmad) == pytest.approx((np.median(x), 1.482602218505602 * np.median(abs(x - np.median(x)))), rel=1e-6)
     got = {r.bin: r for r in rec.collect()}
     assert got[-1].n == 700 and got[-1].ratio_median == pytest.approx(np.median(f * g / f)) and sum(r.n for k, r in got.items() if k >= 0) == 700
+
+
+def test_nearest_vectors_in_groups_of_bounded_size(spark):
+    """Many groups on both sides, copies of vectors and distances that differ by less than is told."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 1, (300, 5)), rng.normal(0, 1, (260, 5))
+    b[200:] = b[3]  # one large group of copies
+    b[150] = b[20] + 1e-12
+    a[7] = b[3] + 0.01
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, v array<double>")
+    s = spark.createDataFrame([(1000 - i, v.tolist()) for i, v in enumerate(b)], "id long, v array<double>")
+    counts = {}
+    out = matching.nearest_vector(q, s, "v", rows=8, landmarks=5, counts=counts, values=300)  # groups of 60 rows
+    d = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)), 9)
+    want = {i: min((x, 1000 - k) for k, x in enumerate(d[i]))[1] for i in range(300)}
+    assert {r.id: r.sample_id for r in out.collect()} == want
+    assert want[7] == 1000 - 259 and counts["first"] + counts["rest"] < 0.9 * counts["all"]
