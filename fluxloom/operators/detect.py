@@ -14,6 +14,7 @@ from ..functions import stats
 from ..functions.cut import cut
 from ..functions.small import small
 from .components import roots
+from .solve import whole_groups
 
 # -- kernels -----------------------------------------------------------------------------
 
@@ -298,7 +299,17 @@ def regions(work: DataFrame, mask, size: int, cols: str = "", grids: DataFrame |
 
     schema = ", ".join(["tile long, y int, x int, region long", *more])
     if grids is None:
-        local = work.groupBy(*WORK).applyInPandas(lambda key, pdf: run(key, pdf), schema)
+        def many(frames):
+            for f in whole_groups(frames, WORK, 10_000):  # small tiles: many a batch
+                keys = f[WORK].to_numpy(np.int64)
+                turns = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+                got = [run(tuple(keys[lo]), f.iloc[lo:hi].reset_index(drop=True)) for lo, hi in zip([0, *turns], [*turns, len(f)], strict=True)]
+                got = [g for g in got if len(g)]
+                if got:
+                    yield pd.concat(got, ignore_index=True)
+
+        tasks = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        local = work.repartition(tasks, *WORK).sortWithinPartitions(*WORK).mapInPandas(many, schema)
     else:
         local = with_grid(work, grids).applyInPandas(run, schema)
     local = cut(local)

@@ -173,3 +173,22 @@ def test_nearest_vectors_in_groups_of_bounded_size(spark):
     want = {i: min((x, 1000 - k) for k, x in enumerate(d[i]))[1] for i in range(300)}
     assert {r.id: r.sample_id for r in out.collect()} == want
     assert want[7] == 1000 - 259 and counts["first"] + counts["rest"] < 0.9 * counts["all"]
+
+
+def test_regions_of_small_tiles_are_labelled_many_a_batch(spark):
+    import numpy as np
+
+    from fluxloom.operators import detect
+
+    calls = spark.sparkContext.accumulator(0)
+    px = spark.createDataFrame([(t, y, 0) for t in (1, 2) for y in range(0, 400) if y % 50], "tile long, y int, x int")
+
+    def lit(rows, _):
+        calls.add(1)
+        on = np.zeros((int(rows.y.max() - rows.y.min()) + 1, 1), bool)
+        on[rows.y - rows.y.min(), 0] = True
+        return int(rows.y.min()), 0, on, []
+
+    out = detect.regions(detect.dealt(px, 4), lit, 4)
+    got = {(r.tile, r.region): r["count"] for r in out.groupBy("tile", "region").count().collect()}
+    assert len(got) == 16 and set(got.values()) == {49} and calls.value == 200
