@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import UJY_PER_NMGY, UNWISE_FWHM
+from ..functions.cut import cut
 from ..functions.units import finite
 from . import matching
 
@@ -57,7 +58,7 @@ def unwise(measured: DataFrame, reference: DataFrame, psf_fraction: float, radiu
     """
     iso = matching.isolated(measured, isolation_arcsec).withColumns({c: F.col(c) * psf_fraction for c in ("wise_flux", "wise_err")})
     m = matching.nearest_unshared(measured.select("id", "ra", "dec"), reference, radius_arcsec, ("flux", "err", "primary", "flags"))
-    out = iso.join(m.drop("ra", "dec"), "id", "left").withColumn("snr", F.coalesce(F.col("wise_flux") / F.when(F.col("wise_err") > 0, F.col("wise_err")), F.lit(0.0)))
+    out = cut(iso).join(cut(m.drop("ra", "dec")).hint("merge"), "id", "left").withColumn("snr", F.coalesce(F.col("wise_flux") / F.when(F.col("wise_err") > 0, F.col("wise_err")), F.lit(0.0)))
     positive = lambda c: finite(F.col(c)) & (F.col(c) > 0)
     ok = F.col("match_id").isNotNull() & (F.col("match_primary") == 1) & (F.col("match_flags") == 0) & F.coalesce("quality", F.lit(True))
     for c in ("wise_flux", "wise_err", "match_flux", "match_err"):
