@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STAR_PROBABILITY, STARSIGNAL_BIT
+from ..functions.small import small
 from ..functions.units import finite, known
 from . import matching
 
@@ -55,7 +56,7 @@ def source_flags(cat: DataFrame, bad_pixels: DataFrame, width: int, height: int,
     reach = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     spots = spots.withColumn("d", reach).select("id", "tile", "px", "py", (cell("px") + F.col("d.i")).alias("cx"), (cell("py") + F.col("d.j")).alias("cy"))
     bad = bad_pixels.select("tile", F.col("x").alias("bx"), F.col("y").alias("by")).withColumns({"cx": cell("bx"), "cy": cell("by")})
-    hit = spots.join(bad, ["tile", "cx", "cy"]).where((F.abs(F.col("px") - F.col("bx")) <= box) & (F.abs(F.col("py") - F.col("by")) <= box)).select("id").distinct().withColumn("hit", F.lit(True))
+    hit = spots.join(small(bad, merge=True), ["tile", "cx", "cy"]).where((F.abs(F.col("px") - F.col("bx")) <= box) & (F.abs(F.col("py") - F.col("by")) <= box)).select("id").distinct().withColumn("hit", F.lit(True))
     out = c.join(near.hint("merge"), "id", "left").join(hit.hint("merge"), "id", "left")
     out = out.withColumns(
         {

@@ -369,14 +369,14 @@ def solve_fluxes(templates: DataFrame, pixels: DataFrame, sky: bool = False, str
     if not sky:
         return solved.select(*names)
     solved = cut(solved)
-    own = every.where(F.col("i") == SKY).select("tile", "v", "b").join(solved.groupBy("tile").agg(F.sum("ub").alias("ub"), F.sum("ug").alias("ug")), "tile", "left").na.fill(0.0, ["ub", "ug"])
+    own = every.where(F.col("i") == SKY).select("tile", "v", "b").join(solved.groupBy("tile").agg(F.sum("ub").alias("ub"), F.sum("ug").alias("ug")).hint("merge"), "tile", "left").na.fill(0.0, ["ub", "ug"])
     rest = F.col("v") - F.col("ug")
     clear = rest > 1e-10 * F.col("v")  # else the templates make up a constant
     level = own.select("tile", F.when(clear, (F.col("b") - F.col("ub")) / rest).otherwise(0.0).alias("s"), F.col("v").alias("of_sky"), F.when(clear, 1 / rest).otherwise(float("inf")).alias("s_var"), clear.alias("clear"))
     if strict:
         level = level.withColumn("clear", F.when(F.col("clear"), F.col("clear")).otherwise(F.raise_error(F.lit("templates make up the sky")).cast("boolean")))
     level = cut(level)
-    moved = solved.join(small(level), "tile")
+    moved = solved.join(small(level, merge=True), "tile")
     g2 = F.when(F.col("g") == 0, 0.0).otherwise(F.col("g") * F.col("g") * F.col("s_var"))
     own_rows = moved.select("tile", "id", (F.col("flux") - F.col("s") * F.col("g")).alias("flux"), "information", (F.col("variance") + g2).alias("variance"), (F.col("rank_ok") & F.col("clear")).alias("rank_ok"))
     return own_rows.unionByName(level.select("tile", F.lit(SKY).alias("id"), F.col("s").alias("flux"), F.col("of_sky").alias("information"), F.col("s_var").alias("variance"), F.col("clear").alias("rank_ok")))

@@ -192,3 +192,30 @@ def test_regions_of_small_tiles_are_labelled_many_a_batch(spark):
     out = detect.regions(detect.dealt(px, 4), lit, 4)
     got = {(r.tile, r.region): r["count"] for r in out.groupBy("tile", "region").count().collect()}
     assert len(got) == 16 and set(got.values()) == {49} and calls.value == 200
+
+
+def test_the_catalog_leaves_no_join_to_estimates_of_size(spark, monkeypatch):
+    """Tables this small are broadcast wherever Spark chooses: whatever is not counted to be few must be merged, or the driver gathers it."""
+    from functools import partial
+
+    from fluxloom.functions.small import small
+    from fluxloom.operators import flags, solve
+    from fluxloom.plans import queries
+
+    want = sorted(queries.flagship(spark, "/root/testdata/sf0.001").collect())
+    plans, cut = [], queries.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    for module in (queries, matching, solve):
+        monkeypatch.setattr(module, "cut", seen)
+    for module in (flags, solve):
+        monkeypatch.setattr(module, "small", partial(small, rows=0))
+    monkeypatch.setattr(matching, "FEW", 0)
+    out = queries.flagship(spark, "/root/testdata/sf0.001")
+    masked = flags.source_flags(out.withColumn("flux", matching.F.lit(1.0)).drop("bright_star", "near_bright_star", "masked", "edge", "reliable"), out.select("tile", matching.F.col("x").cast("int").alias("x"), matching.F.col("y").cast("int").alias("y")), 64, 64)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (out, masked)]
+    assert len(plans) > 6 and not [line for p in plans for line in p.splitlines() if "Broadcast" in line]
+    assert sorted(out.collect()) == want and all(r.masked for r in masked.collect())
