@@ -47,6 +47,40 @@ def test_positional_joins_broadcast_only_what_is_counted(crowd):
     assert "BroadcastHashJoin" in plan(matching.pairs(cat, cat.where("id < 9"), 1.0))
 
 
+def test_positional_joins_shuffle_ids_and_positions_alone(crowd):
+    """What is worked out of a position would be stored nine times."""
+    lines = matching.pairs(crowd[0], crowd[0], 1.0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [k for k, line in enumerate(lines) if "Exchange hashpartitioning(_band" in line]
+    assert len(dealt) == 2 and all("_ux" in lines[k - 1] and "_ux" not in lines[k + 1] for k in dealt)
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_pairs_at_the_rim(spark, monkeypatch, few):
+    """Only there is the exact distance asked; a pair just as far as the radius is one, unless it is to be nearer."""
+    monkeypatch.setattr(matching, "FEW", few)
+    cat = spark.createDataFrame([(0, 0.0, 89.9995), (1, 180.0, 89.9995), (2, 10.0, 0.0), (3, 10.0 + 1 / 3600, 0.0), (4, 10.0, 1e-9), (5, 10.0, 0.0), (6, 190.0, 0.0)], "id long, ra double, dec double")
+    sep = {(r.left_id, r.right_id): r.sep for r in matching.pairs(cat, cat, 180 * 3600.0).collect()}
+    assert len(sep) == 49 and sep[2, 6] == pytest.approx(180 * 3600) and sep[2, 4] == pytest.approx(3.6e-6)
+    for radius in (0.0, sep[2, 4], sep[2, 3], sep[0, 1], sep[0, 2], 180 * 3600.0):
+        for strict in (False, True):
+            want = {k: v for k, v in sep.items() if (v < radius if strict else v <= radius)}
+            assert {(r.left_id, r.right_id): r.sep for r in matching.pairs(cat, cat, radius, strict).collect()} == want
+
+
+def test_distances_are_rounded_as_sql_does(spark):
+    import numpy as np
+
+    duckdb = pytest.importorskip("duckdb")
+    from fluxloom.plans import queries
+
+    rng = np.random.default_rng(1)
+    x = [0.0, 5e-6, 1.000005, 4.999995, *rng.uniform(0, 5, 3000), *((rng.integers(0, 500_000, 3000) + 0.5) / 1e5)]  # halves, as near as doubles are
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double")
+    t = df.toPandas()  # noqa: F841
+    got = {r.i: r.y for r in df.select("i", queries.places(df.x, 5).alias("y")).collect()}
+    assert got == dict(duckdb.sql("select i, round(x, 5) from t").fetchall())
+
+
 def test_covered_sources_end_at_the_edge(spark):
     from fluxloom.sources import catalogs
 
